@@ -5,8 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fathom.llm.embed_dedup import embedding_duplicates
+from fathom.llm.html_text import extract_main_text
 from fathom.llm.near_dedup import near_duplicates
+from fathom.llm.quality import fit_quality, score_quality
+from fathom.llm.secrets import secret_report
+
+HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+KEEP_SCORE = 0.7
+
+
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, labels.where(~HELD_OUT)))
+    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
+
+
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_itq_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +41,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op2_subword_quality,
+        op5_html_main_text,
+        op7_itq_embedding_dedup,
+        op8_secret_scan,
+        op10_minhash_near_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}

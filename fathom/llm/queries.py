@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.llm.chat_format import canonical_turns, format_chats, loss_text, read_back, turn_rows_as_records
 from fathom.llm.embed_dedup import embedding_duplicates
 from fathom.llm.html_text import extract_main_text
+from fathom.llm.mixing import mix_sources
 from fathom.llm.near_dedup import near_duplicates
 from fathom.llm.quality import fit_quality, score_quality
 from fathom.llm.secrets import secret_report
@@ -17,6 +19,42 @@ HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 KEEP_SCORE = 0.7
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1 in another layout, as two turns of control strings."""
+    records = turn_rows_as_records(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    mark = "</s>[INST] ok [/INST]"
+    own = F.to_json(F.struct(F.lit(mark).alias("instruction"), F.lit(mark).alias("output")))
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), own.alias("record"))
+    made = format_chats(canonical_turns(records.unionByName(extra)), "conv_id")
+    read = made.select("conv_id", "layout", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP1_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, regexp_replace(text, '([<\[])(\\*)(\||s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\2\\\3', 'g') AS body FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(body) + 13) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
 def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -24,6 +62,32 @@ def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
 
 
+def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed.withColumn("rate", F.round("rate", 9))
+
+
+OP4_SQL = """
+WITH size AS (
+  SELECT coalesce(source, '') AS source, sum(coalesce(length(text), 0)) AS size FROM documents GROUP BY 1
+), rated AS (
+  SELECT source, CASE WHEN size = 0 THEN 1.0 ELSE sqrt(size::DOUBLE) * sum(size) OVER () / sum(sqrt(size::DOUBLE)) OVER () / size END AS rate FROM size
+), stepped AS (
+  SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
+  FROM rated, LATERAL (SELECT unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 24) AS INT))) AS k)
+), spread AS (
+  SELECT source, rate, list(c ORDER BY k) AS cdf
+  FROM (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM stepped) GROUP BY ALL
+), counted AS (
+  SELECT d.*, s.rate, len(list_filter(s.cdf, lambda c: c <= ('0x' || substr(md5('17:' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0)) AS copies
+  FROM documents d JOIN spread s ON coalesce(d.source, '') = s.source
+), copied AS (SELECT *, unnest(generate_series(1, copies)) AS copy FROM counted)
+SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, CAST(copies AS INT) AS copies, CAST(copy AS INT) AS copy,
+       ('0x' || substr(md5('18:' || doc_id || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0 AS shuffle_key
+FROM copied
+"""
+
+
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -43,7 +107,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_chat_formatting,
         op2_subword_quality,
+        op4_poisson_mixing,
         op5_html_main_text,
         op7_itq_embedding_dedup,
         op8_secret_scan,
@@ -51,4 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": OP1_SQL,
+    "op4_poisson_mixing": OP4_SQL,
+}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.chat_format import canonical_turns, format_chats, loss_text, read_back, turn_rows_as_records
+from fathom.llm.decontaminate import contaminated
 from fathom.llm.embed_dedup import embedding_duplicates
 from fathom.llm.html_text import extract_main_text
 from fathom.llm.mixing import mix_sources
@@ -100,6 +101,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_greedy_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_html_main_text,
         op7_itq_embedding_dedup,
         op8_secret_scan,
+        op9_greedy_tiling_decontamination,
         op10_minhash_near_dedup,
     )
 }

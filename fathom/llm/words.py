@@ -34,6 +34,9 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE_VALUE[_LOWER]
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, *range(9, 14)]] = False
+#: Letters, digits and every byte of non-ASCII characters.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -99,8 +102,9 @@ def span_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(np.uint64) * _MUL)
 
 
-def words(text: Text, fold_case: bool = True) -> Words:
-    inside = _IS_WORD[text.data]
+def words(text: Text, fold_case: bool = True, table: np.ndarray = _IS_WORD) -> Words:
+    """Words of each text: runs of bytes that ``table`` marks, never across texts."""
+    inside = table[text.data]
     edge = np.zeros(len(text.data) + 1, bool)
     edge[text.starts] = True
     before = np.zeros(len(inside) + 1, bool)

@@ -5,12 +5,12 @@
 2. A MinHash signature feeds two things: bands of ``ROWS`` values that put likely pairs in
    one bucket, and an odd sketch, a bitmap in which every sample flips one bit.  The number
    of bits in the XOR of two sketches estimates their similarity closely where it is high.
-3. Within a bucket only the edges that could join components are proposed: a minimum
-   spanning forest under sketch distance first; later rounds propose, for representatives
-   that are still apart, further pairs, and the last round all of them.  Every proposed
-   pair is confirmed on its full shingle sets, so no link below the threshold is made, and
-   none is lost that shares a bucket and whose estimate lies within the sketch's margin.
-4. Components over confirmed links give the groups.
+3. Within a bucket only edges that could join components are proposed: a minimum spanning
+   forest under sketch distance.  Each is confirmed on the full shingle sets.
+4. Pairs that share a bucket, whose estimate lies within the sketch's margin and that are
+   still in different components are then compared on full sets, bucket by bucket; a bucket
+   gives back only the links that join components, never its pairs.  So no link below the
+   threshold is made, and every link counts that shares a bucket and lies in the margin.
 
 Buckets larger than ``BLOCK`` are cut into blocks, and pairs of blocks are worked on by
 different tasks, so no task holds an unbounded bucket.
@@ -32,10 +32,10 @@ from fathom.llm.words import mix, pieces, shingles, words
 SAMPLES = 512
 BANDS = 32
 ROWS = 4
-SKETCH_BITS = 1024
+SKETCH_BITS = 2048
 BLOCK = 1024
 #: Standard deviations of the sketch's estimate that a candidate may lie under the threshold.
-MARGIN = 4.0
+MARGIN = 3.5
 
 _SEED = np.random.default_rng(20240607)
 _FACTORS = (_SEED.integers(1, 1 << 63, SAMPLES).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -65,11 +65,16 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def max_distance(threshold: float) -> int:
-    """Most differing sketch bits of a pair that may still reach ``threshold``."""
-    low = threshold - MARGIN * (threshold * (1 - threshold) / SAMPLES) ** 0.5
-    flips = 2 * SAMPLES * (1 - low)
-    mean = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** flips)
-    return int(np.ceil(mean + 2 * (SKETCH_BITS * 0.25) ** 0.5))
+    """Most differing sketch bits of a pair that may still reach ``threshold``.
+
+    Two errors add up: that of the share of equal samples, and that of bits hit twice.
+    """
+    flips = 2 * SAMPLES * (1 - threshold)
+    decay = np.exp(-2 * flips / SKETCH_BITS)
+    mean = SKETCH_BITS / 2 * (1 - decay)
+    sampling = 2 * SAMPLES * decay * (threshold * (1 - threshold) / SAMPLES) ** 0.5
+    folding = max(0.0, SKETCH_BITS / 4 * (1 - decay**2) - flips * decay**2) ** 0.5
+    return int(np.ceil(mean + MARGIN * np.hypot(sampling, folding)))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -161,69 +166,108 @@ def _forest(sketch, n, block, cross, far, percent):
             yield via[at], at
 
 
-def _apart(sketch, n, block, cross, far, percent, component, most):
-    """For each row outside the bucket's main component, its closest rows of other components."""
+_KEYS = ["key", "i", "j"]
+
+
+def _parts(table: pa.Table):
+    ids, n, block = (table[k].to_numpy() for k in ("doc_id", "n_shingles", "block"))
+    cross = table["i"].to_numpy() != table["j"].to_numpy()
+    return ids, n, block, cross
+
+
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(table), -1)
+
+
+def _propose(batches: Iterator[pa.RecordBatch], far: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Forest edges of every bucket, the smaller id first."""
+    for table in _runs(batches, _KEYS):
+        ids, n, block, cross = _parts(table)
+        sketch, out = _sketches(table), []
+        for start, end in _groups(table, _KEYS):
+            own = slice(start, end)
+            out.extend((ids[start + a], ids[start + b]) for a, b in _forest(sketch[own], n[own], block[own], cross[start], far, percent))
+        if out:
+            pairs = np.unique(np.sort(np.array(out, np.int64), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _outside(component: np.ndarray) -> np.ndarray:
+    """Rows outside the component that most of a bucket's rows are in."""
     names, sizes = np.unique(component, return_counts=True)
-    main = names[sizes.argmax()]
-    for at in np.flatnonzero(component != main):
-        bits = _distances(sketch, n, at, percent)
-        bits[component == component[at]] = SKETCH_BITS + 1
-        if cross:
-            bits[block == block[at]] = SKETCH_BITS + 1
-        near = np.flatnonzero(bits <= far)
-        for to in near[np.argsort(bits[near], kind="stable")][:most]:
-            yield at, to
+    return np.flatnonzero(component != names[sizes.argmax()])
 
 
-_KEYS = ["key", "i", "j"]
+def _remaining(batches: Iterator[pa.RecordBatch], far: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a bucket with a close row of another component that they meet here first."""
+    for table in _runs(batches, _KEYS):
+        ids, n, block, cross = _parts(table)
+        component, band = table["component"].to_numpy(), table["band"].to_numpy()
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(table), BANDS)
+        sketch, flagged = _sketches(table), np.zeros(len(table), bool)
+        for start, end in _groups(table, _KEYS):
+            own = slice(start, end)
+            for at in _outside(component[own]):
+                near = _distances(sketch[own], n[own], at, percent) <= far
+                near &= component[own] != component[start + at]
+                if cross[start]:
+                    near &= block[own] != block[start + at]
+                found = start + np.flatnonzero(near)
+                if band[start]:
+                    found = found[(bands[found, : band[start]] != bands[start + at, : band[start]]).all(1)]
+                if len(found):
+                    flagged[found] = flagged[start + at] = True
+        if flagged.any():
+            yield from table.select(_FLAGGED).filter(pa.array(flagged)).to_batches()
+
 
+_FLAGGED = ["key", "i", "j", "doc_id", "component"]
 
-def _propose(batches: Iterator[pa.RecordBatch], far: int, percent: int, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of every bucket; ``most`` is None in the first round (a forest)."""
+
+def _settle(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between components, found on full sets; at most one fewer than a bucket's components."""
     for table in _runs(batches, _KEYS):
-        ids, n, block = (table[k].to_numpy() for k in ("doc_id", "n_shingles", "block"))
-        cross = table["i"].to_numpy() != table["j"].to_numpy()
-        component = table["component"].to_numpy()
-        raw = table["sketch"].combine_chunks()
-        sketch = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(table), -1)
+        ids, component = table["doc_id"].to_numpy(), table["component"].to_numpy()
         out = []
         for start, end in _groups(table, _KEYS):
-            own = slice(start, end)
-            if most is None:
-                found = _forest(sketch[own], n[own], block[own], cross[start], far, percent)
-            elif (component[own] == component[start]).all():
-                continue
-            else:
-                found = _apart(sketch[own], n[own], block[own], cross[start], far, percent, component[own], most)
-            out.extend((ids[start + a], ids[start + b]) for a, b in found)
+            sets = list(_sets(table["text"].slice(start, end - start).combine_chunks(), size))
+            n = np.array([len(s) for s in sets])
+            everything, owner = np.concatenate(sets), np.repeat(np.arange(end - start), n)
+            own = component[start:end].copy()
+            for at in _outside(own):
+                place = np.searchsorted(sets[at], everything).clip(max=len(sets[at]) - 1)
+                both = np.bincount(owner[sets[at][place] == everything], minlength=end - start)
+                for to in np.flatnonzero(100 * both >= percent * (n + n[at] - both)):
+                    if own[to] != own[at]:
+                        out.append((component[start + at], component[start + to]))
+                        own[own == own[at]] = own[to]
         if out:
-            pairs = np.sort(np.array(out, np.int64), axis=1)
-            pairs = np.unique(pairs, axis=0)
+            pairs = np.array(out, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    def sets(column):
-        for piece in pieces(column):
-            hashes, first = shingles(words(piece), size)
-            for i in range(len(first) - 1):
-                yield np.unique(hashes[first[i] : first[i + 1]])
+def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    for piece in pieces(column):
+        hashes, first = shingles(words(piece), size)
+        for i in range(len(first) - 1):
+            yield np.unique(hashes[first[i] : first[i + 1]])
+
 
+def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         same = []
-        for one, two in zip(sets(batch.column("text_a")), sets(batch.column("text_b")), strict=True):
+        for one, two in zip(_sets(batch.column("text_a"), size), _sets(batch.column("text_b"), size), strict=True):
             both = len(np.intersect1d(one, two, assume_unique=True))
             same.append(100 * both >= percent * (len(one) + len(two) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.bool_())], ["a", "b", "linked"])
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, rounds: tuple[int, ...] = (8, 1 << 62)) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     ``docs`` has doc_id and text; other columns are ignored.  Null, empty and blank texts
-    have no shingles, link with nothing and are kept.  Repeated rows of one doc_id are one
-    document if their texts agree.  ``rounds``: most partners proposed in a bucket for each
-    representative that is still apart after the forest round; the last must be unlimited.
+    have no shingles, link with nothing and are kept.  Repeated rows of one doc_id with one
+    text give equal rows.
     """
     far = max_distance(percent / 100)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -234,49 +278,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, rounds: t
         )
     )
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = full.join(
-        classes.select(F.col("digest").alias("d"), F.col("rep")), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")), "left_semi"
-    ).dropDuplicates(["doc_id"])
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    mine = (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))
+    reps = full.join(classes.withColumnRenamed("digest", "d"), mine, "left_semi").dropDuplicates(["doc_id"])
     reps = cut(reps.select("doc_id", "n_shingles", "bands", "sketch"))
-    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "value")).select("doc_id", F.xxhash64("band", "value").alias("key"))
+    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     # Buckets with the same members are worked on once.
     buckets = (
-        rows.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("who")).where("members > 1")
-        .groupBy("members", "who").agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        rows.groupBy("band", "key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("who")).where("members > 1")
+        .groupBy("members", "who").agg(F.min(F.struct("band", "key")).alias("first"))
+        .select("first.band", "first.key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     )
-    member = rows.join(buckets, "key")
+    member = rows.join(buckets, ["band", "key"])
     member = member.withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = cut(member.select("doc_id", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    sketches = reps.select("doc_id", "n_shingles", "sketch")
-
-    def propose(parts: DataFrame, most: int | None) -> DataFrame:
-        dealt = parts.join(sketches, "doc_id").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "doc_id")
-        return dealt.mapInArrow(lambda batches: _propose(batches, far, percent, most), "a long, b long").distinct()
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        checked = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-        return cut(checked.mapInArrow(lambda batches: _confirm(batches, size, percent), "a long, b long, linked boolean"))
-
-    checked = confirm(cut(propose(member.withColumn("component", F.lit(0).cast("long")), None)))
-    group = cut(components(checked.where("linked")))
-    for most in rounds:
-        named = member.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        named = named.withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        more = cut(propose(named.join(mixed, "key", "left_semi"), most).join(checked, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        found = confirm(more)
-        checked = checked.unionByName(found)
-        if found.where("linked").isEmpty():
-            continue
-        group = cut(components(checked.where("linked").select("a", "b")))
-    named = classes.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    member = cut(member.select("doc_id", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+
+    def dealt(parts: DataFrame) -> DataFrame:
+        return parts.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "doc_id")
+
+    pairs = dealt(member.drop("band").join(reps.drop("bands"), "doc_id")).mapInArrow(lambda batches: _propose(batches, far, percent), "a long, b long")
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    asked = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    checked = asked.mapInArrow(lambda batches: _confirm(batches, size, percent), "a long, b long, linked boolean")
+    group = cut(components(cut(checked.where("linked").select("a", "b"))))
+    # What is still apart: compared in the buckets where more than one component meets.
+    named = member.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = named.withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_rows = dealt(named.join(mixed, "key", "left_semi").join(reps, "doc_id"))
+    flagged = cut(open_rows.mapInArrow(lambda batches: _remaining(batches, far, percent), "key long, i int, j int, doc_id long, component long").distinct())
+    joined = dealt(flagged.join(texts, "doc_id").select(*_FLAGGED, "text")).mapInArrow(lambda batches: _settle(batches, size, percent), "a long, b long")
+    merged = components(cut(joined.distinct()))
+    group = group.join(merged.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "full")
+    group = group.select(F.coalesce("node", "component").alias("rep"), F.coalesce("final", "component").alias("component"))
+    group = group.unionByName(merged.select(F.col("node").alias("rep"), "component")).groupBy("rep").agg(F.min("component").alias("component"))
+    named = classes.join(group, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

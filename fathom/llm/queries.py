@@ -11,10 +11,12 @@ from fathom.llm.chat_format import canonical_turns, format_chats, loss_text, rea
 from fathom.llm.decontaminate import contaminated
 from fathom.llm.embed_dedup import embedding_duplicates
 from fathom.llm.html_text import extract_main_text
+from fathom.llm.license_scan import scan_licenses
 from fathom.llm.mixing import mix_sources
 from fathom.llm.near_dedup import near_duplicates
 from fathom.llm.quality import fit_quality, score_quality
 from fathom.llm.secrets import secret_report
+from fathom.llm.substring_dedup import repeated_spans
 
 HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 KEEP_SCORE = 0.7
@@ -63,6 +65,11 @@ def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumns({"probability": F.round("probability", 6), "overlap": F.round("overlap", 6)})
+
+
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixed.withColumn("rate", F.round("rate", 9))
@@ -93,6 +100,10 @@ def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_itq_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -114,8 +125,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_formatting,
         op2_subword_quality,
+        op3_license_scan,
         op4_poisson_mixing,
         op5_html_main_text,
+        op6_gear_chunk_dedup,
         op7_itq_embedding_dedup,
         op8_secret_scan,
         op9_greedy_tiling_decontamination,

@@ -216,6 +216,17 @@ def _by_shuffle(texts: DataFrame, benchmark: DataFrame, coverage: float) -> Data
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the documents that cover an item; rows without doc_id stay."""
-    leaked = contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    """``docs`` without the rows whose text covers an item; nothing else changes."""
+    items = _collected(benchmark)
+    if items is None:
+        leaked = contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("_leaked")).distinct()
+        return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    shared, at = docs.sparkSession.sparkContext.broadcast(items), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(len(batch), bool)
+            clean[[row for row, *_ in find_leaks(batch.column(at), shared.value, coverage)]] = False
+            yield batch if clean.all() else batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

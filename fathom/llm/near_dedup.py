@@ -298,9 +298,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
         return parts.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "doc_id")
 
     pairs = dealt(member.drop("band").join(reps.drop("bands"), "doc_id")).mapInArrow(lambda batches: _propose(batches, far, percent), "a long, b long")
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    asked = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    pairs = cut(pairs.distinct())
+    # Every row with a close row in its bucket has a forest edge, so these texts are all that
+    # is compared from here on.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    compared = cut(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    one = compared.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    two = compared.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    asked = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     checked = asked.mapInArrow(lambda batches: _confirm(batches, size, percent), "a long, b long, linked boolean")
     group = cut(components(cut(checked.where("linked").select("a", "b"))))
     # What is still apart: compared in the buckets where more than one component meets.
@@ -309,7 +314,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_rows = dealt(named.join(mixed, "key", "left_semi").join(reps, "doc_id"))
     flagged = cut(open_rows.mapInArrow(lambda batches: _remaining(batches, far, percent), "key long, i int, j int, doc_id long, component long").distinct())
-    joined = dealt(flagged.join(texts, "doc_id").select(*_FLAGGED, "text")).mapInArrow(lambda batches: _settle(batches, size, percent), "a long, b long")
+    joined = dealt(flagged.join(compared, "doc_id").select(*_FLAGGED, "text")).mapInArrow(lambda batches: _settle(batches, size, percent), "a long, b long")
     merged = components(cut(joined.distinct()))
     group = group.join(merged.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "full")
     group = group.select(F.coalesce("node", "component").alias("rep"), F.coalesce("final", "component").alias("component"))
@@ -318,3 +323,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with the document of the smallest doc_id of each near-duplicate group."""
+    removed = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_removed")).distinct()
+    return docs.join(removed, F.col("doc_id") == F.col("_removed"), "left_anti")

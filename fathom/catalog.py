@@ -2,44 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from fathom.plans import factor_queries, model_queries, tick_queries  # noqa: F401  (they register)
+from fathom.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query function, with the SQL that gives the same rows where there is one."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "d10_hourly_bars",
-    """
-    SELECT event_type AS symbol, date_trunc('hour', ts) AS bar_start,
-           round(arg_min(value, event_id), 6) AS open, round(max(value), 6) AS high,
-           round(min(value), 6) AS low, round(arg_max(value, event_id), 6) AS close,
-           CAST(sum(user_id) AS BIGINT) AS volume, count(*) AS n_ticks
-    FROM events GROUP BY 1, 2
-    """,
-)
-def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return ticks.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("bar_start")).agg(
-        F.round(F.min_by("value", "event_id"), 6).alias("open"),
-        F.round(F.max("value"), 6).alias("high"),
-        F.round(F.min("value"), 6).alias("low"),
-        F.round(F.max_by("value", "event_id"), 6).alias("close"),
-        F.sum("user_id").alias("volume"),
-        F.count("*").alias("n_ticks"),
-    )
+__all__ = ["ORACLE_SQL", "QUERIES"]

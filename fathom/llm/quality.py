@@ -25,9 +25,9 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 GRAMS = (3, 4)
 #: Most labelled rows that the fit collects; chosen by a hash of doc_id, alike at any size.
-FIT_ROWS = 4000
+FIT_ROWS = 2500
 #: Most characters of all of their texts together; rows beyond it are left out of the fit.
-FIT_CHARS = 40_000_000
+FIT_CHARS = 25_000_000
 
 _REPEAT = np.uint64(0xA5A5F00DBEEF1234)
 _MULTIPLY = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
@@ -107,11 +107,19 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 12, r
     if len(set(labels)) < 2:
         level = {0: -4.0, 1: 4.0}[labels[0]] if labels else 0.0
         return np.full(BUCKETS, level, np.float32)
-    docs = []
-    for piece in pieces(pa.array(texts, pa.large_string())):
+    # Held in a few large arrays, which give their memory back when the fit is over.
+    parts, sizes = [], []
+    for piece in pieces(pa.array(texts, pa.large_string()), 200_000):
+        own = []
         for grams in gram_lists(piece):
             ids, n = np.unique(grams, return_counts=True)
-            docs.append((ids, (n / max(1, len(grams))).astype(np.float32)))
+            own.append((ids.astype(np.int32), (n / max(1, len(grams))).astype(np.float32)))
+            sizes.append(len(ids))
+        parts.append([np.concatenate(column) for column in zip(*own, strict=True)])
+    all_ids, all_shares = (np.concatenate(column) for column in zip(*parts, strict=True))
+    del parts
+    ends = np.cumsum(sizes)
+    docs = [(all_ids[b - n : b], all_shares[b - n : b]) for n, b in zip(sizes, ends, strict=True)]
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     out = np.zeros((2, dim), np.float32)

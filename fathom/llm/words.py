@@ -45,7 +45,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        steps = np.full(max(n, PIECE + 1), base, np.uint64)
+        steps = np.full(max(2 * n, 1 << 16), base, np.uint64)
         steps[0] = _ONE
         have = np.multiply.accumulate(steps)
         if n <= 4 * PIECE:

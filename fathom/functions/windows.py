@@ -38,6 +38,13 @@ def clipped(x: Column | str, low: float | Column | None = None, high: float | Co
     return F.when(col(x).isNotNull(), out)
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation as an aggregate; NULL, not an error, where a side does not vary."""
+    there = col(x).isNotNull() & col(y).isNotNull()
+    a, b = F.when(there, col(x)), F.when(there, col(y))
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def normal_cdf(x: Column | str) -> Column:
     """Standard normal distribution function (Abramowitz and Stegun 7.1.26, error below 1.5e-7)."""
     z = F.abs(col(x)) / F.lit(2.0**0.5)
@@ -119,7 +126,10 @@ class Series:
         return F.when(F.count(F.when(there, 1)).over(frame) >= (n if least is None else least), f(a, b).over(frame))
 
     def corr(self, x, y, n, least=None):
-        return self.both(F.corr, x, y, n, least)
+        there = col(x).isNotNull() & col(y).isNotNull()
+        a, b, frame = F.when(there, col(x)), F.when(there, col(y)), self.last_n(n)
+        found = ratio(F.covar_pop(a, b).over(frame), F.stddev_pop(a).over(frame) * F.stddev_pop(b).over(frame))
+        return F.when(F.count(F.when(there, 1)).over(frame) >= (n if least is None else least), found)
 
     def slope(self, x: Column | str, n: int, rn: Column | str = "rn") -> Column:
         """Least-squares slope of x against the row position, over n full rows."""

@@ -1,2 +1,388 @@
-"""Label, model, selection and metric queries."""
-from fathom.plans.registry import query  # noqa: F401
+"""Scan, label, model, selection, ensemble and metric queries over hourly bars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from fathom.functions.factors import add_factors
+from fathom.functions.windows import Series, correlation, ratio
+from fathom.operators import labels as L
+from fathom.operators import performance as P
+from fathom.operators import scan as X
+from fathom.operators import selection as C
+from fathom.operators.frames import hourly_bars
+from fathom.plans.registry import BARS, W, both, div, lag, query, ret, roll, rounded
+
+S = Series()
+
+# --- sequential scans
+
+
+@query(
+    "h1_ema_and_rsi",
+    f"""WITH RECURSIVE {BARS}, n AS (SELECT symbol, ts, close, row_number() OVER {W()} AS k, close - {lag('close')} AS d FROM bars), s AS (
+      SELECT symbol, avg(greatest(d, 0)) AS u, avg(greatest(-d, 0)) AS v FROM n WHERE k BETWEEN 2 AND 15 GROUP BY 1), e AS (
+      SELECT symbol, ts, k, close::DOUBLE AS ema, NULL::DOUBLE AS u, NULL::DOUBLE AS v FROM n WHERE k = 1
+      UNION ALL SELECT n.symbol, n.ts, n.k, e.ema + 2.0 / 15 * (n.close - e.ema),
+        CASE WHEN n.k = 15 THEN s.u WHEN n.k > 15 THEN e.u + (greatest(n.d, 0) - e.u) / 14 END, CASE WHEN n.k = 15 THEN s.v WHEN n.k > 15 THEN e.v + (greatest(-n.d, 0) - e.v) / 14 END
+      FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1 JOIN s ON s.symbol = n.symbol)
+    SELECT symbol, ts, round(ema, 6) AS ema14, round(100 * u / nullif(u + v, 0), 6) AS rsi14 FROM e""",
+)
+def ema_and_rsi(spark, sf_dir) -> DataFrame:
+    """H1, H4: an unadjusted exponential mean and a Wilder index in one scan."""
+    bars = hourly_bars(spark, sf_dir).select("symbol", "ts", "close")
+    made = X.ordered_scan(bars, ["symbol"], ["ts"], {"ema14": (lambda: X.ema(X.span(14)), ["close"]), "rsi14": (X.rsi, ["close"])})
+    return rounded(made.drop("close"))
+
+
+@query("h4_recursive_indicators")
+def recursive_indicators(spark, sf_dir) -> DataFrame:
+    """Every recursive indicator of the catalogue, in one scan per symbol."""
+    bars = add_factors(hourly_bars(spark, sf_dir), ["lret", "clv_vol", "ad_line", "ad_raw", "lr_log", "signed_vol"])
+    bars = bars.withColumn("flow13", ratio("signed_vol", S.sum("volume", 13)))
+    hlc = ["high", "low", "close"]
+    made = X.ordered_scan(
+        bars.select("symbol", "ts", *hlc, "volume", "lret", "ad_line", "ad_raw", "lr_log", "flow13"),
+        ["symbol"],
+        ["ts"],
+        {
+            "ema20_adjusted": (lambda: X.ema(X.span(20), True), ["close"]),
+            "ewma_var": (lambda: X.ewma_variance(20), ["lret"]),
+            "atr14": (X.atr, hlc),
+            "adx14": (X.adx, hlc),
+            "macd": (lambda: X.macd(part="macd"), ["close"]),
+            "macd_signal": (lambda: X.macd(part="signal"), ["close"]),
+            "macd_hist": (X.macd, ["close"]),
+            "trix14": (X.trix, ["close"]),
+            "sar": (X.parabolic_sar, ["high", "low"]),
+            "ad_ema3": (lambda: X.ema(X.span(3)), ["ad_line"]),
+            "ad_ema10": (lambda: X.ema(X.span(10)), ["ad_line"]),
+            "ad_factor": (lambda: X.ema(X.span(14)), ["ad_raw"]),
+            "linearreg_ma": (lambda: X.ema(X.span(14)), ["lr_log"]),
+            "klinger34": (lambda: X.ema(X.span(34)), ["flow13"]),
+            "klinger55": (lambda: X.ema(X.span(55)), ["flow13"]),
+            "vpin": (X.vpin, ["close", "volume"]),
+        },
+    )
+    made = made.withColumns({
+        "chaikin": F.col("ad_ema3") - F.col("ad_ema10"),
+        "klinger": F.col("klinger34") - F.col("klinger55"),
+        "keltner": ratio(F.col("close") - (F.col("ema20_adjusted") - 2 * F.col("atr14")), 4 * F.col("atr14")),
+        "sar_diff": F.col("close") - F.col("sar"),
+        "vpin_z": S.zscore("vpin", 50),
+    })
+    return rounded(made.drop(*hlc, "volume", "lret", "ad_line", "ad_raw", "lr_log", "flow13"))
+
+
+def _predictions(spark, sf_dir) -> DataFrame:
+    """A momentum signal per bar: the five-bar z-score of the close."""
+    bars = hourly_bars(spark, sf_dir).select("symbol", "ts", F.col("close").alias("price"))
+    return bars.withColumn("prediction", F.round(ratio(F.col("price") - S.mean("price", 5), S.std("price", 5)), 6)).withColumn("level", S.quantile(F.abs("prediction"), 50, 0.7, 30))
+
+
+PREDICTIONS = f"""{BARS}, z AS (SELECT symbol, ts, close AS price, round({div('close - (' + roll('avg', 'close', 5) + ')', roll('stddev_samp', 'close', 5))}, 6) AS prediction FROM bars), p AS (
+  SELECT *, row_number() OVER {W()} AS k, {roll('quantile_cont(abs($), 0.7)', 'prediction', 50, 30)} AS level FROM z)"""
+
+
+def _machine(over: str, entry: str = "true") -> str:
+    return f"""WITH RECURSIVE {PREDICTIONS}, m AS (
+      SELECT symbol, ts, k, 0 AS held, CASE WHEN prediction > 0 AND {entry} THEN 1 WHEN prediction < 0 AND {entry} THEN -1 ELSE 0 END AS pos, price AS paid FROM p WHERE k = 1
+      UNION ALL SELECT p.symbol, p.ts, p.k, CASE WHEN m.pos <> 0 THEN m.held + 1 ELSE 0 END,
+        CASE WHEN m.pos <> 0 THEN CASE WHEN {over} THEN 0 ELSE m.pos END WHEN p.prediction > 0 AND {entry} THEN 1 WHEN p.prediction < 0 AND {entry} THEN -1 ELSE 0 END,
+        CASE WHEN m.pos <> 0 THEN m.paid ELSE p.price END
+      FROM m JOIN p ON p.symbol = m.symbol AND p.k = m.k + 1) SELECT symbol, ts, pos AS position FROM m"""
+
+
+CROSS = "coalesce(CASE WHEN m.pos > 0 THEN p.prediction <= 0 ELSE p.prediction >= 0 END, false)"
+
+
+def _positions(spark, sf_dir, level: str | None = None, **how) -> DataFrame:
+    df = _predictions(spark, sf_dir).withColumn("entry", F.lit(0.0) if level is None else F.col(level))
+    made = X.ordered_scan(df, ["symbol"], ["ts"], {"position": (lambda: X.position(**how), ["prediction", "entry", "price"])})
+    return made.select("symbol", "ts", F.col("position").cast("int").alias("position"))
+
+
+@query("h8_position_threshold", _machine(CROSS))
+def position_threshold(spark, sf_dir) -> DataFrame:
+    return _positions(spark, sf_dir)
+
+
+@query("h8_position_fixed", _machine("m.held + 1 >= 3"))
+def position_fixed(spark, sf_dir) -> DataFrame:
+    return _positions(spark, sf_dir, mode="fixed", forward=3)
+
+
+@query("h8_position_hybrid", _machine(f"{CROSS} OR m.held + 1 >= 4"))
+def position_hybrid(spark, sf_dir) -> DataFrame:
+    return _positions(spark, sf_dir, mode="hybrid", forward=4)
+
+
+@query("h9_position_strength", _machine(CROSS, "coalesce(abs(prediction) >= level, false)").replace("m JOIN p", "m JOIN p"))
+def position_strength(spark, sf_dir) -> DataFrame:
+    """Entries only where the prediction is among the strongest 30 % of late."""
+    return _positions(spark, sf_dir, level="level")
+
+
+@query("h11_position_stop", _machine(f"{CROSS} OR m.pos * (p.price - m.paid) <= -20"))
+def position_stop(spark, sf_dir) -> DataFrame:
+    return _positions(spark, sf_dir, stop=20.0)
+
+
+def _results(spark, sf_dir) -> DataFrame:
+    """Results of a signal that needs no scan: the sign of the last bar's body."""
+    bars = hourly_bars(spark, sf_dir).select("symbol", "ts", F.col("close").alias("price"), F.signum(F.col("close") - F.col("open")).alias("position"))
+    # Prices here jump by orders of magnitude; the lift keeps returns of one size.
+    return P.results(bars.withColumn("price", F.col("price") + 1000), S)
+
+
+RESULTS = f"""{BARS}, q AS (SELECT symbol, ts, close + 1000 AS price, sign(close - open)::DOUBLE AS position FROM bars), h AS (
+  SELECT *, coalesce({lag('position')}, 0) AS held, coalesce(price / {lag('price')} - 1, 0) AS actual_return FROM q), r AS (
+  SELECT *, held * actual_return AS strategy_return, CAST(held <> coalesce({lag('held')}, 0) AS INT) AS traded FROM h), rr AS (
+  SELECT *, 1 + sum(strategy_return) OVER {W()} AS cumulative_value FROM r)"""
+
+
+@query(
+    "h12_cash_account",
+    f"""WITH {RESULTS}, g AS (SELECT *, coalesce(held * (price - {lag('price')}) * 10, 0) AS gross, CASE WHEN (coalesce({lag('held')}, 0) = 0) <> (held = 0) THEN 3.5 ELSE 0 END AS fee FROM rr)
+    SELECT symbol, ts, round(gross, 4) AS gross, round(fee::DOUBLE, 4) AS fee, round(3000 + sum(gross - fee) OVER {W()}, 4) AS equity FROM g""",
+)
+def cash(spark, sf_dir) -> DataFrame:
+    return rounded(P.cash_account(_results(spark, sf_dir), S).select("symbol", "ts", "gross", "fee", "equity"), 4)
+
+
+@query(
+    "h14_equity_and_drawdown",
+    f"""WITH {RESULTS} SELECT symbol, ts, round(cumulative_value, 6) AS equity, round(cumulative_value / max(cumulative_value) OVER {W()} - 1, 6) AS drawdown,
+      round(exp(sum(ln(1 + strategy_return)) OVER {W()}), 6) AS compounded FROM rr""",
+)
+def equity(spark, sf_dir) -> DataFrame:
+    df = _results(spark, sf_dir)
+    return rounded(df.select("symbol", "ts", F.col("cumulative_value").alias("equity"), (F.col("cumulative_value") / F.max("cumulative_value").over(S.so_far) - 1).alias("drawdown"), S.cumprod1("strategy_return").alias("compounded")))
+
+
+# --- labels and models
+
+
+def _fwd(k: int) -> str:
+    return f"(lead(close, {k}) OVER {W()} / close - 1)"
+
+
+@query(
+    "i1_forward_labels",
+    f"""WITH {BARS}, f AS (SELECT *, {', '.join(f'{_fwd(3 + k)} AS r{k}' for k in range(4))}, close / {lag('close')} - 1 AS r FROM bars)
+    SELECT symbol, ts, round(CASE WHEN r0 IS NULL THEN NULL {' '.join(f'WHEN sign(r{k}) = -sign(r0) AND r0 <> 0 AND abs(r{k}) > 2 * abs(r0) THEN r{k}' for k in (1, 2, 3))} ELSE r0 END, 6) AS label,
+      round(lead(close, 3) OVER {W()} - close, 6) AS points,
+      round(CASE WHEN count(r) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) >= 4 THEN sum(r) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) END, 6) AS next_sum,
+      round(lead(open, 4) OVER {W()} / lead(open, 1) OVER {W()} - 1, 6) AS open_label FROM f""",
+)
+def forward_labels(spark, sf_dir) -> DataFrame:
+    """Reversal-checked forward return, points, forward sum and open-to-open return."""
+    bars = add_factors(hourly_bars(spark, sf_dir), ["ret"])
+    return rounded(
+        bars.select(
+            "symbol", "ts", L.forward_return(S, "close", 3, 3).alias("label"), L.forward_return(S, "close", 3, points=True).alias("points"), L.forward_sum(S, "ret", 4).alias("next_sum"), (ratio(S.lead("open", 4), S.lead("open", 1)) - 1).alias("open_label")
+        )
+    )
+
+
+def _matrix(spark, sf_dir) -> DataFrame:
+    """Factors and a label per bar, over prices lifted so that returns are of one size."""
+    bars = hourly_bars(spark, sf_dir)
+    lifted = bars.withColumns({c: F.col(c) + 100 for c in ("open", "high", "low", "close")})
+    made = add_factors(lifted, ["ret", "rel_vol", "close_position", "delta_z"])
+    return made.withColumn("label", L.forward_return(S, "close", 3)).select("symbol", "ts", "ret", "rel_vol", "close_position", "delta_z", "label", F.col("close").alias("price"))
+
+
+@query(
+    "i5_walk_forward_ols",
+    f"""WITH {BARS}, x AS (SELECT symbol, ts, row_number() OVER {W()} - 1 AS rn, (close + 100) / ({lag('close')} + 100) - 1 AS ret, (lead(close, 3) OVER {W()} + 100) / (close + 100) - 1 AS label FROM bars),
+    t AS (SELECT symbol, max(rn) + 1 AS total FROM x GROUP BY 1), f AS (SELECT symbol, total, unnest(range(200, total, 50)) AS begin FROM t),
+    c AS (SELECT f.symbol, f.begin, any_value(least(f.begin + 50, f.total)) AS fin, regr_slope(label, ret) AS b, regr_intercept(label, ret) AS a FROM f JOIN x ON x.symbol = f.symbol AND x.rn >= greatest(f.begin - 208, 0) AND x.rn < f.begin - 8 WHERE ret IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2)
+    SELECT x.symbol, x.ts, CAST((c.begin - 200) // 50 AS INT) AS fold, round(a + b * ret, 6) AS prediction FROM x JOIN c ON x.symbol = c.symbol AND x.rn >= c.begin AND x.rn < c.fin""",
+)
+def walk_forward_ols(spark, sf_dir) -> DataFrame:
+    made = L.walk_forward(_matrix(spark, sf_dir), ["symbol"], "ts", ["ret"], "label", 200, 50, 3)
+    return made.withColumn("prediction", F.round("prediction", 6))
+
+
+@query("i11_walk_forward_models")
+def walk_forward_models(spark, sf_dir) -> DataFrame:
+    """Every linear model of the dispatcher over the same folds."""
+    rows, out = _matrix(spark, sf_dir), None
+    for name in L.MODELS:
+        made = L.walk_forward(rows, ["symbol"], "ts", ["ret", "rel_vol", "close_position", "delta_z"], "label", 200, 100, 3, model=name)
+        made = made.select(F.lit(name).alias("model"), "symbol", "ts", F.round("prediction", 5).alias("prediction"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+@query(
+    "i8_purged_folds",
+    f"""WITH {BARS}, x AS (SELECT symbol, ts, row_number() OVER {W()} - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM bars), f AS (SELECT *, n // 3 AS len, least(rn // (n // 3), 2) AS fold FROM x)
+    SELECT symbol, ts, CASE WHEN rn - fold * len >= 3 THEN CAST(fold AS BIGINT) END AS fold FROM f""",
+)
+def folds(spark, sf_dir) -> DataFrame:
+    bars = hourly_bars(spark, sf_dir).withColumns({"rn": S.rn(), "n": F.count("*").over(Window.partitionBy("symbol"))})
+    return bars.select("symbol", "ts", L.purged_fold(F.col("rn"), F.col("n"), 3, 3).cast("long").alias("fold"))
+
+
+@query("i17_sequences")
+def sequence_rows(spark, sf_dir) -> DataFrame:
+    """The sequence builder that recurrent models read: ten factor rows for each bar."""
+    made = L.sequences(_matrix(spark, sf_dir).dropna(), S, ["ret", "rel_vol", "close_position"], 10)
+    return made.select("symbol", "ts", F.size("sequence").alias("length"), F.round(F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+# --- information coefficients and selection
+
+
+MATRIX = f"""{BARS}, x AS (SELECT symbol, ts, row_number() OVER {W()} - 1 AS rn, (close + 100) / ({lag('close')} + 100) - 1 AS ret, {div('volume', roll('avg', 'volume', 20))} AS rel_vol, {div('close - low', 'high - low')} AS close_position,
+  (lead(close, 3) OVER {W()} + 100) / (close + 100) - 1 AS label FROM bars)"""
+FACTOR_NAMES = ("ret", "rel_vol", "close_position")
+
+
+@query(
+    "j8_segment_icir",
+    f"""WITH {MATRIX}, l AS (UNPIVOT (SELECT symbol, ts, rn // 100 AS segment, label, {', '.join(FACTOR_NAMES)} FROM x) ON {', '.join(FACTOR_NAMES)} INTO NAME factor VALUE value), k AS (SELECT * FROM l WHERE value IS NOT NULL AND label IS NOT NULL),
+    r AS (SELECT *, rank() OVER (PARTITION BY symbol, factor, segment ORDER BY value) + (count(*) OVER (PARTITION BY symbol, factor, segment, value) - 1) / 2.0 AS a,
+      rank() OVER (PARTITION BY symbol, factor, segment ORDER BY label) + (count(*) OVER (PARTITION BY symbol, factor, segment, label) - 1) / 2.0 AS b FROM k),
+    i AS (SELECT symbol, factor, segment, corr(a, b) AS ic FROM r GROUP BY 1, 2, 3)
+    SELECT factor, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS std_ic, round(avg(abs(ic)), 6) AS mean_abs_ic, round(CASE WHEN count(ic) >= 10 THEN abs(avg(ic)) / (stddev_samp(ic) + 1e-9) ELSE 0 END, 6) AS icir,
+      round(avg(CASE WHEN abs(ic) > 0.02 THEN 1.0 ELSE 0 END), 6) AS hit_rate FROM i GROUP BY 1""",
+)
+def segment_icir(spark, sf_dir) -> DataFrame:
+    """Spearman by 100-row segments, then the ranking of factors."""
+    ics = C.segment_ic(_matrix(spark, sf_dir), ["symbol"], "ts", FACTOR_NAMES, "label", 100)
+    return rounded(C.ic_summary(ics, ["factor"]))
+
+
+def _rk(x: str, n: int) -> str:
+    return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER {W(n)} >= {n // 2} THEN list_sum(list_transform(list_filter(list({x}) OVER {W(n)}, lambda e: e IS NOT NULL), lambda e: CASE WHEN e < {x} THEN 1.0 WHEN e = {x} THEN 0.5 ELSE 0 END)) + 0.5 END"
+
+
+@query(
+    "j1_rolling_ic",
+    f"""WITH {MATRIX}, k AS (SELECT symbol, ts, {_rk('ret', 40)} AS a, {_rk('label', 40)} AS b FROM x), c AS (SELECT symbol, ts, {both('corr', 'a', 'b', 40).replace('>= 40', '>= 20')} AS ic FROM k)
+    SELECT symbol, ts, round(coalesce(CASE WHEN isnan(ic) THEN NULL ELSE ic END, 0), 6) AS ic_ret FROM c""",
+)
+def rolling_ic(spark, sf_dir) -> DataFrame:
+    return rounded(C.rolling_ic(_matrix(spark, sf_dir).select("symbol", "ts", "ret", "label"), S, ["ret"], "label", 40).select("symbol", "ts", "ic_ret"))
+
+
+@query(
+    "j6_factor_correlations",
+    """WITH l AS (SELECT vec_id, unnest(range(1, 17)) AS f, unnest(embedding[1:16]) AS v FROM embeddings), c AS (SELECT a.f AS a, b.f AS b, corr(a.v::DOUBLE, b.v::DOUBLE) AS c FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.f < b.f GROUP BY 1, 2)
+    SELECT CAST(f AS INT) AS factor, round(avg(abs(coalesce(c, 0))), 6) AS mean_abs_corr FROM (SELECT a AS f, c FROM c UNION ALL SELECT b, c FROM c) GROUP BY 1""",
+)
+def factor_correlations(spark, sf_dir) -> DataFrame:
+    """Pairwise correlations of 16 factor columns, and each one's mean."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(F.slice("embedding", 1, 16)).alias("f", "v"))
+    pairs = C.correlations(vectors.select("vec_id", (F.col("f") + 1).alias("f"), F.col("v").cast("double").alias("v")), "vec_id", "f", "v")
+    both_ways = pairs.select(F.col("a").alias("factor"), "corr").unionByName(pairs.select(F.col("b").alias("factor"), "corr"))
+    return both_ways.groupBy("factor").agg(F.round(F.avg(F.abs(F.coalesce("corr", F.lit(0.0)))), 6).alias("mean_abs_corr"))
+
+
+@query(
+    "j5_residual_factor",
+    f"""WITH {MATRIX}, k AS (SELECT symbol, ts, ret, close_position - 0.5 AS c FROM x WHERE ret IS NOT NULL AND close_position IS NOT NULL)
+    SELECT symbol, ts, round(ret - coalesce(sum(ret * c) OVER (PARTITION BY symbol) / nullif(sum(c * c) OVER (PARTITION BY symbol), 0), 0) * c, 6) AS residual FROM k""",
+)
+def residual_factor(spark, sf_dir) -> DataFrame:
+    rows = _matrix(spark, sf_dir).where("ret is not null and close_position is not null").withColumn("c", F.col("close_position") - 0.5)
+    return rounded(C.residual(rows, ["symbol"], "ret", "c").select("symbol", "ts", "residual"))
+
+
+@query(
+    "j13_target_correlation",
+    f"WITH {MATRIX}, l AS (UNPIVOT (SELECT symbol, label, {', '.join(FACTOR_NAMES)} FROM x) ON {', '.join(FACTOR_NAMES)} INTO NAME factor VALUE value), c AS (SELECT factor, corr(value, label) AS c FROM l GROUP BY 1) SELECT factor, round(c, 6) AS corr, coalesce(abs(c) >= 0.01, true) AS kept FROM c",
+)
+def target_correlation(spark, sf_dir) -> DataFrame:
+    long = C.long_form(_matrix(spark, sf_dir), ["symbol", "label"], FACTOR_NAMES)
+    made = long.groupBy("factor").agg(correlation("value", "label").alias("c"))
+    return made.select("factor", F.round("c", 6).alias("corr"), F.coalesce(F.abs("c") >= 0.01, F.lit(True)).alias("kept"))
+
+
+# --- ensembles and metrics
+
+
+def _signals(spark, sf_dir) -> DataFrame:
+    """Three models per bar in long form: momentum over 3, 8 and 21 bars, with fixed weights."""
+    bars = hourly_bars(spark, sf_dir)
+    out = None
+    for model, n, weight in (("m3", 3, 0.8), ("m8", 8, 1.4), ("m21", 21, -0.2)):
+        change = S.diff("close", n)
+        one = bars.select("symbol", "ts", F.lit(model).alias("model"), change.alias("raw"), F.lit(weight).alias("weight"), F.signum(change).cast("int").alias("position"))
+        out = one if out is None else out.unionByName(one)
+    return out.where("raw is not null")
+
+
+SIGNALS = f"""{BARS}, sg AS ({' UNION ALL '.join(f"SELECT symbol, ts, '{m}' AS model, close - {lag('close', n)} AS raw, {w} AS weight FROM bars" for m, n, w in (('m3', 3, 0.8), ('m8', 8, 1.4), ('m21', 21, -0.2)))}), sig AS (SELECT *, CAST(sign(raw) AS INT) AS position FROM sg WHERE raw IS NOT NULL)"""
+
+
+@query(
+    "k4_votes",
+    f"""WITH {SIGNALS}, v AS (SELECT symbol, ts, count(*) AS models, count(*) FILTER (position = 1) AS longs, count(*) FILTER (position = -1) AS shorts,
+      avg(position) AS mean, coalesce(sum(greatest(weight, 0) * position) / nullif(sum(greatest(weight, 0)), 0), avg(position)) AS score FROM sig GROUP BY 1, 2)
+    SELECT symbol, ts, longs, shorts, CASE WHEN shorts >= ceil(models * 0.5) THEN -1 WHEN longs >= ceil(models * 0.5) THEN 1 ELSE 0 END AS majority, round(mean, 6) AS equal_weight,
+      CASE WHEN score > 0.3 THEN 1 WHEN score < -0.3 THEN -1 ELSE 0 END AS weighted FROM v""",
+)
+def votes(spark, sf_dir) -> DataFrame:
+    """K2-K5: equal weight, majority and weighted votes of three models."""
+    signals, keys = _signals(spark, sf_dir), ["symbol", "ts"]
+    majority = C.vote(signals, keys).select(*keys, "longs", "shorts", F.col("signal").alias("majority"))
+    weighted = C.weighted_vote(signals, keys, "weight").select(*keys, F.col("signal").alias("weighted"))
+    mean = signals.groupBy(*keys).agg(F.round(F.avg("position"), 6).alias("equal_weight"))
+    return majority.join(weighted, keys).join(mean, keys)
+
+
+@query(
+    "k8_strength_positions",
+    f"""WITH {BARS}, r AS (SELECT symbol, ts, delta, CASE WHEN count(delta) OVER {W(50)} >= 50 THEN (list_sum(list_transform(list(abs(delta)) OVER {W(50)}, lambda e: CASE WHEN e < abs(delta) THEN 1.0 WHEN e = abs(delta) THEN 0.5 ELSE 0 END)) + 0.5) / 50 END AS s FROM bars)
+    SELECT symbol, ts, round(s, 6) AS strength, coalesce(CASE WHEN s >= 0.5 AND s <= 1 THEN 1.0 WHEN s >= 0.2 AND s < 0.5 THEN 0.7 ELSE 0 END * sign(delta), 0)::DOUBLE AS position FROM r""",
+)
+def strength_positions(spark, sf_dir) -> DataFrame:
+    """F2, K7, K8: rolling percentile strength through a strength map."""
+    bars = hourly_bars(spark, sf_dir).select("symbol", "ts", "delta", F.abs("delta").alias("size"))
+    bars = bars.withColumn("strength", S.rank("size", 50))
+    position = C.strength_position(F.col("strength"), F.col("delta"), C.parse_strength_map("0.2-0.5:0.7,0.5-1:1"))
+    return bars.select("symbol", "ts", F.round("strength", 6).alias("strength"), position.alias("position"))
+
+
+@query(
+    "k1_signal_zscore",
+    f"WITH {BARS} SELECT symbol, ts, round((delta - ({roll('avg', 'delta', 500, 50)})) / greatest({roll('stddev_samp', 'delta', 500, 50)}, 1e-8), 6) AS z FROM bars",
+)
+def signal_zscore(spark, sf_dir) -> DataFrame:
+    return rounded(hourly_bars(spark, sf_dir).select("symbol", "ts", C.signal_zscore(S, "delta").alias("z")))
+
+
+DAYS = f"{RESULTS}, d AS (SELECT symbol, CAST(ts AS DATE) AS date, sum(strategy_return) AS r, sum(actual_return) AS b, bool_or(held <> 0) AS active, sum(traded) AS trades FROM rr GROUP BY 1, 2)"
+
+
+@query(
+    "l2_daily_metrics",
+    f"""WITH {DAYS}, e AS (SELECT *, 1 + sum(r) OVER (PARTITION BY symbol ORDER BY date) AS equity FROM d), f AS (SELECT *, equity / max(equity) OVER (PARTITION BY symbol ORDER BY date) - 1 AS fall FROM e), m AS (
+      SELECT symbol, count(*) AS days, avg(r) * 252 AS annual_return, stddev_pop(r) * sqrt(252) AS annual_vol, min(fall) AS max_drawdown, avg(r) / nullif(stddev_pop(r) FILTER (r < 0), 0) * sqrt(252) AS sortino,
+        count(*) FILTER (r > 0 AND active)::DOUBLE / nullif(count(*) FILTER (r <> 0 AND active), 0) AS win_rate, avg(r) FILTER (r > 0 AND active) / nullif(abs(avg(r) FILTER (r < 0 AND active)), 0) AS profit_loss,
+        avg(b) * 252 AS benchmark_return, stddev_pop(b) * sqrt(252) AS bvol, stddev_pop(r - b) * sqrt(252) AS track, arg_max(equity, date) - 1 AS total_return, CAST(sum(trades) AS BIGINT) AS trade_count FROM f GROUP BY 1)
+    SELECT symbol, days, round(annual_return, 6) AS annual_return, round(annual_vol, 6) AS annual_vol, round(coalesce(annual_return / nullif(annual_vol, 0), 0), 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown,
+      round(annual_return / nullif(abs(max_drawdown), 0), 6) AS calmar, round(sortino, 6) AS sortino, round(win_rate, 6) AS win_rate, round(profit_loss, 6) AS profit_loss, round(benchmark_return, 6) AS benchmark_return,
+      round(benchmark_return / nullif(bvol, 0), 6) AS benchmark_sharpe, round((annual_return - benchmark_return) / nullif(track, 0), 6) AS information_ratio, round(total_return, 6) AS total_return, trade_count FROM m""",
+)
+def daily_metrics(spark, sf_dir) -> DataFrame:
+    """Daily sums of bar results and the metrics of each symbol."""
+    return rounded(P.metrics(P.daily(_results(spark, sf_dir), ["symbol"]), ["symbol"]))
+
+
+@query(
+    "l13_segment_table",
+    f"""WITH {DAYS}, s AS (SELECT *, CASE WHEN date < DATE '2024-01-16' THEN 'in' ELSE 'out' END AS part FROM d), u AS (SELECT symbol, 'all' AS part, r FROM d UNION ALL SELECT symbol, part, r FROM s)
+    SELECT symbol, part, round(CASE WHEN count(*) < 10 THEN -999 WHEN stddev_pop(r) < 1e-9 THEN 0 ELSE avg(r) / stddev_pop(r) * sqrt(252) END, 6) AS sharpe FROM u GROUP BY 1, 2""",
+)
+def segment_table(spark, sf_dir) -> DataFrame:
+    """Guarded Sharpe ratios of the whole, in-sample and out-of-sample days."""
+    days = P.daily(_results(spark, sf_dir), ["symbol"])
+    part = F.when(F.col("date") < F.lit("2024-01-16").cast("date"), "in").otherwise("out")
+    parts = days.withColumn("part", F.explode(F.array(F.lit("all"), part)))
+    return rounded(P.windowed_sharpe(parts, ["symbol", "part"], 10))

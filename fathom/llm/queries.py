@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.chat_format import canonical_turns, format_chats, loss_text, read_back, turn_rows_as_records
@@ -18,10 +18,14 @@ from fathom.llm.quality import fit_quality, score_quality
 from fathom.llm.secrets import secret_report
 from fathom.llm.substring_dedup import repeated_spans
 
-HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 KEEP_SCORE = 0.7
 
 
+def held_out() -> Column:
+    """Rows that the fit of op2 does not see."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 in another layout, as two turns of control strings."""
     records = turn_rows_as_records(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -61,8 +65,8 @@ FROM escaped GROUP BY conv_id
 def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, labels.where(~HELD_OUT)))
-    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
+    scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, labels.where(~held_out())))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from fathom.llm.words import ALNUM, Text, Words, mix, pieces, words
 
 SEED = 4
-COVERAGE = 0.6
+COVERAGE = 0.5
 #: Most words of all items together that are sent to the tasks (8 bytes each, twice).
 BROADCAST_WORDS = 2_000_000
 

@@ -23,7 +23,7 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|<[!?/][^>]*(?:>|$)""",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|style|itemprop|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)""", re.IGNORECASE)
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -41,6 +41,8 @@ _NAMED = frozenset(
     " subscription signup signin login register search searchform form toc skip copyright masthead topbar".split()
 )
 _HEADS = frozenset("header head top".split())
+#: Class or id values, and item properties, that mark the article where no element does.
+_BODY = re.compile(r"(?:^|\s)(?:(?:article|post|entry|story|news|blog|main|page)[-_]?(?:content|body|text|main)|articlebody|article|post|entry|story|content)(?=\s|$)")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -52,9 +54,9 @@ class Block(NamedTuple):
     aside: bool
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is named as something else, and as a page header."""
-    aside, head = name in _ASIDE, name == "header"
+def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is named as something else, as a page header, and as the article."""
+    aside, head, body = name in _ASIDE, name == "header", name in ("article", "main")
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
@@ -64,7 +66,10 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool]:
                 words = set(_WORD.findall(value))
                 aside = aside or bool(words & _NAMED)
                 head = head or bool(words & _HEADS) and not re.match(r"h[1-6]$", name)
-    return aside, head
+                body = body or value == "main" and key == "role" or bool(_BODY.search(value))
+            elif key == "itemprop":
+                body = body or value == "articlebody"
+    return aside, head, body
 
 
 def flat_blocks(page: str) -> list[Block]:
@@ -136,11 +141,11 @@ def flat_blocks(page: str) -> list[Block]:
                 if name in ("p", "li") and held and held[-1][0] == name:
                     held.pop()
                     article, aside = (held[-1][1], held[-1][2]) if held else (False, False)
-                other, head = _marks(name, attributes)
+                other, head, body = _marks(name, attributes)
                 now = aside or other or head and not article
                 if name in _INLINE and now != aside:
                     close()
-                article = article or name in ("article", "main")
+                article = article or body and name not in _INLINE
                 aside = now
                 held.append((name, article, aside))
     if at < len(page) and not skip:

@@ -155,7 +155,9 @@ factor("volatility", "sharpe20", "lret", lambda s: ratio(s.mean("lret", 20), s.s
 factor("volatility", "up_change", "close", lambda s: F.greatest(s.diff("close"), F.when(s.lag("close").isNotNull(), 0.0)))
 factor("volatility", "down_change", "close", lambda s: F.least(s.diff("close"), F.when(s.lag("close").isNotNull(), 0.0)))
 factor("volatility", "rvi14", "up_change down_change", lambda s: ratio(s.std("up_change", 14) - s.std("down_change", 14), s.std("up_change", 14) + s.std("down_change", 14)))
-factor("volatility", "kyle_lambda", "lret ofi", lambda s: ratio(s.both(F.covar_samp, "lret", "ofi", 20), s.both(lambda a, b: F.var_samp(b), "lret", "ofi", 20)))
+factor("volatility", "kyle_lambda", "lret ofi", lambda s: ratio(s.both(F.covar_samp, "lret", "ofi", 20), s.roll(F.var_samp, "ofi", 20)))
+factor("volatility", "ofi_before", "ofi", lambda s: s.lag("ofi"))
+factor("volatility", "kyle_lambda_lag", "lret ofi_before", lambda s: ratio(s.both(F.covar_samp, "lret", "ofi_before", 20), s.roll(F.var_samp, "ofi_before", 20)))
 
 
 HURST_LAGS = range(2, 20)
@@ -231,19 +233,38 @@ factor("flow", "price_delta_volume", "price_delta volume", lambda s: F.col("pric
 factor("flow", "price_delta_trend", "price_delta", lambda s: s.cumsum("price_delta"))
 factor("flow", "ofi", "buy_vol sell_vol", lambda s: ratio(F.col("buy_vol") - F.col("sell_vol"), F.col("buy_vol") + F.col("sell_vol")))
 factor("flow", "effort_vs_result", "delta ret", lambda s: F.col("delta") / (F.abs("ret") + 0.5))
-factor("flow", "delta_z", "delta", lambda s: s.zscore("delta", 20))
-factor("flow", "ret_z", "ret", lambda s: s.zscore("ret", 50))
-factor("flow", "volume_z", "volume", lambda s: s.zscore("volume", 50))
-factor("flow", "absorption", "delta_z ret_z", lambda s: F.when((F.abs("delta_z") > 1) & (F.abs("ret_z") < 0.5), -F.signum("delta_z")).otherwise(0.0))
+factor("flow", "delta_z", "delta", lambda s: F.coalesce(s.zscore("delta", 20, 5), F.lit(0.0)))
+factor("flow", "ret_z", "ret", lambda s: F.coalesce(s.zscore("ret", 50, 12), F.lit(0.0)))
+factor("flow", "volume_z", "volume", lambda s: F.coalesce(s.zscore("volume", 50, 12), F.lit(0.0)))
+
+
+def _at_least(x: Column, low: float) -> Column:
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(low)))
+
+
+def _cases(value: str, *cases: Column) -> Column:
+    """``value`` where one of the cases holds, else 0."""
+    out = F.lit(0.0)
+    for case in reversed(cases):
+        out = F.when(case, F.col(value).cast("double")).otherwise(out)
+    return out
+
+
+dz, rz, vz = (lambda: F.col("delta_z")), (lambda: F.col("ret_z")), (lambda: F.col("volume_z"))
+factor("flow", "distribute", "delta delta_z ret_z", lambda s: _cases("delta", (dz() >= 0.5) & (F.abs(rz()) < 0.3), (dz() <= -0.5) & (F.abs(rz()) > 0.3)))
+factor("flow", "trend", "delta delta_z ret", lambda s: _cases("delta", (dz() >= 1) & (F.col("ret") > 0), (dz() <= -1) & (F.col("ret") < 0)))
+factor("flow", "trend1", "delta_z ret", lambda s: _cases("ret", (dz() >= 1) & (F.col("ret") > 0)))
+factor("flow", "absorption", "ret delta_z ret_z volume_z", lambda s: _cases("ret", (dz() < 0.5) & (rz() >= 0.5) & (vz() > 0.2), (dz() > -0.5) & (rz() <= -0.5) & (vz() > 0.2)))
 for n in (5, 10, 20):
     factor("flow", f"hi{n}", "high", lambda s, n=n: s.max("high", n))
     factor("flow", f"lo{n}", "low", lambda s, n=n: s.min("low", n))
-    factor("flow", f"break{n}", f"close hi{n} lo{n}", lambda s, n=n: ratio(c() - (s.lag(f"hi{n}") + s.lag(f"lo{n}")) / 2, s.lag(f"hi{n}") - s.lag(f"lo{n}")))
+    factor("flow", f"break{n}", f"close hi{n} lo{n}", lambda s, n=n: (c() - (s.lag(f"hi{n}") + s.lag(f"lo{n}")) / 2) / _at_least(s.lag(f"hi{n}") - s.lag(f"lo{n}"), 1e-9))
 factor("flow", "break_position", "break5 break10 break20", lambda s: 0 * F.col("break5") + F.col("break10") + 0 * F.col("break20"))
 factor("flow", "vol_median_ratio", "volume", lambda s: ratio(v(), s.quantile("volume", 48, 0.5)))
 factor("flow", "vol_pct", "volume", lambda s: s.rank("volume", 100))
-factor("flow", "trend_break", "break_position vol_median_ratio", lambda s: F.col("break_position") * F.col("vol_median_ratio"))
-factor("flow", "trend_break_watch", "trend_break", lambda s: s.lag("trend_break", 3))
+factor("flow", "trend_break", "break_position trend vol_pct", lambda s: F.when(F.col("vol_pct") > 0.5, F.col("break_position") * F.col("trend")).otherwise(0.0))
+factor("flow", "trend_break2", "break_position trend vol_median_ratio", lambda s: F.col("break_position") * F.col("trend") * F.col("vol_median_ratio"))
+factor("flow", "trend_break_watch", "trend_break2", lambda s: s.lag("trend_break2", 3))
 
 
 def add_factors(bars: DataFrame, names: Iterable[str], series: Series = Series()) -> DataFrame:  # noqa: B008

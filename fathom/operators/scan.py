@@ -252,32 +252,80 @@ def vpin(buckets: int = 20, window: int = 50, decay: float = 0.8) -> Kernel:
 
 
 def position(
-    mode: str = "threshold", enter: float = 0.0, long_close: float = 0.0, short_close: float = 0.0, forward: int = 3, stop: float | None = None
+    mode: str = "threshold", enter: float = 0.0, long_close: float = 0.0, short_close: float = 0.0, forward: int = 3, stop: float | None = None, zscore: float = 0.0, mirrored: bool = False
 ) -> Kernel:
-    """Position held on each bar: 1, -1 or 0, from predictions, an entry level and prices.
-
-    Flat bars open where the prediction passes both its threshold and the entry level.  An
-    open position ends after ``forward`` bars ("fixed"), once the prediction crosses its
-    close threshold ("threshold"), or by either ("hybrid"); ``stop`` also ends it when the
-    price is that many points against its entry.  The bar that ends it is flat, and the
-    next one may open again.  Missing predictions open and close nothing.
+    """Position held on each bar: 1, -1 or 0, from predictions, an entry level, prices and a z-score.
+
+    Flat bars open where the prediction passes both ``enter`` and the entry level.  Modes:
+    "fixed" holds ``forward`` bars, "threshold" until the prediction crosses its close
+    threshold, "hybrid" until either; "zscore_threshold" and "zscore_hybrid" close a long at
+    z <= ``zscore`` (at z <= -|zscore| if ``mirrored``) and a short at its mirror image.
+    ``stop`` also closes at that many points against the entry price.  A bar that closes by
+    a rule is flat, and the next one may open; a bar on which the time has run out may open
+    at once.  Missing values open and close nothing.
     """
     side, held, paid = 0, 0, NAN
+    timed, by_prediction, by_zscore = mode in ("fixed", "hybrid", "zscore_hybrid"), mode in ("threshold", "hybrid"), mode.startswith("zscore")
+    bound = -abs(zscore) if mirrored else zscore
 
-    def step(prediction: float, level: float, price: float) -> float:
+    def step(prediction: float, level: float, price: float, z: float = 0.0) -> float:
         nonlocal side, held, paid
         if side:
             held += 1
-            crossed = prediction <= -long_close if side > 0 else prediction >= short_close
-            over = mode != "fixed" and crossed or mode in ("fixed", "hybrid") and held >= forward
-            if over or stop is not None and side * (price - paid) <= -stop:
+            if timed and held >= forward:
                 side = 0
-                return 0.0
-            return float(side)
-        if prediction > enter and abs(prediction) >= level:
-            side, held, paid = 1, 0, price
-        elif prediction < -enter and abs(prediction) >= level:
-            side, held, paid = -1, 0, price
+            else:
+                over = by_prediction and (prediction <= -long_close if side > 0 else prediction >= short_close)
+                over = over or by_zscore and (z <= bound if side > 0 else z >= -bound)
+                if over or stop is not None and side * (price - paid) <= -stop:
+                    side = 0
+                    return 0.0
+                return float(side)
+        if abs(prediction) > enter and abs(prediction) >= level:
+            side, held, paid = (1 if prediction > 0 else -1), 0, price
         return float(side)
 
     return step
+
+
+def slot_vpin(buckets: int = 5, decay: float = 0.8):
+    """Imbalance of one slot's ticks: buckets of a fifth of its volume, filled in a ring."""
+
+    def measure(prices: np.ndarray, volumes: np.ndarray) -> float:
+        total = volumes[volumes > 0].sum()
+        if len(prices) < 3 or total <= 0:
+            return NAN
+        size, at = total / buckets, 0
+        buy, sell = [0.0] * buckets, [0.0] * buckets
+        variance, before = 0.0, prices[0]
+        for i, (price, volume) in enumerate(zip(prices.tolist(), volumes.tolist(), strict=True)):
+            change, before = price - before, price
+            if i >= 2:
+                variance = (1 - decay) * change * change + decay * variance
+            share = 0.5 if i < 2 else 0.5 * (1 + math.erf(change / max(math.sqrt(max(variance, 1e-16)), 1e-8) / math.sqrt(2)))
+            left = max(volume, 0)
+            while left > 0:
+                part = min(left, size - buy[at] - sell[at])
+                buy[at], sell[at], left = buy[at] + share * part, sell[at] + (1 - share) * part, left - part
+                if buy[at] + sell[at] >= size * (1 - 1e-12):
+                    at = (at + 1) % buckets
+                    buy[at] = sell[at] = 0.0
+        filled = sum(buy) + sum(sell)
+        return sum(abs(b - s) for b, s in zip(buy, sell, strict=True)) / filled if filled > 0 else NAN
+
+    return measure
+
+
+def vpin_by_slot(ticks: DataFrame, keys: Sequence[str], price: str = "price", size: str = "size", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+    """(keys, vpin) of each group of ticks; a slot's ticks are a bounded group."""
+    names, measure = [*keys, price, size, *order], slot_vpin()
+    schema = ", ".join(f"{c} {kind}" for c, kind in ticks.select(*keys).dtypes) + ", vpin double"
+
+    def run(group):
+        group = group.sort_values(list(order))
+        out = group[list(keys)].head(1).copy()
+        value = measure(group[price].to_numpy(float), group[size].to_numpy(float))
+        out["vpin"] = None if math.isnan(value) else value
+        return out
+
+    return ticks.select(*names).groupBy(*keys).applyInPandas(run, schema)

@@ -96,9 +96,9 @@ SQL: dict[str, str] = {
         f"({roll('stddev_samp', 'up_change', 14)}) - ({roll('stddev_samp', 'down_change', 14)})", f"({roll('stddev_samp', 'up_change', 14)}) + ({roll('stddev_samp', 'down_change', 14)})"
     ),
     "ofi": div("buy_vol - sell_vol", "buy_vol + sell_vol"),
-    "kyle_lambda": div(
-        both("covar_samp", "lret", "ofi", 20), roll("var_samp", "CASE WHEN lret IS NOT NULL THEN ofi END", 20)
-    ),
+    "kyle_lambda": div(both("covar_samp", "lret", "ofi", 20), roll("var_samp", "ofi", 20)),
+    "ofi_before": lag("ofi"),
+    "kyle_lambda_lag": div(both("covar_samp", "lret", "ofi_before", 20), roll("var_samp", "ofi_before", 20)),
     "williams14": f"-100 * {div('(' + roll('max', 'high', 14) + ') - close', '(' + roll('max', 'high', 14) + ') - (' + roll('min', 'low', 14) + ')')}",
     "fast_k": f"100 * {div('close - (' + roll('min', 'low', 14) + ')', '(' + roll('max', 'high', 14) + ') - (' + roll('min', 'low', 14) + ')')}",
     "slow_k": roll("avg", "fast_k", 3),
@@ -133,19 +133,24 @@ SQL: dict[str, str] = {
     "price_delta_volume": "price_delta * volume",
     "price_delta_trend": f"sum(price_delta) OVER {W()}",
     "effort_vs_result": "delta / (abs(ret) + 0.5)",
-    "delta_z": div(f"delta - ({roll('avg', 'delta', 20)})", roll("stddev_samp", "delta", 20)),
-    "ret_z": div(f"ret - ({roll('avg', 'ret', 50)})", roll("stddev_samp", "ret", 50)),
-    "volume_z": div(f"volume - ({roll('avg', 'volume', 50)})", roll("stddev_samp", "volume", 50)),
-    "absorption": "CASE WHEN abs(delta_z) > 1 AND abs(ret_z) < 0.5 THEN -sign(delta_z) ELSE 0 END",
+    "delta_z": "coalesce(" + div(f"delta - ({roll('avg', 'delta', 20, 5)})", roll("stddev_samp", "delta", 20, 5)) + ", 0)",
+    "ret_z": "coalesce(" + div(f"ret - ({roll('avg', 'ret', 50, 12)})", roll("stddev_samp", "ret", 50, 12)) + ", 0)",
+    "volume_z": "coalesce(" + div(f"volume - ({roll('avg', 'volume', 50, 12)})", roll("stddev_samp", "volume", 50, 12)) + ", 0)",
+    "distribute": "CASE WHEN (delta_z >= 0.5 AND abs(ret_z) < 0.3) OR (delta_z <= -0.5 AND abs(ret_z) > 0.3) THEN delta ELSE 0 END",
+    "trend": "CASE WHEN (delta_z >= 1 AND ret > 0) OR (delta_z <= -1 AND ret < 0) THEN delta ELSE 0 END",
+    "trend1": "CASE WHEN delta_z >= 1 AND ret > 0 THEN ret ELSE 0 END",
+    "absorption": "CASE WHEN volume_z > 0.2 AND ((delta_z < 0.5 AND ret_z >= 0.5) OR (delta_z > -0.5 AND ret_z <= -0.5)) THEN ret ELSE 0 END",
     "break_position": "0 * break5 + break10 + 0 * break20",
     "vol_median_ratio": div("volume", roll("quantile_cont($, 0.5)", "volume", 48)),
     "vol_pct": f"CASE WHEN count(volume) OVER {W(100)} >= 100 THEN (list_sum(list_transform(list(volume) OVER {W(100)}, lambda e: CASE WHEN e < volume THEN 1.0 WHEN e = volume THEN 0.5 ELSE 0 END)) + 0.5) / 100 END",
-    "trend_break": "break_position * vol_median_ratio",
-    "trend_break_watch": lag("trend_break", 3),
+    "trend_break": "CASE WHEN vol_pct > 0.5 THEN break_position * trend ELSE 0 END",
+    "trend_break2": "break_position * trend * vol_median_ratio",
+    "trend_break_watch": lag("trend_break2", 3),
 }
 for _n in (5, 10, 20):
     SQL[f"hi{_n}"], SQL[f"lo{_n}"] = roll("max", "high", _n), roll("min", "low", _n)
-    SQL[f"break{_n}"] = div(f"close - ({lag(f'hi{_n}')} + {lag(f'lo{_n}')}) / 2", f"{lag(f'hi{_n}')} - {lag(f'lo{_n}')}")
+    _width = f"{lag(f'hi{_n}')} - {lag(f'lo{_n}')}"
+    SQL[f"break{_n}"] = f"(close - ({lag(f'hi{_n}')} + {lag(f'lo{_n}')}) / 2) / CASE WHEN {_width} IS NOT NULL THEN greatest({_width}, 1e-9) END"
 for _k in HURST_LAGS:
     SQL[f"_d{_k}"] = f"close - {lag('close', _k)}"
     SQL[f"_h{_k}"] = f"ln(nullif(({roll('stddev_pop', f'_d{_k}', 100 - _k)}), 0))"
@@ -153,7 +158,6 @@ _x = [math.log(k) for k in HURST_LAGS]
 _m = sum(_x) / len(_x)
 _s = sum((a - _m) ** 2 for a in _x)
 SQL["hurst"] = " + ".join(f"{(a - _m) / _s!r} * _h{k}" for a, k in zip(_x, HURST_LAGS, strict=True))
-_bin = f"least(floor((e.p - (min(close) OVER {W(20)})) / nullif((max(close) OVER {W(20)}) - (min(close) OVER {W(20)}), 0) * 10), 9)"
 
 #: Families whose values are large or whose ratios are steep are rounded to fewer digits.
 DIGITS = {"volume": 4, "flow": 4}

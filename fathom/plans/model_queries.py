@@ -81,16 +81,19 @@ def _predictions(spark, sf_dir) -> DataFrame:
     return bars.withColumn("prediction", F.round(ratio(F.col("price") - S.mean("price", 5), S.std("price", 5)), 6)).withColumn("level", S.quantile(F.abs("prediction"), 50, 0.7, 30))
 
 
-PREDICTIONS = f"""{BARS}, z AS (SELECT symbol, ts, close AS price, round({div('close - (' + roll('avg', 'close', 5) + ')', roll('stddev_samp', 'close', 5))}, 6) AS prediction FROM bars), p AS (
-  SELECT *, row_number() OVER {W()} AS k, {roll('quantile_cont(abs($), 0.7)', 'prediction', 50, 30)} AS level FROM z)"""
+Z = f"coalesce(last_value(cz IGNORE NULLS) OVER {W()}, 0)"
+PREDICTIONS = f"""{BARS}, z AS (SELECT symbol, ts, close AS price, round({div('close - (' + roll('avg', 'close', 5) + ')', roll('stddev_samp', 'close', 5))}, 6) AS prediction FROM bars), p0 AS (
+  SELECT *, row_number() OVER {W()} AS k, {roll('quantile_cont(abs($), 0.7)', 'prediction', 50, 30)} AS level,
+  {div('prediction - (' + roll('avg', 'prediction', 20, 2) + ')', roll('stddev_samp', 'prediction', 20, 2))} AS cz FROM z), p AS (SELECT *, {Z} AS zs FROM p0)"""
 
 
-def _machine(over: str, entry: str = "true") -> str:
+def _machine(over: str, entry: str = "true", expired: str = "false") -> str:
+    """Recursive twin of the position scan: ``over`` ends flat, ``expired`` may open again at once."""
+    opened = f"CASE WHEN p.prediction > 0 AND {entry} THEN 1 WHEN p.prediction < 0 AND {entry} THEN -1 ELSE 0 END"
+    going = f"m.pos <> 0 AND NOT ({expired})"
     return f"""WITH RECURSIVE {PREDICTIONS}, m AS (
-      SELECT symbol, ts, k, 0 AS held, CASE WHEN prediction > 0 AND {entry} THEN 1 WHEN prediction < 0 AND {entry} THEN -1 ELSE 0 END AS pos, price AS paid FROM p WHERE k = 1
-      UNION ALL SELECT p.symbol, p.ts, p.k, CASE WHEN m.pos <> 0 THEN m.held + 1 ELSE 0 END,
-        CASE WHEN m.pos <> 0 THEN CASE WHEN {over} THEN 0 ELSE m.pos END WHEN p.prediction > 0 AND {entry} THEN 1 WHEN p.prediction < 0 AND {entry} THEN -1 ELSE 0 END,
-        CASE WHEN m.pos <> 0 THEN m.paid ELSE p.price END
+      SELECT p.symbol, p.ts, p.k, 0 AS held, {opened} AS pos, p.price AS paid FROM p WHERE k = 1
+      UNION ALL SELECT p.symbol, p.ts, p.k, CASE WHEN {going} THEN m.held + 1 ELSE 0 END, CASE WHEN {going} THEN CASE WHEN {over} THEN 0 ELSE m.pos END ELSE {opened} END, CASE WHEN {going} THEN m.paid ELSE p.price END
       FROM m JOIN p ON p.symbol = m.symbol AND p.k = m.k + 1) SELECT symbol, ts, pos AS position FROM m"""
 
 
@@ -99,7 +102,8 @@ CROSS = "coalesce(CASE WHEN m.pos > 0 THEN p.prediction <= 0 ELSE p.prediction >
 
 def _positions(spark, sf_dir, level: str | None = None, **how) -> DataFrame:
     df = _predictions(spark, sf_dir).withColumn("entry", F.lit(0.0) if level is None else F.col(level))
-    made = X.ordered_scan(df, ["symbol"], ["ts"], {"position": (lambda: X.position(**how), ["prediction", "entry", "price"])})
+    df = df.withColumn("cz", S.zscore("prediction", 20, 2)).withColumn("cz", F.coalesce(S.ffill("cz"), F.lit(0.0)))
+    made = X.ordered_scan(df, ["symbol"], ["ts"], {"position": (lambda: X.position(**how), ["prediction", "entry", "price", "cz"])})
     return made.select("symbol", "ts", F.col("position").cast("int").alias("position"))
 
 
@@ -108,17 +112,27 @@ def position_threshold(spark, sf_dir) -> DataFrame:
     return _positions(spark, sf_dir)
 
 
-@query("h8_position_fixed", _machine("m.held + 1 >= 3"))
+@query("h8_position_fixed", _machine("false", expired="m.held + 1 >= 3"))
 def position_fixed(spark, sf_dir) -> DataFrame:
     return _positions(spark, sf_dir, mode="fixed", forward=3)
 
 
-@query("h8_position_hybrid", _machine(f"{CROSS} OR m.held + 1 >= 4"))
+@query("h8_position_hybrid", _machine(CROSS, expired="m.held + 1 >= 4"))
 def position_hybrid(spark, sf_dir) -> DataFrame:
     return _positions(spark, sf_dir, mode="hybrid", forward=4)
 
 
-@query("h9_position_strength", _machine(CROSS, "coalesce(abs(prediction) >= level, false)").replace("m JOIN p", "m JOIN p"))
+@query("h8_position_zscore", _machine("CASE WHEN m.pos > 0 THEN p.zs <= 0.2 ELSE p.zs >= -0.2 END"))
+def position_zscore(spark, sf_dir) -> DataFrame:
+    return _positions(spark, sf_dir, mode="zscore_threshold", zscore=0.2)
+
+
+@query("h10_position_zscore_hybrid", _machine("CASE WHEN m.pos > 0 THEN p.zs <= -0.5 ELSE p.zs >= 0.5 END", expired="m.held + 1 >= 6"))
+def position_zscore_hybrid(spark, sf_dir) -> DataFrame:
+    return _positions(spark, sf_dir, mode="zscore_hybrid", zscore=0.5, mirrored=True, forward=6)
+
+
+@query("h9_position_strength", _machine(CROSS, "coalesce(abs(p.prediction) >= p.level, false)"))
 def position_strength(spark, sf_dir) -> DataFrame:
     """Entries only where the prediction is among the strongest 30 % of late."""
     return _positions(spark, sf_dir, level="level")

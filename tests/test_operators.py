@@ -77,8 +77,8 @@ def test_vpin_stays_in_range():
     ("how", "expected"),
     [
         ({"mode": "threshold"}, [1, 1, 0, -1, -1, 0, 1, 1, 0, 0]),
-        ({"mode": "fixed", "forward": 2}, [1, 1, 0, -1, -1, 0, 1, 1, 0, 0]),
-        ({"mode": "hybrid", "forward": 1}, [1, 0, -1, 0, -1, 0, 1, 0, 0, 0]),
+        ({"mode": "fixed", "forward": 2}, [1, 1, -1, -1, -1, -1, 1, 1, 0, 0]),
+        ({"mode": "hybrid", "forward": 1}, [1, 1, -1, -1, -1, 1, 1, 0, 0, 0]),
         ({"mode": "threshold", "stop": 5.0}, [1, 0, -1, -1, -1, 0, 1, 1, 0, 0]),
     ],
 )

@@ -139,3 +139,98 @@ def weighted_vote(signals: DataFrame, keys: Sequence[str], weight: str, level: f
     positive = F.greatest(F.col(weight), F.lit(0.0))
     mean = F.coalesce(ratio(F.sum(positive * F.col("position")), F.sum(positive)), F.avg("position"))
     return signals.groupBy(*keys).agg(mean.alias("score")).withColumn("signal", F.when(F.col("score") > level, 1).when(F.col("score") < -level, -1).otherwise(0))
+
+
+def vote_strength(longs: Column, shorts: Column, models: Column, intervals: Sequence[tuple[float, float, float]]) -> Column:
+    """Fractional position from the share of agreeing votes; where both sides have votes, the larger side signs it."""
+    long_share, short_share = longs / models, shorts / models
+    out = F.lit(0.0)
+    for k, (low, high, size) in enumerate(intervals):
+        last = k == len(intervals) - 1
+        inside = lambda x, low=low, high=high, last=last: (x >= low) & ((x <= high) if last else (x < high))
+        out = F.when((shorts >= 1) & inside(short_share), -size).when(inside(long_share), size).otherwise(out)
+    conflict = (longs >= 1) & (shorts >= 1)
+    return F.when(conflict, F.when(long_share >= short_share, F.abs(out)).otherwise(-F.abs(out))).otherwise(out)
+
+
+def stacking_weights(signals: DataFrame, models: Sequence[str], label: str, alpha: float = 1e-5, least: int = 30) -> list[float]:
+    """Ridge weights without intercept, from the sums of products of a wide table.
+
+    Only the k x k sums reach the driver.  Equal weights if fewer than ``least`` rows are complete.
+    """
+    full = signals.dropna(subset=[*models, label])
+    pairs = [(i, j) for i in range(len(models)) for j in range(i, len(models))]
+    sums = full.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(models[i]) * F.col(models[j])).alias(f"p{i}_{j}") for i, j in pairs), *(F.sum(F.col(m) * F.col(label)).alias(f"q{i}") for i, m in enumerate(models))).first()
+    if sums["n"] < least:
+        return [1 / len(models)] * len(models)
+    gram = np.array([[sums[f"p{min(i, j)}_{max(i, j)}"] for j in range(len(models))] for i in range(len(models))])
+    return np.linalg.solve(gram + alpha * np.eye(len(models)), [sums[f"q{i}"] for i in range(len(models))]).tolist()
+
+
+def refresh_weights(ics: DataFrame, window: int, least: float = 0.0) -> DataFrame:
+    """Weights per refresh segment from the ICs of the ``window`` segments before it.
+
+    ``ics``: symbol, factor, segment, ic.  A factor's weight is its signed ICIR (mean over
+    deviation) where its size reaches ``least``; the weights of a segment sum to 1 in size.
+    """
+    before = Window.partitionBy("symbol", "factor").orderBy("segment").rowsBetween(-window, -1)
+    mean, std = F.avg("ic").over(before), F.stddev_samp("ic").over(before)
+    scored = ics.withColumn("icir", F.when(F.count("ic").over(before) >= 2, mean / (std + 1e-9)))
+    kept = scored.withColumn("w", F.when(F.abs("icir") >= least, F.col("icir")).otherwise(0.0))
+    total = F.sum(F.abs("w")).over(Window.partitionBy("symbol", "segment"))
+    return kept.select("symbol", "factor", "segment", F.coalesce(ratio("w", total), F.lit(0.0)).alias("weight"))
+
+
+def composite(df: DataFrame, factors: Sequence[str], weights: DataFrame, size: int) -> DataFrame:
+    """Weighted sum of factors, the weights held constant between refreshes (a join on the segment)."""
+    rn = Series(("symbol",), ("ts",)).rn()
+    long = long_form(df.withColumn("segment", F.floor(rn / size)), ["symbol", "ts", "segment"], factors)
+    return long.join(weights, ["symbol", "factor", "segment"]).groupBy("symbol", "ts").agg(F.sum(F.col("value") * F.col("weight")).alias("composite"))
+
+
+def guarded_score(icir: Column, mac: Column, n: Column, sigma: Column, gap: Column, w: float = 0.25, c: float = 0.05, lam: float = 1.0, cap: float = 1.5, g: float = 0.3) -> Column:
+    """Score of a factor set: its ICIR less penalties for correlation, size, instability and overfit."""
+    return icir - w * mac - c * n - lam * F.greatest(F.lit(0.0), sigma - cap) - g * F.greatest(F.lit(0.0), gap)
+
+
+def candidate_sets(names: Sequence[str], most: int, spark) -> DataFrame:
+    """All sets of up to ``most`` names as rows: set_id and names."""
+    one = spark.createDataFrame([(n,) for n in names], "name string")
+    sets = one.select(F.array("name").alias("names"))
+    grown = sets
+    for _ in range(most - 1):
+        grown = grown.join(one, F.col("name") > F.element_at("names", -1)).select(F.concat("names", F.array("name")).alias("names"))
+        sets = sets.unionByName(grown)
+    return sets.withColumn("set_id", F.concat_ws("|", "names"))
+
+
+def score_sets(sets: DataFrame, ics: DataFrame) -> DataFrame:
+    """Mean segment ICIR of each candidate set, all sets scored in one job."""
+    each = sets.select("set_id", F.size("names").alias("n"), F.explode("names").alias("factor"))
+    per = each.join(ics.groupBy("factor", "segment").agg(F.avg("ic").alias("ic")), "factor").groupBy("set_id", "n", "segment").agg(F.avg(F.abs("ic")).alias("ic"))
+    made = per.groupBy("set_id", "n").agg(F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s"))
+    return made.select("set_id", "n", F.round(guarded_score(F.col("m") / (F.col("s") + 1e-9), F.lit(0.0), F.col("n"), F.coalesce("s", F.lit(0.0)), F.lit(0.0)), 6).alias("score"))
+
+
+def neighbours(chosen: Sequence[str], pool: Sequence[str]) -> list[tuple[str, ...]]:
+    """Sets one swap, one removal or one addition away, for greedy refinement."""
+    out = {tuple(sorted(set(chosen) - {x})) for x in chosen if len(chosen) > 1}
+    spare = [p for p in pool if p not in chosen]
+    out |= {tuple(sorted({*chosen, p})) for p in spare}
+    out |= {tuple(sorted((set(chosen) - {x}) | {p})) for x in chosen for p in spare}
+    return sorted(out)
+
+
+def permutation_importance(predicted: DataFrame, keys: Sequence[str], order: str, factors: Sequence[str], coefficients: Mapping[str, float], label: str, seed: int = 0) -> DataFrame:
+    """Rise of the squared error of a linear model when one factor's values change places.
+
+    Places are a hash order, so the shuffle is the same in every run.  One row per factor.
+    """
+    own = Window.partitionBy(*keys).orderBy(order)
+    dealt = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), F.col(order)), order)
+    rows = predicted.dropna(subset=[*factors, label]).withColumns({"_a": F.row_number().over(own), "_b": F.row_number().over(dealt)})
+    moved = rows.select(*keys, F.col("_b").alias("_a"), *(F.col(f).alias(f"_m_{f}") for f in factors))
+    both = rows.join(moved, [*keys, "_a"])
+    base = sum((F.col(f) * coefficients[f] for f in factors), F.lit(0.0))
+    errors = both.agg(F.avg((F.col(label) - base) ** 2).alias("base"), *(F.avg((F.col(label) - (base - F.col(f) * coefficients[f] + F.col(f"_m_{f}") * coefficients[f])) ** 2).alias(f) for f in factors))
+    return errors.unpivot(["base"], list(factors), "factor", "moved").select("factor", (F.col("moved") - F.col("base")).alias("importance"))

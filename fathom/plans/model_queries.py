@@ -400,3 +400,134 @@ def segment_table(spark, sf_dir) -> DataFrame:
     part = F.when(F.col("date") < F.lit("2024-01-16").cast("date"), "in").otherwise("out")
     parts = days.withColumn("part", F.explode(F.array(F.lit("all"), part)))
     return rounded(P.windowed_sharpe(parts, ["symbol", "part"], 10))
+
+
+@query("i15_boosted_trees")
+def boosted_trees(spark, sf_dir) -> DataFrame:
+    """Two-phase boosted trees, fitted on the first part of time and applied to the rest."""
+    from fathom.operators import boosting
+
+    rows = _matrix(spark, sf_dir)
+    before = F.lit("2024-01-16").cast("timestamp_ntz")
+    model, names = boosting.fit_two_phase(rows.where(F.col("ts") < before), ["ret", "rel_vol", "close_position", "delta_z"], "label", 3, ["delta_z"], trees=5)
+    return boosting.predict(rows.where(F.col("ts") >= before), model, names).select("symbol", "ts", F.round("prediction", 6).alias("prediction"))
+
+
+@query("i18_permutation_importance")
+def importance(spark, sf_dir) -> DataFrame:
+    return C.permutation_importance(_matrix(spark, sf_dir), ["symbol"], "ts", ["ret", "rel_vol"], {"ret": -0.5, "rel_vol": 0.01}, "label").withColumn("importance", F.round("importance", 8))
+
+
+WIDE = f"""{MATRIX}, full_rows AS (SELECT symbol, ts, ret, close_position - 0.5 AS cp, label FROM x WHERE ret IS NOT NULL AND close_position IS NOT NULL AND label IS NOT NULL)"""
+
+
+@query(
+    "i21_stacking",
+    f"""WITH {WIDE}, g AS (SELECT sum(ret * ret) + 1e-5 AS a, sum(ret * cp) AS b, sum(cp * cp) + 1e-5 AS d, sum(ret * label) AS p, sum(cp * label) AS q FROM full_rows)
+    SELECT f.symbol, f.ts, round((d * p - b * q) / (a * d - b * b) * ret + (a * q - b * p) / (a * d - b * b) * cp, 6) AS stacked FROM full_rows f, g""",
+)
+def stacking(spark, sf_dir) -> DataFrame:
+    rows = _matrix(spark, sf_dir).withColumn("cp", F.col("close_position") - 0.5).dropna(subset=["ret", "cp", "label"])
+    weights = C.stacking_weights(rows, ["ret", "cp"], "label")
+    return rows.select("symbol", "ts", F.round(F.col("ret") * weights[0] + F.col("cp") * weights[1], 6).alias("stacked"))
+
+
+@query("j10_icir_composite")
+def icir_composite(spark, sf_dir) -> DataFrame:
+    """Weights from the ICIR of trailing segments, held until the next refresh."""
+    rows = _matrix(spark, sf_dir)
+    ics = C.segment_ic(rows, ["symbol"], "ts", FACTOR_NAMES, "label", 50)
+    weights = C.refresh_weights(ics, 6, 0.1)
+    return C.composite(rows, FACTOR_NAMES, weights, 50).withColumn("composite", F.round("composite", 6))
+
+
+@query("j15_scored_sets")
+def scored_sets(spark, sf_dir) -> DataFrame:
+    """Every set of up to three factors, scored with guards in one job."""
+    ics = C.segment_ic(_matrix(spark, sf_dir), ["symbol"], "ts", (*FACTOR_NAMES, "delta_z"), "label", 100)
+    return C.score_sets(C.candidate_sets([*FACTOR_NAMES, "delta_z"], 3, spark), ics)
+
+
+@query("j11_factor_clusters")
+def factor_clusters(spark, sf_dir) -> DataFrame:
+    """Clusters of 16 factor columns by correlation, and a diverse pick of them.
+
+    The number of factors is fixed, so the correlations that reach the driver are too.
+    """
+    import numpy as np
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(F.slice("embedding", 1, 16)).alias("f", "v"))
+    pairs = C.correlations(vectors.withColumn("v", F.col("v").cast("double")), "vec_id", "f", "v").collect()
+    distance = np.zeros((16, 16))
+    for p in pairs:
+        distance[p.a, p.b] = distance[p.b, p.a] = 1 - abs(p["corr"] or 0.0)
+    ward, average = C.linkage_clusters(distance, 4), C.linkage_clusters(distance, 4, method="average")
+    picked = C.greedy_diverse({str(i): float(-distance[i].mean()) for i in range(16)}, {(str(p.a), str(p.b)): p["corr"] or 0.0 for p in pairs}, 5)
+    return spark.createDataFrame([(i, ward[i], average[i], str(i) in picked) for i in range(16)], "factor int, ward int, average int, picked boolean")
+
+
+@query(
+    "k9_vote_strength",
+    f"""WITH {SIGNALS}, v AS (SELECT symbol, ts, count(*) AS n, count(*) FILTER (position = 1) AS l, count(*) FILTER (position = -1) AS s FROM sig GROUP BY 1, 2), m AS (SELECT *, CASE WHEN s >= 1 AND s / n >= 0.6 AND s / n <= 1 THEN -1.0 WHEN l / n >= 0.6 AND l / n <= 1 THEN 1.0
+      WHEN s >= 1 AND s / n >= 0.3 AND s / n < 0.6 THEN -0.5 WHEN l / n >= 0.3 AND l / n < 0.6 THEN 0.5 ELSE 0 END AS r FROM v)
+    SELECT symbol, ts, (CASE WHEN l >= 1 AND s >= 1 THEN CASE WHEN l >= s THEN abs(r) ELSE -abs(r) END ELSE r END)::DOUBLE AS position FROM m""",
+)
+def vote_strength(spark, sf_dir) -> DataFrame:
+    votes_ = C.vote(_signals(spark, sf_dir), ["symbol", "ts"])
+    intervals = C.parse_strength_map("0.3-0.6:0.5,0.6-1:1")
+    return votes_.select("symbol", "ts", C.vote_strength(F.col("longs"), F.col("shorts"), F.col("models"), intervals).alias("position"))
+
+
+@query(
+    "k10_rebuilt_results",
+    f"""WITH {SIGNALS}, v AS (SELECT symbol, ts, avg(position) AS m FROM sig GROUP BY 1, 2), q AS (SELECT b.symbol, b.ts, b.close + 1000 AS price, CASE WHEN m > 0.5 THEN 1 WHEN m < -0.5 THEN -1 ELSE 0 END AS pos, hour(b.ts) = 9 AS is_switch FROM bars b JOIN v USING (symbol, ts)),
+    h AS (SELECT *, coalesce({lag('pos')}, 0) AS held, coalesce(price / {lag('price')} - 1, 0) AS a FROM q)
+    SELECT symbol, ts, held::DOUBLE AS held, round(CASE WHEN is_switch THEN 0 ELSE held * a END, 6) AS strategy_return, round(1 + sum(CASE WHEN is_switch THEN 0 ELSE held * a END) OVER {W()}, 6) AS cumulative_value FROM h""",
+)
+def rebuilt(spark, sf_dir) -> DataFrame:
+    """Results of a combined signal, a bar late, with nothing earned on switch bars."""
+    mean = _signals(spark, sf_dir).groupBy("symbol", "ts").agg(F.avg("position").alias("m"))
+    bars = hourly_bars(spark, sf_dir).select("symbol", "ts", (F.col("close") + 1000).alias("price")).join(mean, ["symbol", "ts"])
+    signal = F.when(F.col("m") > 0.5, 1.0).when(F.col("m") < -0.5, -1.0).otherwise(0.0)
+    made = P.results(bars.withColumn("position", signal), S, switch=F.hour("ts") == 9)
+    return rounded(made.select("symbol", "ts", "held", "strategy_return", "cumulative_value"))
+
+
+@query("d15_slot_vpin")
+def slot_vpin(spark, sf_dir) -> DataFrame:
+    """Volume-synchronised imbalance inside six-hour slots, from ticks."""
+    from fathom.operators.frames import ticks
+
+    df = ticks(spark, sf_dir).withColumn("slot", F.floor(F.hour("ts") / 6).cast("int"))
+    made = X.vpin_by_slot(df, ["symbol", "trading_date", "slot"])
+    return made.select("symbol", F.col("trading_date").cast("string").alias("trading_date"), "slot", F.round("vpin", 6).alias("vpin"))
+
+
+@query(
+    "e6_cross_asset",
+    f"""WITH {BARS}, a AS (SELECT * FROM bars WHERE symbol = 'click'), b AS (SELECT ts, close FROM bars WHERE symbol = 'view')
+    SELECT a.ts, round(a.close / nullif(a0.close, 0) - 1, 6) AS own_ret_4, round(b1.close / nullif(b0.close, 0) - 1, 6) AS other_ret_4, round((b1.close / nullif(b0.close, 0) - 1) - (a.close / nullif(a0.close, 0) - 1), 6) AS spread_4
+    FROM a ASOF LEFT JOIN a a0 ON a.symbol = a0.symbol AND a.ts - INTERVAL 4 HOURS >= a0.ts ASOF LEFT JOIN b b1 ON a.ts >= b1.ts ASOF LEFT JOIN b b0 ON a.ts - INTERVAL 4 HOURS >= b0.ts""",
+)
+def cross_asset(spark, sf_dir) -> DataFrame:
+    """Own and other return over four hours by as-of prices, and their spread."""
+    from fathom.operators import joins
+
+    bars = hourly_bars(spark, sf_dir).select("symbol", "ts", "close")
+    own = bars.where("symbol = 'click'")
+    other = bars.where("symbol = 'view'").withColumn("symbol", F.lit("click"))
+    made = joins.asof_offsets(own, own, ["symbol"], "close", (4,), prefix="own")
+    made = joins.asof_offsets(made, other, ["symbol"], "close", (0, 4), prefix="other")
+    ours, theirs = ratio("close", "own_4") - 1, ratio("other_0", "other_4") - 1
+    return rounded(made.select("ts", ours.alias("own_ret_4"), theirs.alias("other_ret_4"), (theirs - ours).alias("spread_4")))
+
+
+@query(
+    "l11_cash_metrics",
+    f"""WITH {RESULTS}, g AS (SELECT *, coalesce(held * (price - {lag('price')}) * 10, 0) - CASE WHEN (coalesce({lag('held')}, 0) = 0) <> (held = 0) THEN 3.5 ELSE 0 END AS net FROM rr), e AS (SELECT *, 3000 + sum(net) OVER {W()} AS equity FROM g)
+    SELECT symbol, round(sum(net), 4) AS net, round(arg_max(equity, ts), 4) AS equity, count(*) FILTER (net > 0) AS wins, count(*) FILTER (net < 0) AS losses FROM e GROUP BY 1""",
+)
+def cash_metrics(spark, sf_dir) -> DataFrame:
+    made = P.cash_account(_results(spark, sf_dir), S)
+    count = lambda x: F.count(F.when(x, 1))
+    return made.groupBy("symbol").agg(F.round(F.sum("net"), 4).alias("net"), F.round(F.max_by("equity", "ts"), 4).alias("equity"), count(F.col("net") > 0).alias("wins"), count(F.col("net") < 0).alias("losses"))

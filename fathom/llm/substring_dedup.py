@@ -22,6 +22,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.llm.graph import cut
 from fathom.llm.words import Text, mix, pieces
 
 #: Bytes that the hash looks back on: every byte shifts it by two of its 32 bits.
@@ -104,6 +105,9 @@ def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chunks = texts.mapInArrow(_chunks, "digest long, doc_id long, start_byte int, end_byte int")
     shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last")
+    # Written first: straight from the aggregate, the join below would inherit its partitions,
+    # and adaptive execution could not split that of a very common chunk.
+    shared = cut(shared)
     again = chunks.join(shared.drop("last"), "digest").where("doc_id > first_doc_id").drop("digest").distinct()
     order = Window.partitionBy("doc_id").orderBy("start_byte")
     fresh = F.coalesce(F.lag("end_byte").over(order) != F.col("start_byte"), F.lit(True)).cast("int")

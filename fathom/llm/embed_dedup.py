@@ -152,9 +152,10 @@ def embedding_duplicates(table: DataFrame, least: float = 0.93, fit_rows: int =
     ``table`` has vec_id, embedding (array of float or double) and label (integer); other
     columns are ignored.  Vectors link when labels are equal, lengths are equal and their
     cosine is at least ``least``.  Null labels, and vectors that are null, empty, zero or
-    hold nulls, NaN or infinities, link with nothing.  Every row counts as a vector.
+    hold nulls, NaN or infinities, link with nothing, like rows without vec_id, whose
+    component is NULL.  Every row counts as a vector.
     """
-    rows = table.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
+    rows = table.select(F.col("vec_id").cast("long"), F.when(F.col("vec_id").isNotNull(), F.col("label").cast("long")).alias("label"), F.col("embedding").cast("array<double>"))
     sample = [v for r in rows.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("embedding").toLocalIterator() for v in _vectors(pa.array([r.embedding], pa.list_(pa.float64()))) if v is not None]
     models = {dim: learn_rotation(np.stack([v for v in sample if len(v) == dim])) for dim in {len(v) for v in sample}}
     coded = cut(rows.mapInArrow(lambda batches: _encode(batches, models), "vec_id long, digest binary, unit binary, keys array<long>"))
@@ -178,4 +179,4 @@ def embedding_duplicates(table: DataFrame, least: float = 0.93, fit_rows: int =
     )
     out = coded.select("vec_id", "digest").join(named, "digest", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

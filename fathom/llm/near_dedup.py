@@ -266,8 +266,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     ``docs`` has doc_id and text; other columns are ignored.  Null, empty and blank texts
-    have no shingles, link with nothing and are kept.  Repeated rows of one doc_id with one
-    text give equal rows.
+    have no shingles, link with nothing and are kept; so do rows without doc_id, whose
+    component is NULL.  Repeated rows of one doc_id with one text give equal rows.
     """
     far = max_distance(percent / 100)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
             "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary",
         )
     )
-    full = signed.where("n_shingles > 0")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     mine = (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))
     reps = full.join(classes.withColumnRenamed("digest", "d"), mine, "left_semi").dropDuplicates(["doc_id"])
@@ -320,9 +320,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     group = group.select(F.coalesce("node", "component").alias("rep"), F.coalesce("final", "component").alias("component"))
     group = group.unionByName(merged.select(F.col("node").alias("rep"), "component")).groupBy("rep").agg(F.min("component").alias("component"))
     named = classes.join(group, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")
+    out = signed.select("doc_id", "n_shingles", own).join(named, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

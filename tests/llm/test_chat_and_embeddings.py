@@ -72,7 +72,7 @@ def test_embeddings_equal_brute_force(spark):
             rows.append([float(x) for x in v.astype(np.float32)])
     data = [(i, v, i // 200, "x") for i, v in enumerate(rows)]
     data += [(1000 + i, rows[0], 0, "x") for i in range(30)]
-    odd = [(2000, None, 1, ""), (2001, [], 1, ""), (2002, [0.0] * 24, 1, ""), (2003, [float("nan")] * 24, 1, ""), (2004, [None] + [1.0] * 23, 1, ""), (2005, rows[3], None, ""), (2006, [float("inf")] + [1.0] * 23, 1, ""), (2007, [1.0, 2.0], 1, ""), (2008, [2.0, 4.0], 1, "")]
+    odd = [(2000, None, 1, ""), (2001, [], 1, ""), (2002, [0.0] * 24, 1, ""), (2003, [float("nan")] * 24, 1, ""), (2004, [None] + [1.0] * 23, 1, ""), (2005, rows[3], None, ""), (2006, [float("inf")] + [1.0] * 23, 1, ""), (2007, [1.0, 2.0], 1, ""), (2008, [2.0, 4.0], 1, ""), (None, rows[3], 0, "")]
     table = spark.createDataFrame(data + odd, "vec_id long, embedding array<float>, label int, digest string")
     found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_duplicates(table).collect()}
     assert len(found) == len(data) + len(odd)
@@ -83,6 +83,7 @@ def test_embeddings_equal_brute_force(spark):
     np.fill_diagonal(linked, False)
     n = np.array([found[i][0] for i, _, _, _ in data])
     assert (n <= linked.sum(1)).all() and n.sum() >= 0.98 * linked.sum() and linked.sum() > 1000
+    assert found[None] == (0, None, True)
     for i in (2000, 2001, 2002, 2003, 2004, 2005, 2006):
         assert found[i] == (0, i, True)
     assert found[2007] == (1, 2007, True) and found[2008] == (1, 2007, False)

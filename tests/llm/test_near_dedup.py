@@ -66,3 +66,10 @@ def test_keeps_one_of_each_and_empty_table(spark):
 def test_repeated_rows_give_equal_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g")], "doc_id long, text string")
     assert sorted(tuple(r) for r in near_duplicates(docs).collect()) == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False)]
+
+
+def test_rows_without_id_link_with_nothing(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (2, "a b c d e f g"), (3, "a b c d e f g")], "doc_id long, text string")
+    found = [tuple(r) for r in near_duplicates(docs).collect()]
+    assert sorted(found, key=str) == sorted([(None, 3, None, True)] * 2 + [(2, 3, 2, True), (3, 3, 2, False)], key=str)
+    assert keep_one_of_each(docs).count() == 3

@@ -218,34 +218,36 @@ def parabolic_sar(step_size: float = 0.02, most: float = 0.2) -> Kernel:
 def vpin(buckets: int = 20, window: int = 50, decay: float = 0.8) -> Kernel:
     """Volume-synchronised imbalance: volume split by the normal chance of each price change.
 
-    Buckets hold the mean volume of the last ``window`` bars times ``buckets``; the last
-    ``buckets`` of them form a ring whose summed imbalance over their volume is the value.
+    A bucket holds ``buckets`` times the mean volume of the last ``window`` bars; a full one
+    hands on to the next of a ring, which starts empty.  The bucket size moves with the mean,
+    so an open bucket may already hold too much: the excess then goes on to the next one.
+    The value is the summed imbalance over the ring's volume (its filled part until every
+    bucket was full once), NULL before the first is full; bars without volume repeat it.
     """
     buy, sell, full = [0.0] * buckets, [0.0] * buckets, [0.0] * buckets
     recent: list[float] = []
-    at, done, before, variance, value = 0, 0, NAN, NAN, NAN
+    at, done, bars, before, variance, value = 0, 0, 0, NAN, 0.0, NAN
 
     def step(price: float, volume: float) -> float:
-        nonlocal at, done, before, variance, value
-        change, before = price - before, price
-        if math.isnan(change) or not volume > 0:
-            return value
+        nonlocal at, done, bars, before, variance, value
+        change, before = 0.0 if bars == 0 else price - before, price
+        variance = change * change if bars < 2 else (1 - decay) * change * change + decay * variance
+        share = 0.5 if bars == 0 else 0.5 * (1 + math.erf(change / max(math.sqrt(max(variance, 1e-16)), 1e-8) / math.sqrt(2)))
+        bars += 1
         recent.append(volume)
         del recent[:-window]
-        variance = change * change if math.isnan(variance) else decay * variance + (1 - decay) * change * change
-        bought = volume * (0.5 * (1 + math.erf(change / math.sqrt(2 * variance))) if variance > 0 else 0.5)
-        size, left, share = sum(recent) / len(recent) * buckets, volume, bought / volume
-        while left > 0:
-            part = min(left, max(size - full[at], 0.0))
-            buy[at] += part * share
-            sell[at] += part * (1 - share)
-            full[at] += part
-            left -= part
-            if full[at] >= size:
+        if math.isnan(price) or not volume > 0:
+            return value
+        known = [v for v in recent if not math.isnan(v)]
+        size, left = sum(known) / len(known) * buckets, volume
+        while left > 1e-9:
+            part = min(left, size - full[at])
+            buy[at], sell[at], full[at], left = buy[at] + share * part, sell[at] + (1 - share) * part, full[at] + part, left - part
+            if full[at] >= size - 1e-9:
                 at, done = (at + 1) % buckets, done + 1
                 buy[at] = sell[at] = full[at] = 0.0
         total = size * buckets if done >= buckets else sum(full)
-        value = sum(abs(b - s) for b, s in zip(buy, sell, strict=True)) / total if total else value
+        value = sum(abs(b - s) for b, s in zip(buy, sell, strict=True)) / total if done and total > 0 else NAN
         return value
 
     return step

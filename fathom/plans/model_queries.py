@@ -43,7 +43,7 @@ def recursive_indicators(spark, sf_dir) -> DataFrame:
     bars = bars.withColumn("flow13", ratio("signed_vol", S.sum("volume", 13)))
     hlc = ["high", "low", "close"]
     made = X.ordered_scan(
-        bars.select("symbol", "ts", *hlc, "volume", "lret", "ad_line", "ad_raw", "lr_log", "flow13"),
+        bars.select("symbol", "ts", *hlc, "volume", "delta", "lret", "ad_line", "ad_raw", "lr_log", "flow13"),
         ["symbol"],
         ["ts"],
         {
@@ -70,9 +70,10 @@ def recursive_indicators(spark, sf_dir) -> DataFrame:
         "klinger": F.col("klinger34") - F.col("klinger55"),
         "keltner": ratio(F.col("close") - (F.col("ema20_adjusted") - 2 * F.col("atr14")), 4 * F.col("atr14")),
         "sar_diff": F.col("close") - F.col("sar"),
-        "vpin_z": S.zscore("vpin", 50),
+        "vpin_z": (F.col("vpin") - S.mean("vpin", 20)) / F.greatest(S.std("vpin", 20), F.lit(1e-9)),
     })
-    return rounded(made.drop(*hlc, "volume", "lret", "ad_line", "ad_raw", "lr_log", "flow13"))
+    made = made.withColumn("vpin_filtered", F.when(F.col("vpin_z") >= 2, F.col("vpin_z")).otherwise(0.0)).withColumn("delta_x_vpin", F.col("delta") * F.col("vpin"))
+    return rounded(made.drop(*hlc, "volume", "delta", "lret", "ad_line", "ad_raw", "lr_log", "flow13"))
 
 
 def _predictions(spark, sf_dir) -> DataFrame:
@@ -284,6 +285,26 @@ def rolling_ic(spark, sf_dir) -> DataFrame:
     return rounded(C.rolling_ic(_matrix(spark, sf_dir).select("symbol", "ts", "ret", "label"), S, ["ret"], "label", 40).select("symbol", "ts", "ic_ret"))
 
 
+N2 = 20
+FRAME = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {N2} PRECEDING AND 1 PRECEDING)"
+
+
+def _places(x: str) -> str:
+    return f"list_transform(range(1, {N2 + 1}), lambda i: len(list_filter(range(1, {N2 + 1}), lambda j: {x}[j] < {x}[i] OR ({x}[j] = {x}[i] AND j < i))))"
+
+
+@query(
+    "j2_strict_rolling_ic",
+    f"""WITH {MATRIX}, k AS (SELECT symbol, ts, list(ret) OVER {FRAME} AS f, list(label) OVER {FRAME} AS y, count(CASE WHEN ret IS NOT NULL AND label IS NOT NULL THEN 1 END) OVER {FRAME} AS n FROM x), g AS (SELECT * FROM k WHERE n = {N2}),
+    r AS (SELECT symbol, ts, {_places('f')} AS a, {_places('y')} AS b FROM g)
+    SELECT symbol, ts, round(1 - 6.0 * list_sum(list_transform(range(1, {N2 + 1}), lambda i: (a[i] - b[i]) * (a[i] - b[i]))) / ({N2} * ({N2} * {N2} - 1)), 6) AS ic FROM r""",
+)
+def strict_rolling_ic(spark, sf_dir) -> DataFrame:
+    """Spearman over the rows before each row, ordinal ranks, the earlier of equals first."""
+    made = _matrix(spark, sf_dir).withColumn("ic", C.strict_ic(S, "ret", "label", N2)).where("ic is not null")
+    return made.select("symbol", "ts", F.round("ic", 6).alias("ic"))
+
+
 @query(
     "j6_factor_correlations",
     """WITH l AS (SELECT vec_id, unnest(range(1, 17)) AS f, unnest(embedding[1:16]) AS v FROM embeddings), c AS (SELECT a.f AS a, b.f AS b, corr(a.v::DOUBLE, b.v::DOUBLE) AS c FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.f < b.f GROUP BY 1, 2)

@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     # What is still apart: compared in the buckets where more than one component meets.
     named = member.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     named = named.withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    mixed = cut(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
     open_rows = dealt(named.join(mixed, "key", "left_semi").join(reps, "doc_id"))
     flagged = cut(open_rows.mapInArrow(lambda batches: _remaining(batches, far, percent), "key long, i int, j int, doc_id long, component long").distinct())
     joined = dealt(flagged.join(compared, "doc_id").select(*_FLAGGED, "text")).mapInArrow(lambda batches: _settle(batches, size, percent), "a long, b long")

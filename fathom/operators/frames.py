@@ -37,7 +37,7 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = Series(("symbol",), ("ts", "seq"))
     signed = ticks(spark, sf_dir).withColumn("buy", F.when(F.col("price") >= F.coalesce(flow.lag("price"), F.col("price")), F.col("size")).otherwise(0))
     sides = [F.sum("buy").alias("buy_vol"), (F.sum("size") - F.sum("buy")).alias("sell_vol"), (2 * F.sum("buy") - F.sum("size")).alias("delta")]
-    made = ohlcv(signed, ["symbol", F.date_trunc("hour", "ts").alias("bar")], extra=sides)
+    made = ohlcv(signed, ["symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bar")], extra=sides)
     return made.withColumnRenamed("bar", "ts").withColumn("trading_date", F.to_date("ts"))
 
 

@@ -123,7 +123,7 @@ def _slots(spark, sf_dir) -> DataFrame:
     """Six-hour slots of every day that has ticks."""
     days = ticks(spark, sf_dir).select("trading_date").distinct()
     each = days.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    start = F.expr("cast(trading_date as timestamp) + make_interval(0, 0, 0, 0, 6 * slot)")
+    start = F.expr("cast(trading_date as timestamp_ntz) + make_interval(0, 0, 0, 0, 6 * slot)")
     return each.select("slot", start.alias("start_ts"), (start + F.expr("interval 5 hours")).alias("end_ts"))
 
 
@@ -260,7 +260,7 @@ def depth_flow(spark, sf_dir) -> DataFrame:
     """Three-level pressure, flow imbalance and book VWAP parts per hour."""
     df = B.allocate(B.pressure(B.increments(quotes(spark, sf_dir)), (1, 2, 3)), (1, 2, 3))
     book = lambda q, x: F.when((F.col(q) > 0) & (F.col(f"{q}_v") > 0), x).otherwise(0)
-    made = df.groupBy("symbol", F.date_trunc("hour", "ts").alias("bar")).agg(
+    made = df.groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bar")).agg(
         F.sum("delta").alias("delta"),
         B.order_flow_imbalance(F.sum("delta"), F.sum("dv")).alias("ofi"),
         F.sum(book("b1", F.col("b1") * F.col("b1_v")) + book("a1", F.col("a1") * F.col("a1_v"))).alias("bvwap_pv"),
@@ -322,7 +322,7 @@ def day_vwap(spark, sf_dir) -> DataFrame:
     SELECT symbol, bar, round(CASE WHEN count(*) >= 2 THEN CASE WHEN sum(step) > 0 THEN abs(arg_max(mid, (ts, seq)) - arg_min(mid, (ts, seq))) / sum(step) ELSE 0 END END, 6) AS efficiency_ratio FROM s GROUP BY 1, 2""",
 )
 def efficiency(spark, sf_dir) -> DataFrame:
-    df = quotes(spark, sf_dir).withColumn("bar", F.date_trunc("hour", "ts")).withColumn("mid", (F.col("b1") + F.col("a1")) / 2)
+    df = quotes(spark, sf_dir).withColumn("bar", F.date_trunc("hour", "ts").cast("timestamp_ntz")).withColumn("mid", (F.col("b1") + F.col("a1")) / 2)
     return rounded(B.efficiency_ratio(df, ["symbol", "bar"]))
 
 
@@ -335,7 +335,7 @@ def efficiency(spark, sf_dir) -> DataFrame:
 def monthly(spark, sf_dir) -> DataFrame:
     """Two-stage roll-up: items to days to months."""
     df = daily_bars(spark, sf_dir)
-    return df.groupBy("symbol", F.date_trunc("month", "ts").alias("month")).agg(
+    return df.groupBy("symbol", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")).agg(
         F.min_by("close", "ts").alias("first_close"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")
     )
 

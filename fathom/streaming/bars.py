@@ -19,9 +19,19 @@ from fathom.operators.bars import ohlcv
 
 
 def tick_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_batch: int = 10) -> DataFrame:
-    """``name`` files of a folder as a stream of ticks."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """``name`` of a folder as a stream of ticks: a file, or a table that is a folder of part files.
+
+    Part files of one table come in no order of time, so those that are there go into one
+    micro-batch; dealt out to several, the watermark of the first would drop ticks of the next.
+    """
+    path = f"{folder}/{name}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if store.exists(place) and store.getFileStatus(place).isDirectory():
+        raw = reader.parquet(path)
+    else:
+        raw = reader.option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     return raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.col("user_id").alias("size"))
 
 

@@ -1,7 +1,9 @@
 """Chat formatting: records of many layouts become canonical turns and one marked string.
 
-A record is JSON.  The field paths that a layout may use are collected with their nesting,
-leaf types left out, and hashed; the hash selects a declarative mapping from ``LAYOUTS``.
+A record is JSON or a typed struct.  The field paths that a layout may use are collected
+with their nesting, leaf types left out, and hashed; the hash selects a declarative mapping
+from ``LAYOUTS``.  The paths of a struct are those of its type, so its texts meet no parser
+and no limit of one; JSON that is too large to parse is an error.
 Fields that no layout knows do not count, so extra metadata does not change a fingerprint.
 Everything here is DataFrame expressions.
 
@@ -17,6 +19,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 
 class Layout(NamedTuple):
@@ -60,6 +63,10 @@ def escape(text: Column) -> Column:
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _STARTS + r"\\(\\*)" + _RESTS, "$1$2$3")
 
+#: The parser refuses strings above 20 M characters unless told otherwise, and variants hold 128 MiB.
+_PARSED_CHARS = 20_000_000
+_HELD_BYTES = 1 << 24  # a variant is at most some six times as large as its JSON
+
 
 def _shape(value: Column) -> Column:
     """Nesting of a variant without leaf types: ``[{content,role}]``; empty for a scalar."""
@@ -79,27 +86,45 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(F.array_join(F.transform(known, lambda k: F.rtrim(F.concat(k, F.lit(":"), _shape(fields[k])), F.lit(":"))), ";"))
 
 
-def _text(value: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(value, f"$.{path}", "string"), F.lit(""))
+def _typed_shape(kind: DataType) -> str:
+    """What ``_shape`` gives for a value of this type."""
+    if isinstance(kind, ArrayType):
+        return f"[{_typed_shape(kind.elementType)}]"
+    if not isinstance(kind, StructType):
+        return ""
+    return "{" + ",".join(f"{f.name}:{_typed_shape(f.dataType)}".rstrip(":") for f in sorted(kind, key=lambda f: f.name) if f.name not in _SPARE) + "}"
+
+
+def _parsed(record: Column) -> Column:
+    """Variant of JSON text, null if it is none; an error if it looks like an object but is too large."""
+    wide = F.from_json(record, "variant", {"maxStringLen": str((1 << 31) - 1)})
+    parsed = F.coalesce(F.try_parse_json(record), F.when(F.char_length(record) >= _PARSED_CHARS, wide))
+    failed = (F.octet_length(record) >= _HELD_BYTES) & record.rlike(r"\A\s*\{") & record.rlike(r"\}\s*\z")
+    error = F.raise_error(F.concat(F.lit("a JSON record cannot be parsed, probably for its size in bytes: "), F.octet_length(record).cast("string")))
+    return F.when(record.isNotNull() & parsed.isNull() & failed, error.cast("variant")).otherwise(parsed)
+
+
+def _text(value: Column, path: str, typed: bool) -> Column:
+    return F.coalesce(value[path].cast("string") if typed else F.try_variant_get(value, f"$.{path}", "string"), F.lit(""))
 
 
 def _turn(role: Column, text: Column) -> Column:
     return F.struct(role.alias("role"), text.alias("text"))
 
 
-def _mapped(layout: Layout, record: Column) -> Column:
+def _mapped(layout: Layout, record: Column, typed: bool = False) -> Column:
     out = []
     for role, paths in layout.fixed:
-        said = F.filter(F.array(*(_text(record, p) for p in paths)), lambda x: x != "")
+        said = F.filter(F.array(*(_text(record, p, typed) for p in paths)), lambda x: x != "")
         out.append(F.when(F.size(said) > 0, F.array(_turn(F.lit(role), F.array_join(said, "\n")))).otherwise(F.array().cast("array<struct<role:string,text:string>>")))
     if layout.turns:
         names = F.create_map(*(F.lit(x) for pair in layout.renamed for x in pair)) if layout.renamed else None
 
         def turn(m: Column) -> Column:
-            role = _text(m, layout.role)
-            return _turn(role if names is None else F.coalesce(F.try_element_at(names, role), role), _text(m, layout.text))
+            role = _text(m, layout.role, typed)
+            return _turn(role if names is None else F.coalesce(F.try_element_at(names, role), role), _text(m, layout.text, typed))
 
-        listed = F.try_variant_get(record, f"$.{layout.turns}", "array<variant>")
+        listed = record[layout.turns] if typed else F.try_variant_get(record, f"$.{layout.turns}", "array<variant>")
         out.append(F.coalesce(F.transform(listed, turn), F.array().cast("array<struct<role:string,text:string>>")))
     return F.concat(*out)
 
@@ -110,10 +135,18 @@ def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
     A record that is null, not JSON, not an object or of no known layout keeps its row with
     no turns.  Null roles and texts are empty.
     """
-    parsed = records.withColumn("_variant", F.try_parse_json(column))
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    kind = records.schema[column].dataType
+    if isinstance(kind, StructType):
+        paths = ";".join(f"{f.name}:{_typed_shape(f.dataType)}".rstrip(":") for f in sorted(kind, key=lambda f: f.name) if f.name in _KNOWN)
+        fit = next((x for x in LAYOUTS if paths in x.shapes), None)
+        there = F.col(column).isNotNull()
+        name = F.when(there, fit.name if fit else None).cast("string")
+        return records.withColumns({"layout": name, "turns": F.when(there, _mapped(fit, F.col(column), True)).otherwise(none) if fit else none})
+    parsed = records.withColumn("_variant", _parsed(F.col(column).cast("string")))
     is_object = F.schema_of_variant("_variant").startswith("OBJECT")
     parsed = parsed.withColumn("_print", F.when(is_object, fingerprint(F.col("_variant"))))
-    name, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
+    name, turns = F.lit(None).cast("string"), none
     for layout in LAYOUTS:
         fits = F.col("_print").isin([F.xxhash64(F.lit(shape)) for shape in layout.shapes])
         name = F.when(fits, layout.name).otherwise(name)
@@ -166,7 +199,7 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def turn_rows_as_records(rows: DataFrame) -> DataFrame:
-    """conv_id and a record of the messages layout from a table of conv_id, turn, role, text."""
+    """conv_id and a typed record of the messages layout from a table of conv_id, turn, role, text."""
     said = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", said.alias("m")))).alias("all"))
-    return grouped.select("conv_id", F.to_json(F.struct(F.col("all.m").alias("messages"))).alias("record"))
+    return grouped.select("conv_id", F.struct(F.col("all.m").alias("messages")).alias("record"))

@@ -32,7 +32,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = "</s>[INST] ok [/INST]"
     own = F.to_json(F.struct(F.lit(mark).alias("instruction"), F.lit(mark).alias("output")))
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), own.alias("record"))
-    made = format_chats(canonical_turns(records.unionByName(extra)), "conv_id")
+    turns = canonical_turns(records).drop("record").unionByName(canonical_turns(extra).drop("record"))
+    made = format_chats(turns, "conv_id")
     read = made.select("conv_id", "layout", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return read.select(

@@ -2,6 +2,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fathom.llm.chat_format import canonical_turns, escape, fingerprint, format_chats, loss_text, read_back, turn_rows_as_records, unescape
@@ -88,3 +89,24 @@ def test_embeddings_equal_brute_force(spark):
         assert found[i] == (0, i, True)
     assert found[2007] == (1, 2007, True) and found[2008] == (1, 2007, False)
     assert embedding_duplicates(table.limit(0)).count() == 0
+
+
+def test_very_long_turns_keep_their_conversation(spark, tmp_path):
+    """One turn above what the JSON parser takes, as a table of turns and as JSON."""
+    long = F.repeat(F.lit("lörem "), 3_600_000)
+    turns = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant"), (1, 2, "user")], "conv_id long, turn long, role string")
+    turns = turns.withColumn("text", F.when(F.col("turn") == 1, long).otherwise(F.concat(F.lit("hi "), "turn")))
+    records = turn_rows_as_records(turns)
+    whole = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.to_json(F.struct(long.alias("prompt"), F.lit("ok").alias("completion"))).alias("record"))
+    sizes = lambda made: [tuple(r) for r in made.select("layout", F.transform("turns", lambda t: F.char_length(t["text"])).alias("n")).collect()]
+    assert sizes(canonical_turns(records)) == [("messages", [4, 21_600_000, 4])]
+    assert sizes(canonical_turns(whole)) == [("prompt", [21_600_000, 2])]
+    assert [r.n_turns for r in format_chats(canonical_turns(records), "conv_id").select("n_turns").collect()] == [3]
+
+
+def test_json_too_large_to_parse_is_an_error(spark):
+    broken = spark.range(1).select(F.concat(F.lit('{"prompt": "'), F.repeat(F.lit("a"), 21_000_000), F.lit('", }')).alias("record"))
+    with pytest.raises(Exception, match="cannot be parsed"):
+        canonical_turns(broken).select("layout").collect()
+    plain = spark.range(1).select(F.repeat(F.lit("a "), 11_000_000).alias("record"))
+    assert [r.layout for r in canonical_turns(plain).select("layout").collect()] == [None]

@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison.
 
-Paragraphs (lines of text) are described by their word 1- to 3-grams.  A softmax regression
+Paragraphs are lines of text, and runs of neighbouring lines, as licence headers are often
+hard-wrapped.  They are described by their word 1- to 3-grams.  A softmax regression
 with one sparse weight per gram and family is trained, here, on the templates below, varied
 by dropping, doubling and swapping words, against paragraphs of ordinary prose and of legal
 words that grant nothing.  The unknown class is calibrated on held-out variants: a family
@@ -8,9 +9,9 @@ counts only if its probability reaches the level that no unknown variant reached
 prediction stands only if enough of the grams of one of the family's templates are there.
 
 Scoring is DataFrame work: grams are joined to the weight table, which is as large as the
-templates make it, and summed by paragraph.  A template can only be confirmed through its
-``anchors``, rare words of which every confirmed paragraph has one, so paragraphs without
-any are passed over before grams are made.
+templates make it, and summed by paragraph.  Texts and runs without any of ``required`` are
+passed over before grams are made; that loses nothing, since a template has fewer grams
+outside its required ones than a confirmation takes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import random
 import re
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.graph import cut
@@ -73,9 +74,6 @@ OTHERS = (
     "This work is about the history of trade.", "This document describes the weather of the north.", "All of the above.", "Reserved seats are in the front row.",
     "in the and of with for to a is that it on as by at from", "to the extent possible the author has written this by hand", "for all and by any version",
 )
-#: Every confirmed paragraph has one of these words.
-ANCHORS = ("licen[cs]e", "licensed", "copyright", "rights", "permission", "permitted", "redistribut", "spdx", "public domain", "cc0", "cc by")
-
 GRAM = 3
 CONFIRM = 0.6
 _WORD = re.compile(r"[a-z0-9]+")
@@ -86,6 +84,32 @@ def grams(text: str) -> set[str]:
     return {" ".join(words[i : i + n]) for n in range(1, GRAM + 1) for i in range(len(words) - n + 1)}
 
 
+_COMMON = frozenset("in the and of with for to a is that it on as by at from this be may or not you can all".split())
+
+
+@cache
+def required() -> tuple[str, ...]:
+    """Grams of several words such that whatever has CONFIRM of a template's grams has one of them."""
+    out: set[str] = set()
+    for text in (t for ts in TEMPLATES.values() for t in ts):
+        own = grams(text)
+        several = sorted((g for g in own if " " in g), key=lambda g: (sum(w in _COMMON for w in g.split()) / len(g.split()), len(g.split()), g))
+        enough = len(own) - math.ceil(CONFIRM * len(own) - 1e-9) + 1
+        if len(several) < enough:
+            raise ValueError(f"too short a template: {text}")
+        out.update(several[:enough])
+    # A gram that holds another required one adds nothing.
+    return tuple(sorted(g for g in out if not any(f" {h} " in f" {g} " for h in out if h != g)))
+
+
+def _has_required(text: Column) -> Column:
+    rests: dict[str, list[str]] = {}
+    for gram in required():
+        first, rest = gram.split(" ", 1)
+        rests.setdefault(first, []).append(rest.replace(" ", "[^a-z0-9]+"))
+    return text.rlike("(?<![a-z0-9])(?:" + "|".join(f"{w}[^a-z0-9]+(?:{'|'.join(r)})" for w, r in rests.items()) + ")(?![a-z0-9])")
+
+
 def _vary(text: str, rng: random.Random) -> str:
     words = text.split()
     for _ in range(rng.randint(0, 2)):
@@ -135,9 +159,13 @@ def train(seed: int = 3, copies: int = 12, epochs: int = 60, rate: float = 0.5)
     return weights, bias, min(level, 0.9)
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def _gram_column(text: Column) -> Column:
     """Distinct 1- to GRAM-grams; each order is zipped from the one before, in linear time."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    words = _words(text)
     orders = [words]
     for n in range(2, GRAM + 1):
         # zip_with pads the shorter side with nulls, which make null grams.
@@ -151,8 +179,45 @@ def _weight_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(g, [w[f] for f in [*TEMPLATES, "unknown"]]) for g, w in sorted(weights.items())], "gram string, weight array<double>")
 
 
+def _runs(docs: DataFrame) -> DataFrame:
+    """Lines and runs of neighbouring lines that may be notices: doc_id, text_key, block, paragraph, last, line.
+
+    ``paragraph`` and ``last`` are the numbers of the first and last line, ``line`` the words.
+    A run goes on for as many lines as begin within the words of one and a half of the
+    longest template after its first line; a line without words ends it.
+    """
+    reach = math.ceil(1.5 * max(len(_WORD.findall(t.lower())) for ts in TEMPLATES.values() for t in ts))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(_has_required(F.lower("text")))
+    each = texts.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).distinct()
+    each = each.withColumn("words", _words(F.col("line"))).withColumn("n", F.size("words"))
+    order = Window.partitionBy("doc_id", "text_key").orderBy("paragraph")
+    each = each.withColumns({"end": F.sum("n").over(order), "block": F.sum((F.col("n") == 0).cast("int")).over(order)}).where("n > 0")
+    own = F.struct("paragraph", F.array_join("words", " ").alias("line"))
+    block = Window.partitionBy("doc_id", "text_key", "block").orderBy("end")
+    each = each.select("doc_id", "text_key", "block", "end", own.alias("own")).withColumn("next", F.lead("own").over(block))
+    # Lines that end within reach, and the one that begins there.
+    ahead = F.collect_list(F.struct("own", "next")).over(block.rangeBetween(0, reach - 2))
+    run = each.select("doc_id", "text_key", "block", ahead.alias("ahead"))
+    lines = F.array_compact(F.concat(F.col("ahead.own"), F.array(F.element_at("ahead", -1)["next"])))
+    run = run.select("doc_id", "text_key", "block", lines.alias("lines")).where(_has_required(F.array_join(F.col("lines.line"), " ")))
+    some = run.select("doc_id", "text_key", "block", F.col("lines")[0]["paragraph"].alias("paragraph"), "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("k"))
+    made = some.select("doc_id", "text_key", "block", "paragraph", F.col("lines")[F.col("k") - 1]["paragraph"].alias("last"), F.array_join(F.slice(F.col("lines.line"), F.lit(1), F.col("k")), " ").alias("line"))
+    return made.where(_has_required(F.col("line")))
+
+
+def _apart(found: DataFrame) -> DataFrame:
+    """Of runs that share lines, the best: single lines, then by overlap, then the shortest."""
+    many = F.col("last") > F.col("paragraph")
+    rank = F.struct(many.alias("many"), (-F.col("overlap")).alias("lack"), (F.col("last") - F.col("paragraph")).alias("more"), "paragraph", "last", "family", "probability", "overlap")
+    blocks = found.groupBy("doc_id", "text_key", "block").agg(F.sort_array(F.collect_list(rank)).alias("all"))
+    free = lambda kept, x: ~F.exists(kept, lambda k: (k["paragraph"] <= x["last"]) & (x["paragraph"] <= k["last"]))
+    single = F.filter("all", lambda x: ~x["many"])
+    kept = F.aggregate(F.filter("all", lambda x: x["many"]), single, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return blocks.select("doc_id", F.inline(kept)).select("doc_id", "paragraph", "family", "probability", "overlap")
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """One row per licence notice: doc_id, paragraph (number from 0), family, probability, overlap.
+    """One row per licence notice: doc_id, paragraph (number of its first line from 0), family, probability, overlap.
 
     ``overlap`` is the share of grams of the family's closest template that the paragraph
     has.  Null and empty texts have no paragraphs.  A repeated row gives its notices once.
@@ -160,8 +225,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     names = [*TEMPLATES, "unknown"]
     _, bias, level = train()
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("paragraph", "line"))
-    near = cut(lines.where(F.lower("line").rlike("|".join(ANCHORS))).distinct())
+    near = cut(_runs(docs))
     # One paragraph's grams are scored once however many documents share it.
     unique = near.select("line").distinct()
     gram = unique.select("line", F.explode(_gram_column(F.col("line"))).alias("gram"))
@@ -179,4 +243,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     shape = spark.createDataFrame(shapes, "family string, template int, gram string, size int")
     shared = gram.join(F.broadcast(shape), "gram").groupBy("line", "family", "template", "size").count()  # bounded by TEMPLATES
     best = shared.groupBy("line", "family").agg(F.max(F.col("count") / F.col("size")).alias("overlap")).where(F.col("overlap") >= CONFIRM)
-    return near.join(scored.join(best, ["line", "family"]), "line").select("doc_id", "paragraph", "family", "probability", "overlap")
+    return _apart(near.join(scored.join(best, ["line", "family"]), "line"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, quality, secrets, substring_dedup
+from fathom.llm import decontaminate, license_scan, quality, secrets, substring_dedup
 from fathom.llm.html_text import extract_main_text, main_text
 from fathom.llm.license_scan import scan_licenses
 from fathom.llm.mixing import mix_sources, poisson_count
@@ -204,6 +204,26 @@ def test_license_families(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_wrapped_notices(spark):
+    wrapped = {
+        1: ("mit", 2, "intro words here\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal in\nthe Software without restriction\nand then some prose"),
+        2: ("bsd", 0, "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n#\n# more"),
+        3: ("gpl", 1, "a title of the file\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation\n"),
+        4: ("mit", 0, "\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction".split())),
+        5: ("proprietary", 1, "plain\nThis document is confidential and may not be reproduced without written consent.\nplain"),
+    }
+    rows = [(i, t) for i, (_, _, t) in wrapped.items()] + [(6, "He walked home\nand under the general\nterms of the day\nhe slept")]
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.family, r.paragraph) for r in found) == [(i, f, k) for i, (f, k, _) in wrapped.items()]
+
+
+def test_required_grams_lose_no_notice():
+    for text in (t for ts in license_scan.TEMPLATES.values() for t in ts):
+        own = license_scan.grams(text)
+        without = [g for g in own if not any(f" {r} " in f" {g} " for r in license_scan.required())]
+        assert len(without) < license_scan.CONFIRM * len(own)
+
+
 # --- mixing
 
 

@@ -106,7 +106,7 @@ def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), inside=True)
 
 
 def op7_itq_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 A gear hash over the last ``WINDOW`` bytes cuts a text wherever its top bits are zero, so
 cuts depend on nearby content only and an insertion moves no cut beyond it.  A chunk that
-also occurs in a document with a smaller doc_id repeats it.  Neighbouring repeated chunks
-join to spans, and spans of at least ``LEAST_BYTES`` are reported; shorter ones are phrases
-that texts share by chance.  Repeats inside one document are not looked at.
+also occurs in a document with a smaller doc_id repeats it; with ``inside``, so does one that
+occurs earlier in the same document.  Neighbouring repeated chunks join to spans, and spans
+of at least ``LEAST_BYTES`` are reported; shorter ones are phrases that texts share by chance.
 
 Chunks are compared by 64 bits of BLAKE2b.  Two unrelated chunks agree with a chance of
 2^-64, and a span needs a long chunk or several in a row, so a false span is out of reach
@@ -90,12 +90,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
             text = np.searchsorted(piece.starts, begin, "right") - 1
             begin, end = begin - piece.starts[text], end - piece.starts[text]
-            columns = [np.frombuffer(digest, np.int64), ids[piece.first + text], begin.astype(np.int32), end.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc_id", "start_byte", "end_byte"])
+            digest = np.frombuffer(digest, np.int64)
+            order = np.lexsort((digest, text))  # stable, so of equal chunks of a text the earliest comes first
+            again = np.zeros(len(order), bool)
+            again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+            columns = [digest, ids[piece.first + text], begin.astype(np.int32), end.astype(np.int32), again]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc_id", "start_byte", "end_byte", "again"])
 
 
-def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """One row per span that repeats text of earlier documents.
+def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES, inside: bool = False) -> DataFrame:
+    """One row per span that repeats text of earlier documents or, with ``inside``, earlier text of its own.
 
     Columns: doc_id, start_byte and end_byte in the UTF-8 text (end exclusive), chunks,
     first_doc_ids (sorted documents in which its chunks occur first).  Null and empty
@@ -103,12 +107,14 @@ def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     nothing of each other.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chunks = texts.mapInArrow(_chunks, "digest long, doc_id long, start_byte int, end_byte int")
-    shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last")
+    chunks = texts.mapInArrow(_chunks, "digest long, doc_id long, start_byte int, end_byte int, again boolean")
+    if not inside:
+        chunks = chunks.withColumn("again", F.lit(False))
+    shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.max("again").alias("any")).where("first_doc_id < last or any")
     # Written first: straight from the aggregate, the join below would inherit its partitions,
     # and adaptive execution could not split that of a very common chunk.
     shared = cut(shared)
-    again = chunks.join(shared.drop("last"), "digest").where("doc_id > first_doc_id").drop("digest").distinct()
+    again = chunks.join(shared.drop("last", "any"), "digest").where("doc_id > first_doc_id or again").drop("digest", "again").distinct()
     order = Window.partitionBy("doc_id").orderBy("start_byte")
     fresh = F.coalesce(F.lag("end_byte").over(order) != F.col("start_byte"), F.lit(True)).cast("int")
     island = again.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
@@ -121,9 +127,9 @@ def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     return spans.where(F.col("end_byte") - F.col("start_byte") >= least_bytes).drop("island")
 
 
-def remove_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES, inside: bool = False) -> DataFrame:
     """``docs`` with repeated spans cut out of text; n_chars, if there, follows."""
-    spans = repeated_spans(docs, least_bytes).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
+    spans = repeated_spans(docs, least_bytes, inside).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
     joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     names = docs.columns
     at = names.index("text")

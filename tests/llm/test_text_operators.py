@@ -188,6 +188,20 @@ def test_repeated_passages_and_shifts(spark):
     assert substring_dedup.repeated_spans(docs.limit(0)).count() == 0
 
 
+def test_repeats_inside_one_document(spark):
+    rng = random.Random(12)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    plate = own(60)
+    text = " ".join([own(30), plate, own(30), plate, own(30), plate])
+    docs = spark.createDataFrame([(1, text), (1, text), (2, own(90)), (3, "x " + plate), (None, "y " + plate)], "doc_id long, text string")
+    found = sorted(substring_dedup.repeated_spans(docs, inside=True).collect())
+    assert [(r.doc_id, r.first_doc_ids) for r in found] == [(1, [1]), (1, [1]), (3, [1])]
+    assert all(text.index(plate) + len(plate) < r.start_byte for r in found[:2])
+    clean = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs, inside=True).collect()}
+    assert clean[1].count(plate[100:-100]) == 1 and plate in clean[1]
+    assert {r.doc_id for r in substring_dedup.repeated_spans(docs).collect()} == {3}
+
+
 # --- licence scan
 
 

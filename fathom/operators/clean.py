@@ -83,3 +83,32 @@ def session_features(ts: str | Column) -> dict[str, Column]:
     progress = F.when(night, (minute - 1260) / 120).when(day, (minute - 540) / 360).otherwise(0.5)
     progress = F.greatest(F.lit(0.0), F.least(F.lit(1.0), progress))
     return {"is_night": night.cast("int"), "progress": progress, "session_sin": F.sin(F.pi() * progress)}
+
+
+def carried(df: DataFrame, key: str, day: str, order: Sequence[str], x: str) -> DataFrame:
+    """``df`` with last (``x`` filled forward), first (of the key), running_mean and mean of ``x`` per key.
+
+    In two steps, so that no task takes a whole key: rows are scanned by key and day, and what
+    earlier days leave behind comes from a table of one row a key and day.
+    """
+    there = F.when(F.col(x).isNotNull(), F.struct(*order))
+    days = df.groupBy(F.col(key).alias("_key"), F.col(day).alias("_day")).agg(
+        F.min_by(x, there).alias("_first"), F.max_by(x, there).alias("_last"), F.sum(x).alias("_sum"), F.count(x).alias("_n")
+    )
+    by_day = Window.partitionBy("_key").orderBy("_day")
+    before, whole = by_day.rowsBetween(Window.unboundedPreceding, -1), by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = days.select(
+        "_key",
+        "_day",
+        F.last("_last", True).over(before).alias("_last"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_sum"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
+        F.first("_first", True).over(whole).alias("first"),
+        F.try_divide(F.sum("_sum").over(whole), F.sum("_n").over(whole)).alias("mean"),
+    )
+    own = Window.partitionBy(key, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    made = df.join(left, F.col(key).eqNullSafe(F.col("_key")) & F.col(day).eqNullSafe(F.col("_day"))).withColumns({
+        "last": F.coalesce(F.last(x, True).over(own), F.col("_last")),
+        "running_mean": F.try_divide(F.col("_sum") + F.coalesce(F.sum(x).over(own), F.lit(0.0)), F.col("_n") + F.count(x).over(own)),
+    })
+    return made.drop("_key", "_day", "_last", "_sum", "_n")

@@ -12,7 +12,6 @@ from fathom.operators.frames import daily_bars, hourly_bars, quotes, ticks
 from fathom.plans.registry import BARS, QUOTES, TICKS, W, lag, query, roll, rounded
 
 S = Series()
-T = Series(("symbol",), ("ts", "seq"))
 
 
 @query("a1_projected_scan", "SELECT o_orderkey, o_orderdate, round(o_totalprice, 2) AS price FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1999-01-01'")
@@ -60,10 +59,9 @@ def _gappy(spark, sf_dir) -> DataFrame:
 )
 def fills(spark, sf_dir) -> DataFrame:
     """Infinities to NULL, forward and backward fill, expanding and whole-sample fallback."""
-    df = clean.finite_columns(_gappy(spark, sf_dir), ["x"]).withColumn("g", T.ffill("x"))
-    whole = F.avg("x").over(Window.partitionBy("symbol"))
+    df = clean.carried(clean.finite_columns(_gappy(spark, sf_dir), ["x"]), "symbol", "trading_date", ["ts", "seq"], "x")
     return rounded(
-        df.select("symbol", "seq", F.col("x").alias("finite"), F.col("g").alias("forward"), F.coalesce("g", T.bfill("g")).alias("both_ways"), F.coalesce("x", F.avg("x").over(T.so_far), whole).alias("fallback")), 10
+        df.select("symbol", "seq", F.col("x").alias("finite"), F.col("last").alias("forward"), F.coalesce("last", "first").alias("both_ways"), F.coalesce("x", "running_mean", "mean").alias("fallback")), 10
     )
 
 
@@ -114,8 +112,9 @@ def lags(spark, sf_dir) -> DataFrame:
 def phi(spark, sf_dir) -> DataFrame:
     """Standardised tick prices through the normal distribution function."""
     df = ticks(spark, sf_dir)
-    whole = Window.partitionBy("symbol")
-    z = ratio(F.col("price") - F.avg("price").over(whole), F.stddev_samp("price").over(whole))
+    whole = df.groupBy("symbol").agg(F.avg("price").alias("mean"), F.stddev_samp("price").alias("std"))
+    df = df.join(F.broadcast(whole.withColumnRenamed("symbol", "_symbol")), F.col("symbol").eqNullSafe(F.col("_symbol")))  # one row a symbol
+    z = ratio(F.col("price") - F.col("mean"), F.col("std"))
     return df.select("symbol", "seq", F.round(normal_cdf(z), 6).alias("p"))
 
 

@@ -237,3 +237,28 @@ def test_cleaning(spark):
     assert clean.project(df, "x_", ["other", "x_a", "absent"]).columns == ["x_a", "x_b", "other"]
     assert clean.lag_expand(df, ["x_a"], Series(), per_column={"x_a": 3}).columns[-2:] == ["x_a_1", "x_a_2"]
     assert clean.deltas(df, ["x_a"], Series()).count() == 3
+
+
+@pytest.mark.parametrize("name", ["b8_fill", "b21_normal_cdf"])
+def test_tick_windows_are_by_symbol_and_day(spark, sf_dir, name):
+    """No window has all ticks of a symbol in one partition: windows over the symbol alone take rows a day."""
+    from fathom import catalog
+
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    assert all("_key#" in w or "trading_date#" in w for w in windows), windows
+
+
+def test_carried_equals_whole_windows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, k // 10, k, None if rng.random() < 0.4 or k < 12 else float(rng.integers(0, 9))) for s in ("a", "b") for k in range(60)]
+    rows += [(None, 1, 1, 2.0), ("c", 1, 1, None), ("a", None, 100, 3.0)]
+    rows = [(s, d, k - 200 if d is None else k, v) for s, d, k, v in rows]
+    found = clean.carried(spark.createDataFrame(rows, "symbol string, day int, k int, x double").repartition(5), "symbol", "day", ["k"], "x").collect()
+    assert len(found) == len(rows)
+    for r in found:
+        own = [v for s, _, _, v in sorted(rows, key=lambda q: q[2]) if s == r.symbol and v is not None]
+        seen = [v for s, _, k, v in sorted(rows, key=lambda q: q[2]) if s == r.symbol and v is not None and k <= r.k]
+        assert (r["last"], r["first"]) == (seen[-1] if seen else None, own[0] if own else None)
+        assert r.running_mean == (pytest.approx(sum(seen) / len(seen)) if seen else None)
+        assert r["mean"] == (pytest.approx(sum(own) / len(own)) if own else None)

@@ -471,20 +471,20 @@ def scored_sets(spark, sf_dir) -> DataFrame:
 
 @query("j11_factor_clusters")
 def factor_clusters(spark, sf_dir) -> DataFrame:
-    """Clusters of 16 factor columns by correlation, and a diverse pick of them.
+    """Clusters of all factor columns by correlation, and a diverse pick of them.
 
     The number of factors is fixed, so the correlations that reach the driver are too.
     """
     import numpy as np
 
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(F.slice("embedding", 1, 16)).alias("f", "v"))
-    pairs = C.correlations(vectors.withColumn("v", F.col("v").cast("double")), "vec_id", "f", "v").collect()
-    distance = np.zeros((16, 16))
+    pairs = C.column_correlations(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding").collect()
+    n = 1 + max((p.b for p in pairs), default=0)
+    distance = np.zeros((n, n))
     for p in pairs:
         distance[p.a, p.b] = distance[p.b, p.a] = 1 - abs(p["corr"] or 0.0)
     ward, average = C.linkage_clusters(distance, 4), C.linkage_clusters(distance, 4, method="average")
-    picked = C.greedy_diverse({str(i): float(-distance[i].mean()) for i in range(16)}, {(str(p.a), str(p.b)): p["corr"] or 0.0 for p in pairs}, 5)
-    return spark.createDataFrame([(i, ward[i], average[i], str(i) in picked) for i in range(16)], "factor int, ward int, average int, picked boolean")
+    picked = C.greedy_diverse({str(i): float(-distance[i].mean()) for i in range(n)}, {(str(p.a), str(p.b)): p["corr"] or 0.0 for p in pairs}, 5)
+    return spark.createDataFrame([(i, ward[i], average[i], str(i) in picked) for i in range(n)], "factor int, ward int, average int, picked boolean")
 
 
 @query(

@@ -262,3 +262,18 @@ def test_carried_equals_whole_windows(spark):
         assert (r["last"], r["first"]) == (seen[-1] if seen else None, own[0] if own else None)
         assert r.running_mean == (pytest.approx(sum(seen) / len(seen)) if seen else None)
         assert r["mean"] == (pytest.approx(sum(own) / len(own)) if own else None)
+
+
+def test_correlations_take_every_component(spark, sf_dir):
+    from fathom import catalog
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 40)) + 1000
+    x[:, 39] = x[:, 0] + 0.1 * x[:, 39]
+    rows = [([None if i == 3 and j == 5 else float(v) for j, v in enumerate(r)],) for i, r in enumerate(x)] + [(None,)]
+    found = {(r.a, r.b): r["corr"] for r in C.column_correlations(spark.createDataFrame(rows, "v array<double>").repartition(3), "v").collect()}
+    assert len(found) == 40 * 39 // 2
+    for (a, b), c in found.items():
+        keep = np.arange(200) != (3 if 5 in (a, b) else -1)
+        assert abs(c - np.corrcoef(x[keep, a], x[keep, b])[0, 1]) < 1e-9
+    assert catalog.QUERIES["j11_factor_clusters"](spark, sf_dir).count() == 64

@@ -267,7 +267,7 @@ FACTOR_NAMES = ("ret", "rel_vol", "close_position")
       round(avg(CASE WHEN abs(ic) > 0.02 THEN 1.0 ELSE 0 END), 6) AS hit_rate FROM i GROUP BY 1""",
 )
 def segment_icir(spark, sf_dir) -> DataFrame:
-    """Spearman by 100-row segments, then the ranking of factors."""
+    """Spearman by 100-row segments, then the ranking of factors."""
     ics = C.segment_ic(_matrix(spark, sf_dir), ["symbol"], "ts", FACTOR_NAMES, "label", 100)
     return rounded(C.ic_summary(ics, ["factor"]))
 
@@ -425,7 +425,7 @@ def segment_table(spark, sf_dir) -> DataFrame:
 
 @query("i15_boosted_trees")
 def boosted_trees(spark, sf_dir) -> DataFrame:
-    """Two-phase boosted trees, fitted on the first part of time and applied to the rest."""
+    """Two-phase boosted trees, fitted on the first part of time and applied to the rest."""
     from fathom.operators import boosting
 
     rows = _matrix(spark, sf_dir)
@@ -455,7 +455,7 @@ def stacking(spark, sf_dir) -> DataFrame:
 
 @query("j10_icir_composite")
 def icir_composite(spark, sf_dir) -> DataFrame:
-    """Weights from the ICIR of trailing segments, held until the next refresh."""
+    """Weights from the ICIR of trailing segments, held until the next refresh."""
     rows = _matrix(spark, sf_dir)
     ics = C.segment_ic(rows, ["symbol"], "ts", FACTOR_NAMES, "label", 50)
     weights = C.refresh_weights(ics, 6, 0.1)
@@ -464,7 +464,7 @@ def icir_composite(spark, sf_dir) -> DataFrame:
 
 @query("j15_scored_sets")
 def scored_sets(spark, sf_dir) -> DataFrame:
-    """Every set of up to three factors, scored with guards in one job."""
+    """Every set of up to three factors, scored in one job with the guards for size and instability."""
     ics = C.segment_ic(_matrix(spark, sf_dir), ["symbol"], "ts", (*FACTOR_NAMES, "delta_z"), "label", 100)
     return C.score_sets(C.candidate_sets([*FACTOR_NAMES, "delta_z"], 3, spark), ics)
 

@@ -40,6 +40,13 @@ _NAMED = frozenset(
     " trending popular share sharing social follow footer contentinfo complementary comment comments commentlist respond reply replies discussion disqus newsletter subscribe"
     " subscription signup signin login register search searchform form toc skip copyright masthead topbar".split()
 )
+#: Of these, words that a wrapper of the whole page carries too, for its layout.
+_LAYOUT = frozenset("sidebar aside rail banner nav navbar navigation menu toolbar topbar masthead footer overlay modal cookie cookies consent ad ads adv skip".split())
+#: Whole names that mark even an article element as something else.
+_NO_ARTICLE = frozenset("ad ads advert advertisement sponsored promo promoted comment reply".split())
+_STATES = frozenset("has have with without no not is hide hidden show".split())
+_FRAMES = frozenset("wrap wrapper inner outer container area box block section row holder layout list links buttons title".split())
+_CONTENT = frozenset("content main primary body page article".split())
 _HEADS = frozenset("header head top".split())
 #: Class or id values, and item properties, that mark the article where no element does.
 _BODY = re.compile(r"(?:^|\s)(?:(?:article|post|entry|story|news|blog|main|page)[-_]?(?:content|body|text|main)|articlebody|article|post|entry|story|content)(?=\s|$)")
@@ -54,30 +61,73 @@ class Block(NamedTuple):
     aside: bool
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element is named as something else, as a page header, and as the article."""
-    aside, head, body = name in _ASIDE, name == "header", name in ("article", "main")
+def _named(token: str) -> set[str]:
+    """Words of ``_NAMED`` that a class, id or role is mainly about.
+
+    That is its first or last word, frames like ``-wrap`` left out.  States (``has-sidebar``)
+    and layouts of content (``content-sidebar-wrap``) are about something else.
+    """
+    words = _WORD.findall(token.split("--")[0])
+    if not words or words[0] in _STATES and len(words) > 1:
+        return set()
+    main = words[:]
+    while len(main) > 1 and main[-1] in _FRAMES:
+        main.pop()
+    if words[0] in _CONTENT and len(words) > 2 and words[-1] in _FRAMES and main[-1] in _LAYOUT:
+        return set()
+    return {main[0], main[-1]} & _NAMED
+
+
+class Marks(NamedTuple):
+    """``aside``: by the element itself; ``named``: words of class, id and role that say so."""
+
+    aside: bool
+    named: frozenset[str]
+    head: bool
+    body: bool
+
+
+def _marks(name: str, attributes: str) -> Marks:
+    """Whether an element is something else, a page header, and the article."""
+    aside, head, body, named, tokens = name in _ASIDE, name == "header", name in ("article", "main"), set(), []
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 aside = True
             elif key in ("class", "id", "role") and name not in ("body", "html", "main"):
-                words = set(_WORD.findall(value))
-                aside = aside or bool(words & _NAMED)
-                head = head or bool(words & _HEADS) and not re.match(r"h[1-6]$", name)
+                tokens += value.split()
+                head = head or bool(set(_WORD.findall(value)) & _HEADS) and not re.match(r"h[1-6]$", name)
                 body = body or value == "main" and key == "role" or bool(_BODY.search(value))
             elif key == "itemprop":
                 body = body or value == "articlebody"
-    return aside, head, body
+        for token in tokens:
+            named |= _named(token)
+        if body:
+            sure = set(tokens) & _NO_ARTICLE
+            named = set() if any(_BODY.search(t) for t in tokens) else sure
+    return Marks(aside, frozenset(named), head, body)
 
 
 def flat_blocks(page: str) -> list[Block]:
-    """Blocks of text in page order, white space turned into single blanks."""
+    """Blocks of text in page order, white space turned into single blanks.
+
+    If all articles of a page lie in elements whose class, id or role has a word of ``_LAYOUT``
+    only, those wrap the article and are not something else.
+    """
+    out, around = _blocks(page, frozenset())
+    if around and not any(b.article and not b.aside for b in out):
+        out, _ = _blocks(page, frozenset(around))
+    return out
+
+
+def _blocks(page: str, wrappers: frozenset[int]) -> tuple[list[Block], set[int]]:
+    """Blocks, and where the elements start that hold an article and are named by layout only."""
     out: list[Block] = []
+    around: set[int] = set()
     text: list[str] = []
     linked: list[str] = []
-    held: list[tuple[str, bool, bool]] = []  # open elements: name, article, aside
+    held: list[tuple[str, bool, bool, int]] = []  # open elements: name, article, aside, start if named by layout only
     article = aside = False
     link, at, skip = False, 0, ""
 
@@ -141,17 +191,21 @@ def flat_blocks(page: str) -> list[Block]:
                 if name in ("p", "li") and held and held[-1][0] == name:
                     held.pop()
                     article, aside = (held[-1][1], held[-1][2]) if held else (False, False)
-                other, head, body = _marks(name, attributes)
-                now = aside or other or head and not article
+                marks = _marks(name, attributes)
+                body, layout = marks.body, bool(marks.named) and not marks.aside and marks.named <= _LAYOUT
+                other = marks.aside or bool(marks.named) and not (layout and tag.start() in wrappers)
+                now = aside or other or marks.head and not article
+                if body:
+                    around.update(h[3] for h in held if h[3] >= 0)
                 if name in _INLINE and now != aside:
                     close()
                 article = article or body and name not in _INLINE
                 aside = now
-                held.append((name, article, aside))
+                held.append((name, article, aside, tag.start() if layout else -1))
     if at < len(page) and not skip:
         text.append(html.unescape(page[at:]))
     close()
-    return out
+    return out, around
 
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "aside", "page_has_article")

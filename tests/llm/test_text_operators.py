@@ -279,6 +279,19 @@ def test_main_text():
     assert main_text(f"<div><a href=x>Home</a> <a href=y>News</a></div><div><p>{body}</p><p>{body}</p></div><div>Copyright us</div>") == f"{body}{body}".strip()
 
 
+def test_layout_wrappers_keep_the_article():
+    body = " ".join(["word"] * 40)
+    side = "<div class='sidebar'><p>one two three</p></div><div class='post-comments'><p>so good</p></div>"
+    for wrapped in (
+        f'<div class="content has-sidebar"><p>{body}</p></div>', f'<div class="content-sidebar-wrap"><p>{body}</p></div>', f'<div class="content-sidebar-wrap"><article><p>{body}</p></article></div>',
+        f'<article class="post tag-social"><p>{body}</p></article>', f'<article class="related-news entry"><p>{body}</p></article>', f'<div id="sidebar-right"><div class="row"><article><p>{body}</p></article></div></div>',
+    ):
+        assert main_text(f"{side}{wrapped}{side}") == body, wrapped
+    for other in ("site-footer", "main-nav", "nav-wrapper", "cookie-notice", "comments-area", "google-ad", "site-footer-inner"):
+        assert main_text(f'<article><p>{body}</p><div class="x {other}"><p>no</p></div></article><div id="{other}"><article class="y"><p>no</p></article></div>') == body, other
+    assert main_text(f'<article><p>{body}</p></article><article class="comment"><p>no</p></article>') == body
+
+
 def test_extract_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 2), (3, "v", "", 3), (4, "w", "<article>" + "<p>long</p>" * 40_000, 4)], "page_id long, url string, html string, text int")
     found = extract_main_text(pages).collect()

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,32 +72,13 @@ def correlations(df: DataFrame, row: str, name: str, value: str) -> DataFrame:
 def column_correlations(df: DataFrame, column: str) -> DataFrame:
     """Pearson correlation of all pairs of components of an array column: (a, b, corr) with a < b, from 0.
 
-    Each batch of rows gives its sums of products, so no row is exploded into pairs.  Null and
-    NaN components are left out pair by pair.
+    Pairs are made within a row and summed before they are shuffled.  Null and NaN components
+    are left out pair by pair.
     """
-    values = df.select(F.col(column).cast("array<double>").alias("v")).where("v is not null")
-    size = values.agg(F.max(F.size("v"))).first()[0] or 0
-    first = values.first()
-    shift = np.zeros(size)  # near the values, against cancellation
-    if first:
-        shift[: len(first.v)] = np.nan_to_num(np.array(first.v, float), posinf=0, neginf=0)
-    left, right = np.triu_indices(size, 1)
-    names = ["a", "b", "n", "x", "y", "xx", "yy", "xy"]
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.full((batch.num_rows, size), np.nan)
-            for i, v in enumerate(batch.column(0).to_pylist()):
-                x[i, : len(v)] = np.array(v, float)
-            there = (~np.isnan(x)).astype(float)
-            x = np.where(there > 0, x - shift, 0.0)
-            own, square = x.T @ there, (x * x).T @ there
-            columns = [left, right, (there.T @ there)[left, right], own[left, right], own[right, left], square[left, right], square[right, left], (x.T @ x)[left, right]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    made = values.mapInArrow(sums, "a long, b long, n double, x double, y double, xx double, yy double, xy double").groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in names[2:]))
-    spread = lambda c: F.greatest(F.col("n") * F.col(c + c) - F.col(c) * F.col(c), F.lit(0.0))
-    return made.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), ratio(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), F.sqrt(spread("x")) * F.sqrt(spread("y"))).alias("corr"))
+    values = df.select(F.transform(F.col(column).cast("array<double>"), lambda v: F.when(~F.isnan(v), v)).alias("v"))
+    one = values.select("v", F.posexplode("v").alias("a", "x"))
+    two = one.select("a", "x", F.posexplode("v").alias("b", "y")).where("a < b and x is not null and y is not null")
+    return two.groupBy("a", "b").agg(correlation("x", "y").alias("corr"))
 
 
 def residual(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:

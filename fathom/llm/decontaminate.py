@@ -3,9 +3,13 @@
 Documents and benchmark items are sequences of lower-cased alphanumeric words.  Items that
 share runs of ``SEED`` words with a document are candidates; those whose seeds could not
 cover the asked share of the item are left out at once.  For the rest, the longest common
-runs that overlap no earlier one are marked again and again, found by running Karp-Rabin
-hashes at falling lengths.  The marked share of the item is its coverage, which does not
-depend on the order in which its parts occur.
+run that overlaps no earlier one is marked again and again, found by running Karp-Rabin
+hashes and confirmed word by word.  The marked share of the item is its coverage, which does
+not depend on the order in which its parts occur.
+
+Items are the query set: they are dealt by hash into blocks of at most ``BLOCK_CHARS``
+characters, and a block at a time is sent to the tasks that read the documents.  A larger
+benchmark means more blocks and the same work on each, so results do not depend on its size.
 """
 
 from __future__ import annotations
@@ -18,68 +22,134 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.words import ALNUM, Text, Words, mix, pieces, words
+from fathom.llm.words import ALNUM, Words, mix, pieces, words
 
 SEED = 4
 COVERAGE = 0.5
-#: Most words of all items together that are sent to the tasks (8 bytes each, twice).
-BROADCAST_WORDS = 2_000_000
+#: Most characters of the items of one block; a longer single item is a block of its own size.
+#: A task holds about 20 bytes for every character of a block.
+BLOCK_CHARS = 4_000_000
+#: Seeds of documents and items that are paired at once (24 bytes each).
+PAIRED = 1 << 20
 
-_BASE = 0x9FB21C651E98DF25
+_BASE = np.uint64(0x9FB21C651E98DF25)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_GATE = np.uint64((1 << 20) - 1)
 
 
 def running(tokens: np.ndarray, size: int) -> np.ndarray:
     """Karp-Rabin hash of each run of ``size`` tokens."""
-    if len(tokens) < size:
-        return np.zeros(0, np.uint64)
-    # By the binary digits of size: double the covered length, then add one token where set.
-    out, length = tokens, 1
-    for bit in bin(size)[3:]:
-        shift = np.uint64(pow(_BASE, length, 1 << 64))
-        out = out[: len(out) - length] * shift + out[length:]
-        length *= 2
-        if bit == "1":
-            out = out[: len(out) - 1] * np.uint64(_BASE) + tokens[length : length + len(out) - 1]
-            length += 1
-    return mix(out)
+    return Runs(tokens).hash(size) if len(tokens) >= size else np.zeros(0, np.uint64)
+
+
+class Runs:
+    """Rolling hashes of one sequence at any length, each in one pass over its prefix sums."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = tokens
+        steps = np.full((2, len(tokens) + 1), 1, np.uint64)
+        steps[0, 1:], steps[1, 1:] = _BASE, _BACK
+        up, self.down = np.multiply.accumulate(steps, axis=1)
+        self.sums = np.zeros(len(tokens) + 1, np.uint64)
+        np.cumsum(tokens * up[:-1], out=self.sums[1:])
+
+    def hash(self, size: int) -> np.ndarray:
+        return mix((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.down) - size])
+
+
+def _among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``few``, without sorting the many."""
+    few = np.unique(few)
+    return few[np.searchsorted(few, values).clip(max=len(few) - 1)] == values if len(few) else np.zeros(len(values), bool)
+
+
+def _open(free: np.ndarray, size: int) -> np.ndarray:
+    """Where runs of ``size`` unmarked tokens begin."""
+    taken = np.zeros(len(free) + 1, np.int64)
+    np.cumsum(~free, out=taken[1:])
+    return np.flatnonzero(taken[size:] == taken[: len(taken) - size])
+
+
+def _shared_part(item: Runs, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of ``doc`` inside runs of ``least`` that the item has, their places, and which are no gap."""
+    known = _among(running(doc, least), item.hash(least))
+    edge = np.zeros(len(doc) + 1, np.int64)
+    at = np.flatnonzero(known)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + least, -1)
+    inside = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    # One marked token stands for each gap, so that no run goes across it.
+    gaps = np.flatnonzero(np.diff(inside, prepend=-1) > 1)
+    places = np.insert(inside, gaps, inside[gaps] - 1)
+    free = np.insert(np.ones(len(inside), bool), gaps, False)
+    return doc[places], places, free
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (item position, document position, length), longest first."""
-    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
+    """Greedy string tiling: (item position, document position, length), longest first.
+
+    Of several longest runs the one that comes first in the item, then in the document, is
+    marked.  Lengths fall from one to the next by strides and bisection, each step linear in the tokens;
+    a tiling has at most sqrt(2 n) lengths, so repetitive texts cost no pairs of places.
+    """
+    if min(len(item), len(doc)) < least:
+        return []
+    one = Runs(item)
+    part, places, free_doc = _shared_part(one, doc, least)
+    two = Runs(part)
+    free_item = np.ones(len(item), bool)
     found: list[tuple[int, int, int]] = []
-    size = max(least, min(len(item), len(doc)))
-    while len(item) >= least and len(doc) >= least:
-        one, two = running(item, size), running(doc, size)
-        runs_one = np.concatenate([[0], np.cumsum(free_item)])
-        runs_two = np.concatenate([[0], np.cumsum(free_doc)])
-        open_one = np.flatnonzero(runs_one[size:] - runs_one[:-size] == size)
-        open_two = np.flatnonzero((runs_two[size:] - runs_two[:-size] == size) & np.isin(two, one[open_one]))
-        starts: dict[int, list[int]] = {}
-        for p in open_one:
-            starts.setdefault(int(one[p]), []).append(int(p))
-        matches = []
-        for t in open_two.tolist():
-            for p in starts.get(int(two[t]), ()):
-                n = 0
-                while p + n < len(item) and t + n < len(doc) and item[p + n] == doc[t + n] and free_item[p + n] and free_doc[t + n]:
-                    n += 1
-                if n >= size:
-                    matches.append((-n, p, t))
-        for n, p, t in sorted(matches):
-            if free_item[p : p - n].all() and free_doc[t : t - n].all():
-                free_item[p : p - n] = free_doc[t : t - n] = False
-                found.append((p, t, -n))
-        if size == least:
+
+    def common(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Open item places with their hashes, and open document places, that share a run."""
+        p, t = _open(free_item, size), _open(free_doc, size)
+        if not len(p) or not len(t):
+            return p[:0], p[:0], t[:0]
+        a, b = one.hash(size)[p], two.hash(size)[t]
+        ours = _among(b, a)
+        both = _among(a, b[ours])
+        return p[both], a[both], t[ours]
+
+    top = min(len(item), len(part))
+    while top >= least:
+        low, high, stride = least - 1, top, 1  # a run of ``low`` is there, one of ``high`` + 1 is not
+        while low < high:
+            # Stride down from the top, ever wider, until a run is found; then bisect.
+            size = max(high + 1 - stride, least) if low < least else (low + high + 1) // 2
+            stride *= 2
+            low, high = (size, high) if len(common(size)[0]) else (low, size - 1)
+        if low < least:
             break
-        size = max(least, size // 2)
+        size = low
+        p_all, hashes, t_all = common(size)
+        theirs = two.hash(size)[t_all]
+        order = np.argsort(theirs, kind="stable")
+        theirs, t_all = theirs[order], t_all[order]
+        next_at: dict[int, int] = {}
+        for p, h in zip(p_all.tolist(), hashes):
+            if not free_item[p] or not free_item[p + size - 1]:
+                continue
+            at, end = next_at.get(int(h), int(np.searchsorted(theirs, h, "left"))), int(np.searchsorted(theirs, h, "right"))
+            while at < end:
+                t = int(t_all[at])
+                taken = np.flatnonzero(~free_doc[t : t + size])
+                if len(taken):
+                    at += int(np.searchsorted(t_all[at:end], t + taken[-1] + 1))
+                elif not np.array_equal(item[p : p + size], part[t : t + size]):
+                    at += 1
+                else:
+                    free_item[p : p + size] = free_doc[t : t + size] = False
+                    found.append((p, int(places[t]), size))
+                    break
+            next_at[int(h)] = at
+        top = size - 1
     return found
 
 
 class Items(NamedTuple):
     """Benchmark items as token hashes, and their seeds sorted by hash."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     tokens: list[np.ndarray]
     seeds: np.ndarray
     owner: np.ndarray
@@ -87,7 +157,7 @@ class Items(NamedTuple):
     gate: np.ndarray
 
 
-def index_items(ids: list[int], texts: pa.Array) -> Items:
+def index_items(ids: list[int | None], texts: pa.Array) -> Items:
     tokens: list[np.ndarray] = []
     for piece in pieces(texts):
         found = words(piece, table=ALNUM)
@@ -95,12 +165,12 @@ def index_items(ids: list[int], texts: pa.Array) -> Items:
     seeds = [running(t, SEED) for t in tokens]
     n = [len(s) for s in seeds]
     everything = np.concatenate([np.zeros(0, np.uint64), *seeds])
-    owner = np.repeat(np.arange(len(seeds)), n)
-    place = np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in n)]).astype(np.int64)
+    owner = np.repeat(np.arange(len(seeds), dtype=np.int32), n)
+    place = np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)])
     order = np.argsort(everything, kind="stable")
     gate = np.zeros(1 << 20, bool)
-    gate[(everything & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return Items(np.array(ids, np.int64), tokens, everything[order], owner[order], place[order], gate)
+    gate[(everything & _GATE).astype(np.int64)] = True
+    return Items(list(ids), tokens, everything[order], owner[order], place[order], gate)
 
 
 def _candidates(found: Words, items: Items, coverage: float) -> Iterator[tuple[int, int]]:
@@ -108,22 +178,34 @@ def _candidates(found: Words, items: Items, coverage: float) -> Iterator[tuple[i
     if len(found.hash) < SEED or not len(items.seeds):
         return
     seeds = running(found.hash, SEED)
-    at = np.flatnonzero(items.gate[(seeds & np.uint64((1 << 20) - 1)).astype(np.int64)])
+    at = np.flatnonzero(items.gate[(seeds & _GATE).astype(np.int64)])
     text = np.searchsorted(found.first, at, "right") - 1
     whole = at + SEED <= found.first[text + 1]
     at, text = at[whole], text[whole]
     low, high = np.searchsorted(items.seeds, seeds[at], "left"), np.searchsorted(items.seeds, seeds[at], "right")
-    n = high - low
-    if not n.sum():
-        return
-    which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    hits = np.unique(np.stack([np.repeat(text, n), items.owner[which], items.place[which]], 1), axis=0)
-    edge = np.flatnonzero(np.r_[True, (hits[1:, :2] != hits[:-1, :2]).any(1)])
-    for a, b in zip(edge, [*edge[1:], len(hits)], strict=True):
-        own, size = hits[a, 1], len(items.tokens[hits[a, 1]])
-        covered = np.minimum(np.diff(np.r_[hits[a:b, 2], size + SEED]), SEED).sum()
-        if covered >= coverage * size:
-            yield int(hits[a, 0]), int(own)
+    hit = high > low
+    # A seed that a text repeats counts once.
+    pairs = np.unique(np.stack([text[hit], low[hit], high[hit]], 1), axis=0)
+    total = np.cumsum(pairs[:, 2] - pairs[:, 1])
+    last_of_text = np.flatnonzero(np.r_[pairs[1:, 0] != pairs[:-1, 0], True]) if len(pairs) else []
+    begin = 0
+    for end in last_of_text:
+        if end < len(pairs) - 1 and total[end] - (total[begin - 1] if begin else 0) < PAIRED:
+            continue
+        part, begin = pairs[begin : end + 1], end + 1
+        n = part[:, 2] - part[:, 1]
+        which = np.repeat(part[:, 1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        hits = np.stack([np.repeat(part[:, 0], n), items.owner[which], items.place[which]], 1)
+        hits = hits[np.lexsort(hits.T[::-1])]
+        edge = np.flatnonzero(np.r_[True, (hits[1:, :2] != hits[:-1, :2]).any(1)])
+        step = np.full(len(hits), SEED)
+        step[:-1] = np.minimum(np.diff(hits[:, 2]), SEED)
+        step[np.r_[edge[1:] - 1, len(hits) - 1]] = SEED
+        covered = np.add.reduceat(step, edge)
+        owners = hits[edge, 1]
+        sizes = np.array([len(t) for t in items.tokens])[owners]
+        for k in np.flatnonzero(covered >= coverage * sizes):
+            yield int(hits[edge[k], 0]), int(owners[k])
 
 
 def find_leaks(column: pa.Array, items: Items, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
@@ -138,95 +220,65 @@ def find_leaks(column: pa.Array, items: Items, coverage: float) -> Iterator[tupl
                 yield piece.first + text, own, covered, len(item), len(marked)
 
 
-_PAIRS = ["doc_id", "item_id", "covered", "item_words", "tiles"]
-_PAIRS_SQL = "doc_id long, item_id long, covered long, item_words long, tiles long"
-
-
-def _batch(ids: np.ndarray, leaks: list, items: Items) -> pa.RecordBatch:
-    rows = np.array(leaks, np.int64).reshape(-1, 5)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[rows[:, 0]], items.ids[rows[:, 1]], rows[:, 2], rows[:, 3], rows[:, 4])], _PAIRS)
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[Items]:
+    """The items as indexes of at most ``limit`` characters, or one item; one at a time on the driver."""
+    plain = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
+    size = plain.agg(F.sum(F.length("text")).alias("all"), F.max(F.length("text")).alias("longest")).first()
+    blocks = -(-(size["all"] or 0) // limit)
+    while blocks > 1:
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+        most = plain.groupBy(block.alias("b")).agg(F.sum(F.length("text")).alias("n")).agg(F.max("n").alias("n")).first().n
+        if most <= max(limit, size["longest"]):
+            break
+        blocks += -(-blocks // 4)
+    for b in range(blocks):
+        rows = plain.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        if rows:
+            yield index_items([r.item_id for r in rows], pa.array([r.text for r in rows], pa.large_string()))
 
 
-def _collected(benchmark: DataFrame) -> Items | None:
-    """The items, if the words of all of them are within the bound."""
-    plain = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
-    size = plain.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    if size > 2 * BROADCAST_WORDS:  # a word and its gap take two characters at least
-        return None
-    rows = plain.orderBy("item_id", "text").collect()
-    return index_items([r.item_id for r in rows], pa.array([r.text for r in rows], pa.large_string()))
+_PAIRS = ["doc_id", "item_id", "covered", "item_words", "tiles"]
+_PAIRS_SQL = "doc_id long, item_id long, covered long, item_words long, tiles long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item that it covers to ``coverage`` or more.
 
     Columns: doc_id, item_id, covered and item_words (words), tiles, coverage.  Null and
     empty texts cover nothing; items of fewer than ``SEED`` words cannot be told from
-    chance and match nothing.  A row repeated in either table gives its pairs once.
-
-    Items within ``BROADCAST_WORDS`` go to every task; a larger benchmark is joined to the
-    documents by shuffling seeds, after which each candidate pair is tiled on its own.
+    chance and match nothing.  A row repeated in either table gives its pairs once.  Rows
+    without doc_id or item_id count like others; those of one pair of ids are told together,
+    with the widest coverage among them.
     """
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = _collected(benchmark)
-    if items is not None:
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = docs.sparkSession.createDataFrame([], _PAIRS_SQL)
+    for items in _blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 leaks = list(find_leaks(batch.column(1), shared.value, coverage))
                 if leaks:
-                    yield _batch(batch.column(0).to_numpy(), leaks, shared.value)
+                    row, own, *rest = zip(*leaks, strict=True)
+                    ids = [batch.column(0).take(pa.array(row)), pa.array([shared.value.ids[k] for k in own], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, pa.int64()) for c in rest)], _PAIRS)
 
-        found = texts.mapInArrow(run, _PAIRS_SQL)
-    else:
-        found = _by_shuffle(texts, benchmark, coverage)
+        found = found.unionByName(texts.mapInArrow(run, _PAIRS_SQL))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "item_words", "tiles")).alias("b"))
     return best.select("doc_id", "item_id", "b.*").withColumn("coverage", F.col("covered") / F.col("item_words"))
 
 
-def _by_shuffle(texts: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
-    plain = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
-
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch.column(1)):
-                found = words(piece, table=ALNUM)
-                for i in range(len(found.first) - 1):
-                    own = np.unique(running(found.hash[found.first[i] : found.first[i + 1]], SEED)).view(np.int64)
-                    ids = pa.array(np.full(len(own), batch.column(0)[piece.first + i].as_py(), np.int64))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(own)], ["id", "seed"])
-
-    ours = plain.mapInArrow(seeds, "id long, seed long").withColumnRenamed("id", "item_id")
-    theirs = texts.mapInArrow(seeds, "id long, seed long").withColumnRenamed("id", "doc_id")
-    # A run of SEED words adds at most SEED covered words, so this many seeds are needed.
-    need = ours.groupBy("item_id").agg((F.ceil(F.count("*") * coverage / SEED)).alias("need"))
-    pairs = theirs.join(ours, "seed").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).join(need, "item_id").where("n >= need")
-    both = pairs.select("doc_id", "item_id").join(texts, "doc_id").join(plain.withColumnRenamed("text", "item"), "item_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                items = index_items([batch.column(1)[i].as_py()], batch.column(3).slice(i, 1).cast(pa.large_string()))
-                leaks = list(find_leaks(batch.column(2).slice(i, 1), items, coverage))
-                if leaks:
-                    yield _batch(batch.column(0).slice(i, 1).to_numpy(), leaks, items)
-
-    return both.select("doc_id", "item_id", "text", "item").mapInArrow(run, _PAIRS_SQL)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the rows whose text covers an item; nothing else changes."""
-    items = _collected(benchmark)
-    if items is None:
-        leaked = contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("_leaked")).distinct()
-        return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
-    shared, at = docs.sparkSession.sparkContext.broadcast(items), docs.columns.index("text")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without the rows whose own text covers an item; nothing else changes."""
+    at = docs.columns.index("text")
+    for items in _blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = np.ones(len(batch), bool)
-            clean[[row for row, *_ in find_leaks(batch.column(at), shared.value, coverage)]] = False
-            yield batch if clean.all() else batch.filter(pa.array(clean))
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                clean[[row for row, *_ in find_leaks(batch.column(at), shared.value, coverage)]] = False
+                yield batch if clean.all() else batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -2,7 +2,6 @@
 
 import hashlib
 import math
-import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ import corpus_pipeline
 from fathom.llm import quality
 from fathom.llm.secrets import find_secrets
 from fathom.llm.words import pieces
+from test_decontaminate import leaks
 from test_near_dedup import brute_force
 
 
@@ -52,17 +52,8 @@ def test_near_dedup_stage(stages):
 
 
 def test_decontamination_stage(spark, sf_dir, stages):
-    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    items = [words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    gone = set()
-    for r in stages[2]:
-        doc = words(r.text)
-        runs = {tuple(doc[i : i + 4]) for i in range(len(doc) - 3)}
-        for item in items:
-            shared = [i for i in range(len(item) - 3) if tuple(item[i : i + 4]) in runs]
-            if len({i + k for i in shared for k in range(4)}) >= 0.5 * len(item) and len(item) >= 4:
-                gone.add(r.doc_id)
-    # Seeds bound the tiles from above; on these texts the two agree.
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    gone = {doc_id for doc_id, _ in leaks([(r.doc_id, r.text) for r in stages[2]], items)}
     assert {r.doc_id for r in stages[3]} == {r.doc_id for r in stages[2]} - gone and gone
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+from fathom.llm import graph, near_dedup
 from fathom.llm.near_dedup import keep_one_of_each, near_duplicates
 
 SCHEMA = "doc_id long, text string, component_id string, kept string"
@@ -73,3 +74,43 @@ def test_rows_without_id_link_with_nothing(spark):
     found = [tuple(r) for r in near_duplicates(docs).collect()]
     assert sorted(found, key=str) == sorted([(None, 3, None, True)] * 2 + [(2, 3, 2, True), (3, 3, 2, False)], key=str)
     assert keep_one_of_each(docs).count() == 3
+
+
+def test_buckets_of_many_blocks_equal_brute_force(spark, monkeypatch):
+    """Blocks of a few rows, so that most groups are stars whose rest visits other blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(3)
+    rows = made_rows()
+    base = rows[-1][1].split() * 2
+    for i in range(300, 420):  # around one text, near and far from each other
+        own = base[:]
+        for _ in range(rng.randint(0, 7)):
+            own[rng.randrange(80)] = f"w{rng.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
+    assert found == brute_force(rows)
+
+
+def test_hubs_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 5)
+    rng = random.Random(5)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 999) for i in range(60)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(7, 7), (3000, 3001), (3001, 3000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    found = graph.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.component for r in found.collect()} == {x: find(x) for x in root}
+    other = spark.createDataFrame([(i, f"v{i}") for i in range(40)], "b long, value string")
+    rows = spark.createDataFrame([(i, i % 3 if i % 2 else 17) for i in range(300)], "a long, b long")
+    spread = graph.join_spread(rows, other, "b", 300)
+    assert sorted(tuple(r) for r in spread.select("a", "b", "value").collect()) == sorted(tuple(r) for r in rows.join(other, "b").select("a", "b", "value").collect())
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0

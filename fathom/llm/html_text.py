@@ -1,10 +1,12 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 A page is cut into flat blocks at every tag that is not inline.  A block is described by
-its word count and link density, those of its two neighbours, and where it stands: inside
-an article, inside a part of the page that is named as something else (menu, footer, form,
-advert, reader comments ...), and whether the page has an article at all.  A decision tree
-grown on ``LABELLED`` decides which blocks are main text.
+its word count and link density, those of its two neighbours, and its kind (heading,
+paragraph or bare text).  Marks of the page help where there are any: whether the block
+stands inside an article or inside a part that is named as something else (menu, footer,
+form, advert, reader comments ...), and whether the page has an article at all.  A decision
+tree grown on ``LABELLED`` decides which blocks are main text.  Pages without any marks are
+decided by numbers and kinds alone.
 """
 
 from __future__ import annotations
@@ -53,10 +55,17 @@ _BODY = re.compile(r"(?:^|\s)(?:(?:article|post|entry|story|news|blog|main|page)
 _WORD = re.compile(r"[a-z]+")
 
 
+_KINDS = dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), 2) | dict.fromkeys("p pre blockquote li dd dt td th figcaption".split(), 1)
+_PHRASES = frozenset("p li span a td".split())
+
+
 class Block(NamedTuple):
+    """``kind``: 2 in a heading, 1 in a paragraph, list item or cell, 0 for bare text."""
+
     text: str
     words: int
     links: float
+    kind: int
     article: bool
     aside: bool
 
@@ -121,22 +130,68 @@ def flat_blocks(page: str) -> list[Block]:
     return out
 
 
+class _Open:
+    """Open elements of a page; every step takes constant time, however deep they are nested."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.marks: list[tuple[bool, bool]] = []  # inside an article, inside something else
+        self.places: dict[str, list[int]] = {}
+        self.firm: list[int] = []  # where elements stand that a stray </p> or </a> does not go beyond
+        self.layout: list[tuple[int, int]] = []  # (place, start) of elements named by layout only, no article found inside so far
+
+    def push(self, name: str, article: bool, aside: bool, start: int | None) -> None:
+        at = len(self.names)
+        self.names.append(name)
+        self.marks.append((article, aside))
+        self.places.setdefault(name, []).append(at)
+        if name not in _PHRASES:
+            self.firm.append(at)
+        if start is not None:
+            self.layout.append((at, start))
+
+    def find(self, name: str) -> int | None:
+        """Place of the element that an end tag closes."""
+        places = self.places.get(name)
+        if not places or name in _PHRASES and self.firm and self.firm[-1] > places[-1]:
+            return None
+        return places[-1]
+
+    def close(self, at: int) -> None:
+        while len(self.names) > at:
+            name = self.names.pop()
+            self.marks.pop()
+            self.places[name].pop()
+        for stack, place in ((self.firm, lambda x: x), (self.layout, lambda x: x[0])):
+            while stack and place(stack[-1]) >= at:
+                stack.pop()
+
+    def around(self) -> set[int]:
+        """Starts of the elements named by layout only that hold what comes now, each told once."""
+        found = {start for _, start in self.layout}
+        self.layout.clear()
+        return found
+
+    def inside(self) -> tuple[bool, bool]:
+        return self.marks[-1] if self.marks else (False, False)
+
+
 def _blocks(page: str, wrappers: frozenset[int]) -> tuple[list[Block], set[int]]:
     """Blocks, and where the elements start that hold an article and are named by layout only."""
     out: list[Block] = []
     around: set[int] = set()
     text: list[str] = []
     linked: list[str] = []
-    held: list[tuple[str, bool, bool, int]] = []  # open elements: name, article, aside, start if named by layout only
+    held = _Open()
     article = aside = False
-    link, at, skip = False, 0, ""
+    link, at, skip, kind = False, 0, "", 0
 
     def close():
         if text:
             words = " ".join("".join(text).split())
             if words:
                 n = words.count(" ") + 1
-                out.append(Block(words, n, min(1.0, len("".join(linked).split()) / n), article, aside))
+                out.append(Block(words, n, min(1.0, len("".join(linked).split()) / n), kind, article, aside))
             text.clear()
             linked.clear()
 
@@ -173,70 +228,77 @@ def _blocks(page: str, wrappers: frozenset[int]) -> tuple[list[Block], set[int]]
             text.append(" ")
         elif name not in _INLINE:
             close()
+            kind = 0 if closing else _KINDS.get(name, 0)
         if name == "a":
             link = not closing
         if name in _HOLDERS and not attributes.endswith("/"):
             if closing:
-                for k in range(len(held) - 1, -1, -1):
-                    if held[k][0] == name:
-                        inside = aside
-                        if name in _INLINE and held[k][2] != aside:
-                            close()
-                        del held[k:]
-                        article, aside = (held[-1][1], held[-1][2]) if held else (False, False)
-                        break
-                    if held[k][0] not in ("p", "li", "span", "a", "td") and name in ("p", "li", "span", "a", "td"):
-                        break
+                place = held.find(name)
+                if place is not None:
+                    if name in _INLINE and held.marks[place][1] != aside:
+                        close()
+                    held.close(place)
+                    article, aside = held.inside()
             else:
-                if name in ("p", "li") and held and held[-1][0] == name:
-                    held.pop()
-                    article, aside = (held[-1][1], held[-1][2]) if held else (False, False)
+                if name in ("p", "li") and held.names and held.names[-1] == name:
+                    held.close(len(held.names) - 1)
+                    article, aside = held.inside()
                 marks = _marks(name, attributes)
                 body, layout = marks.body, bool(marks.named) and not marks.aside and marks.named <= _LAYOUT
                 other = marks.aside or bool(marks.named) and not (layout and tag.start() in wrappers)
                 now = aside or other or marks.head and not article
                 if body:
-                    around.update(h[3] for h in held if h[3] >= 0)
+                    around |= held.around()
                 if name in _INLINE and now != aside:
                     close()
                 article = article or body and name not in _INLINE
                 aside = now
-                held.append((name, article, aside, tag.start() if layout else -1))
+                held.push(name, article, aside, tag.start() if layout else None)
     if at < len(page) and not skip:
         text.append(html.unescape(page[at:]))
     close()
     return out, around
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "aside", "page_has_article")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "kind", "article", "aside", "page_has_article")
 
 #: Labelled blocks (fixed values): the features above, then 1 for main text.
 LABELLED = (
+    # no marks: paragraphs, by links and by what stands around them
+    (60, 0.0, 40, 0.0, 55, 0.0, 1, 0, 0, 0, 1), (25, 0.0, 70, 0.0, 30, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 33, 0.0, 41, 0.0, 1, 0, 0, 0, 1), (110, 0.1, 3, 1.0, 20, 0.0, 1, 0, 0, 0, 1),
+    (40, 0.25, 60, 0.0, 35, 0.1, 1, 0, 0, 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 2, 0.0, 3, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 60, 0.0, 9, 0.0, 1, 0, 0, 0, 1),
+    (4, 0.0, 12, 0.0, 2, 0.0, 1, 0, 0, 0, 1), (9, 0.0, 5, 0.0, 80, 0.0, 1, 0, 0, 0, 1), (60, 0.0, 3, 1.0, 5, 0.0, 1, 0, 0, 0, 1), (45, 0.0, 0, 0.0, 3, 1.0, 1, 0, 0, 0, 1),
+    (150, 0.02, 12, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (14, 0.3, 60, 0.0, 25, 0.0, 1, 0, 0, 0, 1), (35, 0.0, 5, 1.0, 12, 0.2, 1, 0, 0, 0, 1), (6, 0.0, 8, 0.0, 7, 0.0, 1, 0, 0, 0, 1),
+    (1, 0.0, 60, 0.0, 2, 0.0, 1, 0, 0, 0, 1), (12, 0.0, 40, 0.0, 1, 0.0, 1, 0, 0, 0, 1), (20, 0.0, 4, 0.0, 3, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0, 0, 1),
+    (3, 1.0, 3, 1.0, 2, 1.0, 1, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0, 0), (2, 1.0, 80, 0.0, 3, 1.0, 1, 0, 0, 0, 0), (8, 0.9, 5, 1.0, 60, 0.0, 1, 0, 0, 0, 0),
+    (12, 0.7, 9, 0.8, 10, 0.9, 1, 0, 0, 0, 0), (28, 0.8, 60, 0.0, 30, 0.9, 1, 0, 0, 0, 0), (6, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (2, 0.0, 25, 0.0, 0, 0.0, 1, 0, 0, 0, 0),
+    (4, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0, 0), (7, 0.1, 5, 1.0, 4, 1.0, 1, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 0), (1, 1.0, 2, 1.0, 9, 0.0, 1, 0, 0, 0, 0),
+    # no marks: headings belong to the text below them
+    (5, 0.0, 2, 1.0, 60, 0.0, 2, 0, 0, 0, 1), (10, 0.0, 8, 0.0, 45, 0.0, 2, 0, 0, 0, 1), (4, 0.0, 70, 0.0, 50, 0.0, 2, 0, 0, 0, 1), (9, 0.0, 50, 0.0, 2, 0.0, 2, 0, 0, 0, 1),
+    (7, 0.0, 0, 0.0, 90, 0.0, 2, 0, 0, 0, 1), (12, 0.0, 9, 0.0, 14, 0.0, 2, 0, 0, 0, 1), (6, 0.0, 1, 1.0, 11, 0.1, 2, 0, 0, 0, 1), (3, 0.0, 25, 0.0, 8, 0.0, 2, 0, 0, 0, 1),
+    (5, 0.0, 20, 0.0, 1, 0.0, 2, 0, 0, 0, 1), (16, 0.0, 6, 0.0, 3, 0.0, 2, 0, 0, 0, 1),
+    (2, 0.0, 0, 0.0, 1, 1.0, 2, 0, 0, 0, 0), (3, 0.0, 60, 0.0, 3, 1.0, 2, 0, 0, 0, 0), (2, 0.0, 30, 0.0, 0, 0.0, 2, 0, 0, 0, 0), (4, 1.0, 0, 0.0, 2, 1.0, 2, 0, 0, 0, 0),
+    (5, 1.0, 3, 0.0, 30, 0.0, 2, 0, 0, 0, 0), (6, 0.0, 2, 1.0, 4, 1.0, 2, 0, 0, 0, 0),
+    # no marks: bare text is main only where it is long
+    (60, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (40, 0.0, 3, 1.0, 5, 0.0, 0, 0, 0, 0, 1), (120, 0.05, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (70, 0.1, 8, 0.9, 30, 0.0, 0, 0, 0, 0, 1),
+    (45, 0.0, 6, 0.0, 90, 0.0, 0, 0, 0, 0, 1), (35, 0.2, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 1),
+    (8, 0.0, 1, 1.0, 10, 0.0, 0, 0, 0, 0, 0), (12, 0.0, 2, 1.0, 9, 0.0, 0, 0, 0, 0, 0), (9, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (14, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (2, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (7, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (18, 0.1, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
+    (30, 0.9, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0), (15, 0.0, 1, 1.0, 12, 0.0, 0, 0, 0, 0, 0), (20, 0.0, 8, 0.0, 70, 0.0, 0, 0, 0, 0, 0), (5, 0.5, 3, 1.0, 2, 0.0, 0, 0, 0, 0, 0),
     # inside an article, nothing else named: main text of any length and link density
-    (9, 0.0, 6, 0.0, 9, 0.0, 1, 0, 1, 1), (1, 0.0, 40, 0.0, 60, 0.0, 1, 0, 1, 1), (60, 0.0, 1, 0.0, 45, 0.1, 1, 0, 1, 1),
-    (120, 0.02, 60, 0.0, 0, 0.0, 1, 0, 1, 1), (2, 1.0, 50, 0.0, 80, 0.0, 1, 0, 1, 1), (14, 0.6, 3, 1.0, 25, 0.0, 1, 0, 1, 1),
-    (35, 0.0, 0, 0.0, 4, 1.0, 1, 0, 1, 1), (4, 0.0, 1, 1.0, 30, 0.0, 1, 0, 1, 1), (300, 0.01, 5, 0.5, 6, 0.2, 1, 0, 1, 1),
-    (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1, 1), (3, 1.0, 2, 1.0, 2, 1.0, 1, 0, 1, 1), (25, 0.0, 20, 0.0, 22, 0.0, 1, 0, 1, 1),
+    (9, 0.0, 6, 0.0, 9, 0.0, 1, 1, 0, 1, 1), (1, 0.0, 40, 0.0, 60, 0.0, 1, 1, 0, 1, 1), (60, 0.0, 1, 0.0, 45, 0.1, 0, 1, 0, 1, 1), (120, 0.02, 60, 0.0, 0, 0.0, 1, 1, 0, 1, 1),
+    (2, 1.0, 50, 0.0, 80, 0.0, 1, 1, 0, 1, 1), (14, 0.6, 3, 1.0, 25, 0.0, 0, 1, 0, 1, 1), (35, 0.0, 0, 0.0, 4, 1.0, 1, 1, 0, 1, 1), (4, 0.0, 1, 1.0, 30, 0.0, 2, 1, 0, 1, 1),
+    (300, 0.01, 5, 0.5, 6, 0.2, 1, 1, 0, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 1, 1), (3, 1.0, 2, 1.0, 2, 1.0, 1, 1, 0, 1, 1), (25, 0.0, 20, 0.0, 22, 0.0, 1, 1, 0, 1, 1),
+    (5, 0.0, 70, 0.0, 3, 0.0, 0, 1, 0, 1, 1), (6, 0.0, 80, 0.0, 0, 0.0, 1, 1, 0, 1, 1), (3, 0.0, 9, 0.0, 1, 1.0, 2, 1, 0, 1, 1),
     # named as something else, inside an article or not
-    (3, 1.0, 3, 1.0, 3, 1.0, 0, 1, 1, 0), (40, 0.0, 30, 0.0, 25, 0.0, 1, 1, 1, 0), (7, 0.0, 1, 1.0, 8, 0.0, 0, 1, 1, 0),
-    (80, 0.0, 60, 0.0, 70, 0.0, 0, 1, 1, 0), (1, 0.0, 100, 0.0, 0, 0.0, 1, 1, 1, 0), (12, 0.3, 9, 0.0, 11, 0.2, 1, 1, 1, 0),
-    (3, 1.0, 2, 1.0, 4, 1.0, 0, 1, 0, 0), (45, 0.0, 25, 0.0, 60, 0.0, 0, 1, 0, 0), (150, 0.02, 90, 0.0, 0, 0.0, 0, 1, 0, 0),
-    (6, 0.0, 0, 0.0, 80, 0.0, 0, 1, 0, 0), (20, 0.1, 200, 0.0, 3, 1.0, 0, 1, 0, 0), (2, 0.0, 2, 0.0, 2, 0.0, 0, 1, 0, 0),
+    (3, 1.0, 3, 1.0, 3, 1.0, 1, 0, 1, 1, 0), (40, 0.0, 30, 0.0, 25, 0.0, 1, 1, 1, 1, 0), (7, 0.0, 1, 1.0, 8, 0.0, 0, 0, 1, 1, 0), (80, 0.0, 60, 0.0, 70, 0.0, 1, 0, 1, 1, 0),
+    (1, 0.0, 100, 0.0, 0, 0.0, 0, 1, 1, 1, 0), (12, 0.3, 9, 0.0, 11, 0.2, 1, 1, 1, 1, 0), (3, 1.0, 2, 1.0, 4, 1.0, 1, 0, 1, 0, 0), (45, 0.0, 25, 0.0, 60, 0.0, 1, 0, 1, 0, 0),
+    (150, 0.02, 90, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (6, 0.0, 0, 0.0, 80, 0.0, 2, 0, 1, 0, 0), (20, 0.1, 200, 0.0, 3, 1.0, 1, 0, 1, 0, 0), (2, 0.0, 2, 0.0, 2, 0.0, 2, 0, 1, 0, 0),
+    (5, 0.0, 30, 0.0, 40, 0.0, 2, 1, 1, 1, 0), (60, 0.0, 4, 0.0, 90, 0.0, 0, 1, 1, 1, 0),
     # outside the article of a page that has one
-    (8, 0.0, 3, 1.0, 9, 0.0, 0, 0, 1, 0), (35, 0.0, 8, 0.0, 12, 0.0, 0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0),
-    (60, 0.0, 3, 1.0, 5, 0.0, 0, 0, 1, 0), (200, 0.0, 4, 0.0, 2, 0.0, 0, 0, 1, 0), (50, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1, 0),
-    (90, 0.1, 100, 0.0, 0, 0.0, 0, 0, 1, 0), (5, 0.0, 60, 0.0, 4, 1.0, 0, 0, 1, 0), (16, 0.5, 2, 1.0, 40, 0.0, 0, 0, 1, 0),
-    # pages without an article element: words and links of the block and its neighbours decide
-    (60, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 1), (25, 0.0, 70, 0.0, 30, 0.0, 0, 0, 0, 1), (18, 0.05, 45, 0.0, 60, 0.0, 0, 0, 0, 1),
-    (9, 0.0, 50, 0.0, 65, 0.0, 0, 0, 0, 1), (5, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1), (7, 0.0, 4, 0.0, 90, 0.0, 0, 0, 0, 1),
-    (110, 0.1, 3, 1.0, 20, 0.0, 0, 0, 0, 1), (40, 0.25, 60, 0.0, 35, 0.1, 0, 0, 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (60, 0.0, 3, 1.0, 5, 0.0, 0, 0, 0, 1), (150, 0.02, 4, 0.0, 2, 0.0, 0, 0, 0, 1), (45, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 1),
-    (220, 0.05, 10, 0.0, 6, 0.5, 0, 0, 0, 1), (70, 0.1, 8, 0.9, 0, 0.0, 0, 0, 0, 1), (35, 0.0, 5, 1.0, 12, 0.2, 0, 0, 0, 1),
-    (4, 0.0, 70, 0.0, 50, 0.0, 0, 0, 0, 1), (22, 0.0, 6, 0.0, 5, 0.0, 0, 0, 0, 1), (2, 0.0, 33, 0.0, 41, 0.0, 0, 0, 0, 1),
-    (3, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (8, 0.9, 5, 1.0, 60, 0.0, 0, 0, 0, 0), (2, 1.0, 80, 0.0, 3, 1.0, 0, 0, 0, 0),
-    (6, 0.0, 70, 0.0, 0, 0.0, 0, 0, 0, 0), (7, 0.1, 5, 1.0, 4, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 0.0, 5, 0.0, 0, 0, 0, 0),
-    (12, 0.7, 9, 0.8, 10, 0.9, 0, 0, 0, 0), (28, 0.8, 60, 0.0, 30, 0.9, 0, 0, 0, 0), (1, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (9, 0.0, 60, 0.0, 3, 0.5, 0, 0, 0, 0), (5, 0.5, 3, 1.0, 2, 0.0, 0, 0, 0, 0), (10, 1.0, 0, 0.0, 12, 1.0, 0, 0, 0, 0),
+    (8, 0.0, 3, 1.0, 9, 0.0, 0, 0, 0, 1, 0), (35, 0.0, 8, 0.0, 12, 0.0, 1, 0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 0), (60, 0.0, 3, 1.0, 5, 0.0, 1, 0, 0, 1, 0),
+    (200, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0, 1, 0), (50, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0, 1, 0), (90, 0.1, 100, 0.0, 0, 0.0, 1, 0, 0, 1, 0), (5, 0.0, 60, 0.0, 4, 1.0, 2, 0, 0, 1, 0),
+    (16, 0.5, 2, 1.0, 40, 0.0, 1, 0, 0, 1, 0), (4, 0.0, 30, 0.0, 50, 0.0, 2, 0, 0, 1, 0), (2, 0.0, 3, 0.0, 9, 0.0, 1, 0, 0, 1, 0), (70, 0.0, 80, 0.0, 30, 0.0, 0, 0, 0, 1, 0),
 )
 
 
@@ -276,9 +338,9 @@ def main_text(page: str) -> str:
     blocks, tree = flat_blocks(page), trained_tree()
     has_article = any(b.article and not b.aside for b in blocks)
     kept = []
-    edge = Block("", 0, 0.0, False, False)
+    edge = Block("", 0, 0.0, 0, False, False)
     for before, own, after in zip([edge, *blocks], blocks, [*blocks[1:], edge]):
-        row = (own.words, own.links, before.words, before.links, after.words, after.links, own.article, own.aside, has_article)
+        row = (own.words, own.links, before.words, before.links, after.words, after.links, own.kind, own.article, own.aside, has_article)
         if _is_main(tree, row):
             kept.append(own.text)
     return " ".join(kept)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.llm.chat_format import canonical_turns, escape, fingerprint, format_chats, loss_text, read_back, turn_rows_as_records, unescape
-from fathom.llm.embed_dedup import embedding_duplicates
+from fathom.llm.embed_dedup import _turned, embedding_duplicates, fit_codes
 
 RECORDS = [
     ({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": None, "weight": 1}], "id": 4}, "messages", [("user", "hi"), ("assistant", "")]),
@@ -91,6 +91,48 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_duplicates(table.limit(0)).count() == 0
 
 
+def _vectors_around(rng, n, dim, share):
+    """Unit vectors that have ``share`` of their energy in one common direction."""
+    mean, own = rng.normal(size=dim), rng.normal(size=(n, dim))
+    x = share**0.5 * mean / np.linalg.norm(mean) + (1 - share) ** 0.5 * own / np.linalg.norm(own, axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("share", [0, 0.3, 0.5, 0.7, 0.8])
+def test_tables_find_pairs_at_the_threshold(share):
+    """Pairs at cosine 0.93 to 0.95 that the fit has not seen, for any weight of the common mean."""
+    rng = np.random.default_rng(int(10 * share))
+    unit = _vectors_around(rng, 6000, 64, share)
+    bucket = {}
+    for n in (2_000, 50_000):
+        codes = fit_codes(unit[:3000], np.zeros(3000, int), n, 0.93)
+        for cosine in (0.93, 0.94, 0.95):
+            for toward in (0, 1):
+                x, y = unit[3000:], _turned(unit[3000:], cosine, np.random.default_rng(toward))
+                a, b = codes.substrings(x, np.zeros(3000, int)), codes.substrings(y, np.zeros(3000, int))
+                found = (a == b).any(1) & (np.bitwise_count(a ^ b).sum(1) <= codes.reach)
+                assert found.mean() >= 0.98
+        bucket[n] = n * (a[:-1] == a[1:]).mean()
+    # 25 times as many vectors, but buckets far less than 25 times as large.
+    assert bucket[50_000] < 8 * bucket[2_000], bucket
+
+
+def test_common_mean_does_not_hide_links(spark):
+    rng = np.random.default_rng(3)
+    base = _vectors_around(rng, 700, 32, 0.7)
+    near = _turned(base[:300], 0.935, rng)
+    every = np.concatenate([base, near]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), i % 2 if i < 700 else (i - 700) % 2) for i, v in enumerate(every)], "vec_id long, embedding array<float>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_duplicates(table).collect()}
+    unit = every.astype(float) / np.linalg.norm(every.astype(float), axis=1, keepdims=True)
+    label = np.array([i % 2 if i < 700 else (i - 700) % 2 for i in range(1000)])
+    linked = (unit @ unit.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(linked, False)
+    n = np.array([found[i][0] for i in range(1000)])
+    assert (n <= linked.sum(1)).all() and n.sum() >= 0.98 * linked.sum() and linked.sum() >= 500
+    assert np.mean([found[i][1] == found[700 + i][1] for i in range(300)]) >= 0.98
+
+
 def test_very_long_turns_keep_their_conversation(spark, tmp_path):
     """One turn above what the JSON parser takes, as a table of turns and as JSON."""
     long = F.repeat(F.lit("lörem "), 3_600_000)

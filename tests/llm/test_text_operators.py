@@ -13,6 +13,7 @@ from fathom.llm import decontaminate, license_scan, quality, secrets, substring_
 from fathom.llm.html_text import extract_main_text, main_text
 from fathom.llm.license_scan import scan_licenses
 from fathom.llm.mixing import mix_sources, poisson_count
+from fathom.llm.queries import op2_subword_quality
 from fathom.llm.words import pieces, shingles, words
 
 
@@ -46,6 +47,36 @@ def test_quality_separates_and_handles_odd_rows(spark):
     assert quality.score_quality(docs.limit(0), empty).count() == 0
 
 
+def test_fit_is_bounded_and_takes_one_text_a_document(spark):
+    """Rows and characters bound the fit; long texts are in it, and a repeated doc_id counts once."""
+    seen = []
+    original = quality.train
+    rows = [(i, f"w{i} " * 20) for i in range(30)] + [(3, "a second text"), (50, "long " * 100_000), (51, "longer " * 300_000), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (*range(30), 50, 51, 60)] + [(4, 1)], "doc_id long, quality int")
+    quality.train = lambda texts, marks: seen.append((texts, marks))
+    try:
+        quality.fit_quality(docs, labels)
+        quality.fit_quality(docs, labels, chars=600_000)
+        quality.fit_quality(docs, labels, rows=5)
+    finally:
+        quality.train = original
+    expected = {i: t for i, t in rows[:30]} | {3: "a second text", 50: "long " * 100_000, 51: "longer " * 300_000}
+    pairs = lambda texts, marks: sorted(zip(texts, marks))
+    both = sorted([(t, i % 2) for i, t in expected.items()] + [(expected[4], 1)])
+    assert pairs(*seen[0]) == both
+    assert pairs(*seen[1]) == [p for p in both if len(p[0]) < 600_000]
+    assert len(seen[2][0]) <= 5
+
+
+def test_quality_on_held_out_rows(spark):
+    """Accuracy on labelled rows that the fit has not seen."""
+    folder = "/root/testdata/sf0.01"
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    found = [(r.predicted, marks[r.doc_id]) for r in op2_subword_quality(spark, folder).where("held_out").collect() if r.doc_id in marks]
+    assert len(found) > 80 and sum(p == m for p, m in found) >= 0.95 * len(found)
+
+
 def test_margins_equal_mean_over_gram_lists():
     table = np.random.default_rng(0).normal(size=quality.BUCKETS).astype(np.float32)
     texts = ["The cat sat. The THE the", "", "a", "ab", "été à la plage", "x " * 50]

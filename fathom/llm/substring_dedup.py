@@ -6,9 +6,13 @@ also occurs in a document with a smaller doc_id repeats it; with ``inside``, so
 occurs earlier in the same document.  Neighbouring repeated chunks join to spans, and spans
 of at least ``LEAST_BYTES`` are reported; shorter ones are phrases that texts share by chance.
 
-Chunks are compared by 64 bits of BLAKE2b.  Two unrelated chunks agree with a chance of
-2^-64, and a span needs a long chunk or several in a row, so a false span is out of reach
-of any corpus.
+Chunks are compared by BLAKE2b: by 64 bits where a chunk is shorter than a span, so that only
+several in a row can make one, and by 128 bits where it may be a span alone.  At 10^12 chunks
+one chunk in 10^7 has an unrelated one with the same 64 bits; two such in a row, which a false
+span takes, are not to be expected.
+
+Chunks are made twice, to find shared digests and to flag what holds them: that takes less than
+writing all chunks out, and the first pass is combined before it is shuffled.
 """
 
 from __future__ import annotations
@@ -87,15 +91,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             begin, end = chunk_ends(piece)
             raw = piece.data.tobytes()
-            digest = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+            digest = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
             text = np.searchsorted(piece.starts, begin, "right") - 1
             begin, end = begin - piece.starts[text], end - piece.starts[text]
-            digest = np.frombuffer(digest, np.int64)
+            digest, more = np.frombuffer(digest, np.int64).reshape(-1, 2).T.copy()
+            more[end - begin < LEAST_BYTES] = 0
             order = np.lexsort((digest, text))  # stable, so of equal chunks of a text the earliest comes first
             again = np.zeros(len(order), bool)
-            again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
-            columns = [digest, ids[piece.first + text], begin.astype(np.int32), end.astype(np.int32), again]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc_id", "start_byte", "end_byte", "again"])
+            again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (more[order[1:]] == more[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+            columns = [digest, more, ids[piece.first + text], begin.astype(np.int32), end.astype(np.int32), again]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "more", "doc_id", "start_byte", "end_byte", "again"])
 
 
 def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES, inside: bool = False) -> DataFrame:
@@ -107,14 +112,14 @@ def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES, inside: bool
     nothing of each other.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chunks = texts.mapInArrow(_chunks, "digest long, doc_id long, start_byte int, end_byte int, again boolean")
+    chunks = texts.mapInArrow(_chunks, "digest long, more long, doc_id long, start_byte int, end_byte int, again boolean")
     if not inside:
         chunks = chunks.withColumn("again", F.lit(False))
-    shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.max("again").alias("any")).where("first_doc_id < last or any")
+    shared = chunks.groupBy("digest", "more").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.max("again").alias("any")).where("first_doc_id < last or any")
     # Written first: straight from the aggregate, the join below would inherit its partitions,
     # and adaptive execution could not split that of a very common chunk.
     shared = cut(shared)
-    again = chunks.join(shared.drop("last", "any"), "digest").where("doc_id > first_doc_id or again").drop("digest", "again").distinct()
+    again = chunks.join(shared.drop("last", "any"), ["digest", "more"]).where("doc_id > first_doc_id or again").drop("digest", "more", "again").distinct()
     order = Window.partitionBy("doc_id").orderBy("start_byte")
     fresh = F.coalesce(F.lag("end_byte").over(order) != F.col("start_byte"), F.lit(True)).cast("int")
     island = again.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))

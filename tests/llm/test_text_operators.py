@@ -211,6 +211,40 @@ def test_repeated_passages_and_shifts(spark):
     assert substring_dedup.repeated_spans(docs.limit(0)).count() == 0
 
 
+def slow_chunks(raw):
+    """Chunk ends of one text, byte by byte."""
+    D, value, h = substring_dedup, [], 0
+    for byte in raw:
+        h = ((h << 2) + int(D._GEAR[byte])) & 0xFFFFFFFF
+        value.append(h)
+    cuts = {0, len(raw)} | {i + 1 for i, h in enumerate(value) if h >> (32 - D.MEAN_BITS) == 0}
+    inside = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    cuts = sorted(c for c in cuts if not inside(c))
+    more = set()
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a > D.QUIET:
+            more |= {i + 1 for i in range(a + D.NEAR, b - D.NEAR) if value[i] == max(value[i - D.NEAR : i + D.NEAR + 1])}
+    cuts = sorted({*cuts, *(c for c in more if not inside(c))})
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        for c in range(a + D.LONGEST, b, D.LONGEST):
+            while inside(c):
+                c += 1
+            out.append(c)
+        out.append(b)
+    return sorted(set(out))
+
+
+def test_chunks_equal_a_byte_by_byte_chunker():
+    rng = random.Random(2)
+    texts = ["", "a", "".join(rng.choice("abcdé ß") for _ in range(4000)), "z" * 3000, "la " * 500, "é" * 900, "".join(rng.choice("xyz") for _ in range(20)) * 100]
+    for piece in pieces(pa.array(texts)):
+        begin, end = substring_dedup.chunk_ends(piece)
+        for i, t in enumerate(texts):
+            own = end[(begin >= piece.starts[i]) & (begin < piece.starts[i + 1])] - piece.starts[i]
+            assert own.tolist() == (slow_chunks(t.encode()) if t else [])
+
+
 def test_repeats_inside_one_document(spark):
     rng = random.Random(12)
     own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))

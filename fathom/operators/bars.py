@@ -66,6 +66,20 @@ def trading_minute(ts: Column, sessions: Sequence[tuple[int, int]] = SESSIONS) -
     return out
 
 
+def with_trading_date(ticks: DataFrame, ts: str = "ts", into: str = "trading_date", evening: int = SESSIONS[0][0]) -> DataFrame:
+    """``ticks`` with the trading date of each: night ticks belong to the next day that trades.
+
+    Days that trade are those with ticks before ``evening``, so Friday night is Monday's; the
+    night after the last of them gets the next calendar day.  The calendar has one row a day.
+    """
+    day, night = F.to_date(F.col(ts)), F.hour(ts) * 60 + F.minute(ts) >= evening
+    days = ticks.groupBy(day.alias("_day")).agg(F.max(F.when(~night, day)).alias("_trades"))
+    later = Window.orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
+    days = days.select("_day", F.coalesce(F.first("_trades", True).over(later), F.date_add("_day", 1)).alias("_next"))
+    dated = ticks.drop(into).withColumn("_date", day).join(F.broadcast(days), F.col("_date").eqNullSafe(F.col("_day")))
+    return dated.withColumn(into, F.when(night, F.col("_next")).otherwise(F.col("_date"))).drop("_day", "_next", "_date")
+
+
 def trading_periods(freq: int, sessions: Sequence[tuple[int, int]] = SESSIONS) -> list[tuple[int, int, int]]:
     """(period, first, end) in trading minutes for bars of ``freq`` trading minutes."""
     total = sum(b - a for a, b in sessions)

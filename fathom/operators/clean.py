@@ -112,3 +112,25 @@ def carried(df: DataFrame, key: str, day: str, order: Sequence[str], x: str) ->
         "running_mean": F.try_divide(F.col("_sum") + F.coalesce(F.sum(x).over(own), F.lit(0.0)), F.col("_n") + F.count(x).over(own)),
     })
     return made.drop("_key", "_day", "_last", "_sum", "_n")
+
+
+def carried_value(df: DataFrame, by: Sequence[str], day: str, order: Sequence[str], x: str, into: str, strict: bool = False, ahead: bool = False) -> DataFrame:
+    """``df`` with ``into``: the last ``x`` that is not NULL at or before each row (``strict``: before it).
+
+    ``ahead`` looks the other way, for the first one at or after it.  ``order`` is within ``day``,
+    which is in order too.  In two steps, so that no task takes a whole key: rows are scanned by
+    key and day, and what other days leave comes from a table of one row a key and day.
+    """
+    there = F.when(F.col(x).isNotNull(), F.struct(*order))
+    days = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate((*by, day)))).agg((F.min_by if ahead else F.max_by)(x, there).alias("_edge"))
+    keys = [f"_k{i}" for i in range(len(by) + 1)]
+    others, own = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]), Window.partitionBy(*by, day).orderBy(*order)
+    if ahead:
+        others, own, pick = others.rowsBetween(1, Window.unboundedFollowing), own.rowsBetween(int(strict), Window.unboundedFollowing), F.first
+    else:
+        others, own, pick = others.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, -int(strict)), F.last
+    days = days.select(*keys, pick("_edge", True).over(others).alias("_carry"))
+    same = F.lit(True)
+    for k, name in zip(keys, (*by, day), strict=True):
+        same = same & F.col(name).eqNullSafe(F.col(k))
+    return df.withColumn(into, pick(x, True).over(own)).join(days, same).withColumn(into, F.coalesce(into, "_carry")).drop("_carry", *keys)

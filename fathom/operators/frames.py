@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.windows import Series
 from fathom.operators.bars import ohlcv
+from fathom.operators.clean import carried_value
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +35,8 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars per symbol with signed volume: size counts as bought at or above the previous price."""
-    flow = Series(("symbol",), ("ts", "seq"))
-    signed = ticks(spark, sf_dir).withColumn("buy", F.when(F.col("price") >= F.coalesce(flow.lag("price"), F.col("price")), F.col("size")).otherwise(0))
+    flow = carried_value(ticks(spark, sf_dir), ["symbol"], "trading_date", ["ts", "seq"], "price", "before", strict=True)
+    signed = flow.withColumn("buy", F.when(F.col("price") >= F.coalesce("before", "price"), F.col("size")).otherwise(0))
     sides = [F.sum("buy").alias("buy_vol"), (F.sum("size") - F.sum("buy")).alias("sell_vol"), (2 * F.sum("buy") - F.sum("size")).alias("delta")]
     made = ohlcv(signed, ["symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bar")], extra=sides)
     return made.withColumnRenamed("bar", "ts").withColumn("trading_date", F.to_date("ts"))

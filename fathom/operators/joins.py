@@ -1,7 +1,8 @@
 """Time-aware joins: as-of, as-of with offset, interval, irregular interval aggregation.
 
-As-of joins are a union of both sides and one running ``last`` per key, which is linear and
-needs one shuffle; Spark's own as-of plan is a Cartesian product.
+As-of joins are a union of both sides and one running ``last`` per key and day, with what the
+days before leave carried over; that is linear, and no task takes all rows of a key.  Spark's
+own as-of plan is a Cartesian product.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.operators.clean import carried_value
+
 
 def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str = "ts", columns: Sequence[str] = (), tie: str | None = None, strict: bool = False) -> DataFrame:
     """``left`` with ``columns`` of the latest ``right`` row at or before it (``strict``: before it).
@@ -19,29 +22,25 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str
     """
     value = F.struct(*columns)
     order = F.lit(0).cast("long") if tie is None else F.col(tie).cast("long")
-    probe = left.select(*by, F.col(ts), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_value"), F.lit(0 if strict else 2).alias("_side"), F.lit(0).cast("long").alias("_tie"))
-    build = right.select(*by, F.col(ts), F.lit(None).cast(probe.schema["_row"].dataType).alias("_row"), value.alias("_value"), F.lit(1).alias("_side"), order.alias("_tie"))
-    w = Window.partitionBy(*by).orderBy(ts, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = probe.unionByName(build).withColumn("_value", F.last("_value", ignorenulls=True).over(w))
-    return found.where(F.col("_row").isNotNull()).select("_row.*", *(F.col(f"_value.{c}").alias(c) for c in columns))
+    probe = left.select(*by, F.col(ts).alias("_at"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_value"), F.lit(0 if strict else 2).alias("_side"), F.lit(0).cast("long").alias("_tie"))
+    build = right.select(*by, F.col(ts).alias("_at"), F.lit(None).cast(probe.schema["_row"].dataType).alias("_row"), value.alias("_value"), F.lit(1).alias("_side"), order.alias("_tie"))
+    both = probe.unionByName(build).withColumn("_day", F.to_date("_at"))
+    found = carried_value(both, by, "_day", ["_at", "_side", "_tie"], "_value", "_found")
+    return found.where(F.col("_row").isNotNull()).select("_row.*", *(F.col(f"_found.{c}").alias(c) for c in columns))
 
 
 def asof_offsets(probe: DataFrame, tape: DataFrame, by: Sequence[str], value: str, hours: Sequence[int], ts: str = "ts", tie: str | None = None, prefix: str = "ago") -> DataFrame:
     """``probe`` with the tape's value at or before ``ts`` minus each number of hours.
 
-    All horizons are one union and one window: the probe rows are repeated per horizon with
-    shifted times, and the tape once per horizon.
+    All horizons are one as-of join: the probe rows are repeated per horizon with shifted
+    times, and the tape is read once for all of them.
     """
-    row = F.struct(*probe.columns)
-    each = F.array(*(F.lit(h) for h in hours))
-    shifted = probe.select(*by, F.explode(each).alias("_h"), F.col(ts).alias("_at"), row.alias("_row")).withColumn("_at", F.expr("_at - make_interval(0, 0, 0, 0, _h)"))
-    kind = shifted.schema["_row"].dataType
+    shifted = probe.select(*by, F.explode(F.array(*(F.lit(h) for h in hours))).alias("_h"), F.col(ts).alias("_t"), F.struct(*probe.columns).alias("_probe"))
+    shifted = shifted.withColumn("_t", F.expr("_t - make_interval(0, 0, 0, 0, _h)"))
     order = F.lit(0).cast("long") if tie is None else F.col(tie).cast("long")
-    ours = shifted.select(*by, "_h", "_at", "_row", F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_tie"))
-    theirs = tape.select(*by, F.explode(each).alias("_h"), F.col(ts).alias("_at"), F.lit(None).cast(kind).alias("_row"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_side"), order.alias("_tie"))
-    w = Window.partitionBy(*by, "_h").orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = ours.unionByName(theirs).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
-    return found.groupBy("_row").agg(*(F.max(F.when(F.col("_h") == h, F.col("_v"))).alias(f"{prefix}_{h}") for h in hours)).select("_row.*", *(f"{prefix}_{h}" for h in hours))
+    known = tape.select(*by, F.col(ts).alias("_t"), F.col(value).cast("double").alias("_v"), order.alias("_seq"))
+    found = asof_backward(shifted, known, by, ts="_t", columns=["_v"], tie="_seq")
+    return found.groupBy("_probe").agg(*(F.max(F.when(F.col("_h") == h, F.col("_v"))).alias(f"{prefix}_{h}") for h in hours)).select("_probe.*", *(f"{prefix}_{h}" for h in hours))
 
 
 def interval_join(ticks: DataFrame, periods: DataFrame, ts: str = "ts", start: str = "start_ts", end: str = "end_ts", closed: str = "right", keys: Sequence[str] = (), step: str = "1 day") -> DataFrame:
@@ -68,8 +67,9 @@ def interval_ohlc(bar_ends: DataFrame, tape: DataFrame, by: Sequence[str], price
     ends = ends.withColumn("first_end", F.min("bar_end").over(w))
     marks = ends.select(*by, F.col("bar_end").alias("_t"), "bar_end", F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_p"), F.lit(0).cast("long").alias("_tie"))
     rows = tape.select(*by, F.col(ts).alias("_t"), F.lit(None).cast(ends.schema["bar_end"].dataType).alias("bar_end"), F.lit(0).alias("_side"), F.col(price).cast("double").alias("_p"), F.col(tie).cast("long").alias("_tie"))
-    ahead = w.orderBy("_t", "_side", "_tie").rowsBetween(0, Window.unboundedFollowing)
-    dealt = marks.unionByName(rows).withColumn("bar_end", F.first("bar_end", ignorenulls=True).over(ahead)).where("_side = 0 and bar_end is not null")
+    both = marks.unionByName(rows).withColumn("_day", F.to_date("_t"))
+    dealt = carried_value(both, by, "_day", ["_t", "_side", "_tie"], "bar_end", "next_end", ahead=True).where("_side = 0 and next_end is not null")
+    dealt = dealt.drop("bar_end").withColumnRenamed("next_end", "bar_end")
     at = F.struct("_t", "_tie")
     found = dealt.groupBy(*by, "bar_end").agg(
         F.min_by("_p", at).alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"), F.max_by("_p", at).alias("close"), F.count("_p").alias("n")

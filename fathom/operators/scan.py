@@ -9,9 +9,11 @@ wanted together run in one scan.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -216,38 +218,45 @@ def parabolic_sar(step_size: float = 0.02, most: float = 0.2) -> Kernel:
 
 
 def vpin(buckets: int = 20, window: int = 50, decay: float = 0.8) -> Kernel:
-    """Volume-synchronised imbalance: volume split by the normal chance of each price change.
-
-    A bucket holds ``buckets`` times the mean volume of the last ``window`` bars; a full one
-    hands on to the next of a ring, which starts empty.  The bucket size moves with the mean,
-    so an open bucket may already hold too much: the excess then goes on to the next one.
-    The value is the summed imbalance over the ring's volume (its filled part until every
-    bucket was full once), NULL before the first is full; bars without volume repeat it.
+    """Volume-synchronised imbalance: volume signed by the normal chance of each price change.
+
+    Volume is poured into buckets of ``buckets`` times the mean volume of the last ``window``
+    bars.  Looked at are the open bucket and the last ``buckets`` - 1 finished ones: their summed
+    absolute imbalance over their volume, NULL before the first is finished.  Once ``buckets``
+    were finished that volume counts as ``buckets`` whole buckets of the current size.  A size
+    that falls below what the open bucket holds finishes it and pours the rest on.  Bars
+    without price or volume repeat the value.
     """
-    buy, sell, full = [0.0] * buckets, [0.0] * buckets, [0.0] * buckets
-    recent: list[float] = []
-    at, done, bars, before, variance, value = 0, 0, 0, NAN, 0.0, NAN
+    finished: deque[float] = deque(maxlen=buckets - 1)
+    recent: deque[float] = deque(maxlen=window)
+    poured = held = tilt_held = variance = 0.0
+    count, bars, before, value = 0, 0, NAN, NAN
 
     def step(price: float, volume: float) -> float:
-        nonlocal at, done, bars, before, variance, value
-        change, before = 0.0 if bars == 0 else price - before, price
-        variance = change * change if bars < 2 else (1 - decay) * change * change + decay * variance
-        share = 0.5 if bars == 0 else 0.5 * (1 + math.erf(change / max(math.sqrt(max(variance, 1e-16)), 1e-8) / math.sqrt(2)))
+        nonlocal poured, held, tilt_held, variance, count, bars, before, value
+        change, before = price - before if bars else 0.0, price
+        variance = change * change if bars < 2 else decay * variance + (1 - decay) * change * change
+        # Twice the chance of a buy less one: erf of the standardised change.
+        tilt = math.erf(change / max(math.sqrt(max(variance, 1e-16)), 1e-8) / math.sqrt(2)) if bars else 0.0
         bars += 1
         recent.append(volume)
-        del recent[:-window]
         if math.isnan(price) or not volume > 0:
             return value
-        known = [v for v in recent if not math.isnan(v)]
-        size, left = sum(known) / len(known) * buckets, volume
-        while left > 1e-9:
-            part = min(left, size - full[at])
-            buy[at], sell[at], full[at], left = buy[at] + share * part, sell[at] + (1 - share) * part, full[at] + part, left - part
-            if full[at] >= size - 1e-9:
-                at, done = (at + 1) % buckets, done + 1
-                buy[at] = sell[at] = full[at] = 0.0
-        total = size * buckets if done >= buckets else sum(full)
-        value = sum(abs(b - s) for b, s in zip(buy, sell, strict=True)) / total if done and total > 0 else NAN
+        seen = [v for v in recent if v == v]
+        size = buckets * sum(seen) / len(seen)
+        poured += volume
+        over = held + volume - size
+        if over < -1e-9:
+            held, tilt_held = held + volume, tilt_held + tilt * volume
+        else:
+            finished.append(abs(tilt_held + tilt * (size - held)))
+            more, held = divmod(over, size) if over > 1e-9 else (0.0, 0.0)
+            if size - held <= 1e-9:
+                more, held = more + 1, 0.0
+            finished.extend([abs(tilt) * size] * min(int(more), buckets))
+            count, tilt_held = count + 1 + int(more), tilt * held
+        whole = size * buckets if count >= buckets else poured
+        value = (sum(finished) + abs(tilt_held)) / whole if count and whole > 0 else NAN
         return value
 
     return step
@@ -290,44 +299,43 @@ def position(
     return step
 
 
-def slot_vpin(buckets: int = 5, decay: float = 0.8):
-    """Imbalance of one slot's ticks: buckets of a fifth of its volume, filled in a ring."""
+def slot_vpin(prices: np.ndarray, volumes: np.ndarray, buckets: int = 5, decay: float = 0.8) -> float:
+    """Imbalance of one slot's ticks over equal shares of its volume, NaN for fewer than three ticks.
 
-    def measure(prices: np.ndarray, volumes: np.ndarray) -> float:
-        total = volumes[volumes > 0].sum()
-        if len(prices) < 3 or total <= 0:
-            return NAN
-        size, at = total / buckets, 0
-        buy, sell = [0.0] * buckets, [0.0] * buckets
-        variance, before = 0.0, prices[0]
-        for i, (price, volume) in enumerate(zip(prices.tolist(), volumes.tolist(), strict=True)):
-            change, before = price - before, price
-            if i >= 2:
-                variance = (1 - decay) * change * change + decay * variance
-            share = 0.5 if i < 2 else 0.5 * (1 + math.erf(change / max(math.sqrt(max(variance, 1e-16)), 1e-8) / math.sqrt(2)))
-            left = max(volume, 0)
-            while left > 0:
-                part = min(left, size - buy[at] - sell[at])
-                buy[at], sell[at], left = buy[at] + share * part, sell[at] + (1 - share) * part, left - part
-                if buy[at] + sell[at] >= size * (1 - 1e-12):
-                    at = (at + 1) % buckets
-                    buy[at] = sell[at] = 0.0
-        filled = sum(buy) + sum(sell)
-        return sum(abs(b - s) for b, s in zip(buy, sell, strict=True)) / filled if filled > 0 else NAN
-
-    return measure
+    Volume is signed by the normal chance of each price change against its exponential
+    deviation; the first two ticks are neutral.  Signed volume as a function of volume is
+    piecewise linear, so what falls into each share is read off at its edges.  The shares are
+    a ring that is full at the end, which gives up its first one.  Ticks without a price
+    have no volume.
+    """
+    size = np.where(np.isnan(prices), 0, np.maximum(np.nan_to_num(volumes), 0))
+    total = size.sum()
+    if len(prices) < 3 or total <= 0:
+        return NAN
+    change = np.nan_to_num(np.diff(prices, prepend=prices[0]))
+    change[:2] = 0.0
+    variance = pd.Series(change**2).ewm(alpha=1 - decay, adjust=False).mean().to_numpy()
+    tilt = 2 * normal_share(change / np.sqrt(np.maximum(variance, 1e-16))) - 1
+    tilt[:2] = 0.0
+    edges = np.linspace(0, total, buckets + 1)[1:]
+    signed = np.interp(edges, np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(tilt * size)])
+    return float(np.abs(np.diff(signed)).sum() / (total - edges[0]))
+
+
+def normal_share(z: np.ndarray) -> np.ndarray:
+    """Standard normal distribution function, by the formula that ``normal_cdf`` gives columns."""
+    t = 1 / (1 + 0.3275911 * np.abs(z) / 2**0.5)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return (1 + np.sign(z) * (1 - poly * np.exp(-z * z / 2))) / 2
 
 
 def vpin_by_slot(ticks: DataFrame, keys: Sequence[str], price: str = "price", size: str = "size", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """(keys, vpin) of each group of ticks; a slot's ticks are a bounded group."""
-    names, measure = [*keys, price, size, *order], slot_vpin()
     schema = ", ".join(f"{c} {kind}" for c, kind in ticks.select(*keys).dtypes) + ", vpin double"
 
-    def run(group):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(list(order))
-        out = group[list(keys)].head(1).copy()
-        value = measure(group[price].to_numpy(float), group[size].to_numpy(float))
-        out["vpin"] = None if math.isnan(value) else value
-        return out
+        value = slot_vpin(group[price].to_numpy(float), group[size].to_numpy(float))
+        return group[list(keys)].head(1).assign(vpin=None if math.isnan(value) else value)
 
-    return ticks.select(*names).groupBy(*keys).applyInPandas(run, schema)
+    return ticks.select(*keys, price, size, *order).groupBy(*keys).applyInPandas(run, schema)

@@ -133,16 +133,17 @@ def greedy_diverse(scores: Mapping[str, float], corr: Mapping[tuple[str, str], f
 
 
 def parse_strength_map(text: str) -> list[tuple[float, float, float]]:
-    """``"lo-hi:pos,lo-hi:pos"``: intervals in order, not overlapping; the last one is closed above."""
+    """``"lo-hi:pos,lo-hi:pos"`` as intervals by their lower ends; the last one is closed above.
+
+    Positions lie in [0, 1].  An empty text gives no intervals: positions then go by sign alone.
+    """
     out = []
     for part in filter(None, (p.strip() for p in text.split(","))):
         m = re.fullmatch(r"([\d.]+)-([\d.]+):([\d.]+)", part)
-        if not m or not float(m[1]) < float(m[2]):
-            raise ValueError(f"not an interval with a position: {part!r}")
+        if not m or not float(m[1]) < float(m[2]) or float(m[3]) > 1:
+            raise ValueError(f"not an interval with a position in [0, 1]: {part!r}")
         out.append((float(m[1]), float(m[2]), float(m[3])))
-    if any(a[1] > b[0] for a, b in zip(out, out[1:], strict=False)):
-        raise ValueError("intervals overlap or are out of order")
-    return out
+    return sorted(out, key=lambda x: x[0])
 
 
 def strength_position(strength: Column, sign: Column, intervals: Sequence[tuple[float, float, float]]) -> Column:
@@ -172,16 +173,29 @@ def weighted_vote(signals: DataFrame, keys: Sequence[str], weight: str, level: f
     return signals.groupBy(*keys).agg(mean.alias("score")).withColumn("signal", F.when(F.col("score") > level, 1).when(F.col("score") < -level, -1).otherwise(0))
 
 
-def vote_strength(longs: Column, shorts: Column, models: Column, intervals: Sequence[tuple[float, float, float]]) -> Column:
-    """Fractional position from the share of agreeing votes; where both sides have votes, the larger side signs it."""
-    long_share, short_share = longs / models, shorts / models
-    out = F.lit(0.0)
-    for k, (low, high, size) in enumerate(intervals):
-        last = k == len(intervals) - 1
-        inside = lambda x, low=low, high=high, last=last: (x >= low) & ((x <= high) if last else (x < high))
-        out = F.when((shorts >= 1) & inside(short_share), -size).when(inside(long_share), size).otherwise(out)
-    conflict = (longs >= 1) & (shorts >= 1)
-    return F.when(conflict, F.when(long_share >= short_share, F.abs(out)).otherwise(-F.abs(out))).otherwise(out)
+def vote_strength(longs: Column, shorts: Column, models: Column, intervals: Sequence[tuple[float, float, float]], min_agree: int = 1) -> Column:
+    """Fractional position from votes: sized by intervals of the share of models that agree.
+
+    The side with more votes gives the sign, longs at a tie.  The size is that of the highest
+    interval in which either side's share lies.  Without intervals a side of ``min_agree``
+    votes or more holds a whole position, shorts before longs.
+    """
+    if not intervals:
+        return F.when(shorts >= min_agree, -1.0).when(longs >= min_agree, 1.0).otherwise(0.0)
+    places = list(range(len(intervals)))
+
+    def place(votes: Column, least: int) -> Column:
+        """Number of the highest interval that holds the share of votes, -1 outside all."""
+        share, top = votes / models, places[-1]
+        held = [F.when((share >= low) & ((share <= high) if k == top else (share < high)), k) for k, (low, high, _) in enumerate(intervals)]
+        return F.when(votes >= least, F.coalesce(*reversed(held), F.lit(-1))).otherwise(-1)
+
+    long_at, short_at = place(longs, 0), place(shorts, 1)
+    highest = F.greatest(long_at, short_at)
+    size = F.coalesce(*(F.when(highest == k, intervals[k][2]) for k in places), F.lit(0.0))
+    both = (longs >= 1) & (shorts >= 1)
+    down = F.when(both, shorts > longs).otherwise((short_at >= 0) & (short_at >= long_at))
+    return F.when(down, -size).otherwise(size)
 
 
 def stacking_weights(signals: DataFrame, models: Sequence[str], label: str, alpha: float = 1e-5, least: int = 30) -> list[float]:

@@ -12,7 +12,8 @@ from fathom.operators import performance as P
 from fathom.operators import scan as X
 from fathom.operators import selection as C
 from fathom.operators.frames import hourly_bars
-from fathom.plans.registry import BARS, W, both, div, lag, query, ret, roll, rounded
+from fathom.plans.registry import BARS, TICKS, W, both, div, lag, query, ret, roll, rounded
+from fathom.plans.tick_queries import PHI
 
 S = Series()
 
@@ -242,7 +243,12 @@ def folds(spark, sf_dir) -> DataFrame:
     return bars.select("symbol", "ts", L.purged_fold(F.col("rn"), F.col("n"), 3, 3).cast("long").alias("fold"))
 
 
-@query("i17_sequences")
+@query(
+    "i17_sequences",
+    f"""WITH {BARS}, y AS (SELECT symbol, ts, (close + 100) / ({lag('close')} + 100) - 1 AS ret, {div('volume', roll('avg', 'volume', 20))} AS rel_vol, {div('close - low', 'high - low')} AS close_position, (lead(close, 3) OVER {W()} + 100) / (close + 100) - 1 AS label FROM bars),
+    full_rows AS (SELECT symbol, ts, ret + rel_vol + close_position AS s FROM y WHERE ret IS NOT NULL AND rel_vol IS NOT NULL AND close_position IS NOT NULL AND label IS NOT NULL)
+    SELECT symbol, ts, 10 AS length, round(sum(s) OVER {W(10)}, 6) AS total FROM full_rows QUALIFY count(*) OVER {W(10)} = 10""",
+)
 def sequence_rows(spark, sf_dir) -> DataFrame:
     """The sequence builder that recurrent models read: ten factor rows for each bar."""
     made = L.sequences(_matrix(spark, sf_dir).dropna(), S, ["ret", "rel_vol", "close_position"], 10)
@@ -514,7 +520,15 @@ def rebuilt(spark, sf_dir) -> DataFrame:
     return rounded(made.select("symbol", "ts", "held", "strategy_return", "cumulative_value"))
 
 
-@query("d15_slot_vpin")
+@query(
+    "d15_slot_vpin",
+    f"""WITH {TICKS}, o AS (SELECT symbol, trading_date, hour(ts) // 6 AS slot, price, greatest(size, 0) AS v, row_number() OVER w - 1 AS i, price - lag(price) OVER w AS c, sum(size) OVER w AS cum, sum(size) OVER (PARTITION BY symbol, trading_date, hour(ts) // 6) AS total,
+      count(*) OVER (PARTITION BY symbol, trading_date, hour(ts) // 6) AS n FROM ticks WINDOW w AS (PARTITION BY symbol, trading_date, hour(ts) // 6 ORDER BY ts, seq)),
+    e AS (SELECT *, 0.2 * pow(0.8, i) * sum(CASE WHEN i >= 2 THEN c * c * pow(0.8, -i) ELSE 0 END) OVER (PARTITION BY symbol, trading_date, slot ORDER BY i) AS variance FROM o),
+    z AS (SELECT *, CASE WHEN i >= 2 THEN c / sqrt(greatest(variance, 1e-16)) ELSE 0 END AS z FROM e), t AS (SELECT *, CASE WHEN i >= 2 THEN 2 * {PHI} - 1 ELSE 0 END AS tilt FROM z),
+    k AS (SELECT *, unnest(range(1, 5)) AS k FROM t), p AS (SELECT symbol, trading_date, slot, n, total, k, abs(sum(tilt * greatest(0, least(cum, (k + 1) * total / 5.0) - greatest(cum - v, k * total / 5.0)))) AS imbalance FROM k GROUP BY ALL)
+    SELECT symbol, CAST(trading_date AS VARCHAR) AS trading_date, CAST(slot AS INT) AS slot, round(CASE WHEN n >= 3 AND total > 0 THEN sum(imbalance) / (total * 0.8) END, 6) AS vpin FROM p GROUP BY symbol, trading_date, slot, n, total""",
+)
 def slot_vpin(spark, sf_dir) -> DataFrame:
     """Volume-synchronised imbalance inside six-hour slots, from ticks."""
     from fathom.operators.frames import ticks

@@ -40,7 +40,12 @@ def by_session(spark, sf_dir) -> DataFrame:
     return made.select("symbol", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), "open", "close", "n_ticks")
 
 
-@query("n5_streaming_ema")
+@query(
+    "n5_streaming_ema",
+    f"""WITH RECURSIVE {TICKS}, n AS (SELECT symbol, seq, price, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM ticks), e AS (
+      SELECT symbol, seq, k, price AS ema FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.seq, n.k, e.ema + 0.1 * (n.price - e.ema) FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1)
+    SELECT symbol, seq, round(ema, 6) AS ema FROM e""",
+)
 def keyed(spark, sf_dir) -> DataFrame:
     made = N.run_once(N.keyed_ema(N.tick_stream(spark, sf_dir), 0.1), N.shared_folder(spark))
     return made.select("symbol", "seq", F.round("ema", 6).alias("ema"))

@@ -108,7 +108,13 @@ def lags(spark, sf_dir) -> DataFrame:
     return clean.lag_expand(df, ["close"], S, 3).drop("contract")
 
 
-@query("b21_normal_cdf")
+T21 = "(1 / (1 + 0.3275911 * abs(z) / sqrt(2)))"
+POLY = f"{T21} * (0.254829592 + {T21} * (-0.284496736 + {T21} * (1.421413741 + {T21} * (-1.453152027 + {T21} * 1.061405429))))"
+#: The normal distribution function of ``z``, by the formula of ``normal_cdf``.
+PHI = f"((1 + sign(z) * (1 - {POLY} * exp(-z * z / 2))) / 2)"
+
+
+@query("b21_normal_cdf", f"WITH {TICKS}, m AS (SELECT symbol AS s, avg(price) AS mean, stddev_samp(price) AS std FROM ticks GROUP BY 1), z AS (SELECT symbol, seq, (price - mean) / nullif(std, 0) AS z FROM ticks JOIN m ON symbol = s) SELECT symbol, seq, round({PHI}, 6) AS p FROM z")
 def phi(spark, sf_dir) -> DataFrame:
     """Standardised tick prices through the normal distribution function."""
     df = ticks(spark, sf_dir)
@@ -294,13 +300,15 @@ MINUTE = "CASE " + " ".join(f"WHEN m >= {a} AND m < {b} THEN m - {a} + {before}"
 
 @query(
     "d0_trading_time_bars",
-    f"""WITH {TICKS}, m AS (SELECT *, extract(hour FROM ts) * 60 + extract(minute FROM ts) AS m FROM ticks), p AS (SELECT *, {MINUTE} // 60 AS period FROM m)
-    SELECT symbol, CAST(trading_date AS VARCHAR) AS trading_date, CAST(period AS INT) AS period, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, CAST(sum(size) AS BIGINT) AS volume
+    f"""WITH {TICKS}, m AS (SELECT * EXCLUDE (trading_date), trading_date AS day, extract(hour FROM ts) * 60 + extract(minute FROM ts) AS m FROM ticks), days AS (SELECT DISTINCT day AS open_day FROM m WHERE m < 1260),
+    nights AS (SELECT day AS night, coalesce((SELECT min(open_day) FROM days WHERE open_day > day), day + 1) AS next FROM (SELECT DISTINCT day FROM m)),
+    p AS (SELECT m.*, CASE WHEN m >= 1260 THEN next ELSE day END AS trading_date, {MINUTE} // 60 AS period FROM m JOIN nights ON day = night)
+    SELECT symbol, CAST(CAST(trading_date AS DATE) AS VARCHAR) AS trading_date, CAST(period AS INT) AS period, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, CAST(sum(size) AS BIGINT) AS volume
     FROM p WHERE period IS NOT NULL GROUP BY symbol, p.trading_date, p.period""",
 )
 def trading_time(spark, sf_dir) -> DataFrame:
-    """Bars of 60 trading minutes, breaks between sessions left out."""
-    df = ticks(spark, sf_dir).withColumn("period", F.floor(B.trading_minute(F.col("ts")) / 60).cast("int")).where("period is not null")
+    """Bars of 60 trading minutes of a trading date, which begins the evening before; breaks are left out."""
+    df = B.with_trading_date(ticks(spark, sf_dir)).withColumn("period", F.floor(B.trading_minute(F.col("ts")) / 60).cast("int")).where("period is not null")
     return B.ohlcv(df, ["symbol", "trading_date", "period"]).select("symbol", F.col("trading_date").cast("string").alias("trading_date"), "period", "open", "high", "low", "close", "volume")
 
 

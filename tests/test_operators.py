@@ -1,4 +1,5 @@
 import json
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -184,7 +185,8 @@ def test_clusters_and_greedy_pick():
 
 def test_strength_map():
     assert C.parse_strength_map("0.2-0.5:0.7, 0.5-1:1") == [(0.2, 0.5, 0.7), (0.5, 1.0, 1.0)]
-    for bad in ("0.5-0.2:1", "a-b:1", "0.1-0.6:1,0.5-1:2"):
+    assert C.parse_strength_map("0.5-1:1,0.2-0.5:0.7") == [(0.2, 0.5, 0.7), (0.5, 1.0, 1.0)] and C.parse_strength_map(" ") == []
+    for bad in ("0.5-0.2:1", "a-b:1", "0.1-0.6:1,0.5-1:2", "0.2-0.5:7"):
         with pytest.raises(ValueError):
             C.parse_strength_map(bad)
 
@@ -277,3 +279,85 @@ def test_correlations_take_every_component(spark, sf_dir):
         keep = np.arange(200) != (3 if 5 in (a, b) else -1)
         assert abs(c - np.corrcoef(x[keep, a], x[keep, b])[0, 1]) < 1e-9
     assert catalog.QUERIES["j11_factor_clusters"](spark, sf_dir).count() == 64
+
+
+def test_vpin_equals_pouring_by_units():
+    """Volumes in whole units and equal, so that buckets can be filled one unit at a time."""
+    rng = np.random.default_rng(8)
+    price = (50 + rng.normal(size=120).cumsum()).tolist()
+    n, unit = 4, 6.0
+    found = run(X.vpin(buckets=n, window=50), price, [unit] * 120)
+    ring, at, done, var = [[0.0, 0.0] for _ in range(n)], 0, 0, 0.0
+    for i, p in enumerate(price):
+        change = p - price[i - 1] if i else 0.0
+        var = change**2 if i < 2 else 0.2 * change**2 + 0.8 * var
+        buy = 0.5 * (1 + math.erf(change / max(math.sqrt(max(var, 1e-16)), 1e-8) / math.sqrt(2))) if i else 0.5
+        for _ in range(int(unit)):
+            ring[at][0] += buy
+            ring[at][1] += 1 - buy
+            if sum(ring[at]) >= n * unit - 1e-9:
+                at, done = (at + 1) % n, done + 1
+                ring[at] = [0.0, 0.0]
+        total = n * n * unit if done >= n else sum(map(sum, ring))
+        expected = sum(abs(b - s) for b, s in ring) / total if done else None
+        assert found[i] == pytest.approx(expected) if done else np.isnan(found[i])
+
+
+def test_vpin_survives_falling_volume():
+    volume = [100.0] * 30 + [1.0] * 200 + [float("nan"), 0.0] + [500.0] * 5
+    found = run(X.vpin(buckets=5, window=20), np.linspace(1, 2, len(volume)).tolist(), volume)
+    assert np.isfinite(found[40:]).all() and found[231] == found[230] == found[229]
+
+
+def test_slot_vpin_reads_shares_of_volume():
+    prices, volumes = np.array([1.0, 1.0, 2.0, 1.0, 3.0, 2.0]), np.array([2.0, 2.0, 3.0, 5.0, 0.0, 8.0])
+    # Unit by unit: each tick's signed share, in the last four fifths of all volume.
+    change = np.diff(prices, prepend=prices[0])
+    var, tilt = 0.0, []
+    for i, c in enumerate(change):
+        var = 0.2 * c * c + 0.8 * var if i >= 2 else 0.0
+        tilt.append(math.erf(c / math.sqrt(max(var, 1e-16)) / math.sqrt(2)) if i >= 2 else 0.0)
+    units = np.repeat(tilt, (volumes * 100).astype(int)).reshape(5, -1)
+    assert X.slot_vpin(prices, volumes) == pytest.approx(np.abs(units.sum(1))[1:].sum() / units[1:].size, abs=1e-6)
+    assert math.isnan(X.slot_vpin(prices[:2], volumes[:2])) and math.isnan(X.slot_vpin(prices, 0 * volumes))
+
+
+def test_vote_strength_goes_through_intervals(spark):
+    def slow(longs, shorts, n, intervals):
+        out = 0.0
+        for k, (low, high, size) in enumerate(intervals):
+            inside = lambda x: low <= x <= high if k == len(intervals) - 1 else low <= x < high  # noqa: B023, E731
+            if inside(longs / n):
+                out = size
+            if shorts and inside(shorts / n):
+                out = -size
+        return (abs(out) if longs >= shorts else -abs(out)) if longs and shorts else out
+
+    rows = [(a, b, 7) for a in range(8) for b in range(8 - a)]
+    df = spark.createDataFrame(rows, "l int, s int, n int")
+    for text in ("0.2-0.5:0.7,0.5-1:1", "0.5-1:1,0.1-0.3:0.4", "0-0.4:0.5", ""):
+        intervals = C.parse_strength_map(text)
+        made = df.select("l", "s", C.vote_strength(F.col("l"), F.col("s"), F.col("n"), intervals, 3).alias("p")).collect()
+        for r in made:
+            plain = -1.0 if r.s >= 3 else 1.0 if r.l >= 3 else 0.0
+            assert r.p == (slow(r.l, r.s, 7, intervals) if intervals else plain), (text, r)
+
+
+def test_night_ticks_belong_to_the_next_trading_date(spark):
+    rows = [("2024-01-05 10:00:00",), ("2024-01-05 21:30:00",), ("2024-01-06 22:00:00",), ("2024-01-08 09:00:00",), ("2024-01-08 22:59:00",), (None,)]
+    df = spark.createDataFrame(rows, "t string").select(F.col("t").cast("timestamp_ntz").alias("ts"), F.lit(1).alias("trading_date"))
+    found = {str(r.ts): str(r.trading_date) for r in B.with_trading_date(df).collect()}
+    assert found == {"2024-01-05 10:00:00": "2024-01-05", "2024-01-05 21:30:00": "2024-01-08", "2024-01-06 22:00:00": "2024-01-08", "2024-01-08 09:00:00": "2024-01-08", "2024-01-08 22:59:00": "2024-01-09", "None": "None"}
+
+
+def test_carried_values_cross_days(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if k % 9 == 0 else f"s{k % 3}", int(d), k, None if rng.random() < 0.5 else float(k)) for k in range(90) for d in [rng.integers(0, 6)]]
+    df = spark.createDataFrame(rows, "symbol string, day int, seq int, x double")
+    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
+    for strict in (False, True):
+        for ahead in (False, True):
+            found = {r.seq: r.y for r in clean.carried_value(df, ["symbol"], "day", ["seq"], "x", "y", strict, ahead).collect()}
+            for i, r in enumerate(ordered):
+                there = ordered[i + strict :] if ahead else ordered[: i + 1 - strict][::-1]
+                assert found[r[2]] == next((o[3] for o in there if o[0] == r[0] and o[3] is not None), None)

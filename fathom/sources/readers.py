@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import ast
+import csv
 import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.operators.clean import to_number
+from fathom.operators.clean import carried_value, to_number
 
 #: Columns of a tick file and their types (fixed values); depth beyond level 1 may be absent.
 TICK_COLUMNS = {"datetime": "timestamp", "last": "double", "volume": "long", "total_turnover": "double", "open_interest": "long"} | {
@@ -38,40 +40,86 @@ def symbols(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("symbol").distinct()
 
 
-def decodable(head: bytes, encodings: Sequence[str] = ("utf-8", "gbk", "gb18030", "latin1")) -> str:
-    """First encoding that reads the bytes; a character cut off at the end does not count."""
-    for name in encodings:
-        for drop in range(4):
+#: Encodings of text tables, in the order in which they are tried (fixed values).
+ENCODINGS = ("utf-8", "gbk", "gb18030", "latin1")
+
+
+@F.pandas_udf(T.IntegerType())
+def _readable(raw: pd.Series) -> pd.Series:
+    """Bit k is set if ``ENCODINGS[k]`` reads the bytes."""
+
+    def bits(line: bytes) -> int:
+        out = 0
+        for k, name in enumerate(ENCODINGS):
             try:
-                head[: len(head) - drop].decode(name)
-                return name
+                line.decode(name)
+                out |= 1 << k
             except UnicodeDecodeError:
-                continue
-    return encodings[-1]
-
-
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header, in whichever encoding its first bytes decode in; all strings without a schema."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("head")).first()
-    encoding = decodable(bytes(head["head"])) if head else "utf-8"
-    if encoding.startswith("gb"):  # beyond the charsets that Spark takes by default
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = spark.read.option("header", "true").option("encoding", {"latin1": "iso-8859-1"}.get(encoding, encoding))
-    df = (reader.schema(schema) if schema else reader).csv(path)
+                pass
+        return out
+
+    return raw.map(bits)
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(raw: pd.Series, encoding: pd.Series) -> pd.Series:
+    return pd.Series([line.decode(name) for line, name in zip(raw, encoding, strict=True)])
+
+
+def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+    """CSV with a header, each file in the first of ``ENCODINGS`` that reads all of it; all strings without a schema.
+
+    Files are read by lines, so a quoted value holds no line break.  Lines that are UTF-8 as
+    they stand stay in the JVM; only files with others are decoded by Python.  All files have
+    the columns of the first one by name.  Files are listed by the driver, so one row a file
+    may be broadcast.
+    """
+    lines = spark.read.text(path).select("value", F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("file"))
+    others = lines.where(~F.is_valid_utf8("value")).groupBy("file").agg(F.bit_and(_readable("raw")).alias("bits"))
+    name = F.coalesce(*(F.when(F.col("bits").bitwiseAND(1 << k) != 0, F.lit(e)) for k, e in enumerate(ENCODINGS)))
+    lines = lines.join(F.broadcast(others.select("file", name.alias("encoding"))), "file", "left")
+    plain = lines.where("encoding is null").select("file", "value")
+    lines = plain.unionByName(lines.where("encoding is not null").select("file", _decoded("raw", "encoding").alias("value"))).where(F.trim("value") != "")
+    lines = lines.withColumn("value", F.ltrim("value", F.lit("\ufeff")))
+    first = lines.orderBy("file").select("file").first()
+    if first is None:
+        raise ValueError(f"no lines in {path}")
+    header = spark.read.text(first.file).where(F.trim("value") != "").select(F.col("value").cast("binary").alias("raw")).first().raw
+    header = header.decode(next(e for e in ENCODINGS if _reads(bytes(header), e))).lstrip("\ufeff").rstrip("\r")
+    names = next(csv.reader([header]))
+    kinds = T.StructType([T.StructField(n or f"_c{k}", T.StringType()) for k, n in enumerate(names)]) if schema is None else schema
+    kinds = kinds if isinstance(kinds, str) else kinds.toDDL()
+    rows = lines.where(F.rtrim("value", F.lit("\r")) != header)
+    df = rows.select(F.from_csv("value", kinds, {"mode": "PERMISSIVE"}).alias("row")).select("row.*")
     return df.select(*columns) if columns else df
 
 
+def _reads(raw: bytes, encoding: str) -> bool:
+    try:
+        raw.decode(encoding)
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
 #: Names that a time index may have, in order of preference (fixed values).
 INDEX_NAMES = ("date", "datetime", "trading_date", "Unnamed: 0", "_c0")
 
 
 def with_index(df: DataFrame) -> DataFrame:
-    """``ts`` from the first index-like column, and every ``x_`` or ``y_`` column as a number."""
+    """``ts`` from the first index-like column, and every ``x_`` or ``y_`` column as a number.
+
+    Missing index values are filled from the rows before them, in the order of the file, and
+    then parsed.
+    """
     name = next((n for n in INDEX_NAMES if n in df.columns), None)
     if name is None:
         raise ValueError(f"no index column among {INDEX_NAMES}")
     numbers = {c: to_number(c) for c, kind in df.dtypes if c[:2] in ("x_", "y_") and kind == "string"}
-    return df.withColumn("ts", F.col(name).try_cast("timestamp")).drop(*({name} - {"ts"})).withColumns(numbers)
+    # Row numbers hold the number of the partition in their upper bits.
+    placed = df.withColumn("_row", F.monotonically_increasing_id()).withColumns({"_all": F.lit(0), "_part": F.shiftright("_row", 33)})
+    filled = carried_value(placed, ["_all"], "_part", ["_row"], name, "_index").drop("_row", "_all", "_part")
+    return filled.drop(*({name} - {"ts"})).withColumn("ts", F.col("_index").try_cast("timestamp")).drop("_index").withColumns(numbers)
 
 
 def parse_run_config(text: str) -> dict:

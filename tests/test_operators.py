@@ -225,7 +225,23 @@ def test_text_tables(spark, tmp_path):
     (tmp_path / "g.csv").write_bytes("date,x_名,y_close\n2024-01-01,#NAME?,1.5\n2024-01-02,2,x\n".encode("gbk"))
     df = readers.with_index(readers.read_csv(spark, str(tmp_path / "g.csv")))
     assert [(r["x_名"], r.y_close) for r in df.orderBy("ts").collect()] == [(None, 1.5), (2.0, None)]
-    assert readers.decodable("é".encode()[:1] + b"") in ("utf-8", "gbk", "gb18030", "latin1")
+    # Each file is decoded as a whole: the bytes that tell may come late, and files may differ.
+    before = {k: v for k, v in spark.conf.getAll.items()}
+    folder = tmp_path / "many"
+    folder.mkdir()
+    ascii_rows = "".join(f"2024-01-01,{i},a\r\n" for i in range(20_000))
+    (folder / "a.csv").write_bytes(("date,x_v,name\r\n" + ascii_rows + '2024-01-02,1,"名, 字"\r\n').encode("gbk"))
+    (folder / "b.csv").write_bytes("\ufeffdate,x_v,name\n,2,é\n\n".encode())
+    (folder / "c.csv").write_bytes("date,x_v,name\n2024-01-04,3,".encode() + b"\xff\xe9 end\n")
+    (folder / "d.csv").write_bytes("date,x_v,name\n2024-01-05,4,\U00020000\n".encode("gb18030"))
+    many = readers.read_csv(spark, str(folder))
+    assert many.count() == 20_004 and [f.dataType.simpleString() for f in many.schema] == ["string"] * 3
+    assert {r.name for r in many.where("name <> 'a'").collect()} == {"名, 字", "é", "ÿé end", "\U00020000"}
+    typed = readers.read_csv(spark, str(folder / "d.csv"), ["x_v"], "date date, x_v int, name string")
+    assert [tuple(r) for r in typed.collect()] == [(4,)] and {k: v for k, v in spark.conf.getAll.items()} == before
+    (tmp_path / "gaps.csv").write_text("date,x_v\n,0\n2024-01-01,1\n,2\nnothing,3\n,4\n2024-01-03,5\n")
+    filled = {r.x_v: r.ts and str(r.ts)[:10] for r in readers.with_index(readers.read_csv(spark, str(tmp_path / "gaps.csv"))).collect()}
+    assert filled == {0.0: None, 1.0: "2024-01-01", 2.0: "2024-01-01", 3.0: None, 4.0: None, 5.0: "2024-01-03"}
     with pytest.raises(ValueError):
         readers.with_index(df.drop("ts"))
     assert readers.parse_run_config('{"close_threshold": "[0.0, 0.5]", "mode": "rolling"}') == {"close_threshold": [0.0, 0.5], "mode": "rolling"}

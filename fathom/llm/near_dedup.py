@@ -36,7 +36,7 @@ SAMPLES = 512
 BANDS = 32
 ROWS = 4
 SKETCH_BITS = 2048
-BLOCK = 1024
+BLOCK = 512
 BLOCK_SHINGLES = 4_000_000
 #: Standard deviations of the sketch's estimate that a candidate may lie under the threshold.
 MARGIN = 3.5

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import struct
@@ -288,6 +289,61 @@ def test_wrapped_notices(spark):
     assert sorted((r.doc_id, r.family, r.paragraph) for r in found) == [(i, f, k) for i, (f, k, _) in wrapped.items()]
 
 
+def slow_scan(doc_id, text):
+    """Every run of lines scored, none passed over: (doc_id, line, family) of what stands."""
+    model, names = license_scan.train(), [*license_scan.TEMPLATES, "unknown"]
+    words = [re.findall("[a-z0-9]+", line.lower()) for line in text.split("\n")]
+    reach = math.ceil(1.5 * max(len(re.findall("[a-z0-9]+", t.lower())) for ts in license_scan.TEMPLATES.values() for t in ts))
+    found, block = [], 0
+    for i, own in enumerate(words):
+        block += not own
+        between, last = 0, i
+        while own:
+            gs = license_scan.grams(" ".join(w for line in words[i : last + 1] for w in line))
+            seen = [model.weights[g] for g in gs if g in model.weights]
+            score = np.array(model.bias) + np.sum(seen, 0) / math.sqrt(len(seen)) if seen else np.zeros(len(names))
+            chance = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+            family = names[int(chance.argmax())]
+            overlap = max((len(gs & license_scan.grams(t)) / len(license_scan.grams(t)) for t in license_scan.TEMPLATES.get(family, ())), default=0)
+            if seen and family != "unknown" and chance.max() >= model.level and overlap >= license_scan.CONFIRM:
+                found.append((block, last > i, -overlap, last - i, i, last, family))
+            if last > i:
+                between += len(words[last])
+            last += 1
+            if last == len(words) or not words[last] or between > reach - 2:
+                break
+    kept = []
+    for b, many, _, _, first, last, family in sorted(found):
+        if not many or not any(k[0] == b and k[1] <= last and first <= k[2] for k in kept):
+            kept.append((b, first, last, family))
+    return {(doc_id, first, family) for _, first, _, family in kept}
+
+
+def test_license_scan_equals_scoring_every_run(spark, sf_dir):
+    rng = random.Random(11)
+    notices = [t for ts in license_scan.TEMPLATES.values() for t in ts]
+    said = [*license_scan.OTHERS, "This Source Code Form is subject to the terms of the Mozilla Public, v. 2.0.", "This library is under the GNU Lesser General Public, version 3.", "No rights reserved.", "Copyright 2021 Foo. All rights reserved."]
+    rows = []
+    for i in range(120):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            words = rng.choice(notices if rng.random() < 0.6 else said).split()
+            if rng.random() < 0.5 and len(words) > 3:
+                del words[rng.randrange(len(words))]
+            width = rng.choice((3, 8, 100))
+            lines += [" ".join(words[k : k + width]) for k in range(0, len(words), width)] + [""] * rng.randint(0, 1)
+        rows.append((i, "\n".join(lines)))
+    rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 3000").collect()]
+    expected = set().union(*(slow_scan(*r) for r in rows))
+    found = {(r.doc_id, r.paragraph, r.family) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == expected and len(found) > 100
+
+
+def test_license_model_is_calibrated_on_held_out_texts():
+    model = license_scan.train()
+    assert model.level >= 0.5 and model.false_rate <= 0.02 and model.recall >= 0.95
+
+
 def test_required_grams_lose_no_notice():
     for text in (t for ts in license_scan.TEMPLATES.values() for t in ts):
         own = license_scan.grams(text)

@@ -31,10 +31,15 @@ _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BLOB = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}")
+_BLOB = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+#: Base64 broken into lines, as it is outside PEM armour too.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]++={0,2}")
 _HEX_BLOB = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 
+#: Characters of the shortest signed token: a header ``{"alg":""}``, a body ``{}`` and no signature.
+_SHORTEST = 19
+
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[list(b"0123456789abcdef")] = True
 _BLOB_BYTE = np.zeros(256, bool)
@@ -88,6 +93,8 @@ def is_private_key(data: bytes) -> bool:
 
 
 def _decode64(text: str) -> bytes | None:
+    """Bytes of base64 in either alphabet, padded or not."""
+    text = text.replace("-", "+").replace("_", "/").rstrip("=")
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -97,7 +104,7 @@ def _decode64(text: str) -> bytes | None:
 def is_signed_token(header: str, body: str) -> bool:
     found = []
     for part in (header, body):
-        raw = _decode64(part.replace("-", "+").replace("_", "/"))
+        raw = _decode64(part)
         try:
             found.append(json.loads(raw.decode()) if raw else None)
         except (ValueError, RecursionError):
@@ -134,6 +141,13 @@ def find_secrets(text: str, assign: bool = True, access: bool = True, hexes: boo
     if blobs:
         keys = [m.span() for m in _PEM.finditer(text) if is_private_key(_decode64("".join(m[2].split())) or b"")]
         keys += [m.span() for m in _BLOB.finditer(text) if is_private_key(_decode64(m[0]) or b"")]
+        for m in _WRAPPED.finditer(text):
+            # A word that begins the line below may stand at the end of the match.
+            whole = m[0]
+            for part in (whole, whole[: whole.rindex("\n")].rstrip()):
+                if is_private_key(_decode64("".join(part.split())) or b""):
+                    keys.append((m.start(), m.start() + len(part)))
+                    break
         keys += [m.span() for m in _HEX_BLOB.finditer(text) if is_private_key(bytes.fromhex(m[0]))]
         end = 0
         for a, b in sorted(keys, key=lambda s: (s[0], -s[1])):
@@ -148,7 +162,7 @@ def scan_batch(column: pa.Array) -> Iterator[list[tuple[int, str, int]]]:
     """Spans of each text; cheap byte searches decide which patterns can match at all."""
     for piece in pieces(column):
         hexes = _long_runs(piece, _HEX_BYTE, 24)
-        blobs = _long_runs(piece, _BLOB_BYTE, 20)
+        blobs = _long_runs(piece, _BLOB_BYTE, _SHORTEST)
         for i in range(len(piece.starts) - 1):
             raw = piece.data[piece.starts[i] : piece.starts[i + 1]].tobytes()
             low = raw.lower()

@@ -233,39 +233,6 @@ def composite(df: DataFrame, factors: Sequence[str], weights: DataFrame, size: i
     return long.join(weights, ["symbol", "factor", "segment"]).groupBy("symbol", "ts").agg(F.sum(F.col("value") * F.col("weight")).alias("composite"))
 
 
-def guarded_score(icir: Column, mac: Column, n: Column, sigma: Column, gap: Column, w: float = 0.25, c: float = 0.05, lam: float = 1.0, cap: float = 1.5, g: float = 0.3) -> Column:
-    """Score of a factor set: its ICIR less penalties for correlation, size, instability and overfit."""
-    return icir - w * mac - c * n - lam * F.greatest(F.lit(0.0), sigma - cap) - g * F.greatest(F.lit(0.0), gap)
-
-
-def candidate_sets(names: Sequence[str], most: int, spark) -> DataFrame:
-    """All sets of up to ``most`` names as rows: set_id and names."""
-    one = spark.createDataFrame([(n,) for n in names], "name string")
-    sets = one.select(F.array("name").alias("names"))
-    grown = sets
-    for _ in range(most - 1):
-        grown = grown.join(one, F.col("name") > F.element_at("names", -1)).select(F.concat("names", F.array("name")).alias("names"))
-        sets = sets.unionByName(grown)
-    return sets.withColumn("set_id", F.concat_ws("|", "names"))
-
-
-def score_sets(sets: DataFrame, ics: DataFrame) -> DataFrame:
-    """Mean segment ICIR of each candidate set, all sets scored in one job."""
-    each = sets.select("set_id", F.size("names").alias("n"), F.explode("names").alias("factor"))
-    per = each.join(ics.groupBy("factor", "segment").agg(F.avg("ic").alias("ic")), "factor").groupBy("set_id", "n", "segment").agg(F.avg(F.abs("ic")).alias("ic"))
-    made = per.groupBy("set_id", "n").agg(F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s"))
-    return made.select("set_id", "n", F.round(guarded_score(F.col("m") / (F.col("s") + 1e-9), F.lit(0.0), F.col("n"), F.coalesce("s", F.lit(0.0)), F.lit(0.0)), 6).alias("score"))
-
-
-def neighbours(chosen: Sequence[str], pool: Sequence[str]) -> list[tuple[str, ...]]:
-    """Sets one swap, one removal or one addition away, for greedy refinement."""
-    out = {tuple(sorted(set(chosen) - {x})) for x in chosen if len(chosen) > 1}
-    spare = [p for p in pool if p not in chosen]
-    out |= {tuple(sorted({*chosen, p})) for p in spare}
-    out |= {tuple(sorted((set(chosen) - {x}) | {p})) for x in chosen for p in spare}
-    return sorted(out)
-
-
 def permutation_importance(predicted: DataFrame, keys: Sequence[str], order: str, factors: Sequence[str], coefficients: Mapping[str, float], label: str, seed: int = 0) -> DataFrame:
     """Rise of the squared error of a linear model when one factor's values change places.
 

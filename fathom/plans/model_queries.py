@@ -468,13 +468,6 @@ def icir_composite(spark, sf_dir) -> DataFrame:
     return C.composite(rows, FACTOR_NAMES, weights, 50).withColumn("composite", F.round("composite", 6))
 
 
-@query("j15_scored_sets")
-def scored_sets(spark, sf_dir) -> DataFrame:
-    """Every set of up to three factors, scored in one job with the guards for size and instability."""
-    ics = C.segment_ic(_matrix(spark, sf_dir), ["symbol"], "ts", (*FACTOR_NAMES, "delta_z"), "label", 100)
-    return C.score_sets(C.candidate_sets([*FACTOR_NAMES, "delta_z"], 3, spark), ics)
-
-
 @query("j11_factor_clusters")
 def factor_clusters(spark, sf_dir) -> DataFrame:
     """Clusters of all factor columns by correlation, and a diverse pick of them.

@@ -120,7 +120,7 @@ def _day_vwap(s: Series) -> Column:
     return ratio(day.cumsum("vwap_pv"), day.cumsum("vwap_v"))
 
 
-factor("volume", "vwap_dev", "day_vwap", lambda s: ratio(F.col("day_vwap") - s.mean("day_vwap", 20), s.mean("day_vwap", 20)))
+factor("volume", "vwap_dev", "close day_vwap", lambda s: ratio(c() - s.mean("day_vwap", 20), s.mean("day_vwap", 20)))
 factor("volume", "vwap_slope", "day_vwap rn", lambda s: s.slope("day_vwap", 5))
 
 # volatility and distribution

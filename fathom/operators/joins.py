@@ -102,3 +102,17 @@ def index_intersection(frames: Sequence[DataFrame], key: Sequence[str]) -> DataF
         out = out.join(f.select(*key).distinct(), list(key), "left_semi")
     return out
 
+
+
+def aligned(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
+    """Columns of all frames side by side on every key that any of them has."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.join(f, list(key), "full")
+    return out
+
+
+def reindexed(df: DataFrame, index: DataFrame, key: Sequence[str], fill: dict[str, object] | None = None) -> DataFrame:
+    """``df`` on the keys of ``index``, missing values as ``fill`` says."""
+    out = index.join(df, list(key), "left")
+    return out.select(*(F.coalesce(c, F.lit(fill[c])).alias(c) if fill and c in fill else F.col(c) for c in out.columns))

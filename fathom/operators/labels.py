@@ -187,6 +187,19 @@ def walk_forward(rows: DataFrame, keys: Sequence[str], order: str, factors: Sequ
     return found.withColumn("prediction", F.when(~F.isnan("prediction"), F.col("prediction")))
 
 
+def coefficients(rows: DataFrame, factors: Sequence[str], label: str) -> dict[str, float]:
+    """Slopes of one linear fit over all complete rows, from sums of centred products.
+
+    Only a matrix of the size of ``factors`` reaches the driver.
+    """
+    names = [*factors, label]
+    full = rows.dropna(subset=names)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = full.agg(*(F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    moments = np.array([[sums[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
+    return dict(zip(factors, np.linalg.lstsq(moments[:-1, :-1], moments[:-1, -1], rcond=None)[0].tolist(), strict=True))
+
+
 def sequences(rows: DataFrame, series: Series, factors: Sequence[str], length: int) -> DataFrame:
     """The last ``length`` factor rows of each row as an array of arrays, once there are so many."""
     frame = series.last_n(length)

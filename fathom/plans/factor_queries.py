@@ -60,7 +60,7 @@ SQL: dict[str, str] = {
     "ma_vol14": roll("avg", "volume", 14),
     "ad_raw": f"{div('2 * close - low - high', 'high - low')} * {div('volume', 'ma_vol14')}",
     "day_vwap": "(sum(vwap_pv) OVER (PARTITION BY symbol, trading_date ORDER BY ts)) / nullif((sum(vwap_v) OVER (PARTITION BY symbol, trading_date ORDER BY ts))::DOUBLE, 0)",
-    "vwap_dev": div(f"day_vwap - ({roll('avg', 'day_vwap', 20)})", roll("avg", "day_vwap", 20)),
+    "vwap_dev": div(f"close - ({roll('avg', 'day_vwap', 20)})", roll("avg", "day_vwap", 20)),
     "vwap_slope": both("regr_slope", "day_vwap", "rn", 5),
     "volatility": roll("stddev_samp", "ret", 20),
     "realized_vol": roll("stddev_samp", "lret", 20),

@@ -49,3 +49,14 @@ def by_session(spark, sf_dir) -> DataFrame:
 def keyed(spark, sf_dir) -> DataFrame:
     made = N.run_once(N.keyed_ema(N.tick_stream(spark, sf_dir), 0.1), N.shared_folder(spark))
     return made.select("symbol", "seq", F.round("ema", 6).alias("ema"))
+
+
+@query(
+    "n6_streaming_matched",
+    f"WITH {TICKS} SELECT a.seq AS seq_a, b.seq AS seq_b, round(a.price - b.price, 6) AS apart FROM ticks a JOIN ticks b ON a.symbol = 'purchase' AND b.symbol = 'view' AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 5 MINUTES",
+)
+def matched(spark, sf_dir) -> DataFrame:
+    """Purchases with the views of the five minutes before them, a join of two streams."""
+    side = lambda s: N.tick_stream(spark, sf_dir).where(F.col("symbol") == s)
+    made = N.run_once(N.matched(side("purchase"), side("view")), N.shared_folder(spark))
+    return made.select("seq_a", "seq_b", F.round(F.col("price_a") - F.col("price_b"), 6).alias("apart"))

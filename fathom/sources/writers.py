@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,3 +45,26 @@ def equity_data(results: DataFrame, keys: tuple[str, ...], split: str | None = N
     """What an equity plot shows: daily equity per key, and the part (in or out of sample)."""
     days = results.groupBy(*keys, F.to_date("ts").alias("date")).agg(F.max_by("cumulative_value", "ts").alias("equity"))
     return days if split is None else days.withColumn("part", F.when(F.col("date") < F.lit(split).cast("date"), "in").otherwise("out"))
+
+
+def write_selection(path: str, ranking: DataFrame, clusters: DataFrame, trials: DataFrame, best: Sequence[dict], correlations: DataFrame | None = None) -> None:
+    """What a factor search leaves: ranking, clusters and trials as CSV, the best sets as JSON lines."""
+    tables = {"ranking": ranking, "clusters": clusters, "trials": trials} | ({"signal_corr": correlations} if correlations is not None else {})
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", "true").csv(f"{path}/{name}")
+    lines = [(k, json.dumps(b, sort_keys=True, default=str)) for k, b in enumerate(best)]
+    ranking.sparkSession.createDataFrame(lines, "k int, value string").coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(f"{path}/best")
+
+
+def save_trials(spark: SparkSession, path: str, trials: DataFrame) -> None:
+    """Add the trials of one round to the state of a search; rounds are never rewritten."""
+    trials.write.mode("append").json(path)
+
+
+def resume_trials(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All trials so far, each set once with its best score; no rows before the first round."""
+    try:
+        found = spark.read.schema(schema).json(path)
+    except AnalysisException:  # nothing saved so far
+        found = spark.createDataFrame([], schema)
+    return found.groupBy("set_id").agg(F.max("score").alias("score"))

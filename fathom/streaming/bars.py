@@ -71,11 +71,17 @@ def keyed_ema(ticks: DataFrame, alpha: float) -> DataFrame:
     return ticks.groupBy("symbol").applyInPandasWithState(step, "symbol string, seq long, ema double", "mean double", "append", GroupStateTimeout.NoTimeout)
 
 
-def matched(left: DataFrame, right: DataFrame, within: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Pairs of ticks of two streams, the right one at most ``within`` before the left one."""
-    a = left.withWatermark("ts", late).select(F.col("ts").alias("ts_a"), F.col("seq").alias("seq_a"), F.col("price").alias("price_a"))
-    b = right.withWatermark("ts", late).select(F.col("ts").alias("ts_b"), F.col("seq").alias("seq_b"), F.col("price").alias("price_b"))
-    return a.join(b, F.expr(f"ts_b <= ts_a AND ts_b >= ts_a - interval {within}"))
+def matched(left: DataFrame, right: DataFrame, within: int = 300, late: str = "10 minutes") -> DataFrame:
+    """Pairs of ticks of two streams, the right one at most ``within`` seconds before the left one.
+
+    Time is cut into steps of ``within`` and the streams are joined on the step: a left tick
+    looks into its own and the one before.  The bounds on time let old state go.
+    """
+    step = lambda c: F.floor(F.unix_micros(c) / (1_000_000 * within))
+    a = left.withWatermark("ts", late).select(F.col("ts").alias("ts_a"), F.col("seq").alias("seq_a"), F.col("price").alias("price_a"), F.explode(F.array(step(F.col("ts")), step(F.col("ts")) - 1)).alias("step_a"))
+    b = right.withWatermark("ts", late).select(F.col("ts").alias("ts_b"), F.col("seq").alias("seq_b"), F.col("price").alias("price_b"), step(F.col("ts")).alias("step_b"))
+    met = a.join(b, F.expr(f"step_a = step_b AND ts_b <= ts_a AND ts_b >= ts_a - interval {within} seconds"))
+    return met.drop("step_a", "step_b")
 
 
 def shared_folder(spark: SparkSession) -> str:

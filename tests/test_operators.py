@@ -221,6 +221,18 @@ def test_tick_files_and_sinks(spark, tmp_path):
     assert {"fwd": 3} in [json.loads(r.value) for r in spark.read.text(str(tmp_path / "report")).collect()]
 
 
+def test_selection_sinks_and_resume(spark, tmp_path):
+    table = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "set_id string, score double")
+    writers.write_selection(str(tmp_path / "s"), table, table, table, [{"rank": 1, "factors": ["a"]}, {"rank": 2, "factors": ["b"]}], table)
+    assert {p.name for p in (tmp_path / "s").iterdir()} == {"ranking", "clusters", "trials", "signal_corr", "best"}
+    assert [json.loads(r.value)["rank"] for r in spark.read.text(str(tmp_path / "s" / "best")).collect()] == [1, 2]
+    state, schema = str(tmp_path / "state"), "set_id string, score double"
+    assert writers.resume_trials(spark, state, schema).count() == 0
+    writers.save_trials(spark, state, table)
+    writers.save_trials(spark, state, spark.createDataFrame([("a", 3.0), ("c", 0.5)], schema))
+    assert {tuple(r) for r in writers.resume_trials(spark, state, schema).collect()} == {("a", 3.0), ("b", 2.0), ("c", 0.5)}
+
+
 def test_text_tables(spark, tmp_path):
     (tmp_path / "g.csv").write_bytes("date,x_名,y_close\n2024-01-01,#NAME?,1.5\n2024-01-02,2,x\n".encode("gbk"))
     df = readers.with_index(readers.read_csv(spark, str(tmp_path / "g.csv")))

@@ -9,6 +9,9 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.functions.windows import Series
+from fathom.operators.labels import walk_forward_folds
+
 
 def fit_two_phase(rows: DataFrame, factors: Sequence[str], label: str, top: int, must: Sequence[str] = (), trees: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 0):
     """(model, factors): fit on all, keep the ``top`` by importance and ``must``, fit again."""
@@ -27,3 +30,20 @@ def predict(rows: DataFrame, model, factors: Sequence[str]) -> DataFrame:
     """Rows whose factors are all there, with a prediction."""
     ready = VectorAssembler(inputCols=list(factors), outputCol="_x").transform(rows.dropna(subset=list(factors)))
     return model.transform(ready.withColumnRenamed("prediction", "_old") if "prediction" in rows.columns else ready).drop("_x", "_old")
+
+
+def walk_forward(rows: DataFrame, keys: Sequence[str], order: str, factors: Sequence[str], label: str, train: int, every: int, ahead: int, top: int, must: Sequence[str] = (), rolling: bool = True, **how) -> DataFrame:
+    """Prediction of each row by the trees refitted last before it: (keys, order, fold, prediction).
+
+    A fold's trees are fitted on the training rows of all keys together, by a distributed job;
+    the loop is over folds alone, a few refits of the whole time.
+    """
+    numbered = rows.withColumn("rn", Series(tuple(keys), (order,)).rn())
+    dealt = numbered.join(walk_forward_folds(numbered, keys, train, every, ahead, rolling), list(keys))
+    out = numbered.sparkSession.createDataFrame([], dealt.select(*keys, order, "fold").schema.add("prediction", "double"))
+    for (fold,) in dealt.select("fold").distinct().orderBy("fold").collect():
+        own = dealt.where(F.col("fold") == fold)
+        model, names = fit_two_phase(own.where("rn >= first and rn < last"), factors, label, top, must, **how)
+        made = predict(own.where("rn >= begin and rn < end"), model, names)
+        out = out.unionByName(made.select(*keys, order, "fold", "prediction"))
+    return out

@@ -442,7 +442,19 @@ def boosted_trees(spark, sf_dir) -> DataFrame:
 
 @query("i18_permutation_importance")
 def importance(spark, sf_dir) -> DataFrame:
-    return C.permutation_importance(_matrix(spark, sf_dir), ["symbol"], "ts", ["ret", "rel_vol"], {"ret": -0.5, "rel_vol": 0.01}, "label").withColumn("importance", F.round("importance", 8))
+    """Rise of the error of a fitted linear model when one factor's values change places."""
+    rows, names = _matrix(spark, sf_dir), ["ret", "rel_vol", "close_position"]
+    fitted = L.coefficients(rows, names, "label")
+    return C.permutation_importance(rows, ["symbol"], "ts", names, fitted, "label").withColumn("importance", F.round("importance", 8))
+
+
+@query("i16_boosted_walk_forward")
+def boosted_walk_forward(spark, sf_dir) -> DataFrame:
+    """I16: two-phase boosted trees refitted along the way, each predicting the rows up to the next refit."""
+    from fathom.operators import boosting
+
+    made = boosting.walk_forward(_matrix(spark, sf_dir), ["symbol"], "ts", ["ret", "rel_vol", "close_position", "delta_z"], "label", 250, 250, 3, 3, ["delta_z"], trees=3)
+    return made.withColumn("prediction", F.round("prediction", 6))
 
 
 WIDE = f"""{MATRIX}, full_rows AS (SELECT symbol, ts, ret, close_position - 0.5 AS cp, label FROM x WHERE ret IS NOT NULL AND close_position IS NOT NULL AND label IS NOT NULL)"""

@@ -66,7 +66,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     """``docs`` with each row repeated its number of copies, in random order.
 
     Added columns: rate, copies, copy (1 to copies) and shuffle_key; an input column of such
-    a name is replaced.  A row whose count is 0 is not in the result.
+    a name is replaced.  A row whose count is 0 is not in the result.  Rows repeated with one
+    doc_id draw the same count; rows without doc_id draw by their text.
     """
     plain = docs.drop("rate", "copies", "copy", "shuffle_key")
     rates = source_rates(plain, weights, temperature).withColumnRenamed("source", "_source")
@@ -77,7 +78,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
         keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
         spread = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         rated = keyed.join(spread, ["_source", "_salt"]).drop("_salt")
-    counted = rated.withColumn("copies", poisson_count(F.col("rate"), hashed_point(F.lit(seed), F.col("doc_id"))))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    counted = rated.withColumn("copies", poisson_count(F.col("rate"), hashed_point(F.lit(seed), own)))
     copied = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    keyed = copied.drop("_source").withColumn("shuffle_key", hashed_point(F.lit(seed + 1), F.col("doc_id"), F.col("copy")))
+    keyed = copied.drop("_source").withColumn("shuffle_key", hashed_point(F.lit(seed + 1), own, F.col("copy")))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")

@@ -390,6 +390,9 @@ def test_mixing_meets_weights(spark):
     assert sorted((r.doc_id, r.copy) for r in first) == sorted((r.doc_id, r.copy) for r in again)
     assert all(1 <= r["copy"] <= r["copies"] for r in first)
     assert mix_sources(docs.limit(0)).count() == 0 and mix_sources(docs).count() > 0
+    nameless = spark.createDataFrame([(None, f"text {i}", "s") for i in range(400)], "doc_id long, text string, source string")
+    drawn = {r.text: r.copies for r in mix_sources(nameless, {"s": 1.0}).collect()}
+    assert len(set(drawn.values())) > 1 and 0.5 < sum(drawn.values()) / 400 < 1.5
 
 
 # --- HTML

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.windows import Series, ratio
 from fathom.operators import joins
 from fathom.operators import labels as L
+from fathom.operators import performance as P
 from fathom.operators.frames import hourly_bars, quotes, ticks
-from fathom.plans.model_queries import MATRIX, WIDE, _matrix
-from fathom.plans.registry import BARS, QUOTES, TICKS, W, div, lag, query, roll, rounded
+from fathom.plans.model_queries import MATRIX, RESULTS, WIDE, _matrix, _results
+from fathom.plans.registry import BARS, ORACLE_SQL, QUOTES, W, div, query, roll, rounded
+from fathom.sources import writers
 
 S = Series()
 
@@ -145,3 +147,39 @@ def grid(spark, sf_dir) -> DataFrame:
         one = made.agg(F.count("*").alias("rows"), F.round(F.avg((F.col("label") - F.col("prediction")) ** 2), 6).alias("error")).select(F.lit(train).alias("train"), F.lit(every).alias("every"), "rows", "error")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(
+    "a19_equity_data",
+    f"WITH {RESULTS} SELECT symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(arg_max(cumulative_value, ts), 6) AS equity, CASE WHEN CAST(ts AS DATE) < DATE '2024-01-16' THEN 'in' ELSE 'out' END AS part FROM rr GROUP BY symbol, CAST(ts AS DATE)",
+)
+def equity_curve(spark, sf_dir) -> DataFrame:
+    """What an equity plot shows, with the part of the sample that each day is in."""
+    made = writers.equity_data(_results(spark, sf_dir), ("symbol",), "2024-01-16")
+    return rounded(made.select("symbol", F.col("date").cast("string").alias("date"), "equity", "part"))
+
+
+SWITCH = "(hour(ts) = 9 AND day(ts) % 5 = 0)"
+
+
+@query(
+    "l1_days_without_switch",
+    f"""WITH {RESULTS} SELECT symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(sum(strategy_return), 6) AS r, round(sum(actual_return), 6) AS b, bool_or(held <> 0) AS active, CAST(sum(traded) AS BIGINT) AS trades
+    FROM rr GROUP BY symbol, CAST(ts AS DATE) HAVING NOT bool_or({SWITCH})""",
+)
+def days_without_switch(spark, sf_dir) -> DataFrame:
+    """L1: daily sums, days on which the contract changes left out."""
+    switched = _results(spark, sf_dir).withColumn("is_switch", (F.hour("ts") == 9) & (F.day("ts") % 5 == 0))
+    days = P.daily(switched, ["symbol"], switch="is_switch")
+    return rounded(days.select("symbol", F.col("date").cast("string").alias("date"), "r", "b", "active", "trades"))
+
+
+@query(
+    "l13_segment_metrics",
+    ORACLE_SQL["l2_daily_metrics"].replace("), e AS (", "), dd AS (SELECT symbol || ' ' || CASE WHEN date < DATE '2024-01-16' THEN 'in' ELSE 'out' END AS symbol, * EXCLUDE (symbol) FROM d), e AS (", 1).replace("AS equity FROM d)", "AS equity FROM dd)"),
+)
+def segment_metrics(spark, sf_dir) -> DataFrame:
+    """Every metric of in-sample and out-of-sample days on their own."""
+    days = P.daily(_results(spark, sf_dir), ["symbol"])
+    part = F.when(F.col("date") < F.lit("2024-01-16").cast("date"), "in").otherwise("out")
+    return rounded(P.metrics(days.withColumn("symbol", F.concat_ws(" ", "symbol", part)), ["symbol"]))

@@ -313,13 +313,12 @@ def strict_rolling_ic(spark, sf_dir) -> DataFrame:
 
 @query(
     "j6_factor_correlations",
-    """WITH l AS (SELECT vec_id, unnest(range(1, 17)) AS f, unnest(embedding[1:16]) AS v FROM embeddings), c AS (SELECT a.f AS a, b.f AS b, corr(a.v::DOUBLE, b.v::DOUBLE) AS c FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.f < b.f GROUP BY 1, 2)
+    """WITH l AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS f, unnest(embedding) AS v FROM embeddings), c AS (SELECT a.f AS a, b.f AS b, corr(a.v::DOUBLE, b.v::DOUBLE) AS c FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.f < b.f GROUP BY 1, 2)
     SELECT CAST(f AS INT) AS factor, round(avg(abs(coalesce(c, 0))), 6) AS mean_abs_corr FROM (SELECT a AS f, c FROM c UNION ALL SELECT b, c FROM c) GROUP BY 1""",
 )
 def factor_correlations(spark, sf_dir) -> DataFrame:
-    """Pairwise correlations of 16 factor columns, and each one's mean."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(F.slice("embedding", 1, 16)).alias("f", "v"))
-    pairs = C.correlations(vectors.select("vec_id", (F.col("f") + 1).alias("f"), F.col("v").cast("double").alias("v")), "vec_id", "f", "v")
+    """Pairwise correlations of all factor columns, and each one's mean."""
+    pairs = C.column_correlations(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding").select((F.col("a") + 1).alias("a"), (F.col("b") + 1).alias("b"), "corr")
     both_ways = pairs.select(F.col("a").alias("factor"), "corr").unionByName(pairs.select(F.col("b").alias("factor"), "corr"))
     return both_ways.groupBy("factor").agg(F.round(F.avg(F.abs(F.coalesce("corr", F.lit(0.0)))), 6).alias("mean_abs_corr"))
 

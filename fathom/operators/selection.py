@@ -62,13 +62,6 @@ def ic_summary(ics: DataFrame, keys: Sequence[str], ic: str = "ic", hit: float =
     return ics.groupBy(*keys).agg(mean.alias("mean_ic"), std.alias("std_ic"), F.avg(F.abs(F.col(ic))).alias("mean_abs_ic"), F.when(F.count(ic) >= 10, F.abs(mean) / (std + 1e-9)).otherwise(0.0).alias("icir"), F.avg((F.abs(F.col(ic)) > hit).cast("double")).alias("hit_rate"))
 
 
-def correlations(df: DataFrame, row: str, name: str, value: str) -> DataFrame:
-    """Pearson correlation of all pairs of series in a long table: (a, b, corr) with a < b."""
-    a = df.select(F.col(row), F.col(name).alias("a"), F.col(value).alias("x"))
-    b = df.select(F.col(row), F.col(name).alias("b"), F.col(value).alias("y"))
-    return a.join(b, row).where("a < b").groupBy("a", "b").agg(correlation("x", "y").alias("corr"))
-
-
 def column_correlations(df: DataFrame, column: str) -> DataFrame:
     """Pearson correlation of all pairs of components of an array column: (a, b, corr) with a < b, from 0.
 

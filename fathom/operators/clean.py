@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,6 +48,17 @@ def project(df: DataFrame, prefix: str | None = None, names: Sequence[str] = ())
     return df.select(*dict.fromkeys(wanted))
 
 
+def prefixed(df: DataFrame, names: Mapping[str, str], prefix: str = "x_", keep: Sequence[str] = ()) -> DataFrame:
+    """Columns renamed by ``names``; all others but ``keep`` get ``prefix`` unless they have it."""
+    new = {c: names.get(c, c if c in keep or c.startswith(prefix) else prefix + c) for c in df.columns}
+    return df.withColumnsRenamed(new)
+
+
+def drop_matching(df: DataFrame, pattern: str) -> DataFrame:
+    """Without the columns whose names hold a match of ``pattern``."""
+    return df.drop(*(c for c in df.columns if re.search(pattern, c)))
+
+
 def lag_expand(df: DataFrame, columns: Sequence[str], series: Series, lag: int | None = None, per_column: Mapping[str, int] | None = None) -> DataFrame:
     """Add c_1 .. c_{L-1} per column and drop the first rows that lack them."""
     deep = {c: (per_column or {}).get(c, lag or 1) for c in columns}

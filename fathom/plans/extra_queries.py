@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.windows import Series, ratio
-from fathom.operators import joins
+from fathom.operators import clean, joins
 from fathom.operators import labels as L
 from fathom.operators import performance as P
 from fathom.operators.frames import hourly_bars, quotes, ticks
@@ -183,3 +183,10 @@ def segment_metrics(spark, sf_dir) -> DataFrame:
     days = P.daily(_results(spark, sf_dir), ["symbol"])
     part = F.when(F.col("date") < F.lit("2024-01-16").cast("date"), "in").otherwise("out")
     return rounded(P.metrics(days.withColumn("symbol", F.concat_ws(" ", "symbol", part)), ["symbol"]))
+
+
+@query("b2_prefixed_columns", f"WITH {BARS} SELECT symbol, ts, open AS y_open, close AS y_close, high AS x_high, low AS x_low, volume AS x_volume, n_ticks AS x_n_ticks, buy_vol AS x_buy_vol, sell_vol AS x_sell_vol, delta AS x_delta FROM bars")
+def prefixed_columns(spark, sf_dir) -> DataFrame:
+    """Prices as y_ columns, everything else as x_ columns, columns of one kind dropped by name."""
+    bars = hourly_bars(spark, sf_dir).drop("trading_date")
+    return clean.drop_matching(clean.prefixed(bars, {"open": "y_open", "close": "y_close"}, keep=("symbol", "ts")), "vwap")

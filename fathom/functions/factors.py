@@ -250,6 +250,7 @@ def _cases(value: str, *cases: Column) -> Column:
     return out
 
 
+# The thresholds and rolling lengths of the cases below are fixed values of the factor catalogue.
 dz, rz, vz = (lambda: F.col("delta_z")), (lambda: F.col("ret_z")), (lambda: F.col("volume_z"))
 factor("flow", "distribute", "delta delta_z ret_z", lambda s: _cases("delta", (dz() >= 0.5) & (F.abs(rz()) < 0.3), (dz() <= -0.5) & (F.abs(rz()) > 0.3)))
 factor("flow", "trend", "delta delta_z ret", lambda s: _cases("delta", (dz() >= 1) & (F.col("ret") > 0), (dz() <= -1) & (F.col("ret") < 0)))

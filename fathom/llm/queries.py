@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from fathom.llm.chat_format import canonical_turns, format_chats, loss_text, read_back, turn_rows_as_records
 from fathom.llm.decontaminate import contaminated
 from fathom.llm.embed_dedup import embedding_duplicates
+from fathom.llm.hard_negatives import mine_hard_negatives, scaled
 from fathom.llm.html_text import extract_main_text
 from fathom.llm.license_scan import scan_licenses
 from fathom.llm.mixing import mix_sources
 from fathom.llm.near_dedup import near_duplicates
 from fathom.llm.quality import fit_quality, score_quality
+from fathom.llm.ranked_search import rank_lexical
 from fathom.llm.secrets import secret_report
 from fathom.llm.substring_dedup import repeated_spans
+from fathom.llm.suffix_dedup import removal_report, suffix_dedup
 
 KEEP_SCORE = 0.7
 
@@ -148,6 +151,62 @@ SELECT reach.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS compon
 FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id
 """
 
+def op11_l2ap_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(scaled(rows.withColumn("label", moved)))
+
+
+OP11_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.x::DOUBLE[], b.x::DOUBLE[]) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank,
+         s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
+def op12_nra_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_lexical(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT count(*) FILTER (len(words) > 0) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT doc_id, any_value(len(words)) AS n, term, count(*) AS tf FROM (SELECT doc_id, words, unnest(words) AS term FROM d) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM b JOIN w USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id)
+SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(generate_series(0, len(h) // 2 - 200)) AS i, h FROM d WHERE len(h) >= 400),
+s AS (SELECT doc_id, i, md5(h[2 * i + 1:2 * i + 400]) AS k FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM s) WHERE n > 1),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r),
+t AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM t),
+p AS (SELECT d.doc_id, any_value(h) AS h, sum(b - a) AS removed, count(a) AS n, coalesce(string_agg(h[2 * before + 1:2 * a], '' ORDER BY a), '') AS head, coalesce(max(b), 0) AS tail FROM d LEFT JOIN e ON d.doc_id = e.doc_id GROUP BY d.doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, n AS n_spans, sha256(unhex(head || h[2 * tail + 1:])) AS kept_sha256 FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -161,6 +220,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_greedy_tiling_decontamination,
         op10_minhash_near_dedup,
+        op11_l2ap_hard_negatives,
+        op12_nra_ranked_search,
+        op13_suffix_array_dedup,
     )
 }
 
@@ -169,4 +231,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_poisson_mixing": OP4_SQL,
     "op7_itq_embedding_dedup": OP7_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
+    "op11_l2ap_hard_negatives": OP11_SQL,
+    "op12_nra_ranked_search": OP12_SQL,
+    "op13_suffix_array_dedup": OP13_SQL,
 }

@@ -32,15 +32,20 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str
 def asof_offsets(probe: DataFrame, tape: DataFrame, by: Sequence[str], value: str, hours: Sequence[int], ts: str = "ts", tie: str | None = None, prefix: str = "ago") -> DataFrame:
     """``probe`` with the tape's value at or before ``ts`` minus each number of hours.
 
-    All horizons are one as-of join: the probe rows are repeated per horizon with shifted
-    times, and the tape is read once for all of them.
+    All horizons are one as-of join of the distinct keys and times of ``probe``, repeated per
+    horizon with shifted times; the tape is read once for all of them.  The rows of ``probe``
+    take their values by key and time, so repeated ones stay and no other column is repeated.
     """
-    shifted = probe.select(*by, F.explode(F.array(*(F.lit(h) for h in hours))).alias("_h"), F.col(ts).alias("_t"), F.struct(*probe.columns).alias("_probe"))
-    shifted = shifted.withColumn("_t", F.expr("_t - make_interval(0, 0, 0, 0, _h)"))
+    asked = probe.select(*by, F.col(ts).alias("_when")).distinct()
+    shifted = asked.select(*by, "_when", F.explode(F.array(*(F.lit(h) for h in hours))).alias("_h"))
+    shifted = shifted.withColumn("_t", F.expr("_when - make_interval(0, 0, 0, 0, _h)"))
     order = F.lit(0).cast("long") if tie is None else F.col(tie).cast("long")
     known = tape.select(*by, F.col(ts).alias("_t"), F.col(value).cast("double").alias("_v"), order.alias("_seq"))
     found = asof_backward(shifted, known, by, ts="_t", columns=["_v"], tie="_seq")
-    return found.groupBy("_probe").agg(*(F.max(F.when(F.col("_h") == h, F.col("_v"))).alias(f"{prefix}_{h}") for h in hours)).select("_probe.*", *(f"{prefix}_{h}" for h in hours))
+    names = [f"{prefix}_{h}" for h in hours]
+    wide = found.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by), "_when").agg(*(F.max(F.when(F.col("_h") == h, F.col("_v"))).alias(n) for h, n in zip(hours, names, strict=True)))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col(ts).eqNullSafe(F.col("_when"))]
+    return probe.join(wide, same, "left").select(*probe.columns, *names)
 
 
 def interval_join(ticks: DataFrame, periods: DataFrame, ts: str = "ts", start: str = "start_ts", end: str = "end_ts", closed: str = "right", keys: Sequence[str] = (), step: str = "1 day") -> DataFrame:

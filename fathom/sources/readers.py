@@ -8,7 +8,7 @@ import json
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,39 +69,46 @@ def _decoded(raw: pd.Series, encoding: pd.Series) -> pd.Series:
 def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header, each file in the first of ``ENCODINGS`` that reads all of it; all strings without a schema.
 
+    Every file has a header of its own, read in the encoding of the file; its values go to the
+    columns that it names, in whatever order, and columns that it lacks are NULL.  Columns come
+    in the order in which files, by path, name them; ``schema`` picks and casts them, NULL where
+    a value is none of the type.  Later lines equal to the header are left out too.
+
     Files are read by lines, so a quoted value holds no line break.  Lines that are UTF-8 as
-    they stand stay in the JVM; only files with others are decoded by Python.  All files have
-    the columns of the first one by name.  Files are listed by the driver, so one row a file
-    may be broadcast.
+    they stand stay in the JVM; only files with others are decoded by Python.  Files are listed
+    by the driver, so one row a file may be collected and broadcast.
     """
-    lines = spark.read.text(path).select("value", F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("file"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(path).select("value", F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    heads = lines.where(F.trim("value") != "").groupBy("file").agg(F.min_by("raw", "place").alias("head"))
     others = lines.where(~F.is_valid_utf8("value")).groupBy("file").agg(F.bit_and(_readable("raw")).alias("bits"))
     name = F.coalesce(*(F.when(F.col("bits").bitwiseAND(1 << k) != 0, F.lit(e)) for k, e in enumerate(ENCODINGS)))
-    lines = lines.join(F.broadcast(others.select("file", name.alias("encoding"))), "file", "left")
-    plain = lines.where("encoding is null").select("file", "value")
-    lines = plain.unionByName(lines.where("encoding is not null").select("file", _decoded("raw", "encoding").alias("value"))).where(F.trim("value") != "")
-    lines = lines.withColumn("value", F.ltrim("value", F.lit("\ufeff")))
-    first = lines.orderBy("file").select("file").first()
-    if first is None:
+    files = heads.join(others, "file", "left").select("file", name.alias("encoding"), _decoded("head", F.coalesce(name, F.lit("utf-8"))).alias("head")).orderBy("file").collect()
+    if not files:
         raise ValueError(f"no lines in {path}")
-    header = spark.read.text(first.file).where(F.trim("value") != "").select(F.col("value").cast("binary").alias("raw")).first().raw
-    header = header.decode(next(e for e in ENCODINGS if _reads(bytes(header), e))).lstrip("\ufeff").rstrip("\r")
-    names = next(csv.reader([header]))
-    kinds = T.StructType([T.StructField(n or f"_c{k}", T.StringType()) for k, n in enumerate(names)]) if schema is None else schema
-    kinds = kinds if isinstance(kinds, str) else kinds.toDDL()
-    rows = lines.where(F.rtrim("value", F.lit("\r")) != header)
-    df = rows.select(F.from_csv("value", kinds, {"mode": "PERMISSIVE"}).alias("row")).select("row.*")
+    heads = list(dict.fromkeys(f.head.lstrip("\ufeff").rstrip("\r") for f in files))
+    named = [[n or f"_c{k}" for k, n in enumerate(next(csv.reader([h])))] for h in heads]
+    known = spark.createDataFrame([(f.file, f.encoding, heads.index(f.head.lstrip("\ufeff").rstrip("\r"))) for f in files], "file string, encoding string, head int")
+    lines = lines.drop("place").join(F.broadcast(known), "file")
+    plain = lines.where("encoding is null").select("head", "value")
+    lines = plain.unionByName(lines.where("encoding is not null").select("head", _decoded("raw", "encoding").alias("value"))).where(F.trim("value") != "")
+    lines = lines.withColumn("value", F.ltrim("value", F.lit("\ufeff")))
+    rows = lines.where(F.rtrim("value", F.lit("\r")) != F.element_at(F.array(*map(F.lit, heads)), F.col("head") + 1))
+    width = max(map(len, named))
+    rows = rows.select("head", F.from_csv("value", ", ".join(f"v{k} string" for k in range(width)), {"mode": "PERMISSIVE"}).alias("row"))
+
+    def value(column: str) -> Column:
+        held = [(h, names.index(column)) for h, names in enumerate(named) if column in names]
+        return F.coalesce(*(F.when(F.col("head") == h, F.col(f"row.v{k}")) for h, k in held)) if held else F.lit(None).cast("string")
+
+    if schema is None:
+        kinds = {c: "string" for names in named for c in names}
+    else:
+        kinds = {f.name: f.dataType.simpleString() for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)}
+    df = rows.select(*((value(c) if kind == "string" else F.trim(value(c)).try_cast(kind)).alias(c) for c, kind in kinds.items()))
     return df.select(*columns) if columns else df
 
 
-def _reads(raw: bytes, encoding: str) -> bool:
-    try:
-        raw.decode(encoding)
-        return True
-    except UnicodeDecodeError:
-        return False
-
-
 #: Names that a time index may have, in order of preference (fixed values).
 INDEX_NAMES = ("date", "datetime", "trading_date", "Unnamed: 0", "_c0")
 

@@ -112,6 +112,13 @@ def test_asof_and_offsets_equal_merge_asof(spark):
         assert np.allclose(made[f"ago_{hours}"].to_numpy(float), expected, equal_nan=True)
 
 
+def test_offsets_keep_repeated_probes(spark):
+    probe = spark.createDataFrame([("a", T0, 1), ("a", T0, 1), ("a", T0, 2), (None, T0, 3)], "symbol string, ts timestamp, other int")
+    tape = spark.createDataFrame([("a", T0 - timedelta(hours=2), 5.0), (None, T0 - timedelta(hours=9), 7.0)], "symbol string, ts timestamp, v double")
+    found = joins.asof_offsets(probe, tape, ["symbol"], "v", (1, 4))
+    assert sorted((r.other, r.ago_1, r.ago_4) for r in found.collect()) == [(1, 5.0, None), (1, 5.0, None), (2, 5.0, None), (3, 7.0, 7.0)]
+
+
 def test_one_to_one_fails_on_repeats(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     assert joins.one_to_one(a, a.withColumnRenamed("v", "w"), ["k"]).count() == 2
@@ -260,6 +267,19 @@ def test_text_tables(spark, tmp_path):
     assert readers.parse_path_list("# all\na.json ^\nb.json # second\n\n") == [("a.json", True), ("b.json", False)]
 
 
+def test_csv_header_in_its_own_encoding_and_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("a\xf1o,x\n1,\xff\xe9\n2,plain\n".encode("latin1"))
+    one = readers.read_csv(spark, str(tmp_path / "a.csv"))
+    assert one.columns == ["a\xf1o", "x"] and sorted(map(tuple, one.collect())) == [("1", "\xff\xe9"), ("2", "plain")]
+    (tmp_path / "b.csv").write_text('x,more,a\xf1o\n"p,q",m,3\nr,n,4\n')
+    (tmp_path / "c.csv").write_text("\n\na\xf1o\n5\n")
+    both = readers.read_csv(spark, str(tmp_path))
+    assert both.columns == ["a\xf1o", "x", "more"]
+    assert sorted(map(tuple, both.collect()), key=str) == sorted([("1", "\xff\xe9", None), ("2", "plain", None), ("3", "p,q", "m"), ("4", "r", "n"), ("5", None, None)], key=str)
+    typed = readers.read_csv(spark, str(tmp_path), schema="`a\xf1o` int, x int, none double")
+    assert sorted(map(tuple, typed.collect())) == [(k, None, None) for k in range(1, 6)]
+
+
 def test_cleaning(spark):
     df = spark.createDataFrame([("a", i, x, None, "q") for i, x in enumerate([1.0, float("inf"), None, 4.0])], "symbol string, ts int, x_a double, x_b double, other string")
     assert clean.complete_rows(df, ["x_a"]).count() == 2

@@ -3,7 +3,8 @@
 A record is JSON or a typed struct.  The field paths that a layout may use are collected
 with their nesting, leaf types left out, and hashed; the hash selects a declarative mapping
 from ``LAYOUTS``.  The paths of a struct are those of its type, so its texts meet no parser
-and no limit of one; JSON that is too large to parse is an error.
+and no limit of one.  JSON that cannot be read, whatever its size, keeps its row without turns
+and is told apart by the column ``unread``.
 Fields that no layout knows do not count, so extra metadata does not change a fingerprint.
 Everything here is DataFrame expressions.
 
@@ -63,9 +64,8 @@ def escape(text: Column) -> Column:
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _STARTS + r"\\(\\*)" + _RESTS, "$1$2$3")
 
-#: The parser refuses strings above 20 M characters unless told otherwise, and variants hold 128 MiB.
+#: The parser refuses strings above 20 M characters unless told otherwise.
 _PARSED_CHARS = 20_000_000
-_HELD_BYTES = 1 << 24  # a variant is at most some six times as large as its JSON
 
 
 def _shape(value: Column) -> Column:
@@ -96,12 +96,9 @@ def _typed_shape(kind: DataType) -> str:
 
 
 def _parsed(record: Column) -> Column:
-    """Variant of JSON text, null if it is none; an error if it looks like an object but is too large."""
+    """Variant of JSON text, null if there is none that can be read."""
     wide = F.from_json(record, "variant", {"maxStringLen": str((1 << 31) - 1)})
-    parsed = F.coalesce(F.try_parse_json(record), F.when(F.char_length(record) >= _PARSED_CHARS, wide))
-    failed = (F.octet_length(record) >= _HELD_BYTES) & record.rlike(r"\A\s*\{") & record.rlike(r"\}\s*\z")
-    error = F.raise_error(F.concat(F.lit("a JSON record cannot be parsed, probably for its size in bytes: "), F.octet_length(record).cast("string")))
-    return F.when(record.isNotNull() & parsed.isNull() & failed, error.cast("variant")).otherwise(parsed)
+    return F.coalesce(F.try_parse_json(record), F.when(F.char_length(record) >= _PARSED_CHARS, wide))
 
 
 def _text(value: Column, path: str, typed: bool) -> Column:
@@ -130,10 +127,11 @@ def _mapped(layout: Layout, record: Column, typed: bool = False) -> Column:
 
 
 def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
-    """``records`` with layout (name of the mapping, null if none fits) and turns added.
+    """``records`` with layout (name of the mapping, null if none fits), turns and unread added.
 
     A record that is null, not JSON, not an object or of no known layout keeps its row with
-    no turns.  Null roles and texts are empty.
+    no turns.  ``unread``: the record is text that is not JSON, or more JSON than a value can
+    hold (128 MiB).  Null roles and texts are empty.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
     kind = records.schema[column].dataType
@@ -142,7 +140,7 @@ def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
         fit = next((x for x in LAYOUTS if paths in x.shapes), None)
         there = F.col(column).isNotNull()
         name = F.when(there, fit.name if fit else None).cast("string")
-        return records.withColumns({"layout": name, "turns": F.when(there, _mapped(fit, F.col(column), True)).otherwise(none) if fit else none})
+        return records.withColumns({"layout": name, "turns": F.when(there, _mapped(fit, F.col(column), True)).otherwise(none) if fit else none, "unread": F.lit(False)})
     parsed = records.withColumn("_variant", _parsed(F.col(column).cast("string")))
     is_object = F.schema_of_variant("_variant").startswith("OBJECT")
     parsed = parsed.withColumn("_print", F.when(is_object, fingerprint(F.col("_variant"))))
@@ -151,7 +149,8 @@ def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
         fits = F.col("_print").isin([F.xxhash64(F.lit(shape)) for shape in layout.shapes])
         name = F.when(fits, layout.name).otherwise(name)
         turns = F.when(fits, _mapped(layout, F.col("_variant"))).otherwise(turns)
-    return parsed.withColumns({"layout": name, "turns": turns}).drop("_variant", "_print")
+    unread = F.col(column).isNotNull() & F.col("_variant").isNull()
+    return parsed.withColumns({"layout": name, "turns": turns, "unread": unread}).drop("_variant", "_print")
 
 
 def format_chats(chats: DataFrame, key: str) -> DataFrame:

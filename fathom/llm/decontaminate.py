@@ -2,7 +2,8 @@
 
 Documents and benchmark items are sequences of lower-cased alphanumeric words.  Items that
 share runs of ``SEED`` words with a document are candidates; those whose seeds could not
-cover the asked share of the item are left out at once.  For the rest, the longest common
+cover the asked share of the item are left out at once; an item of fewer words is one with a
+document that holds it whole.  For the rest, the longest common
 run that overlaps no earlier one is marked again and again, found by running Karp-Rabin
 hashes and confirmed word by word.  The marked share of the item is its coverage, which does
 not depend on the order in which its parts occur.
@@ -147,7 +148,10 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[in
 
 
 class Items(NamedTuple):
-    """Benchmark items as token hashes, and their seeds sorted by hash."""
+    """Benchmark items as token hashes, and their seeds sorted by hash.
+
+    ``short``: by number of words, the whole of items that have no seed, sorted, and their owners.
+    """
 
     ids: list[int | None]
     tokens: list[np.ndarray]
@@ -155,6 +159,7 @@ class Items(NamedTuple):
     owner: np.ndarray
     place: np.ndarray
     gate: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def index_items(ids: list[int | None], texts: pa.Array) -> Items:
@@ -170,7 +175,27 @@ def index_items(ids: list[int | None], texts: pa.Array) -> Items:
     order = np.argsort(everything, kind="stable")
     gate = np.zeros(1 << 20, bool)
     gate[(everything & _GATE).astype(np.int64)] = True
-    return Items(list(ids), tokens, everything[order], owner[order], place[order], gate)
+    short = {}
+    for size in range(1, SEED):
+        own = np.array([i for i, t in enumerate(tokens) if len(t) == size], np.int64)
+        if len(own):
+            whole = np.concatenate([running(tokens[i], size) for i in own.tolist()])
+            turn = np.argsort(whole, kind="stable")
+            short[size] = whole[turn], own[turn]
+    return Items(list(ids), tokens, everything[order], owner[order], place[order], gate, short)
+
+
+def _whole_items(found: Words, items: Items) -> Iterator[tuple[int, int]]:
+    """(text, item) of items too short for a seed that a text holds as they are."""
+    for size, (whole, owner) in items.short.items():
+        runs = running(found.hash, size)
+        at = np.flatnonzero(_among(runs, whole))
+        text = np.searchsorted(found.first, at, "right") - 1
+        inside = at + size <= found.first[text + 1]
+        pairs = np.unique(np.stack([text[inside].astype(np.uint64), runs[at[inside]]], 1), axis=0)
+        for t, h in pairs:
+            for k in owner[np.searchsorted(whole, h, "left") : np.searchsorted(whole, h, "right")].tolist():
+                yield int(t), k
 
 
 def _candidates(found: Words, items: Items, coverage: float) -> Iterator[tuple[int, int]]:
@@ -212,9 +237,9 @@ def find_leaks(column: pa.Array, items: Items, coverage: float) -> Iterator[tupl
     """(row, item index, covered words, words of the item, tiles) at or above ``coverage``."""
     for piece in pieces(column):
         found = words(piece, table=ALNUM)
-        for text, own in _candidates(found, items, coverage):
+        for text, own in (*_candidates(found, items, coverage), *_whole_items(found, items)):
             item = items.tokens[own]
-            marked = tiles(item, found.hash[found.first[text] : found.first[text + 1]])
+            marked = tiles(item, found.hash[found.first[text] : found.first[text + 1]], min(SEED, len(item)))
             covered = sum(n for _, _, n in marked)
             if covered >= coverage * len(item):
                 yield piece.first + text, own, covered, len(item), len(marked)
@@ -245,8 +270,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """One row per document and item that it covers to ``coverage`` or more.
 
     Columns: doc_id, item_id, covered and item_words (words), tiles, coverage.  Null and
-    empty texts cover nothing; items of fewer than ``SEED`` words cannot be told from
-    chance and match nothing.  A row repeated in either table gives its pairs once.  Rows
+    empty texts cover nothing; items of fewer than ``SEED`` words match where they stand whole,
+    items without words never.  A row repeated in either table gives its pairs once.  Rows
     without doc_id or item_id count like others; those of one pair of ids are told together,
     with the widest coverage among them.
     """

@@ -146,9 +146,11 @@ def test_very_long_turns_keep_their_conversation(spark, tmp_path):
     assert [r.n_turns for r in format_chats(canonical_turns(records), "conv_id").select("n_turns").collect()] == [3]
 
 
-def test_json_too_large_to_parse_is_an_error(spark):
-    broken = spark.range(1).select(F.concat(F.lit('{"prompt": "'), F.repeat(F.lit("a"), 21_000_000), F.lit('", }')).alias("record"))
-    with pytest.raises(Exception, match="cannot be parsed"):
-        canonical_turns(broken).select("layout").collect()
-    plain = spark.range(1).select(F.repeat(F.lit("a "), 11_000_000).alias("record"))
-    assert [r.layout for r in canonical_turns(plain).select("layout").collect()] == [None]
+def test_malformed_json_has_one_outcome_at_every_size(spark):
+    for n in (5, 17_000_000):
+        broken = spark.range(1).select(F.concat(F.lit('{"prompt": "'), F.repeat(F.lit("a"), n), F.lit('", }')).alias("record"))
+        cut_off = spark.range(1).select(F.concat(F.lit('{"prompt": "'), F.repeat(F.lit("a"), n)).alias("record"))
+        for rows in (broken, cut_off):
+            assert [tuple(r) for r in canonical_turns(rows).select("layout", F.size("turns"), "unread").collect()] == [(None, 0, True)]
+    rows = spark.createDataFrame([(None,), ("{}",), ("[1]",), ('{"prompt": "a", "completion": "b"}',)], "record string")
+    assert [r.unread for r in canonical_turns(rows).collect()] == [False] * 4

@@ -38,11 +38,12 @@ def leaks(docs, items, coverage=D.COVERAGE):
     out = {}
     for item_id, item_text in items:
         item = plain_words(item_text)
-        runs = {tuple(item[i : i + D.SEED]) for i in range(len(item) - D.SEED + 1)}
+        seed = min(D.SEED, len(item))
+        runs = {tuple(item[i : i + seed]) for i in range(len(item) - seed + 1)} if item else set()
         for doc_id, text in docs:
             doc = plain_words(text)
-            if any(tuple(doc[i : i + D.SEED]) in runs for i in range(len(doc) - D.SEED + 1)):
-                found = greedy(item, doc)
+            if any(tuple(doc[i : i + seed]) in runs for i in range(len(doc) - seed + 1)):
+                found = greedy(item, doc, seed)
                 row = (sum(n for _, _, n in found), len(item), len(found))
                 if row[0] >= coverage * len(item):
                     out[doc_id, item_id] = max(out.get((doc_id, item_id), row), row)
@@ -77,7 +78,7 @@ def test_blocks_of_any_size_give_the_definition(spark):
     """One block or many: the same pairs and the same rows left, null and repeated ids included."""
     rng = random.Random(4)
     some = lambda n, kinds: " ".join(rng.choice("abcdefghijklmnop"[:kinds]) * 2 for _ in range(n))
-    items = [(k, some(rng.randint(4, 30), rng.choice((2, 5, 16)))) for k in range(25)] + [(None, some(20, 16)), (25, "same " * 12), (26, "a b"), (27, None), (3, some(12, 16))]
+    items = [(k, some(rng.randint(4, 30), rng.choice((2, 5, 16)))) for k in range(25)] + [(None, some(20, 16)), (25, "same " * 12), (26, "a b"), (27, None), (3, some(12, 16)), (28, "own"), (29, "Of its own!"), (30, "nothing"), (31, "words clean"), (32, "--")]
     rows = [(i, some(rng.randint(0, 60), 16) + " " + " ".join(rng.choice(items[:25])[1].split()[rng.randint(0, 5) :])) for i in range(40)]
     rows += [(2, "clean words of its own"), (None, items[4][1]), (None, "nothing"), (50, items[25][1] + "x " + "same " * 7), (51, None), (52, ""), (53, "same"), (54, "".join(items[25][1]))]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.factors import add_factors
 from fathom.functions.windows import Series, correlation, ratio
+from fathom.operators import boosting as T
 from fathom.operators import labels as L
 from fathom.operators import performance as P
 from fathom.operators import scan as X
@@ -430,13 +432,57 @@ def segment_table(spark, sf_dir) -> DataFrame:
 
 @query("i15_boosted_trees")
 def boosted_trees(spark, sf_dir) -> DataFrame:
-    """Two-phase boosted trees, fitted on the first part of time and applied to the rest."""
-    from fathom.operators import boosting
-
-    rows = _matrix(spark, sf_dir)
+    """Two-phase boosted trees, grown on the first part of time and applied to the rest."""
+    names = ["ret", "rel_vol", "close_position", "delta_z"]
+    rows = T.as_features(_matrix(spark, sf_dir), ["symbol", "ts"], names).withColumn("fold", F.lit(0)).dropna(subset=names)
     before = F.lit("2024-01-16").cast("timestamp_ntz")
-    model, names = boosting.fit_two_phase(rows.where(F.col("ts") < before), ["ret", "rel_vol", "close_position", "delta_z"], "label", 3, ["delta_z"], trees=5)
-    return boosting.predict(rows.where(F.col("ts") >= before), model, names).select("symbol", "ts", F.round("prediction", 6).alias("prediction"))
+    how = T.Boosting(trees=5, depth=3, rate=0.1, columns=1.0)
+    forests = T.two_phase(rows.where((F.col("ts") < before) & F.col("label").isNotNull()).withColumnRenamed("label", "y"), names, how, 3, ["delta_z"])
+    made = T.predict(rows.where(F.col("ts") >= before).select("symbol", "ts", "fold", "x"), forests, len(names))
+    return made.select("symbol", "ts", F.round("prediction", 6).alias("prediction"))
+
+
+CUTS = (-0.1, 0.0, 0.1)
+
+
+def _levels_sql() -> str:
+    """One tree of two levels: every split of a node by sums over its rows."""
+    soft = lambda g: f"greatest(abs({g}) - 1.0, 0.0)"
+    worth = lambda g, h: f"{soft(g)} * {soft(g)} / ({h} + 8.0)"
+    cells = f"SELECT vec_id, g, node, f, x[f + 1] AS v, unnest([{', '.join(map(str, CUTS))}]) AS cut FROM (SELECT *, unnest(generate_series(0, 63)) AS f FROM {{0}})"
+    best = f"""SELECT * FROM (
+      SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, cut) AS place FROM (
+        SELECT *, {worth("gl", "hl")} + {worth("ga - gl", "ha - hl")} - ({worth("ga", "ha")}) AS gain FROM (
+          SELECT node, f, cut, sum(g) AS ga, count(*) AS ha, coalesce(sum(g) FILTER (v <= cut), 0) AS gl, count(*) FILTER (v <= cut) AS hl FROM ({cells}) GROUP BY node, f, cut
+        ) WHERE hl >= 20 AND ha - hl >= 20
+      ) WHERE gain > 1e-6
+    ) WHERE place = 1"""
+    step = "SELECT d.vec_id, d.x, d.g, CASE WHEN s.f IS NULL THEN d.node WHEN d.x[s.f + 1] <= s.cut THEN 2 * d.node + 1 ELSE 2 * d.node + 2 END AS node FROM {0} d LEFT JOIN {1} s ON d.node = s.node"
+    return f"""WITH e AS (SELECT vec_id, CAST(label AS DOUBLE) AS y, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    c AS (SELECT pow(2, 30 - ceil(log2(max(abs(y))))) AS scale FROM e),
+    m AS (SELECT sum(CAST(round(y * scale) AS BIGINT))::DOUBLE / count(*) / any_value(scale) AS base, any_value(scale) AS scale FROM e, c),
+    n0 AS (SELECT vec_id, x, round((base - y) * scale) / scale AS g, 0 AS node FROM e, m),
+    s0 AS ({best.format("n0")}), n1 AS ({step.format("n0", "s0")}),
+    s1 AS ({best.format("n1")}), n2 AS ({step.format("n1", "s1")}),
+    leaf AS (SELECT node, -0.3 * sign(sum(g)) * {soft("sum(g)")} / (count(*) + 8.0) AS w FROM n2 GROUP BY node)
+    SELECT vec_id, node AS leaf, round(base + w, 6) AS prediction FROM n2 JOIN leaf USING (node), m"""
+
+
+@query("i15_boosted_levels", _levels_sql())
+def boosted_levels(spark, sf_dir) -> DataFrame:
+    """One penalised tree of two levels over all components of the embeddings, and where rows end."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").dropna(subset=["embedding", "label"])
+    rows = rows.select("vec_id", F.lit(0).alias("fold"), F.xxhash64("vec_id").alias("name"), F.col("label").cast("double").alias("y"), F.col("embedding").cast("array<double>").alias("x"))
+    how = T.Boosting(trees=1, depth=2, rate=0.3, rows=1.0, columns=1.0)
+    forests = T.grow(rows, 64, how, {0: [np.array(CUTS)] * 64})
+    tree = forests[0].trees[0]
+    leaf = F.lit(0)
+    for _ in range(how.depth):
+        for node in np.flatnonzero(tree.feature >= 0).tolist():
+            goes_left = F.col("x")[int(tree.feature[node])] <= CUTS[int(tree.bin[node]) - 1]
+            leaf = F.when(leaf == node, F.when(goes_left, 2 * node + 1).otherwise(2 * node + 2)).otherwise(leaf)
+    made = T.predict(rows.select("vec_id", "fold", "x"), forests, 64)
+    return made.select("vec_id", leaf.alias("leaf"), F.round("prediction", 6).alias("prediction"))
 
 
 @query("i18_permutation_importance")
@@ -450,9 +496,8 @@ def importance(spark, sf_dir) -> DataFrame:
 @query("i16_boosted_walk_forward")
 def boosted_walk_forward(spark, sf_dir) -> DataFrame:
     """I16: two-phase boosted trees refitted along the way, each predicting the rows up to the next refit."""
-    from fathom.operators import boosting
-
-    made = boosting.walk_forward(_matrix(spark, sf_dir), ["symbol"], "ts", ["ret", "rel_vol", "close_position", "delta_z"], "label", 250, 250, 3, 3, ["delta_z"], trees=3)
+    how = T.Boosting(trees=4, depth=3, rate=0.1, columns=1.0)
+    made = T.walk_forward(_matrix(spark, sf_dir), ["symbol"], "ts", ["ret", "rel_vol", "close_position", "delta_z"], "label", 250, 250, 3, how, 3, ["delta_z"], backfill=True)
     return made.withColumn("prediction", F.round("prediction", 6))
 
 

@@ -78,18 +78,3 @@ def test_two_level_weights(spark):
     own = {"x": (0.6 * 0.6 + 0.3 * 0.3) / 0.9, "y": 0.2}
     total = sum(own.values())
     assert found == {"a": pytest.approx(2 / 3 * own["x"] / total), "b": pytest.approx(1 / 3 * own["x"] / total), "d": pytest.approx(own["y"] / total)}
-
-
-def test_boosted_walk_forward_predicts_late_rows_from_early_ones(spark):
-    from datetime import datetime, timedelta
-
-    from fathom.operators import boosting
-
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=400)
-    rows = [("s", datetime(2024, 1, 1) + timedelta(hours=i), float(v), float(rng.normal()), float(2.0 if v > 0 else -2.0) + 0.1 * float(rng.normal())) for i, v in enumerate(x)]
-    df = spark.createDataFrame(rows, "symbol string, ts timestamp, a double, b double, y double")
-    found = boosting.walk_forward(df, ["symbol"], "ts", ["a", "b"], "y", 200, 150, 3, 1, trees=2, rate=1.0).toPandas()
-    assert len(found) == 200 and sorted(found.fold.unique()) == [0, 1]
-    merged = found.merge(df.toPandas(), on=["symbol", "ts"])
-    assert (np.sign(merged.prediction) == np.sign(merged.a)).mean() > 0.95

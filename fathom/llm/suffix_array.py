@@ -1,18 +1,54 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, as array operations.
+"""Suffix arrays of many texts at once by induced sorting, and permuted common prefixes, as array operations.
 
-The scans that induce an order read it from one end and push to places further on.  They are
-taken in blocks here: all of a block up to the first place that the block itself pushes to is
-final, so that much is done at once.  An order of n suffixes takes about the root of n blocks.
+The scans that induce an order read it from one end and push to places further on.  They run
+over many texts side by side, one place of every text at a time.  When few texts are left, each
+is read on by itself in blocks: all of a block up to the first place that the block itself
+pushes to is final, so that much is done at once.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
+#: Texts that are worth reading side by side.
+ABREAST = 48
+
+
+class Lanes(NamedTuple):
+    """Where each text begins and how long it is, the longest first."""
+
+    begin: np.ndarray
+    size: np.ndarray
+
+    def reversed(self, n: int) -> Lanes:
+        return Lanes(n - self.begin - self.size, self.size)
 
-def _induce(order: np.ndarray, text: np.ndarray, wanted: np.ndarray, head: np.ndarray) -> None:
+
+def _induce(order: np.ndarray, bucket: np.ndarray, wanted: np.ndarray, head: np.ndarray, lanes: Lanes) -> None:
     """Push the ``wanted`` predecessors of the suffixes in ``order`` to the heads of their buckets."""
-    n, at, block = len(order), 0, 512
+    at, live = 0, len(lanes.size)
+    rising = lanes.size[::-1]
+    while True:
+        live = len(rising) - int(np.searchsorted(rising, at, "right"))
+        if live < ABREAST:
+            break
+        for at in range(at, int(lanes.size[live - 1])):
+            before = order[lanes.begin[:live] + at] - 1
+            before = before[before >= 0]
+            before = before[wanted[before]]
+            own = bucket[before]
+            place = head[own]
+            order[place] = before
+            head[own] = place + 1
+        at += 1
+    for begin, size in zip(lanes.begin[:live].tolist(), lanes.size[:live].tolist(), strict=True):
+        _induce_one(order, bucket, wanted, head, begin + at, begin + size)
+
+
+def _induce_one(order: np.ndarray, bucket: np.ndarray, wanted: np.ndarray, head: np.ndarray, at: int, n: int) -> None:
+    block = 512
     while at < n:
         stop = min(at + block, n)
         before = order[at:stop] - 1
@@ -22,7 +58,7 @@ def _induce(order: np.ndarray, text: np.ndarray, wanted: np.ndarray, head: np.nd
             at, block = stop, min(2 * block, 1 << 16)
             continue
         before = before[source]
-        letter = text[before]
+        letter = bucket[before]
         turn = np.argsort(letter, kind="stable")
         by = letter[turn]
         fresh = np.ones(len(by), bool)
@@ -44,27 +80,32 @@ def _induce(order: np.ndarray, text: np.ndarray, wanted: np.ndarray, head: np.nd
             at, block = stop, min(2 * block, 1 << 16)
 
 
-def _sorted_from(text: np.ndarray, low: np.ndarray, stars: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All suffixes, induced from the order of the leftmost smaller ones (``stars``)."""
-    n = len(text)
+def _sorted_from(bucket: np.ndarray, low: np.ndarray, stars: np.ndarray, ends: np.ndarray, lanes: Lanes) -> np.ndarray:
+    """All suffixes of every text, induced from the order of the leftmost smaller ones (``stars``)."""
+    n = len(bucket)
     order = np.full(n, -1, np.int64)
-    letter = text[stars]
-    turn = np.argsort(letter, kind="stable")
-    by = letter[turn].astype(np.int64)
+    own = bucket[stars]
+    turn = np.argsort(own, kind="stable")
+    by = own[turn]
     last = np.searchsorted(by, by, "right")
     order[ends[by] - last + np.arange(len(by))] = stars[turn]
     starts = np.concatenate([[0], ends[:-1]])
-    _induce(order, text, ~low, starts.copy())
+    # A text's first suffix has no predecessor in it.
+    inner = np.ones(n, bool)
+    inner[lanes.begin + lanes.size - 1] = False
+    _induce(order, bucket, ~low & inner, starts.copy(), lanes)
     placed = np.flatnonzero(order >= 0)
     order[placed[low[order[placed]]]] = -1
-    order[0] = n - 1
-    _induce(order[::-1], text, low, n - ends)
+    order[lanes.begin] = lanes.begin + lanes.size - 1
+    _induce(order[::-1], bucket, low & inner, n - ends, lanes.reversed(n))
     return order
 
 
 def _named(text: np.ndarray, stars: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Numbers of the substrings from star to star, ``order`` being sorted; equal ones share a number."""
-    size = np.append(np.diff(stars), 0)[np.searchsorted(stars, order)] + 1
+    size = np.zeros(len(text), np.int64)
+    size[stars[:-1]] = np.diff(stars)
+    size = size[order] + 1
     same = size[1:] == size[:-1]
     left = np.flatnonzero(same)
     step = 0
@@ -77,33 +118,59 @@ def _named(text: np.ndarray, stars: np.ndarray, order: np.ndarray) -> np.ndarray
     return np.concatenate([[0], np.cumsum(~same)])
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of ``text``: non-negative integers, the last one smaller than all others."""
-    n = len(text)
-    if n < 3:
-        return np.arange(n)[::-1].copy()
-    rise = np.sign(np.diff(text.astype(np.int64)))
+def suffix_arrays(text: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Orders of the suffixes of each text, one after another.
+
+    ``text``: non-negative integers, those of text i from ``begin[i]`` on; the last one of a text
+    is smaller than all others of it.
+    """
+    size = np.diff(np.append(begin, len(text)))
+    wide = int(text.max(initial=0)) + 1
+    bucket = np.repeat(np.arange(len(begin)), size) * wide + text
+    if wide * len(begin) > 4 * len(text):  # letters that do not occur get no bucket
+        bucket = np.unique(bucket, return_inverse=True)[1]
+    return _orders(bucket, begin, size)
+
+
+def _orders(bucket: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``suffix_arrays`` of letters that rise from text to text too."""
+    n = len(bucket)
+    turn = np.argsort(-size, kind="stable")
+    lanes = Lanes(begin[turn], size[turn])
+    rise = np.zeros(n, np.int8)
+    rise[:-1] = np.sign(np.diff(bucket))
+    rise[begin + size - 1] = 1
     # Equal neighbours are of the type of the next that differs.
-    turn = np.where(rise != 0, np.arange(n - 1), n)
-    turn = np.minimum.accumulate(turn[::-1])[::-1]
-    low = np.append(rise[turn] > 0, True)
-    stars = np.flatnonzero(low[1:] & ~low[:-1]) + 1
-    ends = np.cumsum(np.bincount(text))
-    order = _sorted_from(text, low, stars, ends)
+    at = np.where(rise != 0, np.arange(n), n - 1)
+    low = rise[np.minimum.accumulate(at[::-1])[::-1]] > 0
     star = np.zeros(n, bool)
-    star[stars] = True
+    star[1:] = low[1:] & ~low[:-1]
+    star[begin] = False
+    star[begin + size - 1] = True
+    stars = np.flatnonzero(star)
+    ends = np.cumsum(np.bincount(bucket))
+    order = _sorted_from(bucket, low, stars, ends, lanes)
     found = order[star[order]]
-    names = _named(text, stars, found)
+    names = _named(bucket, stars, found)
     if names[-1] + 1 < len(stars):
-        reduced = np.empty(len(stars), np.int32)
-        reduced[np.searchsorted(stars, found)] = names
-        found = stars[suffix_array(reduced)]
-    return _sorted_from(text, low, found, ends)
+        place = np.cumsum(star) - 1
+        reduced = np.empty(len(stars), np.int64)
+        reduced[place[found]] = names
+        at = np.searchsorted(stars, begin)
+        found = stars[_orders(reduced, at, np.diff(np.append(at, len(stars))))]
+    return _sorted_from(bucket, low, found, ends, lanes)
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of one text."""
+    return suffix_arrays(text, np.zeros(1, np.int64))
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     """By text position: symbols (16 bits at most) shared with the suffix that comes before in ``order``.
 
+    Of several texts, the first in the order of each is held against the last of the text before.
+
     Where the symbols before a suffix and before its neighbour agree, its common prefix is one
     shorter than that of the position before; the others are compared, four symbols at a time.
     """

@@ -12,10 +12,11 @@ matter, and those are brought together first.
    a window is dealt by one only if it has no other.  Should a key still hold more than
    ``HEAVY`` bytes of distinct segments, its string comes last as well and segments are made
    anew.  The order decides who meets where, never what is found.
-3. Whole keys are packed into shards of about ``SHARD`` bytes.  A shard's suffixes are sorted by
-   induced sorting, common prefixes with the neighbour in that order are taken in text order,
-   and a window is repeated if either neighbour shares ``length`` bytes.  Of a segment that
-   occurs several times two copies enter, so the array shows that it repeats.
+3. Whole keys are packed into shards of about ``SHARD`` bytes.  The suffixes of every key of a
+   shard are sorted by induced sorting, all keys side by side; common prefixes with the neighbour
+   in that order are taken in text order, and a window is repeated if either neighbour shares
+   ``length`` bytes.  Of a segment that occurs several times two copies enter, so the array shows
+   that it repeats.
 4. Repeated windows go back to all places of their segments, and each text is cut once.
 
 Segments and strings are told apart by polynomial hashes, 128 bits for both together.
@@ -32,14 +33,14 @@ from pyspark.sql import functions as F
 
 from fathom.llm.graph import cut
 from fathom.llm.near_dedup import _runs
-from fathom.llm.suffix_array import common_prefixes, suffix_array
+from fathom.llm.suffix_array import common_prefixes, suffix_arrays
 from fathom.llm.words import Text, pieces, prefix_hash, span_hash
 
 LENGTH = 200
 GRAM = 48
 #: Most windows in one segment; text of one repeated letter or line has one key throughout.
 RUN = 1024
-SHARD = 3_000_000
+SHARD = 1_500_000
 HEAVY = 32_000_000
 PIECE = 400_000
 #: Bytes of texts on which frequent strings are counted, in parts of ``FIT_PART`` bytes.
@@ -101,19 +102,22 @@ def _held(text: Text, key: np.ndarray, begin: np.ndarray, end: np.ndarray, gram:
     return np.add.reduceat((_keys(text, gram, late)[at] == np.repeat(key, size)).astype(np.int64), first)
 
 
-def _repeated_windows(raw: list[bytes], counts: list[int], length: int) -> Iterator[tuple[int, int, int]]:
-    """(segment, first, last + 1) of runs of windows that stand in ``raw`` more than once, by one suffix array."""
-    parts = [np.frombuffer(r, np.uint8) for r, n in zip(raw, counts, strict=True) for _ in range(min(n, 2))]
-    source = np.repeat(np.arange(len(raw)), np.minimum(counts, 2))
+def _repeated_windows(raw: list[bytes], counts: list[int], lane: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+    """(segment, first, last + 1) of runs of windows that stand more than once in the segments of one ``lane`` (rising)."""
+    copies = np.minimum(counts, 2)
+    parts = [np.frombuffer(r, np.uint8) for r, n in zip(raw, copies.tolist(), strict=True) for _ in range(n)]
+    source, own_lane = np.repeat(np.arange(len(raw)), copies), np.repeat(lane, copies)
+    closes = np.append(own_lane[1:] != own_lane[:-1], True)
     size = np.array([len(p) for p in parts])
-    text = np.zeros(size.sum() + len(parts) + 1, np.uint16)  # 0 ends the text, 1 a segment
-    end = np.cumsum(size + 1) - 1
+    after = np.cumsum(size + 1 + closes)
+    end = after - 1 - closes
     begin = end - size
+    text = np.zeros(after[-1], np.uint16)  # 0 ends a lane, 1 a segment
     text[end] = 1
     inside = np.ones(len(text), bool)
-    inside[end] = inside[-1] = False
+    inside[end] = inside[after[closes] - 1] = False
     text[inside] = np.concatenate(parts).astype(np.uint16) + 2
-    order = suffix_array(text)
+    order = suffix_arrays(text, np.append(0, after[closes][:-1]))
     shared = common_prefixes(text, order)[order] >= length
     again = np.zeros(len(text), bool)
     again[order] = shared
@@ -129,13 +133,37 @@ def _repeated_windows(raw: list[bytes], counts: list[int], length: int) -> Itera
             yield seen, a, b
 
 
-_PLACE = "key long, digest long, id long, name long, start int, size int"
+#: ``place``: first byte times ``_LONGEST``, plus the length in bytes.
+_PLACE = "key long, digest long, id long, name long, place long"
+_LONGEST = 1 << 20
 
 
 def _columns(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """``texts`` with text as size and packed: compressed once, before texts are shuffled."""
+    names = [c for c in texts.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                raw = [x.as_buffer() for x in part.column("text")]
+                columns = [pa.array([r.size for r in raw], pa.int64()), pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], [*names, "size", "packed"])
+
+    return texts.mapInArrow(run, texts.drop("text").schema.add("size", "long").add("packed", "binary"))
+
+
+def unpacked(batch: pa.RecordBatch, row: int) -> bytes:
+    """Bytes of a text from the columns size and packed."""
+    size = batch.column("size")[row].as_py()
+    return pa.Codec("zstd").decompress(batch.column("packed")[row].as_buffer(), size, asbytes=True) if size else b""
+
+
 def _frequent(texts: DataFrame, gram: int) -> np.ndarray:
     """Marks, by the low bits of a key, of strings that many texts hold; from a bounded sample of texts."""
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -196,12 +224,12 @@ def _places(texts: DataFrame, length: int, gram: int, late: np.ndarray) -> tuple
                 key, digest, begin, end, text = _segments(piece, length, gram, last)
                 row = pa.array(piece.first + text)
                 columns = [pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)]
-                columns += [pa.array((begin - piece.starts[text]).astype(np.int32)), pa.array((end - begin).astype(np.int32))]
+                columns.append(pa.array((begin - piece.starts[text]) * _LONGEST + end - begin))
                 yield pa.RecordBatch.from_arrays(columns, _columns(_PLACE))
 
     shared = cut(texts.mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     found = cut(texts.mapInArrow(places, _PLACE).join(shared, "key", "left_semi"))
-    distinct = found.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "name", "start", "size")).alias("at"))
+    distinct = found.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "name", "place")).alias("at"))
     return found, distinct.select("key", "digest", "n", "at.*")
 
 
@@ -211,20 +239,20 @@ def _spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
     while True:
         found, distinct = _places(texts, length, gram, late)
         distinct = cut(distinct)
-        heavy = distinct.groupBy("key").agg(F.sum("size").alias("n")).where((F.col("n") > HEAVY) & (F.col("key") >= 0))
+        heavy = distinct.groupBy("key").agg(F.sum(F.col("place") % _LONGEST).alias("n")).where((F.col("n") > HEAVY) & (F.col("key") >= 0))
         more = [r.key & ((1 << _BITS) - 1) for r in heavy.select("key").toLocalIterator()]  # a few: each has HEAVY bytes
         if not more:
             break
         late[more] = True
 
-    asked = distinct.groupBy("id", "name").agg(F.collect_list(F.struct("key", "digest", "n", "start", "size")).alias("asked"))
-    taken = texts.join(asked, ["id", "name"]).select("text", "asked")
+    asked = distinct.groupBy("id", "name").agg(F.collect_list(F.struct("key", "digest", "n", "place")).alias("asked"))
+    taken = packed(texts).join(asked, ["id", "name"]).select("size", "packed", "asked")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                raw, own = batch.column(0)[i].as_buffer().to_pybytes(), batch.column(1)[i].values
-                at = [raw[s : s + n] for s, n in zip(own.field("start").to_pylist(), own.field("size").to_pylist(), strict=True)]
+                raw, own = unpacked(batch, i), batch.column(2)[i].values
+                at = [raw[p // _LONGEST : p // _LONGEST + p % _LONGEST] for p in own.field("place").to_pylist()]
                 yield pa.RecordBatch.from_arrays([own.field("key"), own.field("digest"), own.field("n"), pa.array(at, pa.binary())], ["key", "digest", "n", "text"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +263,8 @@ def _spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
             table = pa.concat_tables(held)
             key, digest, n, text = (table[c].to_pylist() for c in table.column_names)
             own = list({(k, d): i for i, (k, d) in enumerate(zip(key, digest, strict=True))}.values())  # repeated rows bring a segment twice
-            runs = list(_repeated_windows([text[i] for i in own], [n[i] for i in own], length))
+            lane = np.cumsum([bool(j) and key[i] != key[own[j - 1]] for j, i in enumerate(own)])
+            runs = list(_repeated_windows([text[i] for i in own], [n[i] for i in own], lane, length))
             if runs:
                 columns = [[key[own[s]] for s, *_ in runs], [digest[own[s]] for s, *_ in runs], [a for _, a, _ in runs], [b + length - 1 for *_, b in runs]]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -252,7 +281,8 @@ def _spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     segments = taken.mapInArrow(take, "key long, digest long, n long, text binary").repartition("key").sortWithinPartitions("key")
     repeats = cut(segments.mapInArrow(sort, "key long, digest long, first int, last int"))
-    back = found.join(repeats, ["key", "digest"]).select("id", "name", (F.col("start") + F.col("first")).alias("begin"), (F.col("start") + F.col("last")).alias("end"))
+    start = F.floor(F.col("place") / _LONGEST).cast("int")
+    back = found.join(repeats, ["key", "digest"]).select("id", "name", (start + F.col("first")).alias("begin"), (start + F.col("last")).alias("end"))
     return back.distinct().groupBy("id", "name").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
@@ -279,10 +309,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None)
     """
     gram = min(GRAM, max(1, length // 2)) if gram is None else gram
     own = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("text"))
-    texts = ids.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("name"), "text")
-    spans = _spans(texts.where(F.octet_length("text") >= length), length, gram)
-    joined = ids.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "name": F.xxhash64("text")}).join(spans, ["id", "name"], "left").select("doc_id", "text", "spans")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(own).alias("name"), own.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    spans = _spans(texts.where(F.octet_length("text") >= length).drop("doc_id"), length, gram)
+    joined = packed(texts).join(spans, ["id", "name"], "left").select("doc_id", "size", "packed", "spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,14 +319,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None)
                 part = batch.slice(at, 256)
                 sizes, runs, kept = [], [], []
                 for i in range(len(part)):
-                    raw = part.column(1)[i].as_buffer().to_pybytes()
-                    own = _removed(part.column(2)[i].values)
+                    raw = unpacked(part, i)
+                    own = _removed(part.column("spans")[i].values)
                     edges = [0, *(x for run in own for x in run), len(raw)]
                     sizes.append(len(raw))
                     runs.append([{"begin": a, "end": b} for a, b in own])
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return joined.mapInArrow(clean, "doc_id long, n_bytes long, spans array<struct<begin: int, end: int>>, kept binary")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.windows import Series, ratio
+from fathom.operators import parzen as Z
 from fathom.operators import search as R
 from fathom.operators.frames import hourly_bars
 from fathom.plans.registry import BARS, W, div, lag, query, roll, rounded
@@ -174,6 +175,17 @@ def refined(spark, sf_dir) -> DataFrame:
     return spark.createDataFrame(R.refine(("rel_vol", "ret", "spread"), CLUSTERS, score, rounds=3), "round int, set_id string, score double")
 
 
+@query("i23_parzen_search")
+def parzen(spark, sf_dir) -> DataFrame:
+    """Picks and include flags of the clusters by a Parzen search over the mean guarded score, a batch a job."""
+
+    def score(sets):
+        made = _scored(spark, sf_dir, R.named_sets(sets, spark)).groupBy("set_id").agg(F.round(F.avg("score"), 6).alias("score"))
+        return {r.set_id: r.score for r in made.collect()}
+
+    return Z.as_table(spark, Z.parzen_search(spark, CLUSTERS, score, 24, 8, startup=8))
+
+
 VAL = "rn >= floor(total * 0.5::DOUBLE) AND rn < floor(total * 0.8::DOUBLE)"
 
 

@@ -13,6 +13,7 @@ from fathom.operators import labels as L
 from fathom.operators import performance as P
 from fathom.operators import scan as X
 from fathom.operators import selection as C
+from fathom.operators import shapley as H
 from fathom.operators.frames import hourly_bars
 from fathom.plans.registry import BARS, TICKS, W, both, div, lag, query, ret, roll, rounded
 from fathom.plans.tick_queries import PHI
@@ -501,6 +502,13 @@ def boosted_walk_forward(spark, sf_dir) -> DataFrame:
     return made.withColumn("prediction", F.round("prediction", 6))
 
 
+@query("i20_shapley_selection")
+def shapley_selection(spark, sf_dir) -> DataFrame:
+    """Factors whose mean absolute Shapley value is among the two highest in two expanding folds or more."""
+    how = T.Boosting(trees=3, depth=3, rate=0.1, columns=1.0)
+    return H.persistent_factors(_matrix(spark, sf_dir), ["symbol"], "ts", ["ret", "rel_vol", "close_position", "delta_z"], "label", how, top=2, must=["ret"])
+
+
 WIDE = f"""{MATRIX}, full_rows AS (SELECT symbol, ts, ret, close_position - 0.5 AS cp, label FROM x WHERE ret IS NOT NULL AND close_position IS NOT NULL AND label IS NOT NULL)"""
 
 

@@ -9,8 +9,10 @@ wanted together run in one scan.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -55,6 +57,168 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], outpu
     return ready.mapInArrow(run, schema)
 
 
+class SortedBlocks:
+    """Values in order, in blocks of bounded size: to add, take away, count and pick takes little at any size."""
+
+    def __init__(self, block: int = 512):
+        self.block, self.blocks, self.tops = block, [], []
+
+    def _at(self, x: float) -> int:
+        return min(bisect_left(self.tops, x), len(self.tops) - 1)
+
+    def add(self, x: float) -> None:
+        if not self.blocks:
+            self.blocks, self.tops = [[x]], [x]
+            return
+        k = self._at(x)
+        own = self.blocks[k]
+        insort(own, x)
+        if len(own) > 2 * self.block:
+            self.blocks[k : k + 1] = [own[: self.block], own[self.block :]]
+            self.tops[k : k + 1] = [own[self.block - 1], own[-1]]
+        else:
+            self.tops[k] = own[-1]
+
+    def remove(self, x: float) -> None:
+        k = self._at(x)
+        own = self.blocks[k]
+        del own[bisect_left(own, x)]
+        if own:
+            self.tops[k] = own[-1]
+        else:
+            del self.blocks[k], self.tops[k]
+
+    def below(self, x: float) -> int:
+        """Values less than x."""
+        if not self.blocks:
+            return 0
+        k = self._at(x)
+        return sum(map(len, self.blocks[:k])) + bisect_left(self.blocks[k], x)
+
+    def up_to(self, x: float) -> int:
+        """Values of x or less."""
+        k = bisect_right(self.tops, x)
+        return sum(map(len, self.blocks[:k])) + (bisect_right(self.blocks[k], x) if k < len(self.blocks) else 0)
+
+    def pick(self, k: int) -> float:
+        """The value at place k from 0."""
+        for own in self.blocks:
+            if k < len(own):
+                return own[k]
+            k -= len(own)
+        raise IndexError(k)
+
+
+def _windowed(n: int, found: Callable[[SortedBlocks, int, float], float], least: int) -> Kernel:
+    """``found`` (ordered values, their number, current value) over the last n rows, gaps left out."""
+    held, rows, seen = SortedBlocks(), deque(), 0
+
+    def step(x: float) -> float:
+        nonlocal seen
+        if len(rows) == n:
+            old = rows.popleft()
+            if not math.isnan(old):
+                held.remove(old)
+                seen -= 1
+        rows.append(x)
+        if not math.isnan(x):
+            held.add(x)
+            seen += 1
+        return found(held, seen, x) if seen >= least else NAN
+
+    return step
+
+
+def rolling_rank(n: int, least: int | None = None, share: bool = True) -> Kernel:
+    """``Series.rank`` for windows of any length: ties averaged, ``share``: over the count."""
+
+    def place(held: SortedBlocks, seen: int, x: float) -> float:
+        if math.isnan(x):
+            return NAN
+        rank = (held.below(x) + held.up_to(x) + 1) / 2
+        return rank / seen if share else rank
+
+    return _windowed(n, place, n if least is None else least)
+
+
+def _between(low: float, high: float, part: float) -> float:
+    return low + (high - low) * part if part else low
+
+
+def rolling_quantile(n: int, q: float, least: int | None = None) -> Kernel:
+    """``Series.quantile`` for windows of any length: linear between the two nearest values."""
+
+    def value(held: SortedBlocks, seen: int, x: float) -> float:
+        at, part = int((seen - 1) * q), (seen - 1) * q % 1
+        return _between(held.pick(at), held.pick(min(at + 1, seen - 1)), part)
+
+    return _windowed(n, value, max(1, n if least is None else least))
+
+
+def expanding_quantile(q: float) -> Kernel:
+    """Quantile of all values so far, by two heaps that meet at it."""
+    low: list[float] = []
+    high: list[float] = []
+
+    def step(x: float) -> float:
+        if not math.isnan(x):
+            if low and x > -low[0]:
+                heappush(high, x)
+            else:
+                heappush(low, -x)
+            place = (len(low) + len(high) - 1) * q
+            while len(low) > int(place) + 1:
+                heappush(high, -heappop(low))
+            while len(low) < int(place) + 1:
+                heappush(low, -heappop(high))
+        if not low:
+            return NAN
+        place = (len(low) + len(high) - 1) * q
+        return _between(-low[0], high[0] if high else -low[0], place % 1)
+
+    return step
+
+
+def rolling_spearman(n: int) -> Kernel:
+    """Spearman correlation of the n complete rows before each row; of equals the earlier comes first.
+
+    The ranks of a row's window are those of the row before it, moved by one where a value came
+    or went between, so a row costs two passes over the window and no sort.
+    """
+    values, ranks = np.zeros((2, n)), np.zeros((2, n), np.int64)
+    rows: deque[int] = deque()  # places of complete rows in the ring, -1 for gaps
+    seen = at = 0
+
+    def step(x: float, y: float) -> float:
+        nonlocal seen, at
+        out = NAN
+        if seen == n:
+            apart = ranks[0] - ranks[1]
+            out = 1 - 6.0 * float(apart @ apart) / (n * (n * n - 1))
+        if len(rows) == n:
+            old = rows.popleft()
+            if old >= 0:
+                for own, place in zip(values, ranks, strict=True):
+                    place[place > place[old]] -= 1
+                    own[old], place[old] = NAN, -1
+                seen -= 1
+        if math.isnan(x) or math.isnan(y):
+            rows.append(-1)
+            return out
+        for own, place, new in zip(values, ranks, (x, y), strict=True):
+            held = place >= 0
+            above = held & (own > new)
+            place[above] += 1
+            own[at], place[at] = new, int(held.sum()) - int(above.sum())
+        rows.append(at)
+        seen, at = seen + 1, (at + 1) % n
+        return out
+
+    ranks[:] = -1
+    values[:] = NAN
+    return step
+
+
 def ema(alpha: float, adjust: bool = False) -> Kernel:
     """Exponential mean; ``adjust`` weighs by the sum of weights so far.  Gaps are passed over."""
     top = below = NAN

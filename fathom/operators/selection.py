@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.windows import Series, correlation, ratio
+from fathom.operators.scan import ordered_scan, rolling_rank, rolling_spearman
 
 
 def long_form(df: DataFrame, keys: Sequence[str], factors: Sequence[str]) -> DataFrame:
@@ -20,27 +21,16 @@ def long_form(df: DataFrame, keys: Sequence[str], factors: Sequence[str]) -> Dat
 def rolling_ic(df: DataFrame, series: Series, factors: Sequence[str], label: str, window: int) -> DataFrame:
     """Rolling Pearson correlation of rolling ranks, at least half a window, 0 where undefined."""
     least = window // 2
-    ranked = df.withColumns({f"_r_{x}": series.rank(x, window, least, share=False) for x in (*factors, label)})
+    ranked = ordered_scan(df, series.keys, series.order, {f"_r_{x}": (lambda: rolling_rank(window, least, share=False), [x]) for x in (*factors, label)})
     return ranked.withColumns({f"ic_{x}": F.coalesce(series.corr(f"_r_{x}", f"_r_{label}", window, least), F.lit(0.0)) for x in factors}).drop(*(f"_r_{x}" for x in (*factors, label)))
 
 
-def strict_ic(series: Series, factor: str, label: str, window: int) -> Column:
-    """Spearman correlation over the ``window`` complete rows before each row.
+def strict_ic(df: DataFrame, series: Series, factor: str, label: str, window: int, into: str = "ic") -> DataFrame:
+    """``df`` with the Spearman correlation over the ``window`` rows before each row, if all are complete.
 
     Ranks are ordinal, so their variance is known and squared rank differences are enough.
-    Work is quadratic in the window: meant for short ones; ``segment_ic`` serves long ones.
     """
-    frame = series.w.rowsBetween(-window, -1)
-    there = F.col(factor).isNotNull() & F.col(label).isNotNull()
-    seen = F.collect_list(F.when(there, F.struct(F.col(factor).alias("f"), F.col(label).alias("y")))).over(frame)
-
-    def place(x: Column, i: Column, part: str) -> Column:
-        before = F.filter(seen, lambda e, j: (e[part] < x[part]) | ((e[part] == x[part]) & (j < i)))
-        return F.size(before)
-
-    apart = F.transform(seen, lambda x, i: place(x, i, "f") - place(x, i, "y"))
-    total = F.aggregate(apart, F.lit(0).cast("long"), lambda a, d: a + d * d)
-    return F.when(F.size(seen) == window, 1 - 6.0 * total / (window * (window**2 - 1)))
+    return ordered_scan(df, series.keys, series.order, {into: (lambda: rolling_spearman(window), [factor, label])})
 
 
 def segment_ic(df: DataFrame, keys: Sequence[str], order: str, factors: Sequence[str], label: str, size: int) -> DataFrame:

@@ -310,7 +310,7 @@ def _places(x: str) -> str:
 )
 def strict_rolling_ic(spark, sf_dir) -> DataFrame:
     """Spearman over the rows before each row, ordinal ranks, the earlier of equals first."""
-    made = _matrix(spark, sf_dir).withColumn("ic", C.strict_ic(S, "ret", "label", N2)).where("ic is not null")
+    made = C.strict_ic(_matrix(spark, sf_dir), S, "ret", "label", N2).where("ic is not null")
     return made.select("symbol", "ts", F.round("ic", 6).alias("ic"))
 
 
@@ -387,7 +387,7 @@ def votes(spark, sf_dir) -> DataFrame:
 def strength_positions(spark, sf_dir) -> DataFrame:
     """F2, K7, K8: rolling percentile strength through a strength map."""
     bars = hourly_bars(spark, sf_dir).select("symbol", "ts", "delta", F.abs("delta").alias("size"))
-    bars = bars.withColumn("strength", S.rank("size", 50))
+    bars = X.ordered_scan(bars, ["symbol"], ["ts"], {"strength": (lambda: X.rolling_rank(50), ["size"])})
     position = C.strength_position(F.col("strength"), F.col("delta"), C.parse_strength_map("0.2-0.5:0.7,0.5-1:1"))
     return bars.select("symbol", "ts", F.round("strength", 6).alias("strength"), position.alias("position"))
 

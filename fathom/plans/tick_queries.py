@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.windows import Series, clipped, normal_cdf, ratio
 from fathom.operators import bars as B
-from fathom.operators import clean, joins
+from fathom.operators import clean, joins, scan
 from fathom.operators.frames import daily_bars, hourly_bars, quotes, ticks
 from fathom.plans.registry import BARS, QUOTES, TICKS, W, lag, query, roll, rounded
 
@@ -357,7 +357,8 @@ def monthly(spark, sf_dir) -> DataFrame:
 )
 def rolling_quantiles(spark, sf_dir) -> DataFrame:
     df = hourly_bars(spark, sf_dir).withColumn("size", F.abs("delta"))
-    return df.select("symbol", "ts", F.round(S.quantile("size", 50, 0.7, 30), 6).alias("rolling_q"), F.round(F.percentile("size", F.lit(0.7)).over(S.so_far), 6).alias("expanding_q"))
+    made = scan.ordered_scan(df, ["symbol"], ["ts"], {"rolling_q": (lambda: scan.rolling_quantile(50, 0.7, 30), ["size"]), "expanding_q": (lambda: scan.expanding_quantile(0.7), ["size"])})
+    return rounded(made.select("symbol", "ts", "rolling_q", "expanding_q"))
 
 
 @query(

@@ -14,7 +14,6 @@ margin in a written table that is renewed every ``KEPT`` trees.
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.windows import Series, finite
 from fathom.operators.labels import walk_forward_folds
+from fathom.operators.quantiles import written
 
 #: Trees after which rows' margins are written anew.
 KEPT = 20
@@ -120,19 +120,6 @@ class Forest:
         return mean / mean.sum() if mean.sum() else mean
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed: read by every later job, its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -291,7 +278,7 @@ def grow(rows: DataFrame, width: int, how: Boosting, cuts: Mapping[int, list[np.
             out = pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("name"), batch.column("y"), pa.array(margin), pa.array(bins, pa.binary())], ["fold", "name", "y", "margin", "bins"])
             yield out.filter(pa.array(known))
 
-    dealt = _written(rows.mapInArrow(binned, "fold int, name long, y double, margin double, bins binary"))
+    dealt = written(rows.mapInArrow(binned, "fold int, name long, y double, margin double, bins binary"))
     first = 0
     for number in range(how.trees):
         growing = {f: (Tree.empty(how.depth), drawn_columns(x.allowed, how.seed, f, number, how.columns)) for f, x in forests.items()}
@@ -312,7 +299,7 @@ def grow(rows: DataFrame, width: int, how: Boosting, cuts: Mapping[int, list[np.
         for f, (tree, _) in growing.items():
             forests[f].trees.append(tree)
         if (number + 1) % KEPT == 0 and number + 1 < how.trees:
-            dealt, first = _written(_renewed(dealt, forests, first)), number + 1
+            dealt, first = written(_renewed(dealt, forests, first)), number + 1
     return forests
 
 

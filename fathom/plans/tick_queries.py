@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from fathom.functions.windows import Series, clipped, normal_cdf, ratio
 from fathom.operators import bars as B
 from fathom.operators import clean, joins, scan
+from fathom.operators.blocks import block_ema
 from fathom.operators.frames import daily_bars, hourly_bars, quotes, ticks
+from fathom.operators.quantiles import exact_quantiles
 from fathom.plans.registry import BARS, QUOTES, TICKS, W, lag, query, roll, rounded
 
 S = Series()
@@ -78,7 +80,7 @@ def complete(spark, sf_dir) -> DataFrame:
 def winsor(spark, sf_dir) -> DataFrame:
     """Fixed bounds, and per-symbol 1st and 99th percentiles."""
     df = ticks(spark, sf_dir)
-    bounds = df.groupBy("symbol").agg(F.percentile("price", F.lit(0.01)).alias("lo"), F.percentile("price", F.lit(0.99)).alias("hi"))
+    bounds = exact_quantiles(df, ["symbol"], "price", (0.01, 0.99)).groupBy("symbol").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     joined = df.join(bounds, "symbol")
     return rounded(joined.select("symbol", "seq", clipped("price", F.col("lo"), F.col("hi")).alias("winsor"), clipped("price", 10.0, 90.0).alias("clipped")), 4)
 
@@ -400,3 +402,15 @@ def keep_best(spark, sf_dir) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     best = orders.groupBy("o_custkey").agg(F.max(F.struct("o_totalprice", (-F.col("o_orderkey")).alias("k"))).alias("b"))
     return best.select("o_custkey", (-F.col("b.k")).alias("o_orderkey"), F.round("b.o_totalprice", 2).alias("best"))
+
+
+@query(
+    "h1_tick_ema",
+    f"""WITH RECURSIVE {TICKS}, n AS (SELECT symbol, seq, price, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM ticks), e AS (
+      SELECT symbol, seq, k, price AS ema FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.seq, n.k, e.ema + 0.05 * (n.price - e.ema) FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1)
+    SELECT symbol, seq, round(ema, 6) AS ema FROM e""",
+)
+def tick_ema(spark, sf_dir) -> DataFrame:
+    """H1: exponential mean over all ticks of a symbol, its days worked on side by side."""
+    made = block_ema(ticks(spark, sf_dir), ["symbol"], "trading_date", ["ts", "seq"], "price", 0.05, "ema")
+    return rounded(made.select("symbol", "seq", "ema"))

@@ -12,8 +12,8 @@ from typing import NamedTuple
 
 import numpy as np
 
-#: Texts that are worth reading side by side.
-ABREAST = 48
+#: A number of texts are read side by side while the longest has at most so many places left for its square.
+ABREAST = 64
 
 
 class Lanes(NamedTuple):
@@ -28,20 +28,21 @@ class Lanes(NamedTuple):
 
 def _induce(order: np.ndarray, bucket: np.ndarray, wanted: np.ndarray, head: np.ndarray, lanes: Lanes) -> None:
     """Push the ``wanted`` predecessors of the suffixes in ``order`` to the heads of their buckets."""
-    at, live = 0, len(lanes.size)
-    rising = lanes.size[::-1]
+    at, rising = 0, lanes.size[::-1]
     while True:
         live = len(rising) - int(np.searchsorted(rising, at, "right"))
-        if live < ABREAST:
+        if not live or int(lanes.size[0]) - at > ABREAST * live * live:
             break
+        cursor = lanes.begin[:live] + at
         for at in range(at, int(lanes.size[live - 1])):
-            before = order[lanes.begin[:live] + at] - 1
+            before = order[cursor] - 1
             before = before[before >= 0]
             before = before[wanted[before]]
             own = bucket[before]
             place = head[own]
             order[place] = before
             head[own] = place + 1
+            cursor += 1
         at += 1
     for begin, size in zip(lanes.begin[:live].tolist(), lanes.size[:live].tolist(), strict=True):
         _induce_one(order, bucket, wanted, head, begin + at, begin + size)

@@ -68,11 +68,7 @@ def _segments(text: Text, length: int, gram: int, late: np.ndarray | None) -> tu
     n = len(text.data)
     if n < length:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
-    least, reach, width = _keys(text, gram, late), 1, length - gram + 1
-    while reach < width:  # least of ``reach`` keys from each on
-        step = min(reach, width - reach)
-        least = np.minimum(least[:-step], least[step:])
-        reach += step
+    least = _sliding(_keys(text, gram, late), length - gram + 1, True)
     owner = np.repeat(np.arange(len(text.starts) - 1), np.diff(text.starts))
     whole = np.flatnonzero(owner[: len(least)] == owner[length - 1 :])
     least = least[whole]
@@ -92,14 +88,27 @@ def _segments(text: Text, length: int, gram: int, late: np.ndarray | None) -> tu
     return least[first], digest, begin, end, owner[begin]
 
 
-def _held(text: Text, key: np.ndarray, begin: np.ndarray, end: np.ndarray, gram: int, late: np.ndarray | None) -> np.ndarray:
-    """How often each segment holds the string that it is dealt by: in text with a period, more than once."""
-    if not len(key):
-        return np.zeros(0, np.int64)
-    size = end - begin
-    first = np.cumsum(size) - size
-    at = np.arange(size.sum()) + np.repeat(begin - first, size)
-    return np.add.reduceat((_keys(text, gram, late)[at] == np.repeat(key, size)).astype(np.int64), first)
+def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """Least or greatest of ``width`` values from each on."""
+    pick, reach = np.minimum if least else np.maximum, 1
+    while reach < width:
+        step = min(reach, width - reach)
+        values = pick(values[:-step], values[step:])
+        reach += step
+    return values
+
+
+def _dealt_by(text: Text, length: int, gram: int, late: np.ndarray | None) -> np.ndarray:
+    """Keys of the strings that some window is dealt by, one for each place where such a string stands."""
+    if len(text.data) < length:
+        return np.zeros(0, np.uint64)
+    keys, width = _keys(text, gram, late), length - gram + 1
+    least = _sliding(keys, width, True)
+    owner = np.repeat(np.arange(len(text.starts) - 1), np.diff(text.starts))
+    least[owner[: len(least)] != owner[length - 1 :]] = 0
+    spare = np.zeros(width - 1, np.uint64)
+    # A string's key is at least that of every window it is in; it deals a window if they are equal.
+    return keys[_sliding(np.concatenate([spare, least, spare]), width, False) == keys]
 
 
 def _repeated_windows(raw: list[bytes], counts: list[int], lane: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
@@ -170,7 +179,7 @@ def _frequent(texts: DataFrame, gram: int) -> np.ndarray:
     late = np.zeros(1 << _BITS, bool)
     share = min(1.0, FIT_BYTES / max(size, 1))
     sample = texts.where(F.pmod("name", F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = sample.repartition(max(1, min(size, FIT_BYTES) // FIT_PART), "name")
+    sample = sample.repartition(max(1, min(size, FIT_BYTES) // FIT_PART))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -213,8 +222,7 @@ def _places(texts: DataFrame, length: int, gram: int, late: np.ndarray) -> tuple
         last = marks()
         for batch in batches:
             for piece in pieces(batch.column(2), PIECE):
-                key, _, begin, end, _ = _segments(piece, length, gram, last)
-                key, n = np.unique(np.repeat(key, _held(piece, key, begin, end - gram + 1, gram, last)), return_counts=True)
+                key, n = np.unique(_dealt_by(piece, length, gram, last), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

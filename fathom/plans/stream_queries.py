@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.plans.registry import TICKS, query
 from fathom.streaming import bars as N
+from fathom.streaming import keyed as K
 
 
 @query(
@@ -42,13 +43,29 @@ def by_session(spark, sf_dir) -> DataFrame:
 
 @query(
     "n5_streaming_ema",
-    f"""WITH RECURSIVE {TICKS}, n AS (SELECT symbol, seq, price, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM ticks), e AS (
-      SELECT symbol, seq, k, price AS ema FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.seq, n.k, e.ema + 0.1 * (n.price - e.ema) FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1)
-    SELECT symbol, seq, round(ema, 6) AS ema FROM e""",
+    f"""WITH RECURSIVE {TICKS}, n AS (SELECT symbol, ts, seq, price, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM ticks), e AS (
+      SELECT symbol, ts, seq, k, price, NULL::DOUBLE AS change, price AS ema FROM n WHERE k = 1 UNION ALL
+      SELECT n.symbol, n.ts, n.seq, n.k, n.price, n.price - e.price, e.ema + 0.1 * (n.price - e.ema) FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1)
+    SELECT symbol, seq, round(change, 6) AS change, round(ema, 6) AS ema FROM e WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM ticks)""",
 )
 def keyed(spark, sf_dir) -> DataFrame:
-    made = N.run_once(N.keyed_ema(N.tick_stream(spark, sf_dir), 0.1), N.shared_folder(spark))
-    return made.select("symbol", "seq", F.round("ema", 6).alias("ema"))
+    """Increments and the exponential mean as keyed state, each hour once the watermark has passed it."""
+    with K.rocksdb(spark):
+        made = N.run_once(K.keyed_ticks(N.tick_stream(spark, sf_dir)), N.shared_folder(spark))
+    return made.select("symbol", "seq", F.round("change", 6).alias("change"), F.round("ema", 6).alias("ema"))
+
+
+@query(
+    "n6_streaming_calendar",
+    f"""WITH {TICKS}, p AS (SELECT CAST(ts AS DATE) AS period, min(ts) AS start_ts, max(ts) AS end_ts FROM ticks WHERE symbol = 'purchase' GROUP BY 1)
+    SELECT t.symbol, t.seq, p.period FROM ticks t JOIN p ON t.ts > p.start_ts AND t.ts <= p.end_ts""",
+)
+def calendar(spark, sf_dir) -> DataFrame:
+    """Ticks with the period of a table that holds them, the table read anew for every micro-batch."""
+    folder = N.shared_folder(spark)
+    sold = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'").withColumn("ts", F.col("ts").cast("timestamp"))
+    sold.groupBy(F.to_date("ts").alias("period")).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts")).write.parquet(f"{folder}/calendar")
+    return N.with_calendar(N.tick_stream(spark, sf_dir), f"{folder}/calendar", folder).select("symbol", "seq", "period")
 
 
 @query(

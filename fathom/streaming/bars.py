@@ -1,21 +1,18 @@
 """Structured Streaming forms of the tick operators.
 
-Bars of closed windows equal the batch bars.  State is bounded by watermarks, and keyed
-recurrences keep a few numbers per key.
+Bars of closed windows equal the batch bars.  State is bounded by watermarks.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fathom.operators.bars import ohlcv
+from fathom.operators.joins import interval_join
 
 
 def tick_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_batch: int = 10) -> DataFrame:
@@ -52,25 +49,6 @@ def session_bars(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 minu
     return made.select("symbol", F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "open", "high", "low", "close", "volume", "n_ticks")
 
 
-def keyed_ema(ticks: DataFrame, alpha: float) -> DataFrame:
-    """Exponential mean per symbol across micro-batches; the state is one number.
-
-    Order inside a micro-batch is restored by sorting; order between batches is arrival.
-    """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
-        mean = state.get[0] if state.exists else None
-        out = []
-        for x in rows.price:
-            mean = x if mean is None else mean + alpha * (x - mean)
-            out.append(mean)
-        state.update((mean,))
-        yield pd.DataFrame({"symbol": key[0], "seq": rows.seq.to_numpy(), "ema": out})
-
-    return ticks.groupBy("symbol").applyInPandasWithState(step, "symbol string, seq long, ema double", "mean double", "append", GroupStateTimeout.NoTimeout)
-
-
 def matched(left: DataFrame, right: DataFrame, within: int = 300, late: str = "10 minutes") -> DataFrame:
     """Pairs of ticks of two streams, the right one at most ``within`` seconds before the left one.
 
@@ -99,3 +77,21 @@ def run_once(stream: DataFrame, folder: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def with_calendar(ticks: DataFrame, calendar: str, folder: str) -> DataFrame:
+    """Everything that is there now, each tick with the period of a Parquet calendar that holds it.
+
+    The calendar (start_ts, end_ts and others) is read anew for every micro-batch, so rows that
+    are added between two of them count from the next one on.  A batch that is run again after a
+    failure writes its own folder again.
+    """
+    spark = ticks.sparkSession
+
+    def join(batch: DataFrame, number: int) -> None:
+        periods = batch.sparkSession.read.parquet(calendar)
+        interval_join(batch, periods).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = ticks.writeStream.foreachBatch(join).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")

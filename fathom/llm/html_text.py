@@ -7,6 +7,11 @@ stands inside an article or inside a part that is named as something else (menu,
 form, advert, reader comments ...), and whether the page has an article at all.  A decision
 tree grown on ``LABELLED`` decides which blocks are main text.  Pages without any marks are
 decided by numbers and kinds alone.
+
+Three things are looked at over the whole page.  Where paragraph tags hold less of the words
+outside links than long blocks without such a tag, a second tree, grown on ``UNTAGGED``, decides by words and links
+alone.  Of several articles, those that are short beside the longest are teasers.  What
+readers wrote begins at a short heading that says so and ends with the element around it.
 """
 
 from __future__ import annotations
@@ -40,8 +45,15 @@ _NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert"
     " popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar sidebar aside rail widget widgets related recommended recommendations"
     " trending popular share sharing social follow footer contentinfo complementary comment comments commentlist respond reply replies discussion disqus newsletter subscribe"
-    " subscription signup signin login register search searchform form toc skip copyright masthead topbar".split()
+    " subscription signup signin login register search searchform form toc skip copyright masthead topbar feedback responses replies letters guestbook reviews teaser teasers"
+    " outbrain taboola upsell paywall donate callout".split()
 )
+#: Short headings that what readers wrote stands under, and short calls that are no text (fixed values).
+_READERS = re.compile(r"(?:\d+ )?(?:reader |user |all |your )?(?:comments?|responses?|replies|reader letters|letters from readers|discussion|kommentare?|commentaires?|comentarios?|leave a (?:reply|comment)|post a comment)\b", re.IGNORECASE)
+_CALLS = re.compile(r"(?:subscribe (?:to|now|today)|sign up (?:for|to|now|today)|share this|follow us|read more|read also|related (?:articles|stories|posts)|advertisement\b|click here|log in to|we use cookies|this (?:site|website) uses cookies)", re.IGNORECASE)
+READERS_WORDS, CALL_WORDS = 6, 12
+#: Share of the longest article's words under which another article is a teaser.
+TEASER = 0.3
 #: Of these, words that a wrapper of the whole page carries too, for its layout.
 _LAYOUT = frozenset("sidebar aside rail banner nav navbar navigation menu toolbar topbar masthead footer overlay modal cookie cookies consent ad ads adv skip".split())
 #: Whole names that mark even an article element as something else.
@@ -60,7 +72,10 @@ _PHRASES = frozenset("p li span a td".split())
 
 
 class Block(NamedTuple):
-    """``kind``: 2 in a heading, 1 in a paragraph, list item or cell, 0 for bare text."""
+    """``kind``: 2 in a heading, 1 in a paragraph, list item or cell, 0 for bare text.
+
+    ``piece``: number of the outermost article around it; ``depth``: elements around it, paragraphs and the like left out.
+    """
 
     text: str
     words: int
@@ -68,6 +83,8 @@ class Block(NamedTuple):
     kind: int
     article: bool
     aside: bool
+    piece: int = 0
+    depth: int = 0
 
 
 def _named(token: str) -> set[str]:
@@ -185,13 +202,14 @@ def _blocks(page: str, wrappers: frozenset[int]) -> tuple[list[Block], set[int]]
     held = _Open()
     article = aside = False
     link, at, skip, kind = False, 0, "", 0
+    piece = pieces_seen = 0
 
     def close():
         if text:
             words = " ".join("".join(text).split())
             if words:
                 n = words.count(" ") + 1
-                out.append(Block(words, n, min(1.0, len("".join(linked).split()) / n), kind, article, aside))
+                out.append(Block(words, n, min(1.0, len("".join(linked).split()) / n), kind, article, aside, piece, len(held.firm)))
             text.clear()
             linked.clear()
 
@@ -251,6 +269,9 @@ def _blocks(page: str, wrappers: frozenset[int]) -> tuple[list[Block], set[int]]
                     around |= held.around()
                 if name in _INLINE and now != aside:
                     close()
+                if body and not article and name not in _INLINE:
+                    pieces_seen += 1
+                    piece = pieces_seen
                 article = article or body and name not in _INLINE
                 aside = now
                 held.push(name, article, aside, tag.start() if layout else None)
@@ -273,6 +294,7 @@ LABELLED = (
     (3, 1.0, 3, 1.0, 2, 1.0, 1, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0, 0), (2, 1.0, 80, 0.0, 3, 1.0, 1, 0, 0, 0, 0), (8, 0.9, 5, 1.0, 60, 0.0, 1, 0, 0, 0, 0),
     (12, 0.7, 9, 0.8, 10, 0.9, 1, 0, 0, 0, 0), (28, 0.8, 60, 0.0, 30, 0.9, 1, 0, 0, 0, 0), (6, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (2, 0.0, 25, 0.0, 0, 0.0, 1, 0, 0, 0, 0),
     (4, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0, 0), (7, 0.1, 5, 1.0, 4, 1.0, 1, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 0), (1, 1.0, 2, 1.0, 9, 0.0, 1, 0, 0, 0, 0),
+    (8, 0.0, 0, 0.0, 10, 0.8, 1, 0, 0, 0, 1), (12, 0.0, 0, 0.0, 25, 0.9, 1, 0, 0, 0, 1),
     # no marks: headings belong to the text below them
     (5, 0.0, 2, 1.0, 60, 0.0, 2, 0, 0, 0, 1), (10, 0.0, 8, 0.0, 45, 0.0, 2, 0, 0, 0, 1), (4, 0.0, 70, 0.0, 50, 0.0, 2, 0, 0, 0, 1), (9, 0.0, 50, 0.0, 2, 0.0, 2, 0, 0, 0, 1),
     (7, 0.0, 0, 0.0, 90, 0.0, 2, 0, 0, 0, 1), (12, 0.0, 9, 0.0, 14, 0.0, 2, 0, 0, 0, 1), (6, 0.0, 1, 1.0, 11, 0.1, 2, 0, 0, 0, 1), (3, 0.0, 25, 0.0, 8, 0.0, 2, 0, 0, 0, 1),
@@ -301,6 +323,18 @@ LABELLED = (
     (16, 0.5, 2, 1.0, 40, 0.0, 1, 0, 0, 1, 0), (4, 0.0, 30, 0.0, 50, 0.0, 2, 0, 0, 1, 0), (2, 0.0, 3, 0.0, 9, 0.0, 1, 0, 0, 1, 0), (70, 0.0, 80, 0.0, 30, 0.0, 0, 0, 0, 1, 0),
 )
 
+#: The same for pages without paragraph tags (fixed values): words and links of a block and its neighbours, 1 for main text.
+UNTAGGED = (
+    (60, 0.0, 40, 0.0, 55, 0.0, 1), (25, 0.0, 70, 0.0, 30, 0.0, 1), (40, 0.1, 3, 1.0, 20, 0.0, 1), (15, 0.0, 0, 0.0, 0, 0.0, 1),
+    (2, 0.0, 33, 0.0, 41, 0.0, 1), (1, 0.0, 60, 0.0, 30, 0.0, 1), (9, 0.0, 25, 0.0, 80, 0.0, 1), (120, 0.02, 60, 0.0, 0, 0.0, 1),
+    (6, 0.0, 7, 0.0, 40, 0.0, 1), (1, 0.0, 2, 0.0, 30, 0.0, 1), (2, 0.0, 40, 0.0, 1, 0.0, 1), (30, 0.0, 0, 0.0, 12, 1.0, 1),
+    (5, 0.0, 90, 0.0, 14, 0.0, 1), (20, 0.0, 2, 0.0, 9, 0.0, 1), (7, 0.0, 60, 0.0, 8, 0.0, 1), (8, 0.0, 9, 0.0, 6, 0.0, 1),
+    (8, 0.0, 1, 1.0, 10, 0.0, 0), (12, 0.0, 2, 1.0, 9, 0.0, 0), (5, 0.0, 3, 1.0, 4, 0.0, 0), (9, 0.0, 60, 0.0, 0, 0.0, 0),
+    (14, 0.0, 3, 0.0, 0, 0.0, 0), (4, 0.0, 30, 0.0, 0, 0.0, 0), (6, 0.0, 80, 0.0, 3, 1.0, 0), (3, 1.0, 3, 1.0, 2, 1.0, 0),
+    (30, 0.9, 60, 0.0, 4, 1.0, 0), (1, 1.0, 60, 0.0, 40, 0.0, 0), (2, 1.0, 40, 0.0, 2, 1.0, 0), (3, 1.0, 60, 0.0, 4, 1.0, 0),
+    (2, 1.0, 2, 1.0, 0, 0.0, 0), (1, 1.0, 1, 1.0, 0, 0.0, 0), (3, 1.0, 0, 0.0, 2, 1.0, 0), (2, 1.0, 1, 1.0, 70, 0.0, 0), (2, 0.0, 1, 1.0, 1, 1.0, 0), (11, 0.1, 90, 0.0, 2, 1.0, 0),
+)
+
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
     """Decision tree by Gini impurity: (feature, threshold, low side, high side) or a class."""
@@ -321,8 +355,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
 
 
 @cache
-def trained_tree():
-    table = np.array(LABELLED, float)
+def trained_tree(tagged: bool = True):
+    table = np.array(LABELLED if tagged else UNTAGGED, float)
     return grow(table[:, :-1], table[:, -1])
 
 
@@ -333,15 +367,50 @@ def _is_main(tree, row) -> bool:
     return bool(tree)
 
 
+#: Words from which a block without a paragraph tag counts as text that lacks one.
+LONG = 25
+
+
+def _tagged(blocks: list[Block]) -> bool:
+    """Whether the page puts its text into paragraph tags: long blocks without one do not outweigh them."""
+    plain = [b for b in blocks if b.links < 0.5 and not b.aside]
+    held = sum(b.words for b in plain if b.kind)
+    return held > 0 and held >= sum(b.words for b in plain if not b.kind and b.words >= LONG)
+
+
+def _without_teasers(blocks: list[Block]) -> list[Block]:
+    """Articles that are short beside the longest count as outside of it."""
+    size: dict[int, int] = {}
+    for b in blocks:
+        if b.article and not b.aside:
+            size[b.piece] = size.get(b.piece, 0) + b.words
+    longest = max(size.values(), default=0)
+    return [b._replace(article=False) if b.article and size.get(b.piece, 0) < TEASER * longest else b for b in blocks]
+
+
+def _without_readers(blocks: list[Block]) -> list[Block]:
+    """What follows a heading of readers' words is something else, up to where its element ends; calls are too."""
+    out, below = [], None
+    for b in blocks:
+        if below is not None and b.depth < below:
+            below = None
+        if below is None and b.words <= READERS_WORDS and b.links < 0.5 and _READERS.match(b.text) and any(o.words > b.words for o in out):
+            below = b.depth
+        called = b.words <= CALL_WORDS and bool(_CALLS.match(b.text))
+        out.append(b._replace(aside=True) if below is not None or called else b)
+    return out
+
+
 def main_text(page: str) -> str:
     """Main blocks of a page in order, joined by single blanks; empty if there are none."""
-    blocks, tree = flat_blocks(page), trained_tree()
+    blocks = _without_readers(_without_teasers(flat_blocks(page)))
     has_article = any(b.article and not b.aside for b in blocks)
-    kept = []
+    tagged = has_article or _tagged(blocks)
+    tree, kept = trained_tree(tagged), []
     edge = Block("", 0, 0.0, 0, False, False)
     for before, own, after in zip([edge, *blocks], blocks, [*blocks[1:], edge]):
-        row = (own.words, own.links, before.words, before.links, after.words, after.links, own.kind, own.article, own.aside, has_article)
-        if _is_main(tree, row):
+        row = (own.words, own.links, before.words, before.links, after.words, after.links)
+        if _is_main(tree, (*row, own.kind, own.article, own.aside, has_article)) if tagged else not own.aside and _is_main(tree, row):
             kept.append(own.text)
     return " ".join(kept)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathom.functions.windows import Series, ratio
 from fathom.operators import clean, joins
 from fathom.operators import labels as L
+from fathom.operators import moments as M
 from fathom.operators import performance as P
 from fathom.operators.frames import hourly_bars, quotes, ticks
 from fathom.plans.model_queries import MATRIX, RESULTS, WIDE, _matrix, _results
@@ -141,12 +142,10 @@ def _grid_sql() -> str:
 @query("i22_walk_forward_grid", _grid_sql())
 def grid(spark, sf_dir) -> DataFrame:
     """Out-of-sample error of every combination of a grid, each over its own folds."""
-    rows, out = _matrix(spark, sf_dir), None
-    for train, every in GRID:
-        made = L.walk_forward(rows, ["symbol"], "ts", ["ret"], "label", train, every, 3).join(rows.select("symbol", "ts", "label"), ["symbol", "ts"]).where("prediction is not null and label is not null")
-        one = made.agg(F.count("*").alias("rows"), F.round(F.avg((F.col("label") - F.col("prediction")) ** 2), 6).alias("error")).select(F.lit(train).alias("train"), F.lit(every).alias("every"), "rows", "error")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = _matrix(spark, sf_dir)
+    made = M.walk_forward_grid(rows, ["symbol"], "ts", ["ret"], "label", GRID, 3)
+    both = made.join(rows.select("symbol", "ts", "label"), ["symbol", "ts"]).where("prediction is not null and label is not null")
+    return both.groupBy("train", "every").agg(F.count("*").alias("rows"), F.round(F.avg((F.col("label") - F.col("prediction")) ** 2), 6).alias("error"))
 
 
 @query(

@@ -10,6 +10,7 @@ from fathom.functions.factors import add_factors
 from fathom.functions.windows import Series, correlation, ratio
 from fathom.operators import boosting as T
 from fathom.operators import labels as L
+from fathom.operators import moments as M
 from fathom.operators import performance as P
 from fathom.operators import scan as X
 from fathom.operators import selection as C
@@ -225,6 +226,19 @@ def walk_forward_ols(spark, sf_dir) -> DataFrame:
     return made.withColumn("prediction", F.round("prediction", 6))
 
 
+@query(
+    "i5_expanding_ols",
+    f"""WITH {BARS}, x AS (SELECT symbol, ts, row_number() OVER {W()} - 1 AS rn, (close + 100) / ({lag('close')} + 100) - 1 AS ret, (lead(close, 3) OVER {W()} + 100) / (close + 100) - 1 AS label FROM bars),
+    t AS (SELECT symbol, max(rn) + 1 AS total FROM x GROUP BY 1), f AS (SELECT symbol, total, unnest(range(200, total, 50)) AS begin FROM t),
+    c AS (SELECT f.symbol, f.begin, any_value(least(f.begin + 50, f.total)) AS fin, regr_slope(label, ret) AS b, regr_intercept(label, ret) AS a FROM f JOIN x ON x.symbol = f.symbol AND x.rn < f.begin - 8 WHERE ret IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2)
+    SELECT x.symbol, x.ts, CAST((c.begin - 200) // 50 AS INT) AS fold, round(a + b * ret, 6) AS prediction FROM x JOIN c ON x.symbol = c.symbol AND x.rn >= c.begin AND x.rn < c.fin""",
+)
+def expanding_ols(spark, sf_dir) -> DataFrame:
+    """Every refit on all rows before it, from running sums of products."""
+    made = M.walk_forward_grid(_matrix(spark, sf_dir), ["symbol"], "ts", ["ret"], "label", [(200, 50)], 3, rolling=False)
+    return rounded(made.select("symbol", "ts", "fold", "prediction"))
+
+
 @query("i11_walk_forward_models")
 def walk_forward_models(spark, sf_dir) -> DataFrame:
     """Every linear model of the dispatcher over the same folds."""

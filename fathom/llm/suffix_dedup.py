@@ -111,13 +111,12 @@ def _dealt_by(text: Text, length: int, gram: int, late: np.ndarray | None) -> np
     return keys[_sliding(np.concatenate([spare, least, spare]), width, False) == keys]
 
 
-def _repeated_windows(raw: list[bytes], counts: list[int], lane: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(segment, first, last + 1) of runs of windows that stand more than once in the segments of one ``lane`` (rising)."""
+def _repeated_windows(raw: list[bytes], counts: list[int], lane: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, first and last + 1 of runs of windows that stand more than once in the segments of one ``lane`` (rising)."""
     copies = np.minimum(counts, 2)
-    parts = [np.frombuffer(r, np.uint8) for r, n in zip(raw, copies.tolist(), strict=True) for _ in range(n)]
     source, own_lane = np.repeat(np.arange(len(raw)), copies), np.repeat(lane, copies)
     closes = np.append(own_lane[1:] != own_lane[:-1], True)
-    size = np.array([len(p) for p in parts])
+    size = np.array([len(r) for r in raw])[source]
     after = np.cumsum(size + 1 + closes)
     end = after - 1 - closes
     begin = end - size
@@ -125,21 +124,22 @@ def _repeated_windows(raw: list[bytes], counts: list[int], lane: np.ndarray, len
     text[end] = 1
     inside = np.ones(len(text), bool)
     inside[end] = inside[after[closes] - 1] = False
-    text[inside] = np.concatenate(parts).astype(np.uint16) + 2
+    text[inside] = np.frombuffer(b"".join([raw[k] for k in source.tolist()]), np.uint8).astype(np.uint16) + 2
     order = suffix_arrays(text, np.append(0, after[closes][:-1]))
     shared = common_prefixes(text, order)[order] >= length
-    again = np.zeros(len(text), bool)
+    again = np.zeros(len(text) + 1, np.int8)
     again[order] = shared
     again[order[:-1]] |= shared[1:]
-    seen = -1
-    for k in range(len(parts)):
-        if source[k] == seen:  # the second copy tells the same
-            continue
-        seen = int(source[k])
-        own = again[begin[k] : end[k] - length + 1]
-        edge = np.flatnonzero(np.diff(own, prepend=False, append=False))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            yield seen, a, b
+    # Only where a window lies in its segment, and in one copy of each: the other tells the same.
+    once = np.append(True, source[1:] != source[:-1])
+    edge = np.zeros(len(text) + 1, np.int8)
+    edge[begin[once]] += 1
+    edge[end[once] - length + 1] -= 1
+    again &= np.cumsum(edge, dtype=np.int8)
+    turn = np.diff(again, prepend=np.int8(0))
+    first, last = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    at = np.searchsorted(begin, first, "right") - 1
+    return source[at], first - begin[at], last - begin[at]
 
 
 #: ``place``: first byte times ``_LONGEST``, plus the length in bytes.
@@ -257,11 +257,18 @@ def _spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
     taken = packed(texts).join(asked, ["id", "name"]).select("size", "packed", "asked")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "digest", "n"]
         for batch in batches:
+            held: list[pa.RecordBatch] = []
+            size = 0
             for i in range(len(batch)):
                 raw, own = unpacked(batch, i), batch.column(2)[i].values
                 at = [raw[p // _LONGEST : p // _LONGEST + p % _LONGEST] for p in own.field("place").to_pylist()]
-                yield pa.RecordBatch.from_arrays([own.field("key"), own.field("digest"), own.field("n"), pa.array(at, pa.binary())], ["key", "digest", "n", "text"])
+                held.append(pa.RecordBatch.from_arrays([*(own.field(c) for c in names), pa.array(at, pa.binary())], [*names, "text"]))
+                size += held[-1].nbytes
+                if size > SHARD or i == len(batch) - 1:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -272,11 +279,11 @@ def _spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
             key, digest, n, text = (table[c].to_pylist() for c in table.column_names)
             own = list({(k, d): i for i, (k, d) in enumerate(zip(key, digest, strict=True))}.values())  # repeated rows bring a segment twice
             lane = np.cumsum([bool(j) and key[i] != key[own[j - 1]] for j, i in enumerate(own)])
-            runs = list(_repeated_windows([text[i] for i in own], [n[i] for i in own], lane, length))
-            if runs:
-                columns = [[key[own[s]] for s, *_ in runs], [digest[own[s]] for s, *_ in runs], [a for _, a, _ in runs], [b + length - 1 for *_, b in runs]]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "digest", "first", "last"])
+            segment, first, last = _repeated_windows([text[i] for i in own], [n[i] for i in own], lane, length)
+            if len(segment):
+                row = pa.array(np.array(own)[segment])
+                columns = [table["key"].combine_chunks().take(row), table["digest"].combine_chunks().take(row), pa.array(first.astype(np.int32)), pa.array((last + length - 1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "first", "last"])
 
         for table in _runs(batches, ["key"]):
             held.append(table)

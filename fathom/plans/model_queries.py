@@ -12,6 +12,7 @@ from fathom.operators import boosting as T
 from fathom.operators import labels as L
 from fathom.operators import moments as M
 from fathom.operators import performance as P
+from fathom.operators import recurrent as G
 from fathom.operators import scan as X
 from fathom.operators import selection as C
 from fathom.operators import shapley as H
@@ -523,6 +524,14 @@ def shapley_selection(spark, sf_dir) -> DataFrame:
     return H.persistent_factors(_matrix(spark, sf_dir), ["symbol"], "ts", ["ret", "rel_vol", "close_position", "delta_z"], "label", how, top=2, must=["ret"])
 
 
+@query("i19_recurrent_walk_forward")
+def recurrent_walk_forward(spark, sf_dir) -> DataFrame:
+    """Gated recurrent networks on the factors that matter most to a first one, refitted along the way."""
+    how = G.Recurrent(length=8, hidden=8, epochs=8, rate=1e-2, patience=3)
+    made = G.walk_forward(_matrix(spark, sf_dir), ["symbol"], "ts", ["ret", "rel_vol", "close_position", "delta_z"], "label", 250, 250, 3, how, 3)
+    return made.withColumn("prediction", F.round("prediction", 6))
+
+
 WIDE = f"""{MATRIX}, full_rows AS (SELECT symbol, ts, ret, close_position - 0.5 AS cp, label FROM x WHERE ret IS NOT NULL AND close_position IS NOT NULL AND label IS NOT NULL)"""
 
 

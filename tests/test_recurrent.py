@@ -45,7 +45,7 @@ def test_learns_what_lies_steps_back_and_stops_early():
 
 def test_walk_forward(spark):
     rng = np.random.default_rng(2)
-    n = 420
+    n = 1100
     x = rng.normal(size=(n, 2))
     y = np.r_[0.0, x[:-1, 0]] + 0.1 * rng.normal(size=n)
     x[50, 1] = np.nan
@@ -53,8 +53,8 @@ def test_walk_forward(spark):
     rows += [("short", r[1], *r[2:]) for r in rows[:80]]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, a double, b double, y double")
     how = G.Recurrent(length=4, hidden=8, epochs=60, batch=16, rate=1e-2, patience=15)
-    found = G.walk_forward(df, ["symbol"], "ts", ["a", "b"], "y", 200, 120, 3, how).toPandas().sort_values("ts")
-    assert len(found) == 220 and sorted(found.fold.unique()) == [0, 1] and found.prediction.notna().all()
-    assert np.corrcoef(found.prediction, y[200:])[0, 1] > 0.8
-    again = G.walk_forward(df, ["symbol"], "ts", ["a", "b"], "y", 200, 120, 3, how).toPandas().sort_values("ts")
+    found = G.walk_forward(df, ["symbol"], "ts", ["a", "b"], "y", 800, 150, 3, how).toPandas().sort_values("ts")
+    assert len(found) == 300 and sorted(found.fold.unique()) == [0, 1] and found.prediction.notna().all()
+    assert np.corrcoef(found.prediction, y[800:])[0, 1] > 0.8
+    again = G.walk_forward(df, ["symbol"], "ts", ["a", "b"], "y", 800, 150, 3, how).toPandas().sort_values("ts")
     assert np.allclose(found.prediction, again.prediction)

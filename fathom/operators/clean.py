@@ -97,6 +97,13 @@ def session_features(ts: str | Column) -> dict[str, Column]:
     return {"is_night": night.cast("int"), "progress": progress, "session_sin": F.sin(F.pi() * progress)}
 
 
+def with_sessions(df: DataFrame, ts: str) -> DataFrame:
+    """``df`` with ``session_features``; where no row has a time of day, is_night and session_sin are 0."""
+    has_time = F.coalesce(F.bool_or(F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts) > 0), F.lit(False))
+    made = df.withColumns(session_features(ts)).crossJoin(F.broadcast(df.agg(has_time.alias("_timed"))))  # one row
+    return made.withColumns({"is_night": F.when(F.col("_timed"), F.col("is_night")).otherwise(0), "session_sin": F.when(F.col("_timed"), F.col("session_sin")).otherwise(0.0)}).drop("_timed")
+
+
 def carried(df: DataFrame, key: str, day: str, order: Sequence[str], x: str) -> DataFrame:
     """``df`` with last (``x`` filled forward), first (of the key), running_mean and mean of ``x`` per key.
 

@@ -20,10 +20,10 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks with three bid and ask levels, their queues and a cumulative day volume."""
+    """Ticks with five bid and ask levels, their queues and a cumulative day volume."""
     base = ticks(spark, sf_dir)
     out = base.withColumn("cum_volume", F.sum("size").over(Series(("symbol", "trading_date"), ("ts", "seq")).so_far))
-    for i in (1, 2, 3):
+    for i in range(1, 6):
         out = out.withColumns({
             f"b{i}": F.floor(F.col("price") / 10) * 10.0 - i,
             f"a{i}": F.ceil(F.col("price") / 10) * 10.0 + i,

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.windows import Series, correlation, ratio
+from fathom.functions.windows import Series, correlation, finite, ratio
 from fathom.operators.scan import ordered_scan, rolling_rank, rolling_spearman
 
 
@@ -70,6 +71,57 @@ def residual(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
     return df.withColumn("residual", F.col(y) - F.coalesce(ratio(F.sum(F.col(y) * F.col(x)).over(w), F.sum(F.col(x) * F.col(x)).over(w)), F.lit(0.0)) * F.col(x))
 
 
+def residual_on(df: DataFrame, keys: Sequence[str], y: str, factors: Sequence[str], least: int = 100) -> DataFrame:
+    """``df`` with y less its no-intercept projection on a set of factors, per key.
+
+    Rows with a missing value have no residual; a key of fewer than ``least`` complete rows keeps
+    y as it is.  One row of sums a key is solved, dependent factors by least squares.
+    """
+    names = [y, *factors]
+    values = {c: finite(c) for c in names}
+    whole = F.forall(F.array(*values.values()), lambda v: v.isNotNull())
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = df.where(whole).groupBy(*keys).agg(F.count("*").alias("_n"), *(F.sum(values[names[i]] * values[names[j]]).alias(f"_s{i}_{j}") for i, j in pairs))
+    schema = ", ".join(f"_k{i} {kind}" for i, (_, kind) in enumerate(df.select(*keys).dtypes)) + ", _beta array<double>"
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.to_dict("records"):
+                full = np.array([[r[f"_s{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))])
+                rows.append((*(r[k] for k in keys), np.linalg.lstsq(full[1:, 1:], full[1:, 0], rcond=None)[0].tolist()))
+            yield pd.DataFrame(rows, columns=[*(f"_k{i}" for i in range(len(keys))), "_beta"])
+
+    beta = sums.where(F.col("_n") >= least).mapInPandas(solve, schema)
+    joined = df.join(beta, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left")
+    fitted = sum((values[f] * F.col("_beta")[k] for k, f in enumerate(factors)), F.lit(0.0))
+    out = F.when(F.col("_beta").isNull(), F.col(y)).when(whole, values[y] - fitted)
+    return joined.withColumn("residual", out).drop("_beta", *(f"_k{i}" for i in range(len(keys))))
+
+
+def cluster_picks(scores: Mapping[str, float], clusters: Mapping[str, int], most: int, least: float = 0.0) -> list[tuple[int, int, str, float, str]]:
+    """(cluster, size, top factor, its score, candidates) of clusters whose best factor reaches ``least``.
+
+    Candidates are the ``most`` best factors of a cluster, joined by " | "; ties go by name.
+    """
+    out = []
+    for c in sorted(set(clusters.values())):
+        members = sorted((f for f in clusters if clusters[f] == c), key=lambda f: (-scores[f], f))
+        if scores[members[0]] >= least:
+            out.append((c, len(members), members[0], float(scores[members[0]]), " | ".join(members[:most])))
+    return out
+
+
+def medoids(distance: np.ndarray, clusters: Sequence[int]) -> list[tuple[int, int, int]]:
+    """(cluster, size, medoid): the member nearest to all others of its cluster on average, the first of equals."""
+    out = []
+    for c in sorted(set(clusters)):
+        members = np.flatnonzero(np.array(clusters) == c)
+        inner = distance[np.ix_(members, members)].mean(1)
+        out.append((int(c), len(members), int(members[int(np.argmin(np.round(inner, 12)))])))
+    return out
+
+
 def linkage_clusters(distance: np.ndarray, count: int = 0, height: float = 0.0, method: str = "ward") -> list[int]:
     """Hierarchical clusters of at most a few hundred factors, cut by count or height.
 

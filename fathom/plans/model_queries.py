@@ -351,6 +351,48 @@ def residual_factor(spark, sf_dir) -> DataFrame:
     return rounded(C.residual(rows, ["symbol"], "ret", "c").select("symbol", "ts", "residual"))
 
 
+@query(
+    "j5_residual_on_set",
+    f"""WITH {MATRIX}, k AS (SELECT symbol, ts, ret AS y, close_position - 0.5 AS a, rel_vol AS b, ret IS NOT NULL AND close_position IS NOT NULL AND rel_vol IS NOT NULL AS whole FROM x),
+    s AS (SELECT symbol, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS by_ FROM k WHERE whole GROUP BY symbol HAVING count(*) >= 100)
+    SELECT k.symbol, ts, round(CASE WHEN aa IS NULL THEN y WHEN whole THEN y - (ay * bb - by_ * ab) / (aa * bb - ab * ab) * a - (by_ * aa - ay * ab) / (aa * bb - ab * ab) * b END, 6) AS residual FROM k LEFT JOIN s ON k.symbol = s.symbol""",
+)
+def residual_on_set(spark, sf_dir) -> DataFrame:
+    """A factor less its projection on a set of factors, symbols of under 100 complete rows as they are."""
+    rows = _matrix(spark, sf_dir).withColumn("a", F.col("close_position") - 0.5)
+    return rounded(C.residual_on(rows, ["symbol"], "ret", ["a", "rel_vol"]).select("symbol", "ts", "residual"))
+
+
+@query("j12_cluster_picks")
+def cluster_picks(spark, sf_dir) -> DataFrame:
+    """Average-linkage clusters of the factor columns with their medoids and best candidates, weak ones dropped."""
+    columns = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    pairs = C.column_correlations(columns, "embedding").collect()
+    n = 1 + max((p.b for p in pairs), default=0)
+    distance = np.zeros((n, n))
+    for p in pairs:
+        distance[p.a, p.b] = distance[p.b, p.a] = 1 - abs(p["corr"] or 0.0)
+    own = C.linkage_clusters(distance, 12, method="average")
+    each = columns.select(F.posexplode("embedding").alias("k", "v"), F.col("label").cast("double").alias("label")).groupBy("k").agg(F.abs(correlation("v", "label")).alias("c"))
+    scores = {str(r.k): round(r.c or 0.0, 9) for r in each.collect()}  # one row a column
+    middle = {c: m for c, _, m in C.medoids(distance, own)}
+    picked = C.cluster_picks(scores, {str(k): c for k, c in enumerate(own)}, 3, 0.02)
+    return rounded(spark.createDataFrame([(*row, middle[row[0]]) for row in picked], "cluster int, size int, top_factor string, best double, candidates string, medoid int"))
+
+
+@query(
+    "j19_strategy_correlations",
+    f"""WITH {RESULTS}, d AS (SELECT symbol, CAST(ts AS DATE) AS date, sum(strategy_return) AS r FROM rr GROUP BY 1, 2),
+    c AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.r, b.r) AS c FROM d a JOIN d b ON a.date = b.date AND a.symbol < b.symbol GROUP BY 1, 2)
+    SELECT a, b, round(CASE WHEN isnan(c) THEN NULL ELSE c END, 6) AS corr FROM c""",
+)
+def strategy_correlations(spark, sf_dir) -> DataFrame:
+    """Correlation of the daily returns of strategies, pair by pair, over the days both have."""
+    days = _results(spark, sf_dir).groupBy("symbol", F.to_date("ts").alias("date")).agg(F.sum("strategy_return").alias("r"))
+    a, b = (days.select(F.col("symbol").alias(s), "date", F.col("r").alias(f"r_{s}")) for s in "ab")
+    return rounded(a.join(b, "date").where("a < b").groupBy("a", "b").agg(correlation("r_a", "r_b").alias("corr")))
+
+
 @query(
     "j13_target_correlation",
     f"WITH {MATRIX}, l AS (UNPIVOT (SELECT symbol, label, {', '.join(FACTOR_NAMES)} FROM x) ON {', '.join(FACTOR_NAMES)} INTO NAME factor VALUE value), c AS (SELECT factor, corr(value, label) AS c FROM l GROUP BY 1) SELECT factor, round(c, 6) AS corr, coalesce(abs(c) >= 0.01, true) AS kept FROM c",
@@ -546,6 +588,21 @@ def stacking(spark, sf_dir) -> DataFrame:
     return rows.select("symbol", "ts", F.round(F.col("ret") * weights[0] + F.col("cp") * weights[1], 6).alias("stacked"))
 
 
+@query(
+    "i21_stacking_split",
+    f"""WITH {WIDE}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS total FROM full_rows), i AS (SELECT * FROM n WHERE k < floor(total * 0.7::DOUBLE)),
+    g AS (SELECT sum(ret * ret) + 1e-5 AS a, sum(ret * cp) AS b, sum(cp * cp) + 1e-5 AS d, sum(ret * label) AS p, sum(cp * label) AS q FROM i)
+    SELECT n.symbol, n.ts, k < floor(total * 0.7::DOUBLE) AS fitted, round((d * p - b * q) / (a * d - b * b) * ret + (a * q - b * p) / (a * d - b * b) * cp, 6) AS stacked FROM n, g""",
+)
+def stacking_split(spark, sf_dir) -> DataFrame:
+    """Weights from the first 70 percent of each series, applied to all of it."""
+    rows = _matrix(spark, sf_dir).withColumn("cp", F.col("close_position") - 0.5).dropna(subset=["ret", "cp", "label"])
+    place = Window.partitionBy("symbol").orderBy("ts")
+    rows = rows.withColumn("fitted", F.row_number().over(place) - 1 < F.floor(F.count("*").over(Window.partitionBy("symbol")) * 0.7))
+    weights = C.stacking_weights(rows.where("fitted"), ["ret", "cp"], "label")
+    return rows.select("symbol", "ts", "fitted", F.round(F.col("ret") * weights[0] + F.col("cp") * weights[1], 6).alias("stacked"))
+
+
 @query("j10_icir_composite")
 def icir_composite(spark, sf_dir) -> DataFrame:
     """Weights from the ICIR of trailing segments, held until the next refresh."""

@@ -36,7 +36,7 @@ QUOTES = (
     + """, quotes AS (
   SELECT *, sum(size) OVER (PARTITION BY symbol, trading_date ORDER BY ts, seq) AS cum_volume,
     """
-    + ", ".join(f"floor(price / 10) * 10.0 - {i} AS b{i}, ceil(price / 10) * 10.0 + {i} AS a{i}, (seq * {7 + i}) % 50 AS b{i}_v, (seq * {11 + i}) % 50 AS a{i}_v" for i in (1, 2, 3))
+    + ", ".join(f"floor(price / 10) * 10.0 - {i} AS b{i}, ceil(price / 10) * 10.0 + {i} AS a{i}, (seq * {7 + i}) % 50 AS b{i}_v, (seq * {11 + i}) % 50 AS a{i}_v" for i in range(1, 6))
     + """ FROM ticks
 )"""
 )

@@ -97,6 +97,23 @@ def sessions(spark, sf_dir) -> DataFrame:
     return rounded(df.select("event_id", "is_night", "progress", "session_sin"))
 
 
+@query(
+    "b17_days_without_times",
+    """WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS ts, CASE WHEN o_orderkey % 2 = 0 THEN 'days' ELSE 'times' END AS kind FROM orders),
+    u AS (SELECT o_orderkey, kind, CASE WHEN kind = 'times' THEN ts + INTERVAL (o_orderkey % 1440) MINUTE ELSE ts END AS ts FROM t),
+    m AS (SELECT *, extract(hour FROM ts) * 60 + extract(minute FROM ts) AS m, bool_or(extract(hour FROM ts) * 60 + extract(minute FROM ts) > 0) OVER (PARTITION BY kind) AS timed FROM u)
+    SELECT o_orderkey, CASE WHEN timed AND m >= 1260 AND m < 1380 THEN 1 ELSE 0 END AS is_night,
+      CASE WHEN NOT timed THEN 0 ELSE round(sin(pi() * CASE WHEN m >= 1260 AND m < 1380 THEN (m - 1260) / 120.0 WHEN m >= 540 AND m <= 900 THEN (m - 540) / 360.0 ELSE 0.5 END), 6) END AS session_sin FROM m""",
+)
+def midnights(spark, sf_dir) -> DataFrame:
+    """Tables whose times are all midnight have no sessions."""
+    minutes = F.expr("make_dt_interval(0, 0, cast(o_orderkey % 1440 as int), 0)")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("ts"))
+    days, times = orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1").withColumn("ts", F.col("ts") + minutes)
+    both = clean.with_sessions(days, "ts").unionByName(clean.with_sessions(times, "ts"))
+    return rounded(both.select("o_orderkey", "is_night", "session_sin"))
+
+
 @query(
     "b20_lags_and_deltas",
     f"""WITH {BARS}, l AS (SELECT symbol, ts, close, row_number() OVER {W()} - 1 AS rn, {lag('close', 1)} AS close_1, {lag('close', 2)} AS close_2,
@@ -276,6 +293,20 @@ def depth_flow(spark, sf_dir) -> DataFrame:
     return made.select("symbol", "bar", F.round("delta", 4).alias("delta"), F.round("ofi", 6).alias("ofi"), F.round("bvwap_pv", 4).alias("bvwap_pv"), "bvwap_v")
 
 
+@query(
+    "d4_five_level_pressure",
+    f"""WITH {QUOTES}, r AS (SELECT *, {', '.join(map(_raw, range(1, 6)))} FROM quotes), x AS (SELECT *, t1 + t2 + t3 + t4 + t5 AS b, s1 + s2 + s3 + s4 + s5 AS s FROM r)
+    SELECT symbol, date_trunc('hour', ts) AS bar, {', '.join(f"CAST(sum(t{i}) AS BIGINT) AS buy_{i}, CAST(sum(s{i}) AS BIGINT) AS sell_{i}" for i in range(1, 6))},
+      round(sum(CASE WHEN b + s > 0 THEN size * (b - s) / (b + s)::DOUBLE ELSE 0 END), 4) AS delta FROM x GROUP BY 1, 2""",
+)
+def five_levels(spark, sf_dir) -> DataFrame:
+    """Queue pressure of all five levels, each by itself and allocated together."""
+    levels = range(1, 6)
+    df = B.allocate(B.pressure(B.increments(quotes(spark, sf_dir)), levels), levels)
+    sides = [F.sum(f"{side}_raw_{i}").cast("long").alias(f"{side}_{i}") for i in levels for side in ("buy", "sell")]
+    return df.groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bar")).agg(*sides, F.round(F.sum("delta"), 4).alias("delta"))
+
+
 @query(
     "d7_opening_direction",
     f"""WITH {QUOTES}, f AS (SELECT *, row_number() OVER (PARTITION BY symbol, trading_date ORDER BY ts, seq) AS k FROM quotes)

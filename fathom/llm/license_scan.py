@@ -6,7 +6,7 @@ with one sparse weight per gram and family is trained, here, on the templates be
 by dropping, doubling and swapping words, against paragraphs of ordinary prose and of legal
 words that grant nothing.  The unknown class is calibrated on texts held out of the fit with
 all their variants: a family counts only if its probability reaches a level that at most 2 %
-of unknown paragraphs reach there.  A prediction stands only if enough of the grams of one of
+of unknown paragraphs reach there and are confirmed.  A prediction stands only if enough of the grams of one of
 the family's templates are there.
 
 Scoring is DataFrame work: grams are joined to the weight table, which is as large as the
@@ -39,31 +39,61 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
+        "This project is MIT licensed.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
         "SPDX-License-Identifier: MIT",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Licensed under the BSD License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the GNU General Public License, version 3 or later.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "Licensed under the GPLv2 or later.",
+        "This software is licensed under the GPLv3.",
+        "Licensed under GPLv2.",
+    ),
+    "agpl": (
+        "This server is licensed under the GNU Affero General Public License, version 3.",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "Licensed under the GNU Affero General Public License.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
     ),
+    "boost": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "cc0": ("This work is dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    "cc0": ("This work is dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "SPDX-License-Identifier: CC0-1.0"),
     "proprietary": ("All rights reserved.", "Copyright 2020 the author. All rights reserved.", "This document is confidential and may not be reproduced without written permission."),
 }
 #: Paragraphs that are no notice (fixed values): legal words that grant nothing, and prose.
@@ -76,6 +106,14 @@ OTHERS = (
     "free of charge to any person in the domain", "the terms as published by the newspaper", "The software is free and the copy is here.",
     "This work is about the history of trade.", "This document describes the weather of the north.", "All of the above.", "Reserved seats are in the front row.",
     "in the and of with for to a is that it on as by at from", "to the extent possible the author has written this by hand", "for all and by any version",
+    # notices talked about, not given
+    "Lawyers discuss what the Apache License, version 2.0, means for companies.", "Ask for permission first, the Apache License version 2.0 is what people argue about.",
+    "The article compares the MIT License with the BSD License and others.", "Is the GNU General Public License viral, readers ask in their letters.",
+    "A court looked at the GNU Lesser General Public License for the first time.", "Wikipedia explains Creative Commons Attribution in a long article.",
+    "What the Mozilla Public License asks of a vendor is told below.", "The Eclipse Public License was written by a committee in 2004.",
+    "Students read the Boost Software License and the ISC License in class.", "The history of the GNU Affero General Public License begins with hosted services.",
+    "all rights reserved for the poor", "all rights reserved for members of the club", "They had all rights reserved for the eldest son.", "Whether all rights are reserved is a question for a judge.", "The public domain is what remains when copyright has run out.",
+    "Her speech on free software was released into a wide public debate.", "An SPDX identifier names a license in one line of a file.", "Some say the GPLv2 is older than the web itself.",
 )
 GRAM = 3
 CONFIRM = 0.6
@@ -127,14 +165,18 @@ def _vary(text: str, rng: random.Random) -> str:
     return " ".join(words)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 8.0, shrink: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax regression by gradient descent: weights by gram and class, bias by class."""
-    weights, bias = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 2000, rate: float = 8.0, shrink: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression by gradient descent: weights by gram and class, bias by class.
+
+    Weights stay sums of rows, so the steps are taken on the rows' shares in them: there are
+    fewer rows than grams.
+    """
+    alike, share, bias = x @ x.T, np.zeros(y.shape), np.zeros(y.shape[1])
     for _ in range(rounds):
-        back = (_softmax(x @ weights + bias) - y) / len(x)
-        weights -= rate * (x.T @ back + shrink * weights)
+        back = (_softmax(alike @ share + bias) - y) / len(x)
+        share -= rate * (back + shrink * share)
         bias -= rate * back.sum(0)
-    return weights, bias
+    return x.T @ share, bias
 
 
 def _softmax(score: np.ndarray) -> np.ndarray:
@@ -145,8 +187,9 @@ def _softmax(score: np.ndarray) -> np.ndarray:
 class Model(NamedTuple):
     """Weights by gram and class (families, then unknown), bias by class, and the calibration.
 
-    ``level``: least probability of a known family; ``false_rate`` and ``recall``: shares of
-    unknown paragraphs and of varied notices, all held out of the fit, that reach it.
+    ``level``: least probability of a known family; ``false_rate``: share of unknown paragraphs
+    that reach it and are confirmed; ``recall``: share of varied notices that reach it; all are
+    held out of the fit.
     """
 
     weights: dict[str, list[float]]
@@ -162,8 +205,8 @@ def train(seed: int = 3, copies: int = 12, folds: int = 6, allowed: float = 0.02
 
     Other paragraphs are dealt to folds with all their variants, notices by variant.  Each fold
     is scored by a model fitted without it; the level is the probability of a known family
-    that at most ``allowed`` of the unknown paragraphs so held out reach, and one half at
-    least.  The model returned is fitted on all texts.
+    that at most ``allowed`` of the unknown paragraphs so held out reach with enough of one of its
+    templates, and one half at least.  The model returned is fitted on all texts.
     """
     rng = random.Random(seed)
     texts = [(t, f) for f, ts in TEMPLATES.items() for t in ts] + [(t, "unknown") for t in OTHERS]
@@ -184,9 +227,12 @@ def train(seed: int = 3, copies: int = 12, folds: int = 6, allowed: float = 0.02
         norm = np.linalg.norm(seen, axis=1, keepdims=True)
         held[fold == k] = _softmax(np.divide(seen, norm, out=seen, where=norm > 0) @ weights + bias)
     other = at == len(names) - 1
-    top = held[:, :-1].max(1)
+    shapes = {f: [grams(t) for t in ts] for f, ts in TEMPLATES.items()}
+    best = held[:, :-1].argmax(1)
+    confirmed = np.array([max(len(gs & t) / len(t) for t in shapes[names[b]]) >= CONFIRM for (gs, _, _), b in zip(rows, best.tolist(), strict=True)])
+    top = np.where(confirmed, held[:, :-1].max(1), 0.0)
     level = max(0.5, float(np.quantile(top[other], 1 - allowed)))
-    right = (held[:, :-1].argmax(1) == at) & (top >= level)
+    right = (best == at) & (held[:, :-1].max(1) >= level)
     weights, bias = _fit(x, y)
     return Model(dict(zip(known, weights.tolist(), strict=True)), bias.tolist(), level, float((top[other] > level).mean()), float(right[~other].mean()))
 

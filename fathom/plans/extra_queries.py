@@ -145,7 +145,9 @@ def grid(spark, sf_dir) -> DataFrame:
     rows = _matrix(spark, sf_dir)
     made = M.walk_forward_grid(rows, ["symbol"], "ts", ["ret"], "label", GRID, 3)
     both = made.join(rows.select("symbol", "ts", "label"), ["symbol", "ts"]).where("prediction is not null and label is not null")
-    return both.groupBy("train", "every").agg(F.count("*").alias("rows"), F.round(F.avg((F.col("label") - F.col("prediction")) ** 2), 6).alias("error"))
+    errors = both.groupBy("train", "every").agg(F.count("*").alias("rows"), F.round(F.avg((F.col("label") - F.col("prediction")) ** 2), 6).alias("error"))
+    every = spark.createDataFrame(list(GRID), "train int, every int")
+    return every.join(errors, ["train", "every"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
 
 
 @query(

@@ -417,12 +417,12 @@ def test_residual_on_a_set_and_cluster_picks(spark):
     y = x @ [1.0, -2.0] + rng.normal(size=260)
     rows = [("s" if i < 200 else "few", i, float(a), None if i % 50 == 7 else float(b), float(t)) for i, ((a, b), t) in enumerate(zip(x, y, strict=True))]
     df = spark.createDataFrame(rows, "symbol string, i int, a double, b double, y double").withColumn("twin", F.col("a") * 2)
-    found = {r.i: r.residual for r in selection.residual_on(df, ["symbol"], "y", ["a", "b", "twin"]).collect()}
+    found = {r.i: r.residual for r in C.residual_on(df, ["symbol"], "y", ["a", "b", "twin"]).collect()}
     own = np.array([i < 200 and i % 50 != 7 for i in range(260)])
     beta = np.linalg.lstsq(x[own], y[own], rcond=None)[0]
     for i in range(260):
         want = y[i] if i >= 200 else None if i % 50 == 7 else y[i] - x[i] @ beta
         assert (found[i] is None) == (want is None) and (want is None or abs(found[i] - want) < 1e-8)
-    assert selection.cluster_picks({"a": 0.5, "b": 0.9, "c": 0.01, "d": 0.9}, {"a": 0, "b": 0, "c": 1, "d": 0}, 2, 0.1) == [(0, 3, "b", 0.9, "b | d")]
+    assert C.cluster_picks({"a": 0.5, "b": 0.9, "c": 0.01, "d": 0.9}, {"a": 0, "b": 0, "c": 1, "d": 0}, 2, 0.1) == [(0, 3, "b", 0.9, "b | d")]
     distance = np.array([[0, 0.1, 0.2, 0.9], [0.1, 0, 0.1, 0.9], [0.2, 0.1, 0, 0.9], [0.9, 0.9, 0.9, 0]])
-    assert selection.medoids(distance, [0, 0, 0, 1]) == [(0, 3, 1), (1, 1, 3)]
+    assert C.medoids(distance, [0, 0, 0, 1]) == [(0, 3, 1), (1, 1, 3)]

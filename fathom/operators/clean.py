@@ -143,13 +143,12 @@ def carried_value(df: DataFrame, by: Sequence[str], day: str, order: Sequence[st
     there = F.when(F.col(x).isNotNull(), F.struct(*order))
     days = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate((*by, day)))).agg((F.min_by if ahead else F.max_by)(x, there).alias("_edge"))
     keys = [f"_k{i}" for i in range(len(by) + 1)]
-    others, own = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]), Window.partitionBy(*by, day).orderBy(*order)
-    if ahead:
-        others, own, pick = others.rowsBetween(1, Window.unboundedFollowing), own.rowsBetween(int(strict), Window.unboundedFollowing), F.first
-    else:
-        others, own, pick = others.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, -int(strict)), F.last
-    days = days.select(*keys, pick("_edge", True).over(others).alias("_carry"))
+    # To look ahead is to go backwards: a frame that grows is added to row by row, one that shrinks is summed anew for each.
+    turned = (lambda c: F.col(c).desc_nulls_last()) if ahead else F.col
+    others, own = Window.partitionBy(*keys[:-1]).orderBy(turned(keys[-1])), Window.partitionBy(*by, day).orderBy(*(turned(c) for c in order))
+    others, own = others.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, -int(strict))
+    days = days.select(*keys, F.last("_edge", True).over(others).alias("_carry"))
     same = F.lit(True)
     for k, name in zip(keys, (*by, day), strict=True):
         same = same & F.col(name).eqNullSafe(F.col(k))
-    return df.withColumn(into, pick(x, True).over(own)).join(days, same).withColumn(into, F.coalesce(into, "_carry")).drop("_carry", *keys)
+    return df.withColumn(into, F.last(x, True).over(own)).join(days, same).withColumn(into, F.coalesce(into, "_carry")).drop("_carry", *keys)

@@ -411,6 +411,18 @@ def test_carried_values_cross_days(spark):
                 assert found[r[2]] == next((o[3] for o in there if o[0] == r[0] and o[3] is not None), None)
 
 
+def test_looking_ahead_takes_frames_that_grow(spark, sf_dir):
+    """Spark sums up a frame that shrinks anew for each row, so a day of many ticks would cost their square."""
+    from fathom import catalog
+
+    rows = spark.createDataFrame([(i, i if i % 3 == 1 else None) for i in range(8)], "k int, x int").withColumn("symbol", F.lit("a"))
+    filled = rows.withColumn("y", Series(("symbol",), ("k",)).bfill("x"))
+    assert [r.y for r in filled.orderBy("k").collect()] == [1, 1, 4, 4, 4, 7, 7, 7]
+    for made in (filled, catalog.QUERIES["c6_irregular_intervals"](spark, sf_dir)):
+        frames = [line for line in made._jdf.queryExecution().executedPlan().toString().splitlines() if "windowframe" in line]
+        assert frames and not [f for f in frames if "currentrow$(), unboundedfollowing$()" in f or "1, unboundedfollowing$()" in f]
+
+
 def test_residual_on_a_set_and_cluster_picks(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(260, 2))

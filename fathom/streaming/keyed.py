@@ -3,7 +3,8 @@
 A symbol's ticks arrive in any order.  They wait in cells of time, and a cell is worked on when
 its event-time timer fires, that is once the watermark has passed its end: its ticks are put in
 order and go through ``TickState``, which is a few numbers.  Input is taken in by parts, and what
-is in memory at once is one part or one cell, never all ticks of a symbol.
+is in memory at once is ``HELD`` ticks or one cell, never all ticks of a symbol.  A cell is stored in
+parts that are only written and read once, so that taking in a tick costs the same however many wait.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import astuple, dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "symbol string, seq long, change double, ema double, position double, vpin double"
 STATE = "last double, mean double, position double, filled double, bought double, shares array<double>"
-CELL = "ts array<long>, seq array<long>, price array<double>, size array<double>"
+TICK = np.dtype([("ts", "<i8"), ("seq", "<i8"), ("price", "<f8"), ("size", "<f8")])
+#: Ticks that a task takes in before it stores them by cell.
+HELD = 500_000
 
 
 @dataclass
@@ -46,6 +50,10 @@ class TickState:
             self.position = 1.0 if price > self.mean else -1.0
         left, buying = size, change is None or change >= 0
         while left > 0:
+            if not self.filled and left >= volume:  # whole buckets, all bought or all sold
+                whole, left = divmod(left, volume)
+                self.shares = [*self.shares, *[1.0] * int(min(whole, buckets))][-buckets:]
+                continue
             part = min(left, volume - self.filled)
             self.filled += part
             self.bought += part if buying else 0.0
@@ -64,33 +72,57 @@ class TickProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.past = handle.getValueState("past", STATE)
-        self.cells = handle.getMapState("cells", "cell long", CELL)
+        self.cells = handle.getMapState("cells", "cell long, part long", "ticks binary")
+        self.parts = handle.getMapState("parts", "cell long", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = set(self.handle.listTimers())
+        due, stored = set(self.handle.listTimers()), {}
+        held: list[np.ndarray] = []
         for part in rows:
-            micros = part.ts.astype("int64") // (1000 if part.ts.dt.unit == "ns" else 1)
-            for cell, own in part.assign(ts=micros).groupby(micros // (1000 * self.cell_ms)):
-                held = self.cells.getValue((int(cell),)) if self.cells.containsKey((int(cell),)) else ((),) * 4
-                fresh = (own.ts, own.seq, own.price, own["size"])
-                self.cells.updateValue((int(cell),), tuple([*a, *b.tolist()] for a, b in zip(held, fresh, strict=True)))
-                end = (int(cell) + 1) * self.cell_ms
-                if end not in due:
-                    self.handle.registerTimer(end)
-                    due.add(end)
+            ticks = np.empty(len(part), TICK)
+            ticks["ts"] = part.ts.astype("int64") // (1000 if part.ts.dt.unit == "ns" else 1)
+            ticks["seq"], ticks["price"], ticks["size"] = part.seq.astype("int64"), part.price, part["size"]
+            held.append(ticks)
+            if sum(map(len, held)) >= HELD:
+                self._store(np.concatenate(held), due, stored)
+                held = []
+        if held:
+            self._store(np.concatenate(held), due, stored)
         yield from ()
 
+    def _store(self, ticks: np.ndarray, due: set[int], stored: dict[int, int]) -> None:
+        """Another part of every cell that ``ticks`` fall into, and a timer for each new one."""
+        cells = ticks["ts"] // (1000 * self.cell_ms)
+        order = np.argsort(cells, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+            cell = int(cells[own[0]])
+            if cell not in stored:
+                stored[cell] = self.parts.getValue((cell,))[0] if self.parts.containsKey((cell,)) else 0
+            self.cells.updateValue((cell, stored[cell]), (ticks[own].tobytes(),))
+            stored[cell] += 1
+            self.parts.updateValue((cell,), (stored[cell],))
+            end = (cell + 1) * self.cell_ms
+            if end not in due:
+                self.handle.registerTimer(end)
+                due.add(end)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Work on the cells that have ended, in their order."""
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        for (cell,) in sorted(c for c in self.cells.keys() if (c[0] + 1) * self.cell_ms <= end):
-            ticks = sorted(zip(*self.cells.getValue((cell,)), strict=True))
-            self.cells.removeKey((cell,))
-            past = self.past.get() if self.past.exists() else None
-            state = TickState(*past[:5], list(past[5])) if past is not None else TickState()
-            made = [(key[0], seq, *state.step(price, size, *self.how)) for _, seq, price, size in ticks]
-            self.past.update(astuple(state))
-            yield pd.DataFrame(made, columns=[c.split()[0] for c in OUT.split(", ")]).astype({c: float for c in ("change", "vpin")})
+        """Work on the cell that has ended; each has its own timer, and timers expire in order of time."""
+        cell = expiredTimerInfo.getExpiryTimeInMs() // self.cell_ms - 1
+        numbers = range(self.parts.getValue((cell,))[0])
+        ticks = np.concatenate([np.frombuffer(self.cells.getValue((cell, k))[0], TICK) for k in numbers])
+        for k in numbers:
+            self.cells.removeKey((cell, k))
+        self.parts.removeKey((cell,))
+        ticks = ticks[np.lexsort((ticks["size"], ticks["price"], ticks["seq"], ticks["ts"]))]
+        past = self.past.get() if self.past.exists() else None
+        state = TickState(*past[:5], list(past[5])) if past is not None else TickState()
+        made = [state.step(price, size, *self.how) for price, size in zip(ticks["price"].tolist(), ticks["size"].tolist(), strict=True)]
+        self.past.update(astuple(state))
+        out = pd.DataFrame(made, columns=["change", "ema", "position", "vpin"], dtype=float)
+        out.insert(0, "symbol", key[0])
+        out.insert(1, "seq", ticks["seq"])
+        yield out
 
 
 def keyed_ticks(ticks: DataFrame, alpha: float = 0.1, band: float = 5.0, volume: float = 500.0, buckets: int = 5, cell_minutes: int = 60, late: str = "10 minutes") -> DataFrame:

@@ -1,5 +1,8 @@
 import os
+import pickle
+from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +75,53 @@ def test_calendar_rows_added_between_batches_take_effect(spark, timely, tmp_path
     both = bars.with_calendar(stream, calendar, out)
     n = {r.period: r.n for r in both.groupBy("period").agg(F.count("*").alias("n")).collect()}
     assert n == {"p0": len(rows) // 6, "p4": 5 * len(rows) // 6 - 4 * len(rows) // 6}
+
+
+class Kept(dict):
+    """A map state in memory that counts the bytes written to it."""
+
+    written = 0
+
+    def updateValue(self, key, value):  # noqa: N802
+        Kept.written += len(pickle.dumps(value))
+        self[key] = value
+
+    getValue, containsKey, removeKey = dict.get, dict.__contains__, dict.pop  # noqa: N815
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.value = [], None
+
+    def getMapState(self, *_):  # noqa: N802
+        return Kept()
+
+    def getValueState(self, *_):  # noqa: N802
+        return SimpleNamespace(exists=lambda: self.value is not None, get=lambda: self.value, update=lambda v: setattr(self, "value", v))
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def registerTimer(self, end):  # noqa: N802
+        self.timers.append(end)
+
+
+def test_taking_in_a_part_does_not_write_the_waiting_ticks_again(monkeypatch):
+    monkeypatch.setattr(keyed, "HELD", 100, raising=False)
+    rng, n = np.random.default_rng(5), 20_000
+    ticks = pd.DataFrame({"ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.permutation(n), "s"), "seq": np.arange(n), "price": rng.integers(0, 90, n) / 4, "size": rng.integers(0, 5000, n) * 1.0})
+    how, handle = {"alpha": 0.2, "band": 5.0, "volume": 300.0, "buckets": 3}, Handle()
+    processor = keyed.TickProcessor(*how.values(), 3_600_000)
+    processor.init(handle)
+    Kept.written = 0
+    assert not list(processor.handleInputRows(("a",), (ticks.iloc[k : k + 50] for k in range(0, n, 50)), None))
+    assert Kept.written < 100 * n
+    out = pd.concat(f for end in sorted(handle.timers) for f in processor.handleExpiredTimer(("a",), None, SimpleNamespace(getExpiryTimeInMs=lambda e=end: e)))
+    ordered = ticks.sort_values("ts")
+    want = pd.DataFrame(keyed.batch_ticks([("a", *r) for r in zip(ordered.seq, ordered.price, ordered["size"], strict=True)], **how), columns=out.columns)
+    pd.testing.assert_frame_equal(out.reset_index(drop=True), want, check_dtype=False)
+
+
+def test_a_tick_of_many_buckets_is_poured_at_once():
+    state = keyed.TickState()
+    assert [state.step(price, size, 0.1, 5.0, 10.0, 3)[-1] for price, size in ((1.0, 4.0), (0.5, 1e12), (2.0, 7.0))] == [None, 1.0, pytest.approx((1 + 1 + 0.2) / 3)]

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.windows import Series, col, ratio
+from fathom.functions.windows import Series, col, log_ratio, ratio
 
 EPS = 1e-8
 
@@ -126,8 +126,8 @@ factor("volume", "vwap_slope", "day_vwap rn", lambda s: s.slope("day_vwap", 5))
 # volatility and distribution
 factor("volatility", "volatility", "ret", lambda s: s.std("ret", 20))
 factor("volatility", "realized_vol", "lret", lambda s: s.std("lret", 20))
-factor("volatility", "intraday_vol", "high low", lambda s: F.ln(ratio(h(), lo())))
-factor("volatility", "overnight_vol", "open close", lambda s: F.ln(ratio(o(), s.lag("close"))))
+factor("volatility", "intraday_vol", "high low", lambda s: log_ratio(h(), lo()))
+factor("volatility", "overnight_vol", "open close", lambda s: log_ratio(o(), s.lag("close")))
 factor("volatility", "tr", "high low close", lambda s: F.greatest(h() - lo(), F.abs(h() - s.lag("close")), F.abs(lo() - s.lag("close"))))
 factor("volatility", "atr_sma14", "tr", lambda s: s.mean("tr", 14))
 factor("volatility", "hl2", "intraday_vol", lambda s: F.col("intraday_vol") * F.col("intraday_vol"))
@@ -155,9 +155,16 @@ factor("volatility", "sharpe20", "lret", lambda s: ratio(s.mean("lret", 20), s.s
 factor("volatility", "up_change", "close", lambda s: F.greatest(s.diff("close"), F.when(s.lag("close").isNotNull(), 0.0)))
 factor("volatility", "down_change", "close", lambda s: F.least(s.diff("close"), F.when(s.lag("close").isNotNull(), 0.0)))
 factor("volatility", "rvi14", "up_change down_change", lambda s: ratio(s.std("up_change", 14) - s.std("down_change", 14), s.std("up_change", 14) + s.std("down_change", 14)))
-factor("volatility", "kyle_lambda", "lret ofi", lambda s: ratio(s.both(F.covar_samp, "lret", "ofi", 20), s.roll(F.var_samp, "ofi", 20)))
+
+
+def _covariance(s: Series, x: str, y: str, n: int) -> Column:
+    """Sample covariance, NaN where an x is infinite, whatever its place in the frame."""
+    return s.both(F.covar_samp, x, y, n) + 0 * s.both(lambda a, b: F.sum(a), x, y, n)
+
+
+factor("volatility", "kyle_lambda", "lret ofi", lambda s: ratio(_covariance(s, "lret", "ofi", 20), s.roll(F.var_samp, "ofi", 20)))
 factor("volatility", "ofi_before", "ofi", lambda s: s.lag("ofi"))
-factor("volatility", "kyle_lambda_lag", "lret ofi_before", lambda s: ratio(s.both(F.covar_samp, "lret", "ofi_before", 20), s.roll(F.var_samp, "ofi_before", 20)))
+factor("volatility", "kyle_lambda_lag", "lret ofi_before", lambda s: ratio(_covariance(s, "lret", "ofi_before", 20), s.roll(F.var_samp, "ofi_before", 20)))
 
 
 HURST_LAGS = range(2, 20)

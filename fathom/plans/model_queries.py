@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.factors import add_factors
-from fathom.functions.windows import Series, correlation, ratio
+from fathom.functions.windows import Series, correlation, finite, ratio
 from fathom.operators import boosting as T
 from fathom.operators import labels as L
 from fathom.operators import moments as M
@@ -46,7 +46,7 @@ def ema_and_rsi(spark, sf_dir) -> DataFrame:
 def recursive_indicators(spark, sf_dir) -> DataFrame:
     """Every recursive indicator of the catalogue, in one scan per symbol."""
     bars = add_factors(hourly_bars(spark, sf_dir), ["lret", "clv_vol", "ad_line", "ad_raw", "lr_log", "signed_vol"])
-    bars = bars.withColumn("flow13", ratio("signed_vol", S.sum("volume", 13)))
+    bars = bars.withColumns({"flow13": ratio("signed_vol", S.sum("volume", 13)), "lret": finite("lret")})
     hlc = ["high", "low", "close"]
     made = X.ordered_scan(
         bars.select("symbol", "ts", *hlc, "volume", "delta", "lret", "ad_line", "ad_raw", "lr_log", "flow13"),

@@ -1,10 +1,12 @@
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fathom import catalog
 from fathom.functions.factors import FACTORS, add_factors
 from fathom.functions.windows import Series, normal_cdf
 
@@ -57,6 +59,30 @@ def test_every_factor_runs_on_flat_and_single_rows(spark, frame):
     assert not [c for c in made.columns if c.startswith("_")]
 
 
+def test_log_ratios_of_zero_prices_equal_the_sql(spark, tmp_path):
+    """Bars with a price of 0, at their low, at both ends and throughout."""
+    rng = np.random.default_rng(8)
+    ts = pd.date_range("2024-01-01", periods=300, freq="15min")
+    value = np.round(rng.exponential(50, 300) + 1, 2)
+    value[[101, 140, 143]] = value[200:204] = 0.0
+    rows = pd.DataFrame({"event_id": np.arange(300), "ts": ts, "user_id": rng.integers(1, 90, 300), "event_type": "a", "value": value, "props": "{}"})
+    rows.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ("e_volatility_factors", "e_price_factors"):
+        cursor = con.execute(catalog.ORACLE_SQL[name] + " ORDER BY ts")
+        columns = [c[0] for c in cursor.description]
+        want = cursor.fetchall()
+        found = catalog.QUERIES[name](spark, str(tmp_path)).orderBy("ts").select(*columns).collect()
+        assert len(found) == len(want) == 75
+        for ours, theirs in zip(found, want, strict=True):
+            for c, x, y in zip(columns[2:], ours[2:], theirs[2:], strict=True):
+                assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, abs=2e-6, nan_ok=True)), (name, theirs[1], c, x, y)
+        if name == "e_volatility_factors":
+            seen = {math.copysign(1, v) for r in found for v in (r.intraday_vol, r.overnight_vol) if v is not None and math.isinf(v)}
+            assert seen == {1.0, -1.0} and sum(r.parkinson is not None and math.isinf(r.parkinson) for r in found) >= 20
+
+
 def test_no_look_ahead(spark, frame):
     names = [n for n in FACTORS if not n.startswith("_")]
     cut = frame.ts.sort_values().iloc[len(frame) // 2]
